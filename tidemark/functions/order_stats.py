@@ -1,9 +1,9 @@
 """Exact order statistics without bringing a whole group to one task.
 
-Rows are first counted per distinct value (combined map-side, so a value shared by a third of all
-rows is one row afterwards). A monotone logarithmic bucket then locates the wanted ranks: the number
-of buckets per group is fixed, so the running count over buckets is small whatever the data size.
-Only the values inside the few buckets that hold a wanted rank are sorted.
+Rows are first counted per bucket of a monotone logarithmic scale. The number of buckets per group is
+fixed, so these counts are combined map-side to a small frame whatever the data size, and their
+running sum tells which buckets hold the wanted ranks. A second pass counts the distinct values in
+those few buckets only, again combined map-side, so a value shared by a third of all rows is one row.
 """
 
 from __future__ import annotations
@@ -17,76 +17,65 @@ from pyspark.sql import functions as F
 _BUCKETS_PER_OCTAVE = 1024
 
 
-def _bucket(value: Column) -> Column:
-    v = value.cast("double")
-    return F.floor(F.signum(v) * F.log2(1.0 + F.abs(v)) * _BUCKETS_PER_OCTAVE).cast("int")
-
-
-def _histogram(df: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:
-    """Count of rows per group and distinct value."""
+def _bucketed(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Columns: keys, value, bucket. The bucket never decreases as the value grows."""
+    bucket = f"int(floor(signum(value) * log2(1 + abs(double(value))) * {_BUCKETS_PER_OCTAVE}))"
     return (
-        df.select(*keys, value.alias("value"))
-        .where(F.col("value").isNotNull())
-        .groupBy(*keys, "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("bucket", _bucket(F.col("value")))
+        df.select(*keys, F.col(value).alias("value"))
+        .where("value IS NOT NULL")
+        .withColumn("bucket", F.expr(bucket))
     )
 
 
-def _running(column: str, partition: Sequence[str], *order: Column) -> Column:
+def _ahead(column: str, partition: Sequence[str], order: Column | str) -> Column:
     """Sum of `column` over the rows before the current one."""
-    w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(*partition).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return F.coalesce(F.sum(column).over(w), F.lit(0))
 
 
 def percentiles(
-    df: DataFrame, keys: Sequence[str], value: Column, quantiles: Mapping[str, float]
+    df: DataFrame, keys: Sequence[str], value: str, quantiles: Mapping[str, float]
 ) -> DataFrame:
-    """Interpolated percentiles of `value` per group.
+    """Interpolated percentiles of column `value` per group.
 
     Result: keys, `n` (rows with a value) and one double column per entry of `quantiles`.
     """
     keys = list(keys)
-    hist = _histogram(df, keys, value)
-    buckets = hist.groupBy(*keys, "bucket").agg(F.sum("n").alias("rows"))
+    rows = _bucketed(df, keys, value)
+    buckets = rows.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("rows"))
     buckets = buckets.select(
         "*",
         F.sum("rows").over(Window.partitionBy(*keys)).alias("total"),
-        _running("rows", keys, F.col("bucket")).alias("before"),
+        _ahead("rows", keys, "bucket").alias("before"),
     )
-
-    def position(q: float) -> Column:
-        return F.lit(q) * (F.col("total") - 1)
-
-    def holds(rank: Column, size: str) -> Column:
-        return (F.col("before") <= rank) & (rank < F.col("before") + F.col(size))
-
-    ranks = [f(position(q)) for q in quantiles.values() for f in (F.floor, F.ceil)]
-    wanted = holds(ranks[0], "rows")
-    for rank in ranks[1:]:
-        wanted = wanted | holds(rank, "rows")
-    # At most two buckets per quantile and group, and groups are runs, months or windows of time.
+    # Zero-based rank below and above each percentile's position.
+    position = {name: f"({q}D * (total - 1))" for name, q in quantiles.items()}
+    ranks = [f"{f}({p})" for p in position.values() for f in ("floor", "ceil")]
+    wanted = " OR ".join(f"(before <= {r} AND {r} < before + rows)" for r in ranks)
+    # At most two buckets per quantile and group; groups are runs, months or windows of time.
     wanted_buckets = F.broadcast(buckets.where(wanted).drop("rows"))
 
-    inside = hist.join(wanted_buckets, keys + ["bucket"]).withColumn(
-        "before",
-        F.col("before") + _running("n", keys + ["bucket"], F.col("value")),
+    inside = (
+        rows.join(wanted_buckets, keys + ["bucket"])
+        .groupBy(*keys, "bucket", "value", "total", "before")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("start", F.col("before") + _ahead("n", keys + ["bucket"], "value"))
     )
-    found = []
-    for name, q in quantiles.items():
-        for side, f in (("lo", F.floor), ("hi", F.ceil)):
-            at = F.when(holds(f(position(q)), "n"), F.col("value").cast("double"))
-            found.append(F.max(at).alias(f"{name}_{side}"))
+    found = [
+        F.expr(f"max(if(start <= {f}({p}) AND {f}({p}) < start + n, double(value), NULL))").alias(
+            f"{name}_{f}"
+        )
+        for name, p in position.items()
+        for f in ("floor", "ceil")
+    ]
     picked = inside.groupBy(*keys).agg(F.max("total").alias("total"), *found)
-
-    def interpolated(name: str, q: float) -> Column:
-        lo, hi = F.col(f"{name}_lo"), F.col(f"{name}_hi")
-        return (lo + (hi - lo) * (position(q) - F.floor(position(q)))).alias(name)
-
-    return picked.select(
+    return picked.selectExpr(
         *keys,
-        F.col("total").alias("n"),
-        *[interpolated(name, q) for name, q in quantiles.items()],
+        "total AS n",
+        *[
+            f"{n}_floor + ({n}_ceil - {n}_floor) * ({p} - floor({p})) AS {n}"
+            for n, p in position.items()
+        ],
     )
 
 
@@ -97,60 +86,46 @@ def top_fraction_sums(df: DataFrame, value: str, tiles: Sequence[int]) -> DataFr
     the k greatest values does not depend on how ties are broken. One row, columns `n`, `total` and
     `top_<t>`.
     """
-    group = ["grp"]
-    hist = _histogram(df.withColumn("grp", F.lit(1)), group, F.col(value)).withColumn(
-        "amount", F.col("value") * F.col("n")
-    )
-    buckets = hist.groupBy("grp", "bucket").agg(
-        F.sum("n").alias("rows"), F.sum("amount").alias("amount")
-    )
+    rows = _bucketed(df, [], value).withColumn("grp", F.lit(1))
     whole = Window.partitionBy("grp")
-    buckets = buckets.select(
-        "*",
-        F.sum("rows").over(whole).alias("total_rows"),
-        F.sum("amount").over(whole).alias("total"),
-        _running("rows", group, F.desc("bucket")).alias("before"),
+    buckets = (
+        rows.groupBy("grp", "bucket")
+        .agg(F.count(F.lit(1)).alias("rows"), F.sum("value").alias("amount"))
+        .select(
+            "*",
+            F.sum("rows").over(whole).alias("total_rows"),
+            F.sum("amount").over(whole).alias("total"),
+            _ahead("rows", ["grp"], F.desc("bucket")).alias("before"),
+        )
     )
-
-    def tile(t: int) -> Column:
-        n = F.col("total_rows")
-        return F.floor(n / t) + F.when(n % t > 0, 1).otherwise(0)
-
-    def cut(t: int) -> Column:
-        return (F.col("before") < tile(t)) & (tile(t) < F.col("before") + F.col("rows"))
-
-    def above(t: int) -> Column:
-        return F.when(F.col("before") + F.col("rows") <= tile(t), F.col("amount"))
-
-    whole_buckets = buckets.groupBy("grp").agg(
-        F.max("total_rows").alias("n"),
-        F.max("total").alias("total"),
-        *[F.coalesce(F.sum(above(t)), F.lit(0)).alias(f"above_{t}") for t in tiles],
-    )
-    at_a_cut = cut(tiles[0])
-    for t in tiles[1:]:
-        at_a_cut = at_a_cut | cut(t)
+    tile = {t: f"(total_rows div {t} + int(total_rows % {t} > 0))" for t in tiles}
+    cut = {t: f"(before < {size} AND {size} < before + rows)" for t, size in tile.items()}
     # One bucket per tile count at most.
     cut_buckets = F.broadcast(
-        buckets.where(at_a_cut).select("grp", "bucket", "rows", "before", "total_rows")
+        buckets.where(" OR ".join(cut.values())).drop("amount", "total")
     )
-    inside = hist.join(cut_buckets, ["grp", "bucket"]).withColumn(
-        "ahead", _running("n", ["grp", "bucket"], F.desc("value"))
+    # A cut bucket contributes its greatest values, every other bucket before the cut all of it.
+    partials = (
+        rows.join(cut_buckets, ["grp", "bucket"])
+        .groupBy("grp", "bucket", "value", "rows", "before", "total_rows")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("ahead", _ahead("n", ["grp", "bucket"], F.desc("value")))
+        .groupBy("grp")
+        .agg(*[
+            F.expr(
+                f"sum(if({cut[t]}, least(n, greatest({tile[t]} - before - ahead, 0)) * value, 0))"
+            ).alias(f"part_{t}")
+            for t in tiles
+        ])
     )
-
-    def partial(t: int) -> Column:
-        left = tile(t) - F.col("before") - F.col("ahead")
-        taken = F.least(F.col("n"), F.greatest(left, F.lit(0)))
-        return F.sum(F.when(cut(t), taken * F.col("value")))
-
-    partials = inside.groupBy("grp").agg(*[partial(t).alias(f"part_{t}") for t in tiles])
-    return whole_buckets.join(partials, "grp", "left").select(
-        "n",
-        "total",
+    wholes = buckets.groupBy("grp").agg(
+        F.max("total_rows").alias("n"),
+        F.max("total").alias("total"),
         *[
-            (F.col(f"above_{t}") + F.coalesce(F.col(f"part_{t}"), F.lit(0)))
-            .cast("bigint")
-            .alias(f"top_{t}")
+            F.expr(f"sum(if(before + rows <= {tile[t]}, amount, 0))").alias(f"above_{t}")
             for t in tiles
         ],
     )
+    return wholes.join(partials, "grp", "left").selectExpr(
+        "n", "total", *[f"above_{t} + coalesce(part_{t}, 0) AS top_{t}" for t in tiles]
+    )

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.order_stats import percentiles
+from tidemark.functions.ranking import sorted_few
 from tidemark.functions.scalars import daily_rate, instant, month_start, ratio, round_half_up
 from tidemark.operators.runs import current
 
@@ -31,7 +32,7 @@ def _dated(snapshots: DataFrame, runs: DataFrame, now: datetime) -> DataFrame:
 def cohort_quality(snapshots: DataFrame, runs: DataFrame, *, now: datetime) -> DataFrame:
     """Size, mean downloads and stars, install share and mean daily rate per creation month."""
     installs = ratio(F.sum("stat_installs_all_time") * 100.0, F.sum("stat_downloads"))
-    return (
+    cohorts = (
         _dated(snapshots, runs, now)
         .groupBy("cohort_month")
         .agg(
@@ -41,15 +42,15 @@ def cohort_quality(snapshots: DataFrame, runs: DataFrame, *, now: datetime) -> D
             F.coalesce(round_half_up(installs, 1), F.lit(0.0)).alias("install_pct"),
             round_half_up(F.avg("rate"), 1).alias("avg_dl_per_day"),
         )
-        .orderBy("cohort_month")
     )
+    return sorted_few(cohorts, "cohort_month")
 
 
 def cohort_percentiles(snapshots: DataFrame, runs: DataFrame, *, now: datetime) -> DataFrame:
     """Percentiles and mean of the daily rate and stars per download, per creation month."""
     wanted = {"p10": 0.10, "p25": 0.25, "p50": 0.50, "p75": 0.75, "p90": 0.90, "p99": 0.99}
     dated = _dated(snapshots, runs, now)
-    shape = percentiles(dated, ["cohort_month"], F.col("rate"), wanted)
+    shape = percentiles(dated, ["cohort_month"], "rate", wanted)
     stars = ratio(F.sum("stat_stars"), F.sum("stat_downloads"))
     means = dated.groupBy("cohort_month").agg(
         F.count(F.lit(1)).alias("skill_count"),
@@ -57,17 +58,14 @@ def cohort_percentiles(snapshots: DataFrame, runs: DataFrame, *, now: datetime)
         F.coalesce(round_half_up(stars, 4), F.lit(0.0)).alias("star_dl_ratio"),
     )
     # Both sides have one row per month.
-    return (
-        means.join(shape.drop("n"), "cohort_month")
-        .select(
-            "cohort_month",
-            "skill_count",
-            *[round_half_up(F.col(p), 1).alias(p) for p in wanted],
-            "avg_dl_per_day",
-            "star_dl_ratio",
-        )
-        .orderBy("cohort_month")
+    cohorts = means.join(shape.drop("n"), "cohort_month").select(
+        "cohort_month",
+        "skill_count",
+        *[round_half_up(F.col(p), 1).alias(p) for p in wanted],
+        "avg_dl_per_day",
+        "star_dl_ratio",
     )
+    return sorted_few(cohorts, "cohort_month")
 
 
 def median_rate_windows(
@@ -84,7 +82,7 @@ def median_rate_windows(
 
     window = F.when(created >= ago(days), "recent").when(created >= ago(2 * days), "prior")
     rated = _dated(snapshots, runs, now).where(created >= ago(2 * days)).withColumn("age", window)
-    medians = percentiles(rated, ["age"], F.col("rate"), {"median": 0.5})
+    medians = percentiles(rated, ["age"], "rate", {"median": 0.5})
 
     def of(side: str):
         return F.max(F.when(F.col("age") == side, round_half_up(F.col("median"), 1)))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +17,13 @@ def _by_downloads(column: str = "stat_downloads") -> tuple:
     return F.desc(column), "skill_id"
 
 
-def _any_changed(pairs: list[tuple[Column, Column]]) -> Column:
-    return reduce(or_, [~now.eqNullSafe(before) for now, before in pairs])
+def _any_changed() -> Column:
+    """Whether a tracked field differs from its `prev_` column."""
+    return F.expr(" OR ".join(f"NOT ({f} <=> prev_{f})" for f in TRACKED_FIELDS))
+
+
+def _as_previous(rows: DataFrame) -> DataFrame:
+    return rows.selectExpr("skill_id", *[f"{f} AS prev_{f}" for f in TRACKED_FIELDS])
 
 
 def _only_in(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -40,21 +42,12 @@ def removed_entities(snapshots: DataFrame, current: int, previous: int) -> DataF
 
 
 def _changed(current: DataFrame, previous: DataFrame) -> DataFrame:
-    before = previous.select("skill_id", *[F.col(f).alias(f"prev_{f}") for f in TRACKED_FIELDS])
+    values = [e for f in TRACKED_FIELDS for e in (f"prev_{f}", f"{f} AS curr_{f}")]
     return (
         current.select("skill_id", "slug", *TRACKED_FIELDS)
-        .join(before, "skill_id")
-        .where(_any_changed([(F.col(f), F.col(f"prev_{f}")) for f in TRACKED_FIELDS]))
-        .select(
-            "skill_id",
-            "slug",
-            "display_name",
-            *[
-                c
-                for f in TRACKED_FIELDS
-                for c in (F.col(f"prev_{f}"), F.col(f).alias(f"curr_{f}"))
-            ],
-        )
+        .join(_as_previous(previous), "skill_id")
+        .where(_any_changed())
+        .selectExpr("skill_id", "slug", "display_name", *values)
     )
 
 
@@ -66,15 +59,11 @@ def changed_entities(snapshots: DataFrame, current: int, previous: int) -> DataF
 
 def _changed_fields() -> Column:
     """Array of (field, from_value, to_value) for the fields that differ, values as text."""
-    entries = F.array(*[
-        F.struct(
-            F.lit(f).alias("field"),
-            F.col(f"prev_{f}").cast("string").alias("from_value"),
-            F.col(f"curr_{f}").cast("string").alias("to_value"),
-        )
+    entries = ", ".join(
+        f"named_struct('field', '{f}', 'from_value', string(prev_{f}), 'to_value', string(curr_{f}))"
         for f in TRACKED_FIELDS
-    ])
-    return F.filter(entries, lambda e: ~e.from_value.eqNullSafe(e.to_value))
+    )
+    return F.expr(f"filter(array({entries}), e -> NOT (e.from_value <=> e.to_value))")
 
 
 def changes_long(changed: DataFrame) -> DataFrame:
@@ -86,21 +75,14 @@ def changes_long(changed: DataFrame) -> DataFrame:
 
 def _counts(current: DataFrame, previous: DataFrame) -> DataFrame:
     """One full outer join gives all three counts."""
-    now = current.select(
-        F.col("skill_id"), F.lit(True).alias("is_now"), *[F.col(f) for f in TRACKED_FIELDS]
-    )
-    before = previous.select(
-        F.col("skill_id"),
-        F.lit(True).alias("was_before"),
-        *[F.col(f).alias(f"prev_{f}") for f in TRACKED_FIELDS],
-    )
+    now = current.select("skill_id", *TRACKED_FIELDS).withColumn("is_now", F.lit(True))
+    before = _as_previous(previous).withColumn("was_before", F.lit(True))
     joined = now.join(before, "skill_id", "full_outer")
-    differs = _any_changed([(F.col(f), F.col(f"prev_{f}")) for f in TRACKED_FIELDS])
     in_both = F.col("is_now").isNotNull() & F.col("was_before").isNotNull()
     return joined.agg(
         F.count_if(F.col("was_before").isNull()).alias("new_skills"),
         F.count_if(F.col("is_now").isNull()).alias("removed_skills"),
-        F.count_if(in_both & differs).alias("changed_skills"),
+        F.count_if(in_both & _any_changed()).alias("changed_skills"),
     )
 
 
@@ -135,11 +117,9 @@ def diff_counts(snapshots: DataFrame, runs: DataFrame) -> DataFrame:
 
     The sizes follow from the join as well, so each run is read once.
     """
-    pair = latest_pair(runs)
+    current = latest_pair(runs).select("current_run_id").scalar()
     counts = diff_all_runs(snapshots, runs, last=2)
-    return counts.join(
-        pair.select(F.col("current_run_id").alias("scrape_run_id")), "scrape_run_id", "left_semi"
-    ).select(
+    return counts.where(F.col("scrape_run_id") == current).select(
         F.col("scrape_run_id").alias("current_run_id"),
         "previous_run_id",
         "previous_skills",

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.functions.order_stats import percentiles, top_fraction_sums
+from tidemark.functions.ranking import sorted_few
 from tidemark.functions.scalars import (
     calendar_days,
     instant,
@@ -17,7 +18,7 @@ from tidemark.functions.scalars import (
     seconds_between,
     week_start,
 )
-from tidemark.operators.runs import completed, current
+from tidemark.operators.runs import completed, current, rows_of_completed
 from tidemark.schema import GROWTH_WEEKS, MIN_INTERVAL, WOW_RUNS_BACK
 
 
@@ -58,8 +59,7 @@ def top_share(snapshots: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
-def run_totals(snapshots: DataFrame, runs: DataFrame) -> DataFrame:
-    """Size and totals of every completed run that has rows."""
+def _run_totals(snapshots: DataFrame, runs: DataFrame) -> DataFrame:
     return (
         snapshots.join(completed(runs), "scrape_run_id")
         .groupBy("scrape_run_id", "started_at")
@@ -68,26 +68,26 @@ def run_totals(snapshots: DataFrame, runs: DataFrame) -> DataFrame:
             F.sum("stat_downloads").alias("total_downloads"),
             F.sum("stat_stars").alias("total_stars"),
         )
-        .orderBy("scrape_run_id")
     )
 
 
+def run_totals(snapshots: DataFrame, runs: DataFrame) -> DataFrame:
+    """Size and totals of every completed run that has rows, in run order."""
+    return sorted_few(_run_totals(snapshots, runs), "scrape_run_id")
+
+
 def run_percentiles(snapshots: DataFrame, runs: DataFrame) -> DataFrame:
     """Interpolated percentiles of downloads per completed run, in whole downloads."""
     wanted = {"p50": 0.50, "p90": 0.90, "p95": 0.95, "p99": 0.99}
-    done = completed(runs)
-    rows = snapshots.join(done.select("scrape_run_id"), "scrape_run_id", "left_semi")
-    result = percentiles(rows, ["scrape_run_id"], F.col("stat_downloads"), wanted)
-    return (
-        result.join(done, "scrape_run_id")
-        .select(
-            "scrape_run_id",
-            F.date_format("started_at", "yyyy-MM-dd").alias("run_date"),
-            F.col("n").alias("skill_count"),
-            *[round_half_even(F.col(p)).alias(p) for p in wanted],
-        )
-        .orderBy("scrape_run_id")
+    rows = rows_of_completed(snapshots, runs)
+    result = percentiles(rows, ["scrape_run_id"], "stat_downloads", wanted)
+    dated = result.join(completed(runs), "scrape_run_id").select(
+        "scrape_run_id",
+        F.date_format("started_at", "yyyy-MM-dd").alias("run_date"),
+        F.col("n").alias("skill_count"),
+        *[round_half_even(F.col(p)).alias(p) for p in wanted],
     )
+    return sorted_few(dated, "scrape_run_id")
 
 
 def weekly_new(snapshots: DataFrame, runs: DataFrame) -> DataFrame:
@@ -148,7 +148,7 @@ def weekly_growth(
     )
     if weeks is not None:
         growth = growth.orderBy(F.desc("week_start")).limit(weeks)
-    return growth.orderBy("week_start")
+    return sorted_few(growth, "week_start")
 
 
 def avg_wow(snapshots: DataFrame, runs: DataFrame, *, now: datetime) -> DataFrame:
@@ -166,7 +166,7 @@ def download_wow(snapshots: DataFrame, runs: DataFrame) -> DataFrame:
     One row; NULL with a single run or a reference without downloads; no row without runs.
     """
     age = F.row_number().over(Window.orderBy(F.desc("scrape_run_id")))
-    totals = run_totals(snapshots, runs).select("total_downloads", age.alias("age"))
+    totals = _run_totals(snapshots, runs).select("total_downloads", age.alias("age"))
     recent = totals.where(F.col("age") <= WOW_RUNS_BACK + 1)
     ends = recent.agg(
         F.min_by("total_downloads", "age").alias("latest_downloads"),
@@ -189,7 +189,7 @@ def _days(start: Column, end: Column) -> Column:
 
 def platform_velocity(snapshots: DataFrame, runs: DataFrame) -> DataFrame:
     """Totals per completed run with the change to the run before; empty with fewer than two runs."""
-    totals = run_totals(snapshots, runs).withColumn(
+    totals = _run_totals(snapshots, runs).withColumn(
         "n_runs", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))
     )
     delta = F.col("total_downloads") - F.lag("total_downloads").over(_in_order("scrape_run_id"))
@@ -208,7 +208,7 @@ def platform_velocity(snapshots: DataFrame, runs: DataFrame) -> DataFrame:
 
 def avg_platform_velocity(snapshots: DataFrame, runs: DataFrame) -> DataFrame:
     """Mean daily download growth from the first to the last run; empty with fewer than three."""
-    ends = run_totals(snapshots, runs).agg(
+    ends = _run_totals(snapshots, runs).agg(
         F.min_by("total_downloads", "scrape_run_id").alias("first_downloads"),
         F.max_by("total_downloads", "scrape_run_id").alias("last_downloads"),
         F.min_by("started_at", "scrape_run_id").alias("first_at"),

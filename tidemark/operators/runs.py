@@ -3,7 +3,7 @@ built and partition pruning sees the chosen runs when the query does."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.schema import RUNS
@@ -24,13 +24,6 @@ def last_runs(runs: DataFrame, k: int) -> DataFrame:
     )
 
 
-def nth_latest(runs: DataFrame, n: int) -> DataFrame:
-    """The n-th newest completed run, or no row."""
-    if n == 1:
-        return completed(runs).orderBy(F.desc("scrape_run_id")).limit(1)
-    return last_runs(runs, n).where(F.col("run_rank") == n).drop("run_rank")
-
-
 def momentum_buckets(runs: DataFrame) -> DataFrame:
     """The newest six completed runs: 1-3 are 'recent', 4-6 'prior'."""
     return last_runs(runs, 6).withColumn(
@@ -56,36 +49,39 @@ def latest_pair(runs: DataFrame) -> DataFrame:
     )
 
 
-def rows_of(snapshots: DataFrame, run: int | DataFrame) -> DataFrame:
-    """Snapshots of one run, given by id (static pruning) or by a frame of run ids (dynamic pruning).
-
-    The run frame comes from the run log, so Spark broadcasts it while it is under
-    `spark.sql.autoBroadcastJoinThreshold`.
-    """
-    if isinstance(run, int):
-        return snapshots.where(F.col("scrape_run_id") == run)
-    return snapshots.join(run.select("scrape_run_id"), "scrape_run_id", "left_semi")
+def rows_of(snapshots: DataFrame, run: int | Column) -> DataFrame:
+    """Snapshots of one run, given by id or by a one-value subquery; prunes partitions either way."""
+    return snapshots.where(F.col("scrape_run_id") == run)
 
 
 def current(snapshots: DataFrame, runs: DataFrame) -> DataFrame:
     """Rows of the newest completed run."""
-    return rows_of(snapshots, nth_latest(runs, 1))
+    return rows_of(snapshots, latest_completed(runs).scalar())
 
 
 def previous(snapshots: DataFrame, runs: DataFrame) -> DataFrame:
     """Rows of the second newest completed run; empty if there is none."""
-    return rows_of(snapshots, nth_latest(runs, 2))
+    return rows_of(snapshots, latest_pair(runs).select("previous_run_id").scalar())
 
 
 def latest_pair_rows(snapshots: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Current and previous rows; both empty unless two runs are completed."""
     pair = latest_pair(runs)
     return (
-        rows_of(snapshots, pair.select(F.col("current_run_id").alias("scrape_run_id"))),
-        rows_of(snapshots, pair.select(F.col("previous_run_id").alias("scrape_run_id"))),
+        rows_of(snapshots, pair.select("current_run_id").scalar()),
+        rows_of(snapshots, pair.select("previous_run_id").scalar()),
     )
 
 
+def rows_of_completed(snapshots: DataFrame, runs: DataFrame) -> DataFrame:
+    """Snapshots of all completed runs.
+
+    Joins with the run log carry no hint: Spark broadcasts the log, and prunes partitions by it,
+    while it is below `spark.sql.autoBroadcastJoinThreshold`.
+    """
+    return snapshots.join(completed(runs).select("scrape_run_id"), "scrape_run_id", "left_semi")
+
+
 def latest_completed(runs: DataFrame) -> DataFrame:
     """One row: id of the newest completed run, NULL if there is none."""
     return completed(runs).agg(F.max("scrape_run_id").alias("latest_run_id"))

@@ -13,9 +13,13 @@ from tidemark.operators import growth, history, momentum, owners, rankings
 from tidemark.schema import DETAIL_ENTITY_LIMIT, DETAIL_OWNER_LIMIT, DETAIL_RATE_LIMIT
 
 
-def _array(df: DataFrame, order: str = "rank") -> Column:
-    """A short list (top-k, weeks or runs) as an array of structs in `order`; `rank` is dropped."""
-    entry = F.struct(*[c for c in df.columns if c != "rank"])
+def _array(df: DataFrame, order: str = "rank", only: str | None = None) -> Column:
+    """A short list (top-k, weeks or runs) as an array in `order`, as a one-value subquery.
+
+    Elements are structs of all columns but run id and rank, or the column `only`.
+    """
+    fields = [c for c in df.columns if c not in ("rank", "scrape_run_id")]
+    entry = F.col(only) if only else F.struct(*fields)
     ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), entry.alias("entry"))))
     return df.agg(F.transform(ordered, lambda e: e.entry)).scalar()
 
@@ -36,8 +40,6 @@ def dashboard(snapshots: DataFrame, runs: DataFrame, *, now: datetime) -> DataFr
     def total(name: str) -> Column:
         return totals.select(name).scalar()
 
-    sparkline = _array(per_run.select("scrape_run_id", "total_downloads"), "scrape_run_id")
-    percentiles = _array(shape, "scrape_run_id")
     return _document(
         snapshots.sparkSession,
         now,
@@ -46,8 +48,8 @@ def dashboard(snapshots: DataFrame, runs: DataFrame, *, now: datetime) -> DataFr
         total_stars=total("total_stars"),
         total_owners=total("unique_owners"),
         weekly_growth=_array(growth.weekly_growth(snapshots, runs, now=now), "week_start"),
-        download_sparkline=F.transform(sparkline, lambda e: e.total_downloads),
-        download_percentiles=F.transform(percentiles, lambda e: e.dropFields("scrape_run_id")),
+        download_sparkline=_array(per_run, "scrape_run_id", only="total_downloads"),
+        download_percentiles=_array(shape, "scrape_run_id"),
         download_wow_pct=growth.download_wow(snapshots, runs).select("download_wow_pct").scalar(),
         avg_wow_pct=growth.avg_wow(snapshots, runs, now=now).scalar(),
     )

@@ -254,7 +254,7 @@ def ingest_run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def ingest_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     snapshots, log = _load(spark, sf_dir)
-    return runs.rows_of(snapshots, runs.completed(log)).select(
+    return runs.rows_of_completed(snapshots, log).select(
         "scrape_run_id", "skill_id", "created_at", "stat_downloads", "owner_handle", "tags"
     )
 

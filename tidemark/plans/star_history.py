@@ -7,24 +7,22 @@ before the run.
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
-from functools import reduce
-from operator import add
+from datetime import datetime
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import instant
 from tidemark.schema import SNAPSHOTS
 from tidemark.session import shared_folder
 from tidemark.sources.tables import HistoryTable
 
 # Fixed values of the mapping.
 NOW = datetime(2001, 8, 1, 6)
-STARTS = [datetime(2000 + (8 + i) // 12, (8 + i) % 12 + 1, 1) for i in range(12)]
+RUNS = 12
+FIRST_START = "timestamp_ntz'2000-09-01 00:00:00'"
 FAILED_RUN = 6
-ACTIVE_DAYS = 180
+ACTIVE = "interval 180 days"
 FIRST_CREATED = "timestamp_ntz'2000-01-03 00:00:00'"
 
 ENTITIES_PER_FILE = 250_000
@@ -37,18 +35,22 @@ class History(NamedTuple):
 
 def star_runs(spark: SparkSession) -> DataFrame:
     """The run log: twelve monthly runs, one failed."""
-    started = F.element_at(F.array(*[instant(s) for s in STARTS]), F.col("id").cast("int"))
-    failed = F.col("id") == FAILED_RUN
-    return spark.range(1, len(STARTS) + 1, numPartitions=1).select(
-        F.col("id").cast("int").alias("id"),
-        started.alias("started_at"),
-        F.when(failed, "failed").otherwise("completed").alias("status"),
+    return spark.range(1, RUNS + 1, numPartitions=1).selectExpr(
+        "int(id) AS id",
+        f"{_started('int(id)')} AS started_at",
+        f"if(id = {FAILED_RUN}, 'failed', 'completed') AS status",
     )
 
 
-def _runs_reached(at: Column, shift: timedelta = timedelta()) -> Column:
+def _started(run: str) -> str:
+    return f"{FIRST_START} + make_ym_interval(0, {run} - 1)"
+
+
+def _runs_reached(at: str, shift: str) -> str:
     """Number of runs whose start, moved back by `shift`, is not after `at`."""
-    return reduce(add, [(at >= instant(s - shift)).cast("int") for s in STARTS])
+    return " + ".join(
+        f"int({at} >= {_started(str(run))} - {shift})" for run in range(1, RUNS + 1)
+    )
 
 
 def _customer_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,41 +60,36 @@ def _customer_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     Orders are first combined per customer and such pair of runs, map-side, so neither the number of
     runs nor a customer with very many orders multiplies what is shuffled.
     """
-    at = F.col("o_orderdate")
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").where(at < instant(STARTS[-1]))
-    status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
-    newest = F.struct(at, F.col("o_orderkey"), priority)
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     combined = (
-        orders.withColumn("first_run", 1 + _runs_reached(at))
-        .withColumn("last_recent", _runs_reached(at, timedelta(days=ACTIVE_DAYS)))
+        orders.where(f"o_orderdate < {_started(str(RUNS))}")
+        .selectExpr(
+            "*",
+            f"1 + {_runs_reached('o_orderdate', 'interval 0 days')} AS first_run",
+            f"{_runs_reached('o_orderdate', ACTIVE)} AS last_recent",
+        )
         .groupBy("o_custkey", "first_run", "last_recent")
         .agg(
-            F.count(F.lit(1)).alias("orders"),
-            F.sum(F.floor(F.col("o_totalprice") / 1000).cast("bigint")).alias("thousands"),
-            F.sum(F.floor(F.col("o_totalprice") / 5000).cast("bigint")).alias("installs"),
-            F.count_if(priority.isin("1-URGENT", "2-HIGH")).alias("urgent"),
-            F.count_if(status == "P").alias("pending"),
-            F.max(newest).alias("newest"),
+            F.expr("count(*) AS orders"),
+            F.expr("sum(bigint(floor(o_totalprice / 1000))) AS thousands"),
+            F.expr("sum(bigint(floor(o_totalprice / 5000))) AS installs"),
+            F.expr("count_if(o_orderpriority IN ('1-URGENT', '2-HIGH')) AS urgent"),
+            F.expr("count_if(o_orderstatus = 'P') AS pending"),
+            F.expr("max(struct(o_orderdate, o_orderkey, o_orderpriority)) AS newest"),
         )
     )
-    each_run = combined.select(
-        "*",
-        F.explode(F.sequence(F.col("first_run"), F.lit(len(STARTS)))).alias("scrape_run_id"),
-    )
-    recent = F.col("scrape_run_id") <= F.col("last_recent")
     return (
-        each_run.groupBy("o_custkey", "scrape_run_id")
+        combined.selectExpr("*", f"explode(sequence(first_run, {RUNS})) AS scrape_run_id")
+        .groupBy("o_custkey", "scrape_run_id")
         .agg(
-            F.sum("orders").alias("stat_versions"),
-            F.sum("thousands").alias("stat_downloads"),
-            F.sum("installs").alias("stat_installs_all_time"),
-            F.coalesce(F.sum(F.when(recent, F.col("installs"))), F.lit(0)).alias(
-                "stat_installs_current"
-            ),
-            F.sum("urgent").alias("stat_stars"),
-            F.sum("pending").alias("stat_comments"),
-            F.max("newest").alias("newest"),
-            F.bool_or(recent).alias("active"),
+            F.expr("sum(orders) AS stat_versions"),
+            F.expr("sum(thousands) AS stat_downloads"),
+            F.expr("sum(installs) AS stat_installs_all_time"),
+            F.expr("sum(if(scrape_run_id <= last_recent, installs, 0)) AS stat_installs_current"),
+            F.expr("sum(urgent) AS stat_stars"),
+            F.expr("sum(pending) AS stat_comments"),
+            F.expr("max(newest) AS newest"),
+            F.expr("bool_or(scrape_run_id <= last_recent) AS active"),
         )
         .where("active")
     )
@@ -101,42 +98,34 @@ def _customer_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def star_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The snapshot history as a plan over the star-schema tables."""
     nations = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    key = F.col("c_custkey")
-    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").join(
-        nations, F.col("c_nationkey") == F.col("n_nationkey"), "left"
-    )
-    created = F.expr(f"{FIRST_CREATED}") + F.expr(
-        "make_dt_interval(cast(c_custkey * 7 % 577 as int), cast(c_custkey % 24 as int))"
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr(
+        "*",
+        f"{FIRST_CREATED} + make_dt_interval(int(c_custkey * 7 % 577), int(c_custkey % 24))"
+        " AS created",
     )
-    started = F.element_at(F.array(*[instant(s) for s in STARTS]), F.col("scrape_run_id"))
-    columns = {
-        "skill_id": F.concat(F.lit("C"), key.cast("string")),
-        "slug": F.when(key % 97 != 0, F.lower(F.replace("c_name", F.lit("#"), F.lit("-")))),
-        "display_name": F.col("c_name"),
-        "summary": F.col("c_mktsegment"),
-        "created_at": F.when(key % 89 != 0, F.col("created")),
-        "updated_at": F.col("newest.o_orderdate"),
-        "owner_handle": F.when(key % 101 != 0, F.col("n_name")),
-        "version_number": F.col("newest.o_orderpriority"),
-        "version_changelog": F.concat(
-            F.lit("order "), F.col("newest.o_orderkey").cast("string")
-        ),
-    }
     rows = (
         _customer_runs(spark, sf_dir)
-        .join(customers, F.col("o_custkey") == key)
-        .withColumn("created", created)
-        .where(F.col("created") < started)
+        .join(customers, F.expr("o_custkey = c_custkey"))
+        .where(f"created < {_started('scrape_run_id')}")
+        .join(nations, F.expr("c_nationkey = n_nationkey"), "left")
     )
-
-    def column(name: str, kind) -> Column:
-        if name in columns:
-            return columns[name].cast(kind).alias(name)
-        if name in rows.columns:
-            return F.col(name).cast(kind).alias(name)
-        return F.lit(None).cast(kind).alias(name)
-
-    return rows.select(*[column(f.name, f.dataType) for f in SNAPSHOTS])
+    columns = {
+        "skill_id": "concat('C', c_custkey)",
+        "slug": "if(c_custkey % 97 <> 0, lower(replace(c_name, '#', '-')), NULL)",
+        "display_name": "c_name",
+        "summary": "c_mktsegment",
+        "created_at": "if(c_custkey % 89 <> 0, created, NULL)",
+        "updated_at": "newest.o_orderdate",
+        "owner_handle": "if(c_custkey % 101 <> 0, n_name, NULL)",
+        "version_number": "newest.o_orderpriority",
+        "version_changelog": "concat('order ', newest.o_orderkey)",
+    }
+    known = set(rows.columns)
+    return rows.selectExpr(*[
+        f"CAST({columns.get(f.name, f.name if f.name in known else 'NULL')}"
+        f" AS {f.dataType.simpleString()}) AS {f.name}"
+        for f in SNAPSHOTS
+    ])
 
 
 _stored: dict[tuple[str, str], str] = {}

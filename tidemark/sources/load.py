@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.diff import pair_counts
-from tidemark.operators.runs import latest_completed
-from tidemark.sources.pages import flatten_items, key_violations, page_items
+from tidemark.sources.pages import check_keys, flatten_items, page_items
 from tidemark.sources.tables import HistoryTable, RunLog
 
 
@@ -39,26 +38,29 @@ def load_run(
     it 'failed' without writing. Rows of a failed run stay invisible, as queries use completed runs.
     `on_duplicate="drop"` keeps one row per repeated key and drops rows without one.
     """
-    run_id = run_log.start(clock(), run_id)
+    states = run_log.states()
+    run_id = run_log.start(clock(), run_id or max(states, default=0) + 1)
     try:
         rows = flatten_items(page_items(pages, on_bad_page), run_id)
         if on_duplicate == "drop":
             rows = rows.where(F.col("skill_id").isNotNull()).dropDuplicates(["skill_id"])
-        total = history.replace_run(rows, run_id)
-        if total == 0:
+        history.replace_run(rows, run_id)
+        # Checked on the written rows: they are bucketed by entity, so this needs no shuffle of
+        # entities and the pages are parsed once.
+        written = check_keys(history.run(run_id)).first()
+        if written.rows == 0:
             run_log.fail(run_id, clock())
             return run_id
-        stored = history.frame()
-        # Checked on the written rows: they are bucketed by entity, so this needs no shuffle and the
-        # pages are parsed once.
-        wrong = key_violations(stored.where(F.col("scrape_run_id") == run_id)).limit(5).collect()
-        if wrong:
-            raise DuplicateKeys(f"run {run_id}: {[(r.skill_id, r['rows']) for r in wrong]}")
+        if written.bad_keys:
+            raise DuplicateKeys(
+                f"run {run_id}: {written.bad_keys} repeated or missing keys, such as "
+                f"{written.example!r}"
+            )
+        completed = [i for i, status in states.items() if status == "completed" and i != run_id]
         counts = {}
-        before = latest_completed(run_log.frame().where(F.col("id") != run_id)).first()[0]
-        if before is not None:
-            counts = pair_counts(stored, run_id, before).first().asDict()
-        run_log.complete(run_id, clock(), total_skills=total, **counts)
+        if completed:
+            counts = pair_counts(history.frame(), run_id, max(completed)).first().asDict()
+        run_log.complete(run_id, clock(), total_skills=written.rows, **counts)
         return run_id
     except Exception:
         run_log.fail(run_id, clock())

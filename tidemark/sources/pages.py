@@ -74,13 +74,26 @@ def flatten_items(items: DataFrame, run_id: int | Column) -> DataFrame:
     return items.select(*[columns[name].alias(name) for name in SNAPSHOTS.fieldNames()])
 
 
+def _per_key(snapshots: DataFrame) -> DataFrame:
+    return snapshots.groupBy("scrape_run_id", "skill_id").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def _violated() -> Column:
+    return F.col("skill_id").isNull() | (F.col("rows") > 1)
+
+
+def check_keys(snapshots: DataFrame) -> DataFrame:
+    """One row: rows, number of violated keys and one of them."""
+    return _per_key(snapshots).agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
+        F.count_if(_violated()).alias("bad_keys"),
+        F.min(F.when(_violated(), F.col("skill_id"))).alias("example"),
+    )
+
+
 def key_violations(snapshots: DataFrame) -> DataFrame:
     """Keys (scrape_run_id, skill_id) that are missing or occur more than once, with their count."""
-    return (
-        snapshots.groupBy("scrape_run_id", "skill_id")
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .where(F.col("skill_id").isNull() | (F.col("rows") > 1))
-    )
+    return _per_key(snapshots).where(_violated())
 
 
 def dump_items(items: DataFrame, path: str) -> None:

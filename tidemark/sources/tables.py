@@ -50,8 +50,8 @@ class HistoryTable:
         """One task per bucket, so each run gets one file per bucket."""
         return snapshots.repartition(self.buckets, KEY)
 
-    def replace_run(self, snapshots: DataFrame, run_id: int) -> int:
-        """Write the rows of one run and return their number.
+    def replace_run(self, snapshots: DataFrame, run_id: int) -> None:
+        """Write the rows of one run.
 
         The run's partition is overwritten, so repeating the write gives the same table. Empty input
         writes nothing.
@@ -62,16 +62,14 @@ class HistoryTable:
             "SELECT * FROM {rows}",
             rows=self._laid_out(snapshots.select(*data)),
         )
-        return self.count(run_id)
 
     def add_runs(self, snapshots: DataFrame) -> None:
         """Append rows of several runs at once."""
         rows = self._laid_out(snapshots.select(*SNAPSHOTS.fieldNames()))
         rows.write.insertInto(self.name)
 
-    def count(self, run_id: int) -> int:
-        """Rows of a run; 0 if unknown."""
-        return self.frame().where(F.col(PARTITION) == run_id).count()
+    def run(self, run_id: int) -> DataFrame:
+        return self.frame().where(F.col(PARTITION) == run_id)
 
 
 _EVENT = T.StructType([
@@ -132,11 +130,14 @@ class RunLog:
         ])
         event.write.mode("append").parquet(self.location)
 
+    def states(self) -> dict[int, str]:
+        """Status by run id; the log has two small rows per run."""
+        return {r.id: r.status for r in self.frame().select("id", "status").collect()}
+
     def start(self, at: datetime, run_id: int | None = None) -> int:
         """Open a run and return its id: the next free one unless given."""
         if run_id is None:
-            last = self.frame().agg(F.max("id")).first()[0]
-            run_id = (last or 0) + 1
+            run_id = max(self.states(), default=0) + 1
         self._append(run_id, "running", at)
         return run_id
 
@@ -163,10 +164,6 @@ class RunLog:
     def fail(self, run_id: int, at: datetime) -> None:
         self._append(run_id, "failed", at)
 
-    def status(self, run_id: int) -> str | None:
-        row = self.frame().where(F.col("id") == run_id).select("status").first()
-        return row and row.status
-
 
 def table_name(prefix: str, location: str) -> str:
     """A catalog name for a table at `location`."""

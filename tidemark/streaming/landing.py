@@ -10,7 +10,6 @@ from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -34,14 +33,13 @@ def _load_arrived(
     on_duplicate: str,
 ) -> None:
     touched = [r.run for r in batch.select("run").distinct().orderBy("run").collect()]
+    completed = {run for run, status in run_log.states().items() if status == "completed"}
+    last_page = "NOT coalesce(value.hasMore, false) OR value.nextCursor IS NULL"
     for run in touched:
         # A micro-batch may hold only some of a run's pages, so the run is always loaded from all
         # its landed pages, overwriting its partition. Replaying a batch changes nothing.
         pages = read_pages(history.spark, f"{landing}/run={run}")
-        last_page = ~F.coalesce(F.col("value.hasMore"), F.lit(False)) | F.col(
-            "value.nextCursor"
-        ).isNull()
-        if run_log.status(run) == "completed" or pages.where(last_page).isEmpty():
+        if run in completed or pages.where(last_page).isEmpty():
             continue
         try:
             load_run(
