@@ -86,46 +86,48 @@ def top_fraction_sums(df: DataFrame, value: str, tiles: Sequence[int]) -> DataFr
     the k greatest values does not depend on how ties are broken. One row, columns `n`, `total` and
     `top_<t>`.
     """
-    rows = _bucketed(df, [], value).withColumn("grp", F.lit(1))
-    whole = Window.partitionBy("grp")
+    rows = _bucketed(df, [], value)
+    # Windows without partition run over the bucket counts, whose number is fixed.
+    whole = Window.partitionBy()
     buckets = (
-        rows.groupBy("grp", "bucket")
+        rows.groupBy("bucket")
         .agg(F.count(F.lit(1)).alias("rows"), F.sum("value").alias("amount"))
         .select(
             "*",
             F.sum("rows").over(whole).alias("total_rows"),
             F.sum("amount").over(whole).alias("total"),
-            _ahead("rows", ["grp"], F.desc("bucket")).alias("before"),
+            _ahead("rows", [], F.desc("bucket")).alias("before"),
         )
     )
     tile = {t: f"(total_rows div {t} + int(total_rows % {t} > 0))" for t in tiles}
     cut = {t: f"(before < {size} AND {size} < before + rows)" for t, size in tile.items()}
-    # One bucket per tile count at most.
-    cut_buckets = F.broadcast(
-        buckets.where(" OR ".join(cut.values())).drop("amount", "total")
+    # A bucket before the cut contributes all of its values ...
+    wholes = buckets.agg(
+        F.max("total_rows").alias("n"),
+        F.max("total").alias("total"),
+        *[
+            F.expr(f"sum(if(before + rows <= {tile[t]}, amount, 0))").alias(f"top_{t}")
+            for t in tiles
+        ],
     )
-    # A cut bucket contributes its greatest values, every other bucket before the cut all of it.
+    # ... and the bucket at the cut its greatest ones. One bucket per tile count at most.
+    cut_buckets = F.broadcast(buckets.where(" OR ".join(cut.values())).drop("amount", "total"))
     partials = (
-        rows.join(cut_buckets, ["grp", "bucket"])
-        .groupBy("grp", "bucket", "value", "rows", "before", "total_rows")
+        rows.join(cut_buckets, "bucket")
+        .groupBy("bucket", "value", "rows", "before", "total_rows")
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("ahead", _ahead("n", ["grp", "bucket"], F.desc("value")))
-        .groupBy("grp")
+        .withColumn("ahead", _ahead("n", ["bucket"], F.desc("value")))
         .agg(*[
             F.expr(
                 f"sum(if({cut[t]}, least(n, greatest({tile[t]} - before - ahead, 0)) * value, 0))"
-            ).alias(f"part_{t}")
+            ).alias(f"top_{t}")
             for t in tiles
         ])
     )
-    wholes = buckets.groupBy("grp").agg(
-        F.max("total_rows").alias("n"),
-        F.max("total").alias("total"),
-        *[
-            F.expr(f"sum(if(before + rows <= {tile[t]}, amount, 0))").alias(f"above_{t}")
-            for t in tiles
-        ],
-    )
-    return wholes.join(partials, "grp", "left").selectExpr(
-        "n", "total", *[f"above_{t} + coalesce(part_{t}, 0) AS top_{t}" for t in tiles]
+    return (
+        wholes.unionByName(partials, allowMissingColumns=True)
+        .agg(F.max("n").alias("n"), F.max("total").alias("total"), *[
+            F.sum(f"top_{t}").alias(f"top_{t}") for t in tiles
+        ])
+        .where("n IS NOT NULL")
     )
