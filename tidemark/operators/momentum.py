@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.ranking import small, top_k
+from tidemark.functions.ranking import small, sorted_few, top_k
 from tidemark.functions.scalars import calendar_days, ratio, round_half_up, trend
 from tidemark.operators.runs import current, last_runs, momentum_buckets
 from tidemark.schema import ACCEL_MIN_DOWNLOADS, CHART_RUNS, LEADERBOARD_LIMIT
@@ -91,7 +91,7 @@ def fastest_growing(
     )
     # Text columns are fetched for the listed entities only.
     shown = current(snapshots, runs).select("skill_id", *_SHOWN)
-    return (
+    listed = (
         shown.join(small(top, limit), "skill_id")
         .select(
             "rank",
@@ -107,8 +107,8 @@ def fastest_growing(
             "acceleration_pct",
             trend(recent, prior).alias("trend"),
         )
-        .orderBy("rank")
     )
+    return sorted_few(listed, "rank")
 
 
 def leaderboard_all_time(
@@ -127,7 +127,7 @@ def leaderboard_all_time(
         small(top.withColumnRenamed("stat_downloads", "top_downloads"), limit), "skill_id"
     )
     recent, prior = F.col("velocity_recent"), F.col("velocity_prior")
-    return (
+    board = (
         history.groupBy(*listed)
         .agg(*_velocities())
         .select(
@@ -143,8 +143,8 @@ def leaderboard_all_time(
             round_half_up(recent, 1).alias("velocity"),
             trend(recent, prior).alias("trend"),
         )
-        .orderBy("rank")
     )
+    return sorted_few(board, "rank")
 
 
 def chart_rows(snapshots: DataFrame, runs: DataFrame, last: int = CHART_RUNS) -> DataFrame:
@@ -154,10 +154,10 @@ def chart_rows(snapshots: DataFrame, runs: DataFrame, last: int = CHART_RUNS) ->
     ).select("skill_id", "scrape_run_id", "stat_downloads")
 
 
-def chart_array() -> Column:
-    """Aggregate of `chart_rows`: downloads in run order. At most one element per listed run."""
-    points = F.array_sort(F.collect_list(F.struct("scrape_run_id", "stat_downloads")))
-    return F.transform(points, lambda p: p.stat_downloads)
+def in_run_order(column: str) -> Column:
+    """Aggregate: `column` as an array in run order, at most one element per run."""
+    points = F.array_sort(F.collect_list(F.struct("scrape_run_id", F.col(column).alias("value"))))
+    return F.transform(points, lambda p: p.value)
 
 
 def velocity_chart(snapshots: DataFrame, runs: DataFrame, last: int = CHART_RUNS) -> DataFrame:
@@ -165,5 +165,5 @@ def velocity_chart(snapshots: DataFrame, runs: DataFrame, last: int = CHART_RUNS
     return (
         chart_rows(snapshots, runs, last)
         .groupBy("skill_id")
-        .agg(chart_array().alias("velocity_chart"))
+        .agg(in_run_order("stat_downloads").alias("velocity_chart"))
     )

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.ranking import small, top_k
+from tidemark.functions.ranking import small, sorted_few, top_k
 from tidemark.functions.scalars import (
     calendar_days,
     daily_rate,
@@ -15,7 +15,7 @@ from tidemark.functions.scalars import (
     round_half_up,
     seconds_between,
 )
-from tidemark.operators.momentum import chart_array, chart_rows
+from tidemark.operators.momentum import chart_rows, in_run_order
 from tidemark.operators.runs import current, latest_pair, latest_pair_rows
 from tidemark.schema import (
     CHART_RUNS,
@@ -159,12 +159,12 @@ def _with_chart(
     history = chart_rows(snapshots, runs, chart_runs).withColumnRenamed(
         "stat_downloads", "chart_downloads"
     )
-    points = F.array_sort(F.collect_list(F.struct("scrape_run_id", "chart_downloads")))
-    return (
+    charted = (
         history.join(small(top, limit), "skill_id")
         .groupBy(*top.columns)
-        .agg(F.transform(points, lambda p: p.chart_downloads).alias("velocity_chart"))
+        .agg(in_run_order("chart_downloads").alias("velocity_chart"))
     )
+    return sorted_few(charted, "rank")
 
 
 def rising(
@@ -193,7 +193,7 @@ def rising(
         pct.alias("delta_pct"),
         round_half_up(daily_rate(F.col("stat_downloads"), created, now), 1).alias("dl_per_day"),
     )
-    return _with_chart(top, limit, snapshots, runs, chart_runs).orderBy("rank")
+    return _with_chart(top, limit, snapshots, runs, chart_runs)
 
 
 def rising_by_pct(
@@ -276,7 +276,7 @@ def rising_by_rate(
         "delta",
         round_half_up(F.col("exact_rate"), 1).alias("dl_per_day"),
     )
-    return _with_chart(top, limit, snapshots, runs, chart_runs).orderBy("rank")
+    return _with_chart(top, limit, snapshots, runs, chart_runs)
 
 
 def detail_keys(

@@ -6,8 +6,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.schema import RUNS
-
 
 def completed(runs: DataFrame) -> DataFrame:
     """Completed runs as (scrape_run_id, started_at)."""
@@ -89,7 +87,7 @@ def latest_completed(runs: DataFrame) -> DataFrame:
 
 def get_run(runs: DataFrame, run_id: int) -> DataFrame:
     """The run log row of one run; no row if unknown."""
-    return runs.where(F.col("id") == run_id).select(*RUNS.fieldNames())
+    return runs.where(F.col("id") == run_id)
 
 
 def snapshot_counts(snapshots: DataFrame, runs: DataFrame) -> DataFrame:

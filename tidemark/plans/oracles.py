@@ -652,6 +652,11 @@ _OVER_HISTORY = {
              stat_installs_current, stat_versions, owner_handle,
              owner_handle AS owner_handle_top, version_number, version_changelog
       FROM snapshots""",
+    "dumped_items": """
+      SELECT skill_id, display_name, epoch_ms(created_at) AS created_ms,
+             stat_downloads + 0.75e0 AS downloads, stat_stars + 0.75e0 AS stars,
+             owner_handle AS handle, version_number AS version, owner_handle
+      FROM cur""",
     "key_violations": """
       SELECT CAST(1 AS INTEGER) AS scrape_run_id, skill_id, count(*) AS rows
       FROM snapshots GROUP BY skill_id HAVING count(*) > 1""",

@@ -47,7 +47,7 @@ def queries() -> dict[str, Query]:
 # Runs
 _SHOWN = ("skill_id", "slug", "display_name", "owner_handle", "stat_downloads", "created_at")
 _queries["latest_completed_run"] = lambda s, d: runs.latest_completed(star_history(s, d).runs)
-_queries["run_by_id"] = lambda s, d: star_history(s, d).runs.where(F.col("id") == 7)
+_queries["run_by_id"] = lambda s, d: runs.get_run(star_history(s, d).runs, 7)
 _plain("snapshot_count", runs.snapshot_counts)
 _queries["last_runs"] = lambda s, d: runs.momentum_buckets(star_history(s, d).runs)
 _queries["current_entities"] = lambda s, d: runs.current(*star_history(s, d)).select(*_SHOWN)
@@ -144,7 +144,7 @@ def entity_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def diff_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = diff.diff_summary(*star_history(spark, sf_dir))
-    return listed.withColumn("n_changes", F.size("changes")).drop("changes")
+    return listed.withColumn("n_changes", F.array_size("changes")).drop("changes")
 
 
 @_query
@@ -211,6 +211,31 @@ def flatten_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def dumped_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items of the newest run dumped as JSON and read back."""
+    folder = shared_folder(spark)
+    if folder is None:
+        raise RuntimeError("spark.checkpoint.dir is needed to dump items on a cluster")
+    items = landed.raw_items(runs.current(*star_history(spark, sf_dir))).select("item")
+    page_source.dump_items(items, folder)
+    stats = "struct<downloads:double,stars:double>"
+    owner, version = "struct<handle:string>", "struct<version:string>"
+    return spark.read.schema(
+        f"skill_id string, display_name string, created_at double, stats {stats}, "
+        f"owner {owner}, latest_version {version}, owner_handle string"
+    ).json(folder).select(
+        "skill_id",
+        "display_name",
+        F.col("created_at").cast("bigint").alias("created_ms"),
+        "stats.downloads",
+        "stats.stars",
+        "owner.handle",
+        "latest_version.version",
+        "owner_handle",
+    )
+
+
 @_query
 def key_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of the history taken as one run: entities of several runs repeat."""

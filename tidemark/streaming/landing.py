@@ -32,18 +32,20 @@ def _load_arrived(
     on_bad_page: str,
     on_duplicate: str,
 ) -> None:
-    touched = [r.run for r in batch.select("run").distinct().orderBy("run").collect()]
-    completed = {run for run, status in run_log.states().items() if status == "completed"}
+    # A micro-batch may hold only some of a run's pages, so a run is always loaded from all its
+    # landed pages, overwriting its partition. Replaying a batch changes nothing.
+    touched = [r.run for r in batch.select("run").distinct().collect()]
     last_page = "NOT coalesce(value.hasMore, false) OR value.nextCursor IS NULL"
-    for run in touched:
-        # A micro-batch may hold only some of a run's pages, so the run is always loaded from all
-        # its landed pages, overwriting its partition. Replaying a batch changes nothing.
-        pages = read_pages(history.spark, f"{landing}/run={run}")
-        if run in completed or pages.where(last_page).isEmpty():
+    folders = [f"{landing}/run={run}" for run in touched]
+    arrived = history.spark.read.schema(LANDED).option("basePath", landing).json(folders)
+    complete = [r.run for r in arrived.where(last_page).select("run").distinct().collect()]
+    states = run_log.states()
+    for run in sorted(complete):
+        if states.get(run) == "completed":
             continue
         try:
             load_run(
-                pages,
+                read_pages(history.spark, f"{landing}/run={run}"),
                 history,
                 run_log,
                 run_id=run,
