@@ -218,16 +218,7 @@ def owner_keys(handles: DataFrame) -> DataFrame:
 
 
 def owner_key_collisions(handles: DataFrame) -> DataFrame:
-    """Handles that share their key with another handle.
-
-    Two handles share a key exactly when the key's least and greatest handle differ, so the lists of
-    handles are never collected.
-    """
+    """Handles that share their key with another handle; lists of handles are never collected."""
     keyed = owner_keys(handles)
-    shared = (
-        keyed.groupBy("owner_key")
-        .agg(F.min("owner_handle").alias("least"), F.max("owner_handle").alias("greatest"))
-        .where(F.col("least") != F.col("greatest"))
-        .select("owner_key")
-    )
+    shared = keyed.groupBy("owner_key").count().where("count > 1").select("owner_key")
     return keyed.join(shared, "owner_key", "left_semi").select("owner_key", "owner_handle")

@@ -8,6 +8,7 @@ before the run.
 from __future__ import annotations
 
 from datetime import datetime
+from threading import Lock
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -129,6 +130,7 @@ def star_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _stored: dict[tuple[str, str], str] = {}
+_storing = Lock()
 
 
 def star_history(spark: SparkSession, sf_dir: str) -> History:
@@ -139,15 +141,20 @@ def star_history(spark: SparkSession, sf_dir: str) -> History:
     """
     runs = star_runs(spark)
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _stored:
-        folder = shared_folder(spark)
-        if folder is None:
-            return History(star_snapshots(spark, sf_dir), runs)
-        entities = spark.read.parquet(f"{sf_dir}/customer.parquet").count()
-        # Bounded file sizes for many entities, no more files than cores for few.
-        buckets = max(spark.sparkContext.defaultParallelism, -(-entities // ENTITIES_PER_FILE))
-        name = "history_" + folder.rsplit("-", 1)[1]
-        table = HistoryTable(spark, name, f"{folder}/snapshots", buckets)
-        table.add_runs(star_snapshots(spark, sf_dir))
-        _stored[key] = name
+    with _storing:
+        if key not in _stored:
+            folder = shared_folder(spark)
+            if folder is None:
+                return History(star_snapshots(spark, sf_dir), runs)
+            _stored[key] = _store(spark, sf_dir, folder)
     return History(spark.table(_stored[key]), runs)
+
+
+def _store(spark: SparkSession, sf_dir: str, folder: str) -> str:
+    entities = spark.read.parquet(f"{sf_dir}/customer.parquet").count()
+    # Bounded file sizes for many entities, no more files than cores for few.
+    buckets = max(spark.sparkContext.defaultParallelism, -(-entities // ENTITIES_PER_FILE))
+    name = "history_" + folder.rsplit("-", 1)[1]
+    table = HistoryTable(spark, name, f"{folder}/snapshots", buckets)
+    table.add_runs(star_snapshots(spark, sf_dir))
+    return name

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,14 +20,28 @@ def _write(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
+def _write_all(path: str, plans: dict[str, Callable[[], DataFrame]]) -> None:
+    """Build and write independent documents side by side, so that small ones share the cluster."""
+    with ThreadPoolExecutor(len(plans)) as pool:
+        written = [
+            pool.submit(lambda n=name, p=plan: _write(p(), f"{path}/{n}"))
+            for name, plan in plans.items()
+        ]
+        for result in written:
+            result.result()
+
+
 def publish_pages(
     snapshots: DataFrame, runs: DataFrame, path: str, *, now: datetime, **accel
 ) -> None:
     """The four page documents, one JSON document each, below `path`."""
-    _write(documents.dashboard(snapshots, runs, now=now), f"{path}/dashboard")
-    _write(documents.rising(snapshots, runs, now=now), f"{path}/rising")
-    _write(documents.leaderboard(snapshots, runs, now=now, **accel), f"{path}/leaderboard")
-    _write(documents.owners_page(snapshots, runs, now=now), f"{path}/owners")
+    h = snapshots, runs
+    _write_all(path, {
+        "dashboard": lambda: documents.dashboard(*h, now=now),
+        "rising": lambda: documents.rising(*h, now=now),
+        "leaderboard": lambda: documents.leaderboard(*h, now=now, **accel),
+        "owners": lambda: documents.owners_page(*h, now=now),
+    })
 
 
 def publish_details(
@@ -42,20 +58,16 @@ def publish_details(
 
     Three jobs in all, however many documents there are.
     """
-    _write(
-        documents.entity_documents(
-            snapshots, runs, now=now, limit=entity_limit, rate_limit=rate_limit
+    h = snapshots, runs
+    _write_all(path, {
+        "entity_details": lambda: documents.entity_documents(
+            *h, now=now, limit=entity_limit, rate_limit=rate_limit
         ),
-        f"{path}/entity_details",
-    )
-    _write(
-        documents.owner_documents(snapshots, runs, now=now, limit=owner_limit),
-        f"{path}/owner_details",
-    )
-    _write(
-        documents.owner_document_entities(snapshots, runs, now=now, limit=owner_limit),
-        f"{path}/owner_entities",
-    )
+        "owner_details": lambda: documents.owner_documents(*h, now=now, limit=owner_limit),
+        "owner_entities": lambda: documents.owner_document_entities(
+            *h, now=now, limit=owner_limit
+        ),
+    })
 
 
 def published_index(spark: SparkSession, path: str) -> DataFrame:
