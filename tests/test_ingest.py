@@ -208,7 +208,8 @@ def test_documents_and_index(spark, catalogue, tmp_path):
     assert dashboard["download_sparkline"] == [9150, 9250, 9350]
     assert dashboard["total_skills"] == 3 and dashboard["weekly_growth"] == []
     (rising,) = read("rising")
-    assert [(s["skill_id"], s["velocity_chart"]) for s in rising["skills"]] == [("a", [100, 200, 300])]
+    charts = [(s["skill_id"], s["velocity_chart"]) for s in rising["skills"]]
+    assert charts == [("a", [100, 200, 300])]
     (leaders,) = read("leaderboard")
     assert [s["skill_id"] for s in leaders["all_time"]] == ["c", "a", "b"]
     details = {d["slug"]: d for d in read("entity_details")}

@@ -1,9 +1,10 @@
 """Exact order statistics without bringing a whole group to one task.
 
-Rows are first counted per bucket of a monotone logarithmic scale. The number of buckets per group is
-fixed, so these counts are combined map-side to a small frame whatever the data size, and their
+Rows are first counted per bucket of a monotone logarithmic scale. The number of buckets per group
+is fixed, so these counts are combined map-side to a small frame whatever the data size, and their
 running sum tells which buckets hold the wanted ranks. A second pass counts the distinct values in
-those few buckets only, again combined map-side, so a value shared by a third of all rows is one row.
+those few buckets only, again combined map-side, so a value shared by a third of all rows is one
+row.
 """
 
 from __future__ import annotations

@@ -60,7 +60,7 @@ def changed_entities(snapshots: DataFrame, current: int, previous: int) -> DataF
 def _changed_fields() -> Column:
     """Array of (field, from_value, to_value) for the fields that differ, values as text."""
     entries = ", ".join(
-        f"named_struct('field', '{f}', 'from_value', string(prev_{f}), 'to_value', string(curr_{f}))"
+        f"struct('{f}' AS field, string(prev_{f}) AS from_value, string(curr_{f}) AS to_value)"
         for f in TRACKED_FIELDS
     )
     return F.expr(f"filter(array({entries}), e -> NOT (e.from_value <=> e.to_value))")
@@ -179,7 +179,7 @@ def diff_all_runs(snapshots: DataFrame, runs: DataFrame, last: int | None = None
 
 
 def diff_summary(snapshots: DataFrame, runs: DataFrame, limit: int = REPORT_LIMIT) -> DataFrame:
-    """First rows of the three diff lists as (section, rank, skill_id, label, owner_handle, changes).
+    """First rows of the diff lists: section, rank, skill_id, label, owner_handle, changes.
 
     `changes` is the array of changed fields, NULL for the new and removed sections. Totals and
     counts of the same pair are `diff_counts`.

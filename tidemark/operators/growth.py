@@ -111,7 +111,8 @@ def _so_far(column: str) -> WindowSpec:
 
 def growth_timeline(snapshots: DataFrame, runs: DataFrame) -> DataFrame:
     """All weeks with running total and change to the previous listed week, in whole percent."""
-    weeks = weekly_new(snapshots, runs).withColumn("before", F.lag("new_count").over(_in_order("week_start")))
+    before = F.lag("new_count").over(_in_order("week_start"))
+    weeks = weekly_new(snapshots, runs).withColumn("before", before)
     change = ratio(F.col("new_count") - F.col("before"), F.col("before")) * 100.0
     return weeks.select(
         "week_start",
@@ -188,7 +189,7 @@ def _days(start: Column, end: Column) -> Column:
 
 
 def platform_velocity(snapshots: DataFrame, runs: DataFrame) -> DataFrame:
-    """Totals per completed run with the change to the run before; empty with fewer than two runs."""
+    """Totals per completed run and change to the run before; empty with fewer than two runs."""
     totals = _run_totals(snapshots, runs).withColumn(
         "n_runs", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))
     )

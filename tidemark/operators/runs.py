@@ -30,7 +30,7 @@ def momentum_buckets(runs: DataFrame) -> DataFrame:
 
 
 def latest_pair(runs: DataFrame) -> DataFrame:
-    """(current_run_id, previous_run_id) of the two newest completed runs; empty if fewer than two."""
+    """Ids and starts of the two newest completed runs in one row; empty if fewer than two."""
     return (
         completed(runs)
         .orderBy(F.desc("scrape_run_id"))
@@ -48,7 +48,7 @@ def latest_pair(runs: DataFrame) -> DataFrame:
 
 
 def rows_of(snapshots: DataFrame, run: int | Column) -> DataFrame:
-    """Snapshots of one run, given by id or by a one-value subquery; prunes partitions either way."""
+    """Snapshots of one run, given by id or one-value subquery; both prune partitions."""
     return snapshots.where(F.col("scrape_run_id") == run)
 
 

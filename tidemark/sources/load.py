@@ -34,8 +34,9 @@ def load_run(
     """Load one run and return its id.
 
     The run becomes 'completed' with its size and its diff counts against the completed run before.
-    A bad page, a repeated key or any error makes it 'failed' and is raised; an empty catalogue makes
-    it 'failed' without writing. Rows of a failed run stay invisible, as queries use completed runs.
+    A bad page, a repeated key or any error makes it 'failed' and is raised; an empty catalogue
+    makes it 'failed' without writing. Rows of a failed run stay invisible, as queries use completed
+    runs.
     `on_duplicate="drop"` keeps one row per repeated key and drops rows without one.
     """
     states = run_log.states()
