@@ -26,3 +26,15 @@ def test_query_equals_sql(spark, database, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", ["diff_counts", "fastest_growing", "run_percentiles", "rising"])
+def test_history_may_stay_a_plan(spark, database, name, monkeypatch):
+    """Without a shared folder nothing is stored and the results are the same."""
+    from tidemark.plans import star_history
+
+    monkeypatch.setattr(star_history, "shared_folder", lambda spark: None)
+    monkeypatch.setattr(star_history, "_stored", {})
+    df = entry.queries()[name](spark, SF_DIR)
+    assert not star_history._stored
+    assert spark_table(df) == duck_table(database, entry.oracle_sql()[name])

@@ -168,19 +168,11 @@ def _with_chart(
     return sorted_few(charted, "rank")
 
 
-def rising(
-    snapshots: DataFrame,
-    runs: DataFrame,
-    *,
-    now: datetime,
-    limit: int = RISING_LIMIT,
-    chart_runs: int = CHART_RUNS,
-) -> DataFrame:
-    """Current entities by download gain since the previous run; empty with fewer than two runs."""
+def _rising(snapshots: DataFrame, runs: DataFrame, now: datetime, limit: int) -> DataFrame:
     gained = _with_delta(snapshots, runs).where(F.col("delta") > 0)
     created, prev = F.col("created_at"), F.col("prev_downloads")
     pct = F.when(prev > 0, round_half_up(F.col("delta") * 100.0 / prev, 1))
-    top = top_k(gained, limit, F.desc("delta"), _TIE).select(
+    return top_k(gained, limit, F.desc("delta"), _TIE).select(
         "rank",
         "skill_id",
         "slug",
@@ -194,6 +186,18 @@ def rising(
         pct.alias("delta_pct"),
         round_half_up(daily_rate(F.col("stat_downloads"), created, now), 1).alias("dl_per_day"),
     )
+
+
+def rising(
+    snapshots: DataFrame,
+    runs: DataFrame,
+    *,
+    now: datetime,
+    limit: int = RISING_LIMIT,
+    chart_runs: int = CHART_RUNS,
+) -> DataFrame:
+    """Current entities by download gain since the previous run; empty with fewer than two runs."""
+    top = _rising(snapshots, runs, now, limit)
     return _with_chart(top, limit, snapshots, runs, chart_runs)
 
 
@@ -202,7 +206,7 @@ def rising_by_pct(
 ) -> DataFrame:
     """The rising list re-ranked by relative gain, unknown as 0, ties in list order."""
     order = (F.coalesce(F.col("delta_pct"), F.lit(0.0)).desc(), F.asc("delta_rank"))
-    listed = rising(snapshots, runs, now=now, limit=limit).withColumnRenamed("rank", "delta_rank")
+    listed = _rising(snapshots, runs, now, limit).withColumnRenamed("rank", "delta_rank")
     return top_k(listed, limit, *order).select(
         "rank", "delta_rank", "skill_id", "slug", "stat_downloads", "delta", "delta_pct"
     )
