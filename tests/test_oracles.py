@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.compare import connect, duck_table, duck_types, spark_table, spark_types
+from tidemark.plans import oracles, queries
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -14,27 +15,20 @@ def database():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(queries.queries()) == set(oracles.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+def test_all_are_registered():
+    assert set(queries.queries()) <= set(entry.queries())
+    assert set(oracles.oracle_sql()) <= set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_query_equals_sql(spark, database, name):
-    df, sql = entry.queries()[name](spark, SF_DIR), entry.oracle_sql()[name]
+    df, sql = queries.queries()[name](spark, SF_DIR), oracles.oracle_sql()[name]
     assert spark_types(df) == duck_types(database, sql)
     assert spark_table(df) == duck_table(database, sql)
 
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
-
-
-@pytest.mark.parametrize("name", ["diff_counts", "fastest_growing", "run_percentiles", "rising"])
-def test_history_may_stay_a_plan(spark, database, name, monkeypatch):
-    """Without a shared folder nothing is stored and the results are the same."""
-    from tidemark.plans import star_history
-
-    monkeypatch.setattr(star_history, "shared_folder", lambda spark: None)
-    monkeypatch.setattr(star_history, "_stored", {})
-    df = entry.queries()[name](spark, SF_DIR)
-    assert not star_history._stored
-    assert spark_table(df) == duck_table(database, entry.oracle_sql()[name])

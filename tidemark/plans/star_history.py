@@ -136,17 +136,13 @@ _storing = Lock()
 def star_history(spark: SparkSession, sf_dir: str) -> History:
     """The history of `sf_dir`, written once per application as a partitioned, bucketed table.
 
-    The table lies in the cluster's shared folder, so a lost executor costs no recomputation. Where
-    there is no shared folder, every query derives the history from the source tables.
+    The table lies in the cluster's shared folder, so a lost executor costs no recomputation.
     """
     runs = star_runs(spark)
     key = (spark.sparkContext.applicationId, sf_dir)
     with _storing:
         if key not in _stored:
-            folder = shared_folder(spark)
-            if folder is None:
-                return History(star_snapshots(spark, sf_dir), runs)
-            _stored[key] = _store(spark, sf_dir, folder)
+            _stored[key] = _store(spark, sf_dir, shared_folder(spark))
     return History(spark.table(_stored[key]), runs)
 
 

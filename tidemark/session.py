@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+# Shuffle files of a finished write are of no further use; without this they stay until the driver
+# happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def build_session(name: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:
@@ -25,15 +28,35 @@ def build_session(name: str = "tidemark", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def shared_folder(spark: SparkSession) -> str | None:
+def shared_folder(spark: SparkSession) -> str:
     """A new folder below `spark.checkpoint.dir`, which every executor can reach.
 
-    Without that setting a local session gets a temporary folder; a cluster gets None, as a folder
-    of one machine would be of no use there.
+    Where that setting is missing the folder lies in the warehouse, which is shared as well. It is
+    deleted when the driver ends.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/tidemark-{uuid.uuid4().hex}")
+    files = path.getFileSystem(hadoop)
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return path.toString()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """`df` written to a new shared folder and read back, which cuts its lineage.
+
+    What is read survives the loss of any executor. The shuffle files of the write are removed.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            return None
-        root = tempfile.mkdtemp(prefix="tidemark-")
-    return f"{root.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    folder = shared_folder(spark)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(f"{folder}/rows")
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(f"{folder}/rows")
