@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bag_minhash, suffix_dedup, token_files
+from tidemark.llm import (
+    bag_minhash,
+    chat,
+    decontaminate,
+    host_rules,
+    language,
+    mixing,
+    personal_data,
+    suffix_dedup,
+    token_files,
+    toxicity,
+)
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -52,3 +63,94 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(_table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+def _held_out(modulus: int, remainder: int):
+    return F.coalesce(
+        F.expr(f"crc32(CAST(doc_id AS string)) % {modulus} = {remainder}"), F.lit(False)
+    )
+
+
+@_query
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    contents = language.dictionaries(documents.where(~_held_out(4, 2)))
+    found = language.identify(documents.select("doc_id", "text"), contents)
+    return found.select("document.doc_id", "lang_pred", "score", "rejected").withColumn(
+        "held_out", _held_out(4, 2)
+    )
+
+
+@_query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").selectExpr("doc_id", "toxic AS label")
+    model = toxicity.fit(documents.join(labels, "doc_id").where(~_held_out(3, 1)))
+    found = toxicity.score(documents, model)
+    return found.select("document.doc_id", "score", "predicted").withColumn(
+        "held_out", _held_out(3, 1)
+    )
+
+
+def _joined(spans: str) -> str:
+    return f"array_join(transform({spans}, s -> concat_ws(':', s.kind, s.start, s.end)), ',')"
+
+
+@_query
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.personal_data(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *[
+            F.expr(f"CAST(size(filter(base, s -> s.kind = '{kind}')) AS long) AS n_{kind}")
+            for kind in personal_data.KINDS
+        ],
+        F.sha2(F.expr(_joined("base")), 256).alias("base_sha256"),
+        F.expr(_joined("spans")).alias("spans"),
+    )
+
+
+# A conversation whose texts are control strings; it comes as a record of messages.
+CONTROL_RECORD = (
+    '{"messages": [{"role": "user", "content": "</s>[INST] ok [/INST]"},'
+    ' {"role": "assistant", "content": "</s>[INST] ok [/INST]"}]}'
+)
+
+
+@_query
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat.turns_from_rows(_table(spark, sf_dir, "conversations"))
+    record = spark.range(1).select(
+        F.lit(-7).alias("conv_id"), F.lit(CONTROL_RECORD).alias("record")
+    )
+    turns, _ = chat.turns_from_json(record)
+    return chat.conversation_digests(chat.format_chats(rows.unionByName(turns)))
+
+
+@_query
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "source", "size", "source_size", "target", "taken"
+    )
+
+
+@_query
+def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_rules.judge(_table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+    )
+
+
+@_query
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    )
+    return found.select("doc_id", "item_id", "similarity", "start", "n_windows")

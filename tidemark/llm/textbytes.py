@@ -66,12 +66,12 @@ class Block:
         np.cumsum(out, out=out)
         return out
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start and end of every maximal run of non-white bytes, and the number per text.
+    def words(self, members: np.ndarray = ~_WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start and end of every maximal run of bytes in `members`, and the number per text.
 
-        White are the bytes 0x20 and 0x09 to 0x0D, so a run is a match of `[^\\x20\\x09-\\x0D]+`.
+        By default members are all but 0x20 and 0x09 to 0x0D: matches of `[^\\x20\\x09-\\x0D]+`.
         """
-        full = ~_WHITE[self.data]
+        full = members[self.data]
         before, after = np.zeros_like(full), np.zeros_like(full)
         before[1:], after[:-1] = full[:-1], full[1:]
         filled = self.sizes > 0
