@@ -9,6 +9,7 @@ by control strings, and control strings inside a text are broken up so that read
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -102,23 +103,26 @@ def _value_paths(value, prefix: str, out: set[str]) -> None:
         out.add(prefix)
 
 
-@F.pandas_udf("string")
-def json_fingerprint(records):
-    """Fingerprint of each JSON record; null if it is null or no object."""
-    import json
+def json_fingerprint(record: str | None) -> str | None:
+    """Fingerprint of a JSON record; None if it is null or no object."""
+    try:
+        value = json.loads(record)
+    except (TypeError, ValueError):
+        return None
+    if not isinstance(value, dict):
+        return None
+    paths: set[str] = set()
+    _value_paths(value, "", paths)
+    return fingerprint(paths)
 
-    def one(record):
-        try:
-            value = json.loads(record)
-        except (TypeError, ValueError):
-            return None
-        if not isinstance(value, dict):
-            return None
-        paths: set[str] = set()
-        _value_paths(value, "", paths)
-        return fingerprint(paths)
 
-    return records.map(one)
+def _fingerprints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        prints = [json_fingerprint(x.as_py()) for x in batch.column(1)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(prints, pa.string())],
+            names=["conv_id", "record", "fingerprint"],
+        )
 
 
 def _renamed(role: Column, roles: dict[str, str]) -> Column:
@@ -160,7 +164,7 @@ def turns_from_json(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     marked = records.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("record").cast("string").alias("record")
-    ).withColumn("fingerprint", json_fingerprint("record"))
+    ).mapInArrow(_fingerprints, "conv_id long, record string, fingerprint string")
     turn = "array<struct<role:string,text:string>>"
     column = F.lit(None).cast(turn)
     for print_, mapping in REGISTRY.items():
