@@ -1,4 +1,8 @@
-"""The corpus pipeline: stages that each take the documents their predecessor kept."""
+"""The corpus pipeline: stages that each take the documents their predecessor kept.
+
+Each stage but the last returns the columns of `documents`. Stages are written to the shared folder
+and read back, so a lost executor costs at most the stage it worked on.
+"""
 
 from __future__ import annotations
 
@@ -6,19 +10,42 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import token_files
+from tidemark.llm import bag_minhash, decontaminate, language, mixing, token_files
 from tidemark.llm.queries import TOKENIZER
 from tidemark.session import stored
 
-# No stage but the first can be written in SQL.
+# Compression, signatures, seeded blocks and token files have no form in SQL.
 ORACLE_SQL = None
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters, or whose language is a toss-up, go."""
+    found = language.identify(docs, language.dictionaries(docs))
+    return found.where("NOT rejected").select("document.*")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bag_minhash.keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as whole epochs take them, and the words of the extra blocks."""
+    return mixing.mixed_documents(docs)
+
+
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return token_files.token_files(docs, TOKENIZER)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", identify_language),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
     ("token_files", write_tokens),
 ]
 

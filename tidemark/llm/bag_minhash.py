@@ -192,10 +192,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, documents: DataFrame) -> DataF
             F.expr("d.text_id = w.text_id AND d.doc_id <=> w.doc_id"),
             "left_semi",
         )
-        .dropDuplicates(["text_id", "doc_id"])
         .select("text_id", "text")
     )
-    sets = stored(found.mapInArrow(_elements, "text_id string, elements array<long>"))
+    sets = stored(
+        found.mapInArrow(_elements, "text_id string, elements array<long>").dropDuplicates(
+            ["text_id"]
+        )
+    )
     shared = "size(array_intersect(x, y))"
     return (
         pairs.join(sets.toDF("a", "x"), "a")
@@ -270,16 +273,19 @@ def keep_one(documents: DataFrame) -> DataFrame:
     Of rows that repeat with the same doc_id and text one stays, and so does one of a class without
     any doc_id. Rows with a null text all stay. All columns are kept.
     """
-    found = near_duplicates(documents)
-    kept = (
-        found.where("text_id IS NOT NULL AND doc_id <=> class_id")
-        .groupBy("doc_id", "class_id")
-        .agg(F.min("text_id").alias("text_id"))
-        .select(F.col("doc_id").alias("kept_id"), F.col("text_id").alias("kept_text"))
+    found = stored(near_duplicates(documents).where("text_id IS NOT NULL"))
+    named = found.where("doc_id <=> class_id")
+    kept = named.groupBy("class_id").agg(F.min("text_id").alias("kept_text"))
+    rows = documents.select(
+        F.struct("*").alias("document"),
+        F.col("doc_id").cast("long").alias("id"),
+        F.md5(F.col("text").cast("string")).alias("text_id"),
     )
-    keyed = documents.withColumn("_text_key", F.md5(F.col("text").cast("string")))
-    texts = keyed.where("text IS NOT NULL").join(
-        kept, F.expr("doc_id <=> kept_id AND _text_key = kept_text"), "left_semi"
+    # Classes without any doc_id are told apart by their texts alone.
+    kept = kept.where("class_id IS NOT NULL").unionByName(
+        named.where("class_id IS NULL").select("class_id", F.col("text_id").alias("kept_text"))
     )
-    once = texts.dropDuplicates(["doc_id", "_text_key"])
-    return once.unionByName(keyed.where("text IS NULL")).drop("_text_key")
+    texts = rows.join(kept, F.expr("id <=> class_id AND text_id = kept_text"), "left_semi")
+    if not named.groupBy("doc_id", "text_id").count().where("count > 1").isEmpty():
+        texts = texts.dropDuplicates(["id", "text_id"])
+    return texts.unionByName(rows.where("text_id IS NULL")).select("document.*")
