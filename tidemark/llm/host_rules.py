@@ -2,8 +2,8 @@
 
 Every document is measured and checked against the rules. The share of failing documents of a host
 is uncertain where the host is small, so it is shrunk towards the other hosts: shares are taken to
-follow a beta distribution, fitted to the hosts by moments, and the posterior mean decides. A host
-whose shrunk share is too high for any rule loses all of its documents.
+follow a beta distribution, fitted to the hosts by moments. A host whose shrunk share is surely too
+high for any rule loses all of its documents.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ RULES = {
 }
 # Shrunk share of failing documents above which a host is rejected.
 HOST_LIMIT = 0.8
+# Posterior deviations by which a share must lie above the limit.
+CAUTION = 1.645
 
 
 def measured(documents: DataFrame, host: str) -> DataFrame:
@@ -95,30 +97,63 @@ def measured(documents: DataFrame, host: str) -> DataFrame:
 def host_verdicts(rows: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
     """Columns: host, n_documents, for each rule its shrunk share, rejected. `rows` is measured().
 
-    The prior of a rule has the mean m of the hosts' shares and the strength m(1-m)/v - 1, where v is
-    their variance; it is 0 (no shrinking) where the hosts differ as much as they can, and shares
-    that all agree stay as they are. Rows without a host form one.
+    The prior of a rule has the share m of all failing documents as its mean, and the strength
+    1 / r - 1, where r is the part of the shares' variance that lies between hosts, found by moments
+    after the chance variance within hosts is taken off. Hosts that differ by chance alone (r <= 0)
+    are all given m. A host is rejected if for some rule the posterior mean less CAUTION posterior
+    deviations is above the limit, so a few documents never decide. Rows without a host form one.
     """
     hosts = rows.groupBy("host").agg(
         F.count(F.lit(1)).alias("n_documents"),
         *[F.count_if(F.expr(rule)).alias(name) for name, rule in RULES.items()],
     )
-    moments = hosts.agg(
-        *[F.avg(F.expr(f"{name} / n_documents")).alias(f"{name}_mean") for name in RULES],
-        *[F.var_pop(F.expr(f"{name} / n_documents")).alias(f"{name}_var") for name in RULES],
+    sums = hosts.agg(
+        F.count(F.lit(1)).alias("hosts"),
+        F.sum("n_documents").alias("n"),
+        F.sum(F.expr("double(n_documents) * n_documents")).alias("squares"),
+        *[F.sum(name).alias(f"{name}_x") for name in RULES],
+        *[F.sum(F.expr(f"double({name}) * {name} / n_documents")).alias(f"{name}_xx") for name in RULES],
     ).first()
-    shrunk = []
+    shrunk, lower = [], []
     for name in RULES:
-        mean, var = moments[f"{name}_mean"] or 0.0, moments[f"{name}_var"] or 0.0
-        strength = max(mean * (1 - mean) / var - 1, 0.0) if var > 0 else 0.0
-        shrunk.append(
-            F.expr(f"({name} + {mean * strength!r}D) / (n_documents + {strength!r}D)").alias(name)
+        mean, strength = _prior(
+            sums["hosts"], sums["n"], sums["squares"], sums[f"{name}_x"], sums[f"{name}_xx"]
         )
-    return hosts.select("host", "n_documents", *shrunk).withColumn(
-        "rejected", F.greatest(*RULES) > host_limit
+        share = (
+            f"{mean!r}D"
+            if strength is None
+            else f"({name} + {mean * strength!r}D) / (n_documents + {strength!r}D)"
+        )
+        weight = "1e18D" if strength is None else f"(n_documents + {strength + 1!r}D)"
+        shrunk.append(F.expr(share).alias(name))
+        lower.append(f"{name} - {CAUTION!r}D * sqrt({name} * (1 - {name}) / {name}_weight)")
+        shrunk.append(F.expr(weight).alias(f"{name}_weight"))
+    judged = hosts.select("host", "n_documents", *shrunk)
+    return judged.select(
+        "host",
+        "n_documents",
+        *RULES,
+        (F.greatest(*[F.expr(x) for x in lower]) > host_limit).alias("rejected"),
     )
 
 
+def _prior(hosts: int, n: int, squares: float, x: int, xx: float) -> tuple[float, float | None]:
+    """Mean and strength of the prior, None if it is infinitely strong.
+
+    `squares` is the sum of squared host sizes, `x` the failing documents, `xx` the sum over hosts
+    of failing documents squared / documents.
+    """
+    mean = x / n if n else 0.0
+    chance = mean * (1 - mean)
+    room = n - squares / n - (hosts - 1) if n else 0.0
+    if chance <= 0 or room <= 0:
+        return mean, 0.0 if chance > 0 else None
+    between = (xx - x * mean - chance * (hosts - 1)) / (chance * room)
+    if between <= 0:
+        return mean, None
+    return mean, max(1 / min(between, 1.0) - 1, 0.0)
+
+
 def judge(documents: DataFrame, host: str = "source", host_limit: float = HOST_LIMIT) -> DataFrame:
     """The columns of measured(), and base_failed, host_rejected, kept; one row per document.
 

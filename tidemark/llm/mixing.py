@@ -223,14 +223,14 @@ def mixed_documents(documents: DataFrame, **parameters: int) -> DataFrame:
     """The mix as documents: each row as often as whole epochs take it, and the words of its extra
     blocks, joined by blanks, as one more row. `n_chars`, if it is there, follows the text.
 
-    All columns of `documents` are kept, in their order.
+    All columns of `documents` are kept, in their order. Documents without words are not in the mix.
     """
     taken = mix(documents, carry=True, **parameters)
     block = "((start + i) div block_size)"
     picked = f"(({block} + 1) * picked + phase) div n_blocks > ({block} * picked + phase) div n_blocks"
     rows = taken.withColumn("full_text", F.col("document.text").cast("string")).select(
         "document",
-        F.expr("CASE WHEN extra = size THEN epochs + 1 ELSE epochs END").alias("times"),
+        F.expr("CASE WHEN size = 0 THEN 0 WHEN extra = size THEN epochs + 1 ELSE epochs END").alias("times"),
         F.when(
             F.expr("extra > 0 AND extra < size"),
             F.array_join(

@@ -125,9 +125,11 @@ def votes(kind: str, text: str, start: int, end: int, strict: bool, passes: bool
         passes = _luhn(_digits(found))
     if not strict and kind == "phone":
         passes = 8 <= len(_digits(found)) <= 15
+    # The wide forms of an address leave nothing to check.
+    checks = 0 if not strict and kind in ("email", "ip") else 1 if passes else -1
     return (
         1 if strict else 0,
-        1 if passes else -1,
+        checks,
         _gazetteer(kind, found),
         1 if _CUES[kind].search(ahead) else 0,
         -1 if _COUNTER.search(ahead) else 0,
@@ -219,10 +221,10 @@ def fit(counts: list[tuple[str, tuple[int, ...], int]]) -> Model:
         guess = 1 / (1 + np.exp(-features @ weights))
         weights -= 2.0 * (features.T @ (share_of * (guess - truth)) + 1e-4 * weights)
     guess = 1 / (1 + np.exp(-features @ weights))
-    # A labeler that says no keeps a span out, however common its pattern is.
+    # A failed check keeps a span out, however common its pattern is.
     accepted = {
         (counts[k][0], counts[k][1])
-        for k in np.flatnonzero((guess >= ACCEPT) & (vote[:, 1] > 0))
+        for k in np.flatnonzero((guess >= ACCEPT) & (vote[:, 1] >= 0))
     }
     return Model(dict(zip(LABELERS, right.tolist())), frozenset(accepted))
 

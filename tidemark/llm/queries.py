@@ -20,9 +20,12 @@ from tidemark.llm import (
     token_files,
     toxicity,
 )
+from tidemark.llm.oracles import oracle_sql
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
+__all__ = ["oracle_sql", "queries"]
+
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -30,10 +33,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_queries)
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
-
-
 def _query(f):
     _queries[f.__name__] = f
     return f
@@ -45,7 +44,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @_query
 def op5_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bag_minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    found = bag_minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id")
 
 
 @_query
