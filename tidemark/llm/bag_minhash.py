@@ -30,9 +30,8 @@ BANDS, ROWS = 20, 5
 REGISTERS = BANDS * ROWS
 # Texts that share a band are compared one by one up to this many, and through a centre beyond.
 SMALL_BUCKET = 16
-# Agreeing registers below which a pair is not verified: at similarity 0.8 their number is 80 with a
-# deviation of 4, so 6 deviations are allowed for.
-LEAST_AGREEING = 56
+# Texts in each of two blocks that are compared in one task.
+BLOCK = 256
 
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
@@ -130,82 +129,128 @@ def _members(texts: DataFrame) -> DataFrame:
     return stored(rows.join(sizes, "bucket"))
 
 
-def _candidates(members: DataFrame) -> DataFrame:
-    """Pairs to verify first: all pairs of small buckets, and each member of a large bucket with its
-    centre, the text that has company in most of its bands and so is closest to what all share."""
-    pair = members.alias("x").where(f"size <= {SMALL_BUCKET}").join(
-        members.alias("y").where(f"size <= {SMALL_BUCKET}"), "bucket"
-    ).where("x.text_id < y.text_id")
-    small = pair.select(F.col("x.text_id").alias("a"), F.col("y.text_id").alias("b"))
+def _with_centres(members: DataFrame) -> DataFrame:
+    """Members of large buckets with the centre of each: the text that has company in most of its
+    bands, so the one closest to what all share."""
     company = members.groupBy("text_id").agg(F.sum(F.log2("size")).alias("company"))
     large = members.where(f"size > {SMALL_BUCKET}").join(company, "text_id")
     centres = large.groupBy("bucket").agg(
         F.max_by("text_id", F.struct("company", "text_id")).alias("centre")
     )
-    star = (
-        large.join(centres, "bucket")
-        .where("text_id <> centre")
-        .select(
-            F.least("text_id", "centre").alias("a"), F.greatest("text_id", "centre").alias("b")
-        )
-    )
-    return small.union(star).distinct()
-
+    return large.join(centres, "bucket").select("text_id", "centre").distinct()
 
-def _leftovers(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs of large buckets that the centre did not bring together.
 
-    In every large bucket the texts outside its most common class are paired with all its members of
-    other classes. Pairs that agree in too few registers to be similar never leave the join.
-    """
-    large = members.where(f"size > {SMALL_BUCKET}").join(
-        labels.withColumnRenamed("node", "text_id"), "text_id", "left"
-    ).select("bucket", "text_id", F.coalesce("root", "text_id").alias("root"))
-    held = large.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-    main = held.groupBy("bucket").agg(
-        F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("classes")
-    ).where("classes > 1")
-    open_ = large.join(main, "bucket").join(texts.select("text_id", "signature"), "text_id")
-    pairs = open_.alias("x").where("root <> main").join(
-        open_.alias("y"),
-        F.expr(
-            "x.bucket = y.bucket AND x.root <> y.root"
-            f" AND size(array_intersect(x.signature, y.signature)) >= {LEAST_AGREEING}"
-        ),
+def _candidates(members: DataFrame, centred: DataFrame) -> DataFrame:
+    """Pairs to verify first: all pairs of small buckets, members of large ones with their centres."""
+    few = members.where(f"size <= {SMALL_BUCKET}")
+    pair = few.alias("x").join(few.alias("y"), "bucket").where("x.text_id < y.text_id")
+    small = pair.select(F.col("x.text_id").alias("a"), F.col("y.text_id").alias("b"))
+    star = centred.where("text_id <> centre").select(
+        F.least("text_id", "centre").alias("a"), F.greatest("text_id", "centre").alias("b")
     )
-    return pairs.select(
-        F.least("x.text_id", "y.text_id").alias("a"),
-        F.greatest("x.text_id", "y.text_id").alias("b"),
-    ).distinct()
+    return small.union(star).distinct()
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, documents: DataFrame) -> DataFrame:
-    """The pairs whose multisets overlap by SIMILARITY or more, with the exact similarity."""
-    pairs = stored(pairs)
+def _sets(pairs: DataFrame, texts: DataFrame, documents: DataFrame) -> DataFrame:
+    """Columns: text_id, elements; the multisets of all texts in `pairs`."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("text_id")).distinct()
     # One document stands for a text. Its id is part of the key, so that copies spread out.
     wanted = wanted.join(texts.select("text_id", "doc_id"), "text_id")
-    found = (
-        documents.alias("d")
-        .join(
-            wanted.alias("w"),
-            F.expr("d.text_id = w.text_id AND d.doc_id <=> w.doc_id"),
-            "left_semi",
-        )
-        .select("text_id", "text")
+    found = documents.alias("d").join(
+        wanted.alias("w"),
+        F.expr("d.text_id = w.text_id AND d.doc_id <=> w.doc_id"),
+        "left_semi",
     )
-    sets = stored(
-        found.mapInArrow(_elements, "text_id string, elements array<long>").dropDuplicates(
-            ["text_id"]
-        )
+    sets = found.select("text_id", "text").mapInArrow(
+        _elements, "text_id string, elements array<long>"
     )
+    return stored(sets.dropDuplicates(["text_id"]))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose multisets overlap by SIMILARITY or more: a, b."""
     shared = "size(array_intersect(x, y))"
     return (
         pairs.join(sets.toDF("a", "x"), "a")
         .join(sets.toDF("b", "y"), "b")
         .selectExpr("a", "b", f"{shared} AS shared", "size(x) + size(y) AS total")
-        .selectExpr("a", "b", "shared / (total - shared) AS similarity")
-        .where(f"similarity >= {SIMILARITY}")
+        .where(f"shared / (total - shared) >= {SIMILARITY}")
+        .select("a", "b")
+    )
+
+
+def _leftovers(centred: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links that no centre showed: the members a centre left out against all that share it.
+
+    The members outside the class of their centre are the queries; they and the members are cut into
+    blocks of BLOCK texts, and each pair of blocks is compared exactly in a task of its own. Only
+    links between different classes leave it, one for each text and class. Columns: a, b.
+    """
+    root = labels.withColumnRenamed("node", "text_id")
+    rows = centred.join(root, "text_id", "left").select(
+        "centre", "text_id", F.coalesce("root", "text_id").alias("root")
+    )
+    mains = rows.where("text_id = centre").select("centre", F.col("root").alias("main"))
+    rows = rows.join(mains, "centre").withColumn("left_out", F.expr("root <> main"))
+    blocks_of = rows.groupBy("centre").agg(
+        F.expr(f"cast(ceil(count_if(left_out) / {BLOCK}) AS int)").alias("asked"),
+        F.expr(f"cast(ceil(count(*) / {BLOCK}) AS int)").alias("held"),
+    ).where("asked > 0")
+    rows = rows.join(blocks_of, "centre").join(sets, "text_id")
+    number = "pmod(xxhash64(text_id), {n})"
+    asked = rows.where("left_out").select(
+        "centre", "text_id", "root", "elements", F.lit(True).alias("asked"),
+        F.expr(number.format(n="asked")).alias("i"),
+        F.explode(F.expr("sequence(0L, held - 1L)")).alias("j"),
+    )
+    held = rows.select(
+        "centre", "text_id", "root", "elements", F.lit(False).alias("asked"),
+        F.explode(F.expr("sequence(0L, asked - 1L)")).alias("i"),
+        F.expr(number.format(n="held")).alias("j"),
+    )
+    links = asked.unionByName(held).groupBy("centre", "i", "j").applyInArrow(
+        _compare, "a string, b string"
+    )
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _compare(table: pa.Table) -> pa.Table:
+    """Links between the asked and the other texts of one pair of blocks."""
+    asked = table.column("asked").to_numpy()
+    ids = np.array(table.column("text_id").to_pylist(), object)
+    roots = np.array(table.column("root").to_pylist(), object)
+    lists = table.column("elements").combine_chunks()
+    sizes = np.diff(lists.offsets.to_numpy())
+    owner, value = np.repeat(np.arange(len(ids)), sizes), lists.flatten().to_numpy()
+    rows, columns = np.flatnonzero(asked), np.flatnonzero(~asked)
+    place = np.zeros(len(ids), np.int64)
+    place[rows], place[columns] = np.arange(len(rows)), np.arange(len(columns))
+    both = np.intersect1d(value[asked[owner]], value[~asked[owner]])
+    which = np.searchsorted(both, value)
+    which[which == len(both)] = 0
+    shared = np.zeros((len(rows), len(columns)), np.float32)
+    if len(both):
+        hit = both[which] == value
+        owner, which = owner[hit], which[hit]
+        for start in range(0, len(both), 4096):
+            now = (which >= start) & (which < start + 4096)
+            held = np.zeros((len(ids), min(4096, len(both) - start)), np.float32)
+            held[owner[now], which[now] - start] = 1
+            shared += held[rows] @ held[columns].T
+    total = sizes[rows][:, None] + sizes[columns][None, :] - shared
+    x, y = np.nonzero(shared >= SIMILARITY * total - 1e-4)
+    exact = shared[x, y].astype(np.float64) / total[x, y].astype(np.float64) >= SIMILARITY
+    x, y = rows[x[exact]], columns[y[exact]]
+    links = {}
+    for a, b in zip(x, y):
+        if roots[a] != roots[b]:
+            links.setdefault((a, roots[b]), b)
+    pairs = [(ids[a], ids[b]) for (a, _), b in links.items()]
+    return pa.table(
+        {
+            "a": pa.array([p[0] for p in pairs], pa.string()),
+            "b": pa.array([p[1] for p in pairs], pa.string()),
+        }
     )
 
 
@@ -214,7 +259,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
     `class_id` is the smallest doc_id of all documents joined by a chain of exact copies and of
     texts with a weighted Jaccard similarity of 0.8 or more. `n_links` counts the different texts
-    that are linked to this one directly and were verified. A null text is alone in its class: its
+    whose link to this one was verified; links that would join one class with itself need not be. A null text is alone in its class: its
     class is its own doc_id, its text_id null. Texts without words, like texts of fewer than five
     words, are near-duplicates of equal ones only: the former of the same bytes, the latter of the
     same words. A null doc_id stays null and never names a class that has another id. Rows that
@@ -232,11 +277,15 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         )
     )
     members = _members(texts)
-    links = stored(_verified(_candidates(members), texts, named))
-    labels = components(links)
-    more = stored(_verified(_leftovers(members, labels, texts), texts, named))
-    links = stored(links.unionByName(more).dropDuplicates(["a", "b"]))
-    labels = components(links)
+    centred = stored(_with_centres(members))
+    pairs = stored(_candidates(members, centred))
+    sets = _sets(pairs, texts, named)
+    links = stored(_verified(pairs, sets))
+    labels = stored(components(links))
+    more = stored(_leftovers(centred, labels, sets))
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        labels = components(links)
     degree = (
         links.select(F.explode(F.array("a", "b")).alias("text_id"))
         .groupBy("text_id")

@@ -8,11 +8,13 @@ samples in their common offset tie in rank. Two cases follow:
 
 * The samples agree in all bytes that any string around them can hold. Then the tie settles every
   one of those strings at once: each repeats the string around the bucket's first sample.
-* The samples tie in rank only, as happens around the ends of a repeated passage. Then, and only
-  then, the suffixes near them go into buckets of their own and are ranked by `length` bytes.
+* The samples tie in rank only, as happens around the ends of a repeated passage. Then the suffixes
+  near them go into buckets of their own and are ranked by `length` bytes, those behind the middle
+  of the common offset only if the samples also agree in all that such strings hold to the right,
+  those ahead of it only if they agree in what those hold to the left.
 
 Buckets are ordered by fingerprints of the bytes, not by the bytes: equality is all that counts.
-Samples and strings are told apart by 88 fingerprint bits besides those of the bucket.
+Samples are told apart by 80 fingerprint bits besides those of the bucket, strings by 88.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from tidemark.session import stored
 
 LENGTH = 100
 # Bytes of packed suffixes that one bucket holds on average, and what one suffix takes.
-BUCKET_BYTES, PACKED = 24 << 20, 16
+BUCKET_BYTES, PACKED = 10 << 20, 18
 # Perfect difference sets (fixed values): every difference occurs once.
 COVERS = {
     13: [0, 1, 3, 9],
@@ -41,6 +43,8 @@ COVERS = {
 LEAST_CONTEXT = 24
 
 _U = np.uint64
+# Bytes kept of a sample's rank, of all around it, and of what is ahead and behind; of a string's two.
+_SAMPLE_WIDTHS, _STRING_WIDTHS = (4, 6, 2, 2), (5, 6)
 _PACKED = "bucket long, dids binary, ties binary, docs binary, places binary, tags binary, done binary"
 _FLAGS = "did long, tie long, settled binary, open binary"
 
@@ -54,6 +58,7 @@ class _Cover:
             raise ValueError(f"strings of {length} bytes are too short")
         self.length, self.modulus = length, max(fitting)
         self.left = self.modulus - 1
+        self.middle = self.left // 2
         self.context = length - self.left
         self._places = np.zeros(0, np.int64)
 
@@ -77,20 +82,20 @@ def _low_bytes(x: np.ndarray, n: int) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :n]
 
 
-def _from_low_bytes(x: bytes, n: int) -> np.ndarray:
-    """64-bit words from rows of n low bytes each."""
-    rows = np.frombuffer(x, np.uint8).reshape(-1, n)
+def _from_low_bytes(rows: np.ndarray) -> np.ndarray:
+    """64-bit words from rows of low bytes."""
     out = np.zeros((len(rows), 8), np.uint8)
-    out[:, :n] = rows
+    out[:, : rows.shape[1]] = rows
     return out.view(_U).reshape(-1)
 
 
-def _packed(dids, ties, doc, place, first, second, buckets, done) -> Iterator[tuple]:
-    """One row per bucket. `first` chooses the bucket and gives 40 bits, `second` gives 48.
+def _packed(dids, ties, doc, place, tags, widths, buckets, done) -> Iterator[tuple]:
+    """One row per bucket. `tags` are fingerprints, cut to their low `widths` bytes.
 
-    Entries are ordered by document and place. `done` (document, place) travels with one bucket.
+    The high bits of the first choose the bucket. Entries are ordered by document and place. `done`
+    (document, place) travels with one bucket.
     """
-    bucket = ((first >> _U(40)) % _U(buckets)).astype(np.int64)
+    bucket = ((tags[0] >> _U(40)) % _U(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
     home = int(mix(np.array([dids[0]], np.int64).view(_U))[0] % _U(buckets)) if len(dids) else 0
@@ -101,14 +106,14 @@ def _packed(dids, ties, doc, place, first, second, buckets, done) -> Iterator[tu
             continue
         used, which = np.unique(np.concatenate([doc[at], extra[0]]), return_inverse=True)
         docs, more = which[: len(at)], which[len(at) :]
-        tags = np.concatenate([_low_bytes(first[at], 5), _low_bytes(second[at], 6)], axis=1)
+        low = np.concatenate([_low_bytes(x[at], n) for x, n in zip(tags, widths)], axis=1)
         yield (
             b,
             _zip(np.diff(dids[used], prepend=np.int64(0))),
             _zip(ties[used]),
             _zip(np.diff(docs, prepend=0).astype(np.int32)),
             _zip(np.diff(place[at], prepend=0).astype(np.int32)),
-            tags.tobytes(),
+            low.tobytes(),
             _zip(np.stack([more, extra[1]]).astype(np.int64)),
         )
 
@@ -152,8 +157,12 @@ def _samples(cover: _Cover, buckets: int) -> Callable:
         at = place + block.offsets[:-1][doc]
         left = np.minimum(place, cover.left)
         right = np.minimum(block.sizes[doc] - place, cover.length)
-        rank = fingerprints(block.sums(1), at, at + cover.context)
+        sums = block.sums(1)
+        rank = fingerprints(sums, at, at + cover.context)
         around = mix(fingerprints(block.sums(0), at - left, at + right) + left.astype(_U))
+        room = block.sizes[doc] - place
+        ahead = fingerprints(sums, at, at + np.minimum(cover.length - cover.middle, room))
+        behind = fingerprints(sums, at - np.minimum(cover.middle + 1, place), at + cover.context)
         # Of equal samples in this block the first goes on; the others are settled here.
         both = mix(rank ^ (around * _U(0x9FB21C651E98DF25)))
         order = np.argsort(both, kind="stable")
@@ -161,7 +170,8 @@ def _samples(cover: _Cover, buckets: int) -> Callable:
         later[order[1:]] = both[order[1:]] == both[order[:-1]]
         keep = ~later
         yield from _packed(
-            dids, ties, doc[keep], place[keep], rank[keep], around[keep], buckets,
+            dids, ties, doc[keep], place[keep],
+            [x[keep] for x in (rank, around, ahead, behind)], _SAMPLE_WIDTHS, buckets,
             (doc[later], place[later]),
         )
 
@@ -169,7 +179,7 @@ def _samples(cover: _Cover, buckets: int) -> Callable:
         def rows():
             for batch in batches:
                 batch, dids, ties = _by_document(batch)
-                for at, block in blocks(batch.column(2), 2 * BLOCK_BYTES):
+                for at, block in blocks(batch.column(2), BLOCK_BYTES):
                     n = len(block.sizes)
                     yield from of(block, dids[at : at + n], ties[at : at + n])
 
@@ -178,33 +188,33 @@ def _samples(cover: _Cover, buckets: int) -> Callable:
     return run
 
 
-def _sorted_bucket(table: pa.Table):
+def _sorted_bucket(table: pa.Table, widths: tuple[int, ...]):
     """Entries of one bucket in the order of rank, second fingerprint, document and place.
 
     Only entries that share their rank with another one are kept. Returns the document keys, the
-    arrays document, place, rank and second fingerprint, and the entries settled before.
+    arrays document, place and all fingerprints, and the entries settled before.
     """
-    dids, ties, docs, places, ranks, seconds, done = [], [], [], [], [], [], []
+    dids, ties, docs, places, packed, done = [], [], [], [], [], []
     base = 0
     for row in table.to_pylist():
         dids.append(np.cumsum(_unzip(row["dids"], "i8")))
         ties.append(_unzip(row["ties"], "i8"))
         docs.append(np.cumsum(_unzip(row["docs"], "i4").astype(np.int64)) + base)
         places.append(np.cumsum(_unzip(row["places"], "i4").astype(np.int64)))
-        tags = np.frombuffer(row["tags"], np.uint8).reshape(-1, 11)
-        ranks.append(_from_low_bytes(tags[:, :5].tobytes(), 5))
-        seconds.append(_from_low_bytes(tags[:, 5:].tobytes(), 6))
+        packed.append(np.frombuffer(row["tags"], np.uint8).reshape(-1, sum(widths)))
         more = _unzip(row["done"], "i8").reshape(2, -1)
         done.append(np.stack([more[0] + base, more[1]]))
         base += len(dids[-1])
     dids, ties = np.concatenate(dids), np.concatenate(ties)
     doc, place = np.concatenate(docs), np.concatenate(places)
-    rank, second = np.concatenate(ranks), np.concatenate(seconds)
+    packed, cuts = np.concatenate(packed), np.cumsum((0, *widths))
+    rank = _from_low_bytes(packed[:, : cuts[1]])
     order = np.argsort(rank)
     same = np.zeros(len(rank) + 1, bool)
     same[1:-1] = rank[order[1:]] == rank[order[:-1]]
     order = order[same[1:] | same[:-1]]
-    doc, place, rank, second = doc[order], place[order], rank[order], second[order]
+    doc, place, packed = doc[order], place[order], packed[order]
+    tags = [_from_low_bytes(packed[:, a:b]) for a, b in zip(cuts, cuts[1:])]
     # A document may come in several packets; its number is its place in the order of keys.
     in_order = np.lexsort((ties, dids))
     new = np.ones(len(in_order), bool)
@@ -213,21 +223,21 @@ def _sorted_bucket(table: pa.Table):
     number[in_order] = np.cumsum(new) - 1
     doc = number[doc]
     done = np.concatenate(done, axis=1)
-    order = np.lexsort((place, doc, second, rank))
-    entries = [x[order] for x in (doc, place, rank, second)]
+    order = np.lexsort((place, doc, tags[1], tags[0]))
+    entries = [x[order] for x in (doc, place, *tags)]
     again = np.zeros(len(order), bool)
-    again[1:] = np.logical_and.reduce([x[1:] == x[:-1] for x in entries])
+    again[1:] = np.logical_and.reduce([x[1:] == x[:-1] for x in entries[:4]])
     entries = [x[~again] for x in entries]
     keys = (dids[in_order][new], ties[in_order][new])
     return keys, entries, (number[done[0]], done[1])
 
 
 def _flags(keys, settled, open_) -> Iterator[tuple]:
-    """One row per document: its settled and its open places as 32-bit words."""
+    """One row per document: its settled and its open places."""
     lists = []
     for doc, place in (settled, open_):
         order = np.lexsort((place, doc))
-        doc, place = doc[order], place[order].astype(np.uint32)
+        doc, place = doc[order], place[order]
         cuts = np.searchsorted(doc, np.arange(len(keys[0]) + 1))
         lists.append((place, cuts))
     (a, ca), (b, cb) = lists
@@ -239,21 +249,30 @@ def _flags(keys, settled, open_) -> Iterator[tuple]:
 
 
 def _rank_samples(table: pa.Table) -> pa.Table:
-    """Settled samples (equal in all bytes around to an earlier one) and open ones of a bucket."""
-    keys, (doc, place, rank, around), done = _sorted_bucket(table)
-    new_rank, new = np.ones(len(doc), bool), np.ones(len(doc), bool)
-    new_rank[1:] = rank[1:] != rank[:-1]
-    new[1:] = new_rank[1:] | (around[1:] != around[:-1])
-    group = np.cumsum(new_rank) - 1
-    kinds = np.bincount(group, new, minlength=group[-1] + 1 if len(group) else 0)
-    first = new & (kinds[group] > 1)
+    """Settled samples (equal in all bytes around to an earlier one) and open ones of a bucket.
+
+    An open place is four times the sample's, plus 1 if strings behind the middle are in question,
+    plus 2 if those ahead of it are.
+    """
+    keys, (doc, place, rank, around, ahead, behind), done = _sorted_bucket(table, _SAMPLE_WIDTHS)
+    new = np.ones(len(doc), bool)
+    new[1:] = (rank[1:] != rank[:-1]) | (around[1:] != around[:-1])
     settled = (np.concatenate([doc[~new], done[0]]), np.concatenate([place[~new], done[1]]))
-    return _table(_flags(keys, settled, (doc[first], place[first])))
+    doc, place, rank = doc[new], place[new], rank[new]
+    halves = np.zeros(len(doc), np.int64)
+    for flag, side in ((1, ahead[new]), (2, behind[new])):
+        key = (rank << _U(16)) | side
+        order = np.argsort(key)
+        same = np.zeros(len(key) + 1, bool)
+        same[1:-1] = key[order[1:]] == key[order[:-1]]
+        halves[order] |= np.where(same[1:] | same[:-1], flag, 0)
+    open_ = halves > 0
+    return _table(_flags(keys, settled, (doc[open_], 4 * place[open_] + halves[open_])))
 
 
 def _rank_strings(table: pa.Table) -> pa.Table:
     """Strings of a bucket that equal an earlier one, as settled places."""
-    keys, (doc, place, rank, second), _ = _sorted_bucket(table)
+    keys, (doc, place, rank, second), _ = _sorted_bucket(table, _STRING_WIDTHS)
     new = np.ones(len(doc), bool)
     new[1:] = (rank[1:] != rank[:-1]) | (second[1:] != second[:-1])
     return _table(_flags(keys, (doc[~new], place[~new]), (doc[:0], place[:0])))
@@ -267,17 +286,17 @@ def _table(rows: Iterator[tuple]) -> pa.Table:
 
 
 def _words(packets: list[bytes] | None) -> np.ndarray:
-    found = [_unzip(x, "u4") for x in packets or []]
-    return np.concatenate(found).astype(np.int64) if found else np.zeros(0, np.int64)
+    found = [_unzip(x, "i8") for x in packets or []]
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
-def _around(places: np.ndarray, size: int, cover: _Cover) -> np.ndarray:
-    """Flags of the starts of strings that hold a sample at one of `places` and fit in the text."""
+def _around(places: np.ndarray, size: int, cover: _Cover, near: int, far: int) -> np.ndarray:
+    """Flags of the starts of strings that fit and hold one of `places` at offset near ... far."""
     starts = np.zeros(max(size - cover.length + 1, 0) + 1, np.int64)
     if len(starts) > 1:
         last = len(starts) - 1
-        np.add.at(starts, np.clip(places - cover.left, 0, last), 1)
-        np.add.at(starts, np.clip(places + 1, 0, last), -1)
+        np.add.at(starts, np.clip(places - far, 0, last), 1)
+        np.add.at(starts, np.clip(places - near + 1, 0, last), -1)
     return np.cumsum(starts)[:-1] > 0
 
 
@@ -292,18 +311,23 @@ def _strings(cover: _Cover, buckets: int) -> Callable:
                 for at, block in blocks(batch.column(2), BLOCK_BYTES):
                     parts = []
                     for k, size in enumerate(block.sizes):
-                        wanted = _around(_words(open_[at + k].as_py()), int(size), cover)
-                        known = _around(_words(settled[at + k].as_py()), int(size), cover)
-                        parts.append(np.flatnonzero(wanted & ~known))
+                        marks, done = _words(open_[at + k].as_py()), _words(settled[at + k].as_py())
+                        size, middle = int(size), cover.middle
+                        wanted = _around(marks[marks & 1 > 0] >> 2, size, cover, 0, middle)
+                        wanted |= _around(marks[marks & 2 > 0] >> 2, size, cover, middle + 1, cover.left)
+                        wanted &= ~_around(done, size, cover, 0, cover.left)
+                        parts.append(np.flatnonzero(wanted))
                     counts = np.array([len(x) for x in parts])
                     place = np.concatenate(parts)
                     doc = np.repeat(np.arange(len(counts)), counts)
                     start = place + block.offsets[:-1][doc]
                     yield from _packed(
                         dids[at : at + len(counts)], ties[at : at + len(counts)], doc, place,
-                        fingerprints(block.sums(0), start, start + cover.length),
-                        fingerprints(block.sums(1), start, start + cover.length),
-                        buckets, (doc[:0], place[:0]),
+                        [
+                            fingerprints(block.sums(lane), start, start + cover.length)
+                            for lane in (0, 1)
+                        ],
+                        _STRING_WIDTHS, buckets, (doc[:0], place[:0]),
                     )
 
         yield from _rows(rows(), _PACKED)
@@ -319,7 +343,7 @@ def _remove(cover: _Cover) -> Callable:
     )
 
     def one(data: np.ndarray, samples: np.ndarray, strings: np.ndarray) -> dict:
-        repeats = _around(samples, len(data), cover)
+        repeats = _around(samples, len(data), cover, 0, cover.left)
         repeats[strings] = True
         starts = np.flatnonzero(repeats)
         edge = np.zeros(len(data) + 1, np.int64)

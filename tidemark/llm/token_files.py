@@ -11,6 +11,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
+from functools import cache
 from itertools import islice
 
 import numpy as np
@@ -24,10 +25,15 @@ END = 0
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 # Parts whose ids are remembered, and how many of them, the earliest, outlast a full memory.
-_REMEMBERED, _LASTING = 600_000, 200_000
+_REMEMBERED, _LASTING = 500_000, 200_000
 # Texts whose white space is single blanks and line feeds can be cut by plain replacement.
 _IRREGULAR = re.compile(r"\s\s|[^\S \n]|\0")
 _CUT = re.compile(r" (?=\S)")
+# A word of Latin letters and the marks behind it, which are a piece each.
+_WORD = re.compile(r"( ?[^\W\d_\u0250-\U0010ffff]+)([^\w\s'\u0250-\U0010ffff]*)")
+# Byte-level alphabet: bytes without a printable character of their own follow after 255.
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 255 and b != 173)]
+_ALPHABET = {b: 256 + k for k, b in enumerate(_HIDDEN)}
 
 
 class _Parts(dict):
@@ -43,14 +49,27 @@ class _Parts(dict):
         if tokenizer.normalizer is not None or type(tokenizer.pre_tokenizer).__name__ != "ByteLevel":
             raise ValueError("a byte-level tokenizer without normaliser is needed")
         self.pieces, self.model = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model.tokenize
-        self.ids, self.ends = array("I"), array("q", [0])
+        self.ids, self.ends = array("I"), array("q", [0, 0])
+        self[""] = 0
+
+    def _encode(self, part: str) -> list[int]:
+        if part.isalpha() and part.isascii():
+            return [x.id for x in self.model(part)]
+        if part[0] == " " and part[1:].isalpha() and part.isascii():
+            return [x.id for x in self.model("\u0120" + part[1:])]
+        word = _WORD.fullmatch(part)
+        if word is None:
+            return [x.id for piece, _ in self.pieces(part) for x in self.model(piece)]
+        if not word[2]:
+            piece = part.encode().decode("latin-1").translate(_ALPHABET)
+            return [x.id for x in self.model(piece)]
+        ids = []
+        for k in (self[word[1]], self[word[2]]):
+            ids += self.ids[self.ends[k] : self.ends[k + 1]]
+        return ids
 
     def __missing__(self, part: str) -> int:
-        if part.isascii() and part[:1] == " " and part[1:].isalpha():
-            self.ids.extend([x.id for x in self.model("\u0120" + part[1:])])
-        else:
-            for piece, _ in self.pieces(part):
-                self.ids.extend([x.id for x in self.model(piece)])
+        self.ids.extend(self._encode(part))
         self[part] = place = len(self.ends) - 1
         self.ends.append(len(self.ids))
         return place
@@ -63,6 +82,12 @@ class _Parts(dict):
             del self.ids[self.ends[_LASTING] :], self.ends[_LASTING + 1 :]
 
 
+@cache
+def _parts(path: str) -> _Parts:
+    """One memory per worker process, which serves all of its tasks."""
+    return _Parts(path)
+
+
 class _Encoder:
     """Ids of texts by the tokenizer file.
 
@@ -71,7 +96,7 @@ class _Encoder:
     """
 
     def __init__(self, path: str) -> None:
-        self.parts = _Parts(path)
+        self.parts = _parts(path)
 
     def __call__(self, text: str) -> np.ndarray:
         if _IRREGULAR.search(text):
