@@ -4,7 +4,8 @@ Rows are first counted per bucket of a monotone logarithmic scale. The number of
 is fixed, so these counts are combined map-side to a small frame whatever the data size, and their
 running sum tells which buckets hold the wanted ranks. A second pass counts the distinct values in
 those few buckets only, again combined map-side, so a value shared by a third of all rows is one
-row.
+row. A bucket that holds many distinct values is cut into equal slices between its least and its
+greatest value; slices are summed first and each is ordered on its own.
 """
 
 from __future__ import annotations
@@ -18,6 +19,10 @@ from pyspark.sql import functions as F
 _BUCKETS_PER_OCTAVE = 1024
 
 
+# Slices of a wanted bucket.
+_SLICES = 4096
+
+
 def _bucketed(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Columns: keys, value, bucket. The bucket never decreases as the value grows."""
     bucket = f"int(floor(signum(value) * log2(1 + abs(double(value))) * {_BUCKETS_PER_OCTAVE}))"
@@ -34,6 +39,33 @@ def _ahead(column: str, partition: Sequence[str], order: Column | str) -> Column
     return F.coalesce(F.sum(column).over(w), F.lit(0))
 
 
+def _ordered(counts: DataFrame, group: Sequence[str], descending: bool = False) -> DataFrame:
+    """Adds `ahead` to (group, value, n): the sum of n over the values ahead in the same group."""
+    sliced = counts.join(
+        counts.groupBy(*group).agg(F.min("value").alias("low"), F.max("value").alias("high")),
+        list(group),
+    ).withColumn(
+        "slice",
+        F.expr(
+            "CASE WHEN high > low THEN int(floor((double(value) - double(low))"
+            f" / (double(high) - double(low)) * {_SLICES})) ELSE 0 END"
+        ),
+    ).drop("low", "high")
+    slices = sliced.groupBy(*group, "slice").agg(F.sum("n").alias("rows_in_slice"))
+    towards = F.desc if descending else F.asc
+    slices = slices.select(
+        *group, "slice", _ahead("rows_in_slice", group, towards("slice")).alias("slices_ahead")
+    )
+    return (
+        sliced.join(slices, [*group, "slice"])
+        .withColumn(
+            "ahead",
+            F.col("slices_ahead") + _ahead("n", [*group, "slice"], towards("value")),
+        )
+        .drop("slice", "slices_ahead")
+    )
+
+
 def percentiles(
     df: DataFrame, keys: Sequence[str], value: str, quantiles: Mapping[str, float]
 ) -> DataFrame:
@@ -53,15 +85,15 @@ def percentiles(
     position = {name: f"({q}D * (total - 1))" for name, q in quantiles.items()}
     ranks = [f"{f}({p})" for p in position.values() for f in ("floor", "ceil")]
     wanted = " OR ".join(f"(before <= {r} AND {r} < before + rows)" for r in ranks)
-    # At most two buckets per quantile and group; groups are runs, months or windows of time.
-    wanted_buckets = F.broadcast(buckets.where(wanted).drop("rows"))
+    # At most two buckets per quantile and group. The join carries no hint, as groups may be many.
+    wanted_buckets = buckets.where(wanted).drop("rows")
 
-    inside = (
+    counts = (
         rows.join(wanted_buckets, keys + ["bucket"])
         .groupBy(*keys, "bucket", "value", "total", "before")
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("start", F.col("before") + _ahead("n", keys + ["bucket"], "value"))
     )
+    inside = _ordered(counts, keys + ["bucket"]).withColumn("start", F.col("before") + F.col("ahead"))
     found = [
         F.expr(f"max(if(start <= {f}({p}) AND {f}({p}) < start + n, double(value), NULL))").alias(
             f"{name}_{f}"
@@ -113,11 +145,13 @@ def top_fraction_sums(df: DataFrame, value: str, tiles: Sequence[int]) -> DataFr
     )
     # ... and the bucket at the cut its greatest ones. One bucket per tile count at most.
     cut_buckets = F.broadcast(buckets.where(" OR ".join(cut.values())).drop("amount", "total"))
-    partials = (
+    counts = (
         rows.join(cut_buckets, "bucket")
         .groupBy("bucket", "value", "rows", "before", "total_rows")
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("ahead", _ahead("n", ["bucket"], F.desc("value")))
+    )
+    partials = (
+        _ordered(counts, ["bucket"], descending=True)
         .agg(*[
             F.expr(
                 f"sum(if({cut[t]}, least(n, greatest({tile[t]} - before - ahead, 0)) * value, 0))"

@@ -71,6 +71,12 @@ def _run_totals(snapshots: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
+def _runs_with_rows(snapshots: DataFrame, runs: DataFrame) -> DataFrame:
+    """Completed runs that have rows. Reads the partition column only."""
+    present = snapshots.select("scrape_run_id").distinct()
+    return completed(runs).join(present, "scrape_run_id", "left_semi")
+
+
 def run_totals(snapshots: DataFrame, runs: DataFrame) -> DataFrame:
     """Size and totals of every completed run that has rows, in run order."""
     return sorted_few(_run_totals(snapshots, runs), "scrape_run_id")
@@ -166,9 +172,13 @@ def download_wow(snapshots: DataFrame, runs: DataFrame) -> DataFrame:
 
     One row; NULL with a single run or a reference without downloads; no row without runs.
     """
+    newest = _runs_with_rows(snapshots, runs).orderBy(F.desc("scrape_run_id"))
+    chosen = newest.limit(WOW_RUNS_BACK + 1).select("scrape_run_id")
+    # The chosen runs are known before their rows are read, so other partitions are pruned.
+    first = chosen.agg(F.min("scrape_run_id")).scalar()
+    totals = _run_totals(snapshots.where(F.col("scrape_run_id") >= first), runs)
     age = F.row_number().over(Window.orderBy(F.desc("scrape_run_id")))
-    totals = _run_totals(snapshots, runs).select("total_downloads", age.alias("age"))
-    recent = totals.where(F.col("age") <= WOW_RUNS_BACK + 1)
+    recent = totals.select("total_downloads", age.alias("age"))
     ends = recent.agg(
         F.min_by("total_downloads", "age").alias("latest_downloads"),
         F.max_by("total_downloads", "age").alias("reference_downloads"),
@@ -209,13 +219,20 @@ def platform_velocity(snapshots: DataFrame, runs: DataFrame) -> DataFrame:
 
 def avg_platform_velocity(snapshots: DataFrame, runs: DataFrame) -> DataFrame:
     """Mean daily download growth from the first to the last run; empty with fewer than three."""
-    ends = _run_totals(snapshots, runs).agg(
+    known = _runs_with_rows(snapshots, runs).agg(
+        F.min("scrape_run_id").alias("first"),
+        F.max("scrape_run_id").alias("last"),
+        F.count(F.lit(1)).alias("n_runs"),
+    )
+    # Only the rows of the two runs at the ends are read.
+    run = F.col("scrape_run_id")
+    wanted = (run == known.select("first").scalar()) | (run == known.select("last").scalar())
+    ends = _run_totals(snapshots.where(wanted), runs).agg(
         F.min_by("total_downloads", "scrape_run_id").alias("first_downloads"),
         F.max_by("total_downloads", "scrape_run_id").alias("last_downloads"),
         F.min_by("started_at", "scrape_run_id").alias("first_at"),
         F.max_by("started_at", "scrape_run_id").alias("last_at"),
-        F.count(F.lit(1)).alias("n_runs"),
-    )
+    ).withColumn("n_runs", known.select("n_runs").scalar())
     days = _days(F.col("first_at"), F.col("last_at"))
     growth = F.col("last_downloads") - F.col("first_downloads")
     return ends.where(F.col("n_runs") >= 3).select(
