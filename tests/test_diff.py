@@ -87,8 +87,8 @@ def test_summary_labels_fall_back_to_the_slug(catalogue):
         {"a": 9, "new": {"display_name": None}},
     )
     rows = {r.section: r for r in diff.diff_summary(snapshots, log).collect()}
-    assert rows["new"].label == "slug-new"
-    assert rows["removed"].label == "slug-gone"
+    assert rows["new"].label == "new-page"
+    assert rows["removed"].label == "gone-page"
     assert [tuple(c) for c in rows["changed"].changes] == [("stat_downloads", "1", "9")]
 
 

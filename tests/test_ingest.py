@@ -3,13 +3,13 @@ from datetime import timedelta
 
 import pytest
 
-from pyspark.errors import PySparkException
+from pyspark.errors import PySparkException, StreamingQueryException
 from tests.conftest import column, day
-from tidemark.operators import diff, runs
+from tidemark.operators import diff, momentum, runs
 from tidemark.plans import documents
 from tidemark.plans.report import report, report_contents
 from tidemark.sources import publish as publisher
-from tidemark.sources.load import DuplicateKeys, load_run
+from tidemark.sources.load import BadPage, DuplicateKeys, load_run
 from tidemark.sources.pages import (
     dump_items,
     flatten_items,
@@ -28,8 +28,8 @@ def item(skill_id, downloads=1.0, **skill):
         "ownerHandle": "top",
         "skill": {
             "_id": skill_id,
-            "slug": f"slug-{skill_id}",
-            "displayName": f"Name {skill_id}",
+            "slug": f"{skill_id}-page",
+            "displayName": f"The {skill_id}",
             "createdAt": 1700000000000.0,
             "badges": {},
             "tags": {"latest": "v1"},
@@ -41,9 +41,12 @@ def item(skill_id, downloads=1.0, **skill):
     }
 
 
-def page(*items, status="success", more=False):
-    cursor = "next" if more else None
-    return {"status": status, "value": {"page": items, "hasMore": more, "nextCursor": cursor}}
+def page(*items, status="success", cursor=None, following=None):
+    """The answer to the request `cursor`, the first one by default."""
+    value = {"page": items, "hasMore": following is not None, "nextCursor": following}
+    if status != "success":
+        return {"cursor": cursor, "status": status, "value": None}
+    return {"cursor": cursor, "status": status, "value": value}
 
 
 def land(folder, *pages, name="pages"):
@@ -71,7 +74,7 @@ class Clock:
 
 
 def test_flatten_maps_every_field(spark, tmp_path):
-    pages = read_pages(spark, land(tmp_path / "in", page(item("a", 41.9), more=True)))
+    pages = read_pages(spark, land(tmp_path / "in", page(item("a", 41.9), following="p2")))
     row = flatten_items(page_items(pages), 7).first()
     assert (row.skill_id, row.scrape_run_id, row.stat_downloads, row.stat_stars) == ("a", 7, 41, 2)
     assert (row.stat_versions, row.tags, row.badges) == (0, '{"latest":"v1"}', None)
@@ -101,7 +104,7 @@ def test_timestamps_do_not_depend_on_the_session_zone(spark, tmp_path):
 
 
 def test_bad_page_fails_or_is_left_out(spark, tmp_path):
-    folder = land(tmp_path / "in", page(item("a"), more=True), page(item("b"), status="error"))
+    folder = land(tmp_path / "in", page(item("a"), following="p2"), page(status="error", cursor="p2"))
     pages = read_pages(spark, folder)
     with pytest.raises(PySparkException, match="status error"):
         flatten_items(page_items(pages), 1).collect()
@@ -127,7 +130,7 @@ def test_dump_keeps_one_level_of_nesting(spark, tmp_path):
 def test_load_writes_rows_counts_and_log(spark, tmp_path, store):
     history, log = store
     clock = Clock()
-    first = land(tmp_path / "1", page(item("a"), item("b"), more=True), page(item("c")))
+    first = land(tmp_path / "1", page(item("a"), item("b"), following="p2"), page(item("c"), cursor="p2"))
     second = land(tmp_path / "2", page(item("a", 9), item("b"), item("d")))
     assert load_run(read_pages(spark, first), history, log, clock=clock) == 1
     assert load_run(read_pages(spark, second), history, log, clock=clock) == 2
@@ -138,8 +141,14 @@ def test_load_writes_rows_counts_and_log(spark, tmp_path, store):
     h = (history.frame(), log.frame())
     assert column(diff.diff_new(*h), "skill_id") == ["d"]
     # A later session finds the same rows at the same place.
-    again = HistoryTable(spark, history.name + "_again", history.location, buckets=2)
-    assert again.frame().count() == 6
+    again = HistoryTable(spark, history.name + "_again", history.location)
+    assert again.buckets == 2 and momentum.velocity(again.frame(), log.frame()).count() == 4
+    with pytest.raises(ValueError, match="2 buckets, not 8"):
+        HistoryTable(spark, history.name + "_other", history.location, buckets=8)
+    wider = again.rebucketed(history.name + "_wider", str(tmp_path / "wider"), 5)
+    assert momentum.velocity(wider.frame(), log.frame()).count() == 4
+    with pytest.raises(ValueError, match="is needed"):
+        HistoryTable(spark, history.name + "_new", str(tmp_path / "new"))
 
 
 def test_failed_loads_stay_invisible(spark, tmp_path, store):
@@ -150,7 +159,7 @@ def test_failed_loads_stay_invisible(spark, tmp_path, store):
     with pytest.raises(DuplicateKeys, match="'b'"):
         load_run(twice, history, log, clock=clock)
     bad = read_pages(spark, land(tmp_path / "3", page(status="error")))
-    with pytest.raises(PySparkException):
+    with pytest.raises(BadPage):
         load_run(bad, history, log, clock=clock)
     nothing = read_pages(spark, land(tmp_path / "4", page()))
     assert load_run(nothing, history, log, clock=clock) == 4
@@ -161,32 +170,147 @@ def test_failed_loads_stay_invisible(spark, tmp_path, store):
     assert column(runs.current(history.frame(), log.frame()), "skill_id") == ["b"]
 
 
-def test_stream_loads_each_complete_run_once(spark, tmp_path, store):
+def test_failed_reloads_leave_a_completed_run_as_it_was(spark, tmp_path, store):
     history, log = store
-    landing, checkpoint = tmp_path / "landing", str(tmp_path / "checkpoint")
+    clock = Clock()
+    good = read_pages(spark, land(tmp_path / "1", page(item("a"), item("b"))))
+    load_run(good, history, log, clock=clock)
+    before = log.frame().collect()
+    reloads = [
+        ([page()], None),
+        ([page(item("b"), item("b"))], DuplicateKeys),
+        ([page(item("c"), following="p2"), page(status="error", cursor="p2")], BadPage),
+    ]
+    for k, (pages, error) in enumerate(reloads):
+        again = read_pages(spark, land(tmp_path / f"again{k}", *pages))
+        if error:
+            with pytest.raises(error):
+                load_run(again, history, log, run_id=1, clock=clock)
+        else:
+            load_run(again, history, log, run_id=1, clock=clock)
+        assert log.frame().collect() == before
+        assert sorted(column(history.frame(), "skill_id")) == ["a", "b"]
+    load_run(
+        read_pages(spark, land(tmp_path / "new", page(item("z")))), history, log, run_id=1, clock=clock
+    )
+    assert column(history.frame(), "skill_id") == ["z"]
+
 
-    def load():
-        query = ingest_stream(spark, str(landing), history, log, checkpoint, clock=Clock())
+def test_dropping_repeats_keeps_the_row_updated_last(spark, tmp_path, store):
+    history, log = store
+    pages = page(item("a", 1, updatedAt=5e12), item("a", 2, updatedAt=1e12), item(None), item("b", 3))
+    load_run(
+        read_pages(spark, land(tmp_path / "1", pages)), history, log, clock=Clock(), on_duplicate="drop"
+    )
+    assert sorted(map(tuple, history.frame().select("skill_id", "stat_downloads").collect())) == [
+        ("a", 1), ("b", 3),
+    ]
+
+
+def test_runs_are_compared_with_the_one_before_whatever_the_order_of_loads(spark, tmp_path, store):
+    history, log = store
+    clock = Clock()
+    catalogues = {1: "ab", 2: "bcd", 4: "cdefg", 3: "defgh"}
+    for run_id, names in catalogues.items():
+        pages = land(tmp_path / str(run_id), page(*[item(n, run_id) for n in names]))
+        load_run(read_pages(spark, pages), history, log, run_id=run_id, clock=clock)
+    columns = ["scrape_run_id", "new_skills", "removed_skills", "changed_skills"]
+    logged = log.frame().withColumnRenamed("id", "scrape_run_id").where("scrape_run_id > 1")
+    counted = diff.diff_all_runs(history.frame(), log.frame()).where("scrape_run_id > 1")
+    assert sorted(map(tuple, logged.select(*columns).collect())) == sorted(
+        map(tuple, counted.select(*columns).collect())
+    )
+    assert {r.id: r.total_skills for r in log.frame().collect()} == {1: 2, 2: 3, 3: 5, 4: 5}
+
+
+def test_events_at_one_instant_are_ordered(store):
+    _, log = store
+    for attempt in range(2):
+        log.start(NOW, 1)
+        log.fail(1, NOW) if attempt == 0 else log.complete(1, NOW, total_skills=4)
+    log.start(NOW, 1)
+    (row,) = log.frame().collect()
+    assert (row.status, row.total_skills, row.started_at) == ("completed", 4, NOW)
+
+
+@pytest.fixture
+def stream(spark, tmp_path, store):
+    history, log = store
+
+    def load(**options):
+        query = ingest_stream(
+            spark, str(tmp_path / "landing"), history, log, str(tmp_path / "checkpoint"),
+            clock=Clock(), **options,
+        )
         query.awaitTermination()
         return log.states(), sorted(
             (r.scrape_run_id, r.skill_id)
             for r in runs.rows_of_completed(history.frame(), log.frame()).collect()
         )
 
+    return tmp_path / "landing", load
+
+
+def test_stream_loads_each_complete_run_once(spark, stream, store):
+    (landing, load), log = stream, store[1]
     land(landing / "run=1", page(item("a")))
-    land(landing / "run=2", page(item("a"), more=True))
-    states, rows = load()
-    assert (states, rows) == ({1: "completed"}, [(1, "a")])
+    land(landing / "run=2", page(item("a"), following="p2"))
+    assert load() == ({1: "completed"}, [(1, "a")])
     # The rest of run 2 arrives, and a bad run does not keep run 4 out.
-    land(landing / "run=2", page(item("b")), name="rest")
-    land(landing / "run=3", page(item("x"), status="error"))
+    land(landing / "run=2", page(item("b"), cursor="p2"), name="rest")
+    land(landing / "run=3", page(status="error"))
     land(landing / "run=4", page(item("a")))
     states, rows = load()
     assert states == {1: "completed", 2: "completed", 3: "failed", 4: "completed"}
     assert rows == [(1, "a"), (2, "a"), (2, "b"), (4, "a")]
-    events = log.frame().count(), spark.read.parquet(log.location).count()
+    events = spark.read.parquet(log.location).count()
     assert load() == (states, rows)
-    assert events == (log.frame().count(), spark.read.parquet(log.location).count())
+    assert events == spark.read.parquet(log.location).count()
+
+
+def test_a_page_missing_in_the_middle_is_waited_for(stream):
+    landing, load = stream
+    land(landing / "run=1", page(item("a"), following="p2"))
+    land(landing / "run=1", page(item("c"), cursor="p3"), name="third")
+    assert load() == ({}, [])
+    land(landing / "run=1", page(item("b"), cursor="p2", following="p3"), name="second")
+    assert load() == ({1: "completed"}, [(1, "a"), (1, "b"), (1, "c")])
+
+
+def test_pages_that_arrive_later_load_a_completed_run_again(stream):
+    landing, load = stream
+    land(landing / "run=1", page(item("a")))
+    assert load() == ({1: "completed"}, [(1, "a")])
+    land(landing / "run=1", page(item("b"), cursor="p9"), name="late")
+    assert load() == ({1: "completed"}, [(1, "a")])
+    land(landing / "run=1", page(item("c"), cursor="p8", following="p9"), name="more")
+    land(landing / "run=1", page(item("d"), following="p8"), name="named")
+    assert load() == ({1: "completed"}, [(1, "a"), (1, "b"), (1, "c"), (1, "d")])
+
+
+def test_a_kept_page_with_an_error_does_not_end_a_run(stream):
+    landing, load = stream
+    land(landing / "run=1", page(item("a"), following="p2"), page(status="error", cursor="p2"))
+    assert load(on_bad_page="keep") == ({}, [])
+    land(landing / "run=1", page(item("c"), cursor="p3"), name="third")
+    assert load(on_bad_page="keep") == ({1: "completed"}, [(1, "a"), (1, "c")])
+
+
+def test_storage_errors_are_raised_and_retried(stream, monkeypatch):
+    landing, load = stream
+    land(landing / "run=1", page(item("a")))
+    publish_run, broken = HistoryTable.publish_run, [True]
+
+    def fails_once(self, run_id):
+        if broken:
+            broken.clear()
+            raise OSError("disk full")
+        publish_run(self, run_id)
+
+    monkeypatch.setattr(HistoryTable, "publish_run", fails_once)
+    with pytest.raises(StreamingQueryException):
+        load()
+    assert load() == ({1: "completed"}, [(1, "a")])
 
 
 def test_documents_and_index(spark, catalogue, tmp_path):
@@ -213,15 +337,15 @@ def test_documents_and_index(spark, catalogue, tmp_path):
     (leaders,) = read("leaderboard")
     assert [s["skill_id"] for s in leaders["all_time"]] == ["c", "a", "b"]
     details = {d["slug"]: d for d in read("entity_details")}
-    assert set(details) == {"slug-a", "slug-b"}
-    assert [p["downloads"] for p in details["slug-a"]["history"]] == [100, 200, 300]
-    assert [r["version_number"] for r in details["slug-a"]["version_releases"]] == ["2"]
+    assert set(details) == {"a-page", "b-page"}
+    assert [p["downloads"] for p in details["a-page"]["history"]] == [100, 200, 300]
+    assert [r["version_number"] for r in details["a-page"]["version_releases"]] == ["2"]
     owners = {d["handle"]: d for d in read("owner_details")}
     assert owners["Other Owner"]["owner_key"] == "other-owner"
-    assert owners["owner1"]["download_trajectory"] == [9100, 9200, 9300]
+    assert owners["maker"]["download_trajectory"] == [9100, 9200, 9300]
     (index,) = read("index")
     assert {d["kind"]: d["available"] for d in index["documents"]} == {
-        "entities": ["slug-a", "slug-b"], "owners": ["other-owner", "owner1"],
+        "entities": ["a-page", "b-page"], "owners": ["other-owner", "maker"],
     }
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import ts_to_epoch_ms
@@ -57,22 +57,32 @@ def raw_items(snapshots: DataFrame) -> DataFrame:
 
 
 def pages(snapshots: DataFrame) -> DataFrame:
-    """Pages of at most `ITEMS_PER_PAGE` items per run: (run, status, value)."""
+    """Pages of at most `ITEMS_PER_PAGE` items per run: (run, cursor, status, value)."""
     number = F.expr(f"bigint(substring(skill_id, 2)) div {ITEMS_PER_PAGE}")
     grouped = (
         raw_items(snapshots)
         .groupBy(F.col("scrape_run_id").alias("run"), number.alias("number"))
         .agg(F.collect_list("item").alias("page"))
     )
-    last = grouped.groupBy("run").agg(F.max("number").alias("last"))  # one row per run
-    more = F.col("number") < F.col("last")
+    # Numbers of pages may have gaps; each page names the next one there is.
+    in_order = Window.partitionBy("run").orderBy("number")
+    chain = grouped.select("run", "number").select(
+        "*",
+        F.lead("number").over(in_order).alias("following"),
+        (F.row_number().over(in_order) > 1).alias("continues"),
+    )
+    more = F.col("following").isNotNull()
     value = F.struct(
-        F.when(more, F.concat(F.lit("page-"), F.col("number") + 1)).alias("nextCursor"),
+        F.when(more, F.concat(F.lit("page-"), F.col("following"))).alias("nextCursor"),
         more.alias("hasMore"),
         "page",
     )
-    return grouped.join(last, "run").select(
-        "run", F.lit("success").alias("status"), value.cast(PAGE["value"].dataType).alias("value")
+    cursor = F.when(F.col("continues"), F.concat(F.lit("page-"), F.col("number")))
+    return grouped.join(chain, ["run", "number"]).select(
+        "run",
+        cursor.alias("cursor"),
+        F.lit("success").alias("status"),
+        value.cast(PAGE["value"].dataType).alias("value"),
     )
 
 
@@ -82,6 +92,7 @@ def land(snapshots: DataFrame, folder: str, bad_run: int | None = None) -> None:
     if bad_run is not None:
         error = landed.sparkSession.range(1, numPartitions=1).select(
             F.lit(bad_run).cast("int").alias("run"),
+            F.lit("page-error").alias("cursor"),
             F.lit("error").alias("status"),
             F.lit(None).cast(PAGE["value"].dataType).alias("value"),
         )

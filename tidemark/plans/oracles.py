@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tidemark.schema import TRACKED_FIELDS
+
 _NOW = "TIMESTAMP '2001-08-01 06:00:00'"
 
 # The derived history. `done` are the completed runs, `cur` and `prev` the rows of the two newest.
@@ -62,8 +64,6 @@ prev AS (
 )
 """
 
-_TRACKED = """stat_downloads stat_stars stat_comments stat_installs_all_time stat_installs_current
-stat_versions display_name summary owner_handle version_number version_id""".split()
 
 _DAYS = f"date_diff('day', created_at, {_NOW})"
 _DAYS_OLD = f"CAST({_DAYS} AS INTEGER) AS days_old"
@@ -157,16 +157,16 @@ _RISING = f"""
 
 _CHANGED = f"""
   SELECT c.skill_id, c.slug, c.display_name,
-         {", ".join(f"p.{f} AS prev_{f}, c.{f} AS curr_{f}" for f in _TRACKED)}
+         {", ".join(f"p.{f} AS prev_{f}, c.{f} AS curr_{f}" for f in TRACKED_FIELDS)}
   FROM cur c JOIN prev p USING (skill_id)
-  WHERE {" OR ".join(f"c.{f} IS DISTINCT FROM p.{f}" for f in _TRACKED)}
+  WHERE {" OR ".join(f"c.{f} IS DISTINCT FROM p.{f}" for f in TRACKED_FIELDS)}
 """
 
 _CHANGES_LONG = " UNION ALL ".join(
     f"SELECT skill_id, '{f}' AS field, CAST(prev_{f} AS VARCHAR) AS from_value, "
     f"CAST(curr_{f} AS VARCHAR) AS to_value FROM ({_CHANGED}) "
     f"WHERE prev_{f} IS DISTINCT FROM curr_{f}"
-    for f in _TRACKED
+    for f in TRACKED_FIELDS
 )
 
 
@@ -180,7 +180,7 @@ _DIFF_ALL = f"""
          count(*) FILTER (WHERE run_before IS NOT NULL AND p.skill_id IS NULL) AS new_skills,
          count(*) FILTER (WHERE c.skill_id IS NULL) AS removed_skills,
          count(*) FILTER (WHERE p.skill_id IS NOT NULL AND c.skill_id IS NOT NULL AND (
-           {" OR ".join(f"c.{f} IS DISTINCT FROM p.{f}" for f in _TRACKED)})) AS changed_skills
+           {" OR ".join(f"c.{f} IS DISTINCT FROM p.{f}" for f in TRACKED_FIELDS)})) AS changed_skills
   FROM (
     SELECT scrape_run_id, lag(scrape_run_id) OVER (ORDER BY scrape_run_id) AS run_before FROM done
   ) r
@@ -373,7 +373,7 @@ _DIFF_SUMMARY = " UNION ALL ".join([
         "changed",
         f"SELECT *, curr_stat_downloads AS stat_downloads, curr_owner_handle AS owner_handle "
         f"FROM ({_CHANGED})",
-        " + ".join(f"CAST(prev_{f} IS DISTINCT FROM curr_{f} AS INTEGER)" for f in _TRACKED),
+        " + ".join(f"CAST(prev_{f} IS DISTINCT FROM curr_{f} AS INTEGER)" for f in TRACKED_FIELDS),
     ),
 ])
 
@@ -450,6 +450,14 @@ def _page_list(page: str, section: str, position: str, key: str, value: str, sou
       CAST({value} AS BIGINT) AS value FROM ({source})"""
 
 
+_RUN_LOG = f"""
+      SELECT r.id, r.status, CAST(coalesce(total_skills, 0) AS INTEGER) AS total_skills,
+             CAST(coalesce(new_skills, 0) AS INTEGER) AS new_skills,
+             CAST(coalesce(CASE WHEN previous_run_id IS NOT NULL THEN removed_skills END, 0)
+               AS INTEGER) AS removed_skills,
+             CAST(coalesce(changed_skills, 0) AS INTEGER) AS changed_skills
+      FROM runs r LEFT JOIN ({_DIFF_ALL}) d ON d.scrape_run_id = r.id"""
+
 _BY_RUN = "row_number() OVER (ORDER BY scrape_run_id)"
 _PAGE_LISTS = " UNION ALL ".join([
     _page_list(
@@ -501,12 +509,12 @@ _SNAPSHOT_COLUMNS = f"{_LISTED}, stat_downloads, created_at"
 
 _OVER_HISTORY = {
     "latest_completed_run": "SELECT max(scrape_run_id) AS latest_run_id FROM done",
-    "run_by_id": "SELECT id, started_at, status FROM runs WHERE id = 7",
+    "run_by_id": f"SELECT * FROM ({_RUN_LOG}) WHERE id = 7",
     "snapshot_count": """
       SELECT r.id AS scrape_run_id, status, count(skill_id) AS snapshot_count
       FROM runs r LEFT JOIN snapshots s ON s.scrape_run_id = r.id GROUP BY ALL""",
     "last_runs": """
-      SELECT scrape_run_id, started_at, run_rank,
+      SELECT scrape_run_id, run_rank,
              CASE WHEN run_rank <= 3 THEN 'recent' ELSE 'prior' END AS bucket
       FROM ranked WHERE run_rank <= 6""",
     "current_entities": f"SELECT {_SNAPSHOT_COLUMNS} FROM cur",
@@ -551,7 +559,7 @@ _OVER_HISTORY = {
       SELECT count(*) FILTER (WHERE p.skill_id IS NULL) AS new_skills,
              count(*) FILTER (WHERE c.skill_id IS NULL) AS removed_skills,
              count(*) FILTER (WHERE p.skill_id IS NOT NULL AND c.skill_id IS NOT NULL AND (
-               {" OR ".join(f"c.{f} IS DISTINCT FROM p.{f}" for f in _TRACKED)})) AS changed_skills
+               {" OR ".join(f"c.{f} IS DISTINCT FROM p.{f}" for f in TRACKED_FIELDS)})) AS changed_skills
       FROM (SELECT * FROM snapshots WHERE scrape_run_id = 7) c
       FULL JOIN (SELECT * FROM snapshots WHERE scrape_run_id = 6) p ON c.skill_id = p.skill_id""",
     "platform_totals": _TOTALS,
@@ -660,13 +668,7 @@ _OVER_HISTORY = {
     "key_violations": """
       SELECT CAST(1 AS INTEGER) AS scrape_run_id, skill_id, count(*) AS rows
       FROM snapshots GROUP BY skill_id HAVING count(*) > 1""",
-    "ingest_run_log": f"""
-      SELECT r.id, r.status, CAST(coalesce(total_skills, 0) AS INTEGER) AS total_skills,
-             CAST(coalesce(new_skills, 0) AS INTEGER) AS new_skills,
-             CAST(coalesce(CASE WHEN previous_run_id IS NOT NULL THEN removed_skills END, 0)
-               AS INTEGER) AS removed_skills,
-             CAST(coalesce(changed_skills, 0) AS INTEGER) AS changed_skills
-      FROM runs r LEFT JOIN ({_DIFF_ALL}) d ON d.scrape_run_id = r.id""",
+    "ingest_run_log": _RUN_LOG,
     "ingest_snapshots": """
       SELECT scrape_run_id, skill_id, created_at, stat_downloads, owner_handle,
              '{"segment":"' || summary || '"}' AS tags

@@ -46,10 +46,7 @@ def queries() -> dict[str, Query]:
 
 # Runs
 _SHOWN = ("skill_id", "slug", "display_name", "owner_handle", "stat_downloads", "created_at")
-_queries["latest_completed_run"] = lambda s, d: runs.latest_completed(star_history(s, d).runs)
-_queries["run_by_id"] = lambda s, d: runs.get_run(star_history(s, d).runs, 7)
 _plain("snapshot_count", runs.snapshot_counts)
-_queries["last_runs"] = lambda s, d: runs.momentum_buckets(star_history(s, d).runs)
 _queries["current_entities"] = lambda s, d: runs.current(*star_history(s, d)).select(*_SHOWN)
 _queries["previous_entities"] = lambda s, d: runs.previous(*star_history(s, d)).select(*_SHOWN)
 
@@ -185,7 +182,7 @@ def flatten_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All runs as page documents in JSON text, parsed and flattened again."""
     pages = landed.pages(star_history(spark, sf_dir).snapshots)
     parsed = pages.select(
-        "run", F.from_json(F.to_json(F.struct("status", "value")), PAGE).alias("page")
+        "run", F.from_json(F.to_json(F.struct("cursor", "status", "value")), PAGE).alias("page")
     )
     items = parsed.select("run", F.explode("page.value.page").alias("item"))
     return page_source.flatten_items(items, F.col("run")).select(
@@ -264,6 +261,25 @@ def _load(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return spark.table(name), RunLog(spark, log_location).frame()
 
 
+@_query
+def latest_completed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the run log that the load job wrote, like the next two queries."""
+    return runs.latest_completed(_load(spark, sf_dir)[1])
+
+
+@_query
+def run_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.get_run(_load(spark, sf_dir)[1], 7).select(
+        "id", "status", "total_skills", "new_skills", "removed_skills", "changed_skills"
+    )
+
+
+@_query
+def last_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    newest = runs.momentum_buckets(_load(spark, sf_dir)[1])
+    return newest.select("scrape_run_id", "run_rank", "bucket")
+
+
 @_query
 def ingest_run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, log = _load(spark, sf_dir)

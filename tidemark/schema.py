@@ -18,6 +18,7 @@ RUNS = T.StructType([
 ])
 
 # History: one row per run and entity. The partition column comes last, as in the stored table.
+# The columns of the two stored tables.
 SNAPSHOTS = T.StructType([
     T.StructField("skill_id", T.StringType()),
     T.StructField("slug", T.StringType()),
@@ -50,32 +51,53 @@ SNAPSHOTS = T.StructType([
 _TEXT_MAP = T.MapType(T.StringType(), T.StringType())
 
 
-def _struct(text: str = "", number: str = "", **nested: T.DataType) -> T.StructType:
-    fields = [T.StructField(n, T.StringType()) for n in text.split()]
-    fields += [T.StructField(n, T.DoubleType()) for n in number.split()]
-    fields += [T.StructField(n, t) for n, t in nested.items()]
-    return T.StructType(fields)
+def _text(*names: str) -> list[T.StructField]:
+    return [T.StructField(n, T.StringType()) for n in names]
 
 
-# One catalogue item as it arrives; numbers arrive as JSON floats.
-ITEM = _struct(
-    "ownerHandle",
-    skill=_struct(
-        "_id slug displayName summary",
-        "createdAt updatedAt",
-        badges=_TEXT_MAP,
-        tags=_TEXT_MAP,
-        stats=_struct(number="downloads stars comments installsAllTime installsCurrent versions"),
+def _number(*names: str) -> list[T.StructField]:
+    return [T.StructField(n, T.DoubleType()) for n in names]
+
+
+def _nested(name: str, *fields: T.StructField) -> T.StructField:
+    return T.StructField(name, T.StructType(list(fields)))
+
+
+# One catalogue item as it arrives; numbers arrive as JSON floats.
+ITEM = T.StructType([
+    *_text("ownerHandle"),
+    _nested(
+        "skill",
+        *_text("_id", "slug", "displayName", "summary"),
+        *_number("createdAt", "updatedAt"),
+        T.StructField("badges", _TEXT_MAP),
+        T.StructField("tags", _TEXT_MAP),
+        _nested(
+            "stats",
+            *_number(
+                "downloads", "stars", "comments", "installsAllTime", "installsCurrent", "versions"
+            ),
+        ),
     ),
-    owner=_struct("_id handle displayName name image"),
-    latestVersion=_struct("_id version changelog changelogSource", "createdAt"),
-)
+    _nested("owner", *_text("_id", "handle", "displayName", "name", "image")),
+    _nested(
+        "latestVersion",
+        *_text("_id", "version", "changelog", "changelogSource"),
+        *_number("createdAt"),
+    ),
+])
 
-# One landed response page.
-PAGE = _struct(
-    "status",
-    value=_struct("nextCursor", hasMore=T.BooleanType(), page=T.ArrayType(ITEM)),
-)
+# One landed response page. `cursor` names the request it answers and is null for the first one;
+# the rest are fixed values of the response.
+PAGE = T.StructType([
+    *_text("cursor", "status"),
+    _nested(
+        "value",
+        *_text("nextCursor"),
+        T.StructField("hasMore", T.BooleanType()),
+        T.StructField("page", T.ArrayType(ITEM)),
+    ),
+])
 
 # The fields a diff compares.
 TRACKED_FIELDS = (

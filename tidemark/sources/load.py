@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from datetime import datetime, timezone
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,9 @@ from tidemark.sources.pages import check_keys, flatten_items, page_items
 from tidemark.sources.tables import HistoryTable, RunLog
 
 
+log = logging.getLogger(__name__)
+
+
 def utc_now() -> datetime:
     return datetime.now(timezone.utc).replace(tzinfo=None)
 
@@ -21,6 +26,10 @@ class DuplicateKeys(ValueError):
     """A run holds an entity twice or an entity without id."""
 
 
+class BadPage(ValueError):
+    """A landed page has a status other than 'success'."""
+
+
 def load_run(
     pages: DataFrame,
     history: HistoryTable,
@@ -33,36 +42,73 @@ def load_run(
 ) -> int:
     """Load one run and return its id.
 
-    The run becomes 'completed' with its size and its diff counts against the completed run before.
-    A bad page, a repeated key or any error makes it 'failed' and is raised; an empty catalogue
-    makes it 'failed' without writing. Rows of a failed run stay invisible, as queries use completed
-    runs.
-    `on_duplicate="drop"` keeps one row per repeated key and drops rows without one.
+    The run becomes 'completed' with its size and its diff counts against the completed run before
+    it; the counts of the completed run after it, if there is one, are taken anew. Rows are staged
+    and checked first, so a bad page, a repeated key, an empty catalogue or any error leaves a run
+    that was completed before as it was, and makes any other one 'failed'. All but the empty
+    catalogue are raised.
+
+    `on_duplicate="drop"` keeps of each repeated key the row updated last, and drops rows without a
+    key; how many rows went is logged.
     """
     states = run_log.states()
     run_id = run_log.start(clock(), run_id or max(states, default=0) + 1)
     try:
         rows = flatten_items(page_items(pages, on_bad_page), run_id)
         if on_duplicate == "drop":
-            rows = rows.where(F.col("skill_id").isNotNull()).dropDuplicates(["skill_id"])
-        history.replace_run(rows, run_id)
-        # Checked on the written rows: they are bucketed by entity, so this needs no shuffle of
-        # entities and the pages are parsed once.
-        written = check_keys(history.run(run_id)).first()
-        if written.rows == 0:
-            run_log.fail(run_id, clock())
-            return run_id
-        if written.bad_keys:
+            rows = _one_per_key(rows)
+        # The staged rows are bucketed by entity, so the check needs no shuffle of entities and the
+        # pages are parsed once.
+        staged = check_keys(_staged(history, rows, run_id)).first()
+        if staged.rows and staged.bad_keys:
             raise DuplicateKeys(
-                f"run {run_id}: {written.bad_keys} repeated or missing keys, such as "
-                f"{written.example!r}"
+                f"run {run_id}: {staged.bad_keys} repeated or missing keys, such as "
+                f"{staged.example!r}"
             )
+        if staged.rows == 0:
+            history.discard_run(run_id)
+            run_log.fail(run_id, clock())
+            return run_id
+        history.publish_run(run_id)
         completed = [i for i, status in states.items() if status == "completed" and i != run_id]
-        counts = {}
-        if completed:
-            counts = pair_counts(history.frame(), run_id, max(completed)).first().asDict()
-        run_log.complete(run_id, clock(), total_skills=written.rows, **counts)
+        before = max((i for i in completed if i < run_id), default=None)
+        after = min((i for i in completed if i > run_id), default=None)
+        counts = _counts(history, run_id, before) if before else {}
+        run_log.complete(run_id, clock(), total_skills=staged.rows, **counts)
+        if after:
+            run_log.recount(after, **_counts(history, after, run_id))
         return run_id
     except Exception:
+        history.discard_run(run_id)
         run_log.fail(run_id, clock())
         raise
+
+
+def _staged(history: HistoryTable, rows: DataFrame, run_id: int) -> DataFrame:
+    try:
+        return history.stage_run(rows, run_id)
+    except PySparkException as error:
+        if "USER_RAISED_EXCEPTION" in str(error):
+            raise BadPage(f"run {run_id}: {error}") from error
+        raise
+
+
+def _counts(history: HistoryTable, run_id: int, before: int) -> dict[str, int]:
+    return pair_counts(history.frame(), run_id, before).first().asDict()
+
+
+def _one_per_key(rows: DataFrame) -> DataFrame:
+    """The row updated last of each key, ties by all columns; counts what goes."""
+    columns = rows.columns
+    order = F.struct("updated_at", *[c for c in columns if c != "updated_at"])
+    best = (
+        rows.where("skill_id IS NOT NULL")
+        .groupBy("skill_id")
+        .agg(F.max_by(F.struct(*columns), order).alias("row"), F.count(F.lit(1)).alias("n"))
+    )
+    dropped = rows.agg(
+        F.count_if(F.col("skill_id").isNull()) + F.count("skill_id") - F.count_distinct("skill_id")
+    ).first()[0]
+    if dropped:
+        log.warning("%s rows with a repeated or missing key are left out", dropped)
+    return best.select("row.*")

@@ -29,11 +29,14 @@ class HistoryTable:
 
     Partitioning lets a query read only the runs it needs. Bucketing makes joins and aggregations by
     entity across runs free of shuffles. Entities are unique per run, so buckets are even; choose
-    `buckets` so that one run's bucket is about one file of convenient size.
+    `buckets` so that one run's bucket is about one file of convenient size. The number is stored
+    with the table: opening it with another one is refused, leaving it out takes the stored one, and
+    `rebucketed` copies the table to another number.
     """
 
-    def __init__(self, spark: SparkSession, name: str, location: str, buckets: int = 8):
-        self.spark, self.name, self.location, self.buckets = spark, name, location, buckets
+    def __init__(self, spark: SparkSession, name: str, location: str, buckets: int | None = None):
+        self.spark, self.name, self.location = spark, name, location
+        self.buckets = buckets = self._layout(buckets)
         columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in SNAPSHOTS)
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet "
@@ -43,6 +46,42 @@ class HistoryTable:
         if _exists(spark, location):
             spark.catalog.recoverPartitions(name)  # written by earlier sessions
 
+    def _layout(self, buckets: int | None) -> int:
+        """The stored number of buckets, stored now if the table is new."""
+        folder = f"{self.location}/_layout"
+        layout = self.spark.read.schema("buckets int")
+        stored = layout.json(folder).first() if self._has(folder) else None
+        if stored is None:
+            if buckets is None:
+                raise ValueError(f"no table at {self.location}: its number of buckets is needed")
+            if _exists(self.spark, self.location) and not self.spark.read.schema(
+                SNAPSHOTS
+            ).parquet(self.location).isEmpty():
+                raise ValueError(f"the rows at {self.location} have no stored number of buckets")
+            self.spark.range(1, numPartitions=1).select(F.lit(buckets).alias("buckets")).write.json(
+                folder
+            )
+            return buckets
+        if buckets not in (None, stored.buckets):
+            raise ValueError(
+                f"the table at {self.location} has {stored.buckets} buckets, not {buckets}"
+            )
+        return stored.buckets
+
+    def _path(self, folder: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _has(self, folder: str) -> bool:
+        files, path = self._path(folder)
+        return files.exists(path)
+
+    def rebucketed(self, name: str, location: str, buckets: int) -> HistoryTable:
+        """A copy of the table at another place with another number of buckets."""
+        copy = HistoryTable(self.spark, name, location, buckets)
+        copy.add_runs(self.frame())
+        return copy
+
     def frame(self) -> DataFrame:
         return self.spark.table(self.name)
 
@@ -50,18 +89,43 @@ class HistoryTable:
         """One task per bucket, so each run gets one file per bucket."""
         return snapshots.repartition(self.buckets, KEY)
 
-    def replace_run(self, snapshots: DataFrame, run_id: int) -> None:
-        """Write the rows of one run.
+    def stage_run(self, snapshots: DataFrame, run_id: int) -> DataFrame:
+        """Write the rows of one run beside the run, as partition -run_id, and return them.
 
-        The run's partition is overwritten, so repeating the write gives the same table. Empty input
-        writes nothing.
+        No completed run has a negative id, so staged rows are invisible to queries.
         """
+        if run_id < 1:
+            raise ValueError(f"run ids begin at 1, not {run_id}")
         data = [n for n in SNAPSHOTS.fieldNames() if n != PARTITION]
         self.spark.sql(
-            f"INSERT OVERWRITE TABLE {self.name} PARTITION ({PARTITION} = {int(run_id)}) "
+            f"INSERT OVERWRITE TABLE {self.name} PARTITION ({PARTITION} = {-int(run_id)}) "
             "SELECT * FROM {rows}",
             rows=self._laid_out(snapshots.select(*data)),
         )
+        return self.run(-run_id)
+
+    def publish_run(self, run_id: int) -> None:
+        """Put the staged rows in the place of the run's rows, if it had any."""
+        files, staged = self._path(f"{self.location}/{PARTITION}={-run_id}")
+        _, place = self._path(f"{self.location}/{PARTITION}={run_id}")
+        files.delete(place, True)
+        if not files.rename(staged, place):
+            raise OSError(f"cannot move {staged} to {place}")
+        self._forget(-run_id)
+        self.spark.sql(f"ALTER TABLE {self.name} ADD IF NOT EXISTS PARTITION ({PARTITION} = {run_id})")
+        self.spark.catalog.refreshTable(self.name)
+
+    def discard_run(self, run_id: int) -> None:
+        """Remove staged rows."""
+        files, staged = self._path(f"{self.location}/{PARTITION}={-run_id}")
+        files.delete(staged, True)
+        self._forget(-run_id)
+        self.spark.catalog.refreshTable(self.name)
+
+    def _forget(self, partition: int) -> None:
+        self.spark.sql(
+            f"ALTER TABLE {self.name} DROP IF EXISTS PARTITION ({PARTITION} = {partition})"
+        )
 
     def add_runs(self, snapshots: DataFrame) -> None:
         """Append rows of several runs at once."""
@@ -74,6 +138,8 @@ class HistoryTable:
 
 _EVENT = T.StructType([
     T.StructField("id", T.IntegerType()),
+    T.StructField("attempt", T.IntegerType()),
+    T.StructField("seq", T.IntegerType()),
     T.StructField("at", T.TimestampNTZType()),
     T.StructField("status", T.StringType()),
     T.StructField("total_skills", T.IntegerType()),
@@ -84,26 +150,34 @@ _EVENT = T.StructType([
 
 
 class RunLog:
-    """Run log as appended status events; a run's state is its last event.
+    """Run log as appended status events.
 
-    Files are never rewritten, so readers see a consistent log at any time. Two events per run keep
-    the log tiny.
+    Events of a run are numbered, and each belongs to an attempt to load it. A run's state is the
+    last event of its last completed attempt, or of its last attempt if none is completed: a reload
+    that fails, or is still going on, leaves a completed run as it was. Files are never rewritten,
+    so readers see a consistent log at any time.
     """
 
     def __init__(self, spark: SparkSession, location: str):
         self.spark, self.location = spark, location
         spark.createDataFrame([], _EVENT).write.mode("ignore").parquet(location)
 
+    def _events(self) -> DataFrame:
+        return self.spark.read.schema(_EVENT).parquet(self.location)
+
     def frame(self) -> DataFrame:
         """One row per run with the columns of `schema.RUNS`."""
-        events = self.spark.read.schema(_EVENT).parquet(self.location)
         ended = F.col("status") != "running"
-        order = F.struct(F.col("at"), ended.alias("ended"))
+        order = F.struct((F.col("status") == "completed").alias("completed"), "attempt", "seq")
         details = [f.name for f in _EVENT if f.name != "id"]
-        runs = events.groupBy("id").agg(
-            F.max(F.when(~ended, F.col("at"))).alias("started_at"),
+        started = F.map_from_entries(
+            F.collect_set(F.when(~ended, F.struct("attempt", "at")))
+        )  # a few attempts per run
+        runs = self._events().groupBy("id").agg(
+            started.alias("started"),
             F.max_by(F.struct(*details), order).alias("last"),
         )
+        started_at = F.try_element_at("started", F.col("last.attempt"))
         finished = F.when(F.col("last.status") != "running", F.col("last.at"))
 
         def number(name: str):
@@ -111,34 +185,44 @@ class RunLog:
 
         state = runs.select(
             "id",
-            "started_at",
+            started_at.alias("started_at"),
             finished.alias("finished_at"),
             number("total_skills"),
             F.col("last.status").alias("status"),
-            seconds_between(F.col("started_at"), finished).alias("duration_secs"),
+            seconds_between(started_at, finished).alias("duration_secs"),
             number("new_skills"),
             number("removed_skills"),
             number("changed_skills"),
         )
         return state.select(*RUNS.fieldNames())
 
-    def _append(self, run_id: int, status: str, at: datetime, **counts: int) -> None:
-        values = {"id": F.lit(run_id), "at": instant(at), "status": F.lit(status)}
+    def _append(self, run_id: int, status: str, at: datetime, new_attempt: bool = False, **counts: int) -> None:
+        last = self._events().where(F.col("id") == run_id).agg(
+            F.coalesce(F.max("attempt"), F.lit(0)).alias("attempt"),
+            F.coalesce(F.max("seq"), F.lit(0)).alias("seq"),
+        )
+        values = {
+            "id": F.lit(run_id),
+            "attempt": F.col("attempt") + int(new_attempt),
+            "seq": F.col("seq") + 1,
+            "at": instant(at),
+            "status": F.lit(status),
+        }
         values |= {name: F.lit(n) for name, n in counts.items()}
-        event = self.spark.range(1, numPartitions=1).select(*[
+        event = last.select(*[
             values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in _EVENT
         ])
         event.write.mode("append").parquet(self.location)
 
     def states(self) -> dict[int, str]:
-        """Status by run id; the log has two small rows per run."""
+        """Status by run id; the log has a few small rows per run."""
         return {r.id: r.status for r in self.frame().select("id", "status").collect()}
 
     def start(self, at: datetime, run_id: int | None = None) -> int:
-        """Open a run and return its id: the next free one unless given."""
+        """Open an attempt to load a run and return its id: the next free one unless given."""
         if run_id is None:
             run_id = max(self.states(), default=0) + 1
-        self._append(run_id, "running", at)
+        self._append(run_id, "running", at, new_attempt=True)
         return run_id
 
     def complete(
@@ -161,6 +245,13 @@ class RunLog:
             changed_skills=changed_skills,
         )
 
+    def recount(self, run_id: int, **counts: int) -> None:
+        """Replace the diff counts of a completed run; its times and size stay."""
+        state = self.frame().where(F.col("id") == run_id).first()
+        self._append(
+            run_id, "completed", state.finished_at, total_skills=state.total_skills, **counts
+        )
+
     def fail(self, run_id: int, at: datetime) -> None:
         self._append(run_id, "failed", at)
 

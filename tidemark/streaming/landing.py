@@ -1,6 +1,6 @@
 """Incremental load of landed pages with Structured Streaming.
 
-Pages land as `<landing>/run=<id>/*.json`. Each trigger loads every run whose last page has arrived.
+Pages land as `<landing>/run=<id>/*.json`. Each trigger loads every run whose pages have all arrived.
 """
 
 from __future__ import annotations
@@ -10,11 +10,12 @@ from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.schema import PAGE
-from tidemark.sources.load import load_run, utc_now
+from tidemark.sources.load import BadPage, DuplicateKeys, load_run, utc_now
 from tidemark.sources.pages import read_pages
 from tidemark.sources.tables import HistoryTable, RunLog
 
@@ -33,16 +34,13 @@ def _load_arrived(
     on_duplicate: str,
 ) -> None:
     # A micro-batch may hold only some of a run's pages, so a run is always loaded from all its
-    # landed pages, overwriting its partition. Replaying a batch changes nothing.
+    # landed pages, overwriting its partition. Replaying a batch changes nothing, and pages that
+    # arrive for a completed run load it again.
     touched = [r.run for r in batch.select("run").distinct().collect()]
-    last_page = "NOT coalesce(value.hasMore, false) OR value.nextCursor IS NULL"
     folders = [f"{landing}/run={run}" for run in touched]
     arrived = history.spark.read.schema(LANDED).option("basePath", landing).json(folders)
-    complete = [r.run for r in arrived.where(last_page).select("run").distinct().collect()]
-    states = run_log.states()
-    for run in sorted(complete):
-        if states.get(run) == "completed":
-            continue
+    ready = [r.run for r in ready_runs(arrived, on_bad_page).collect()]
+    for run in sorted(ready):
         try:
             load_run(
                 read_pages(history.spark, f"{landing}/run={run}"),
@@ -53,12 +51,41 @@ def _load_arrived(
                 on_bad_page=on_bad_page,
                 on_duplicate=on_duplicate,
             )
-        except Exception:
-            # The run log says 'failed'. One bad run must not keep later runs out, and raising here
-            # would replay the batch for ever; new pages for the run load it again.
+        except (BadPage, DuplicateKeys):
+            # The data is at fault and the run log says 'failed'. One bad run must not keep later
+            # runs out; new pages for it load it again. Anything else is raised, and the batch is
+            # run again.
             log.exception("run %s failed", run)
 
 
+def ready_runs(arrived: DataFrame, on_bad_page: str = "fail") -> DataFrame:
+    """Runs whose chain of pages is whole: the first page, the last one, and every page that another
+    names as its successor. Column: run.
+
+    A page says by `cursor` which request it answers; the first has none. A page with an error names
+    no successor and is never the last one. If pages with errors are kept, the page behind each may
+    be one that no other names; if they fail a run, a run with one is ready to fail.
+    """
+    good = F.col("status").eqNullSafe("success")
+    more = good & F.coalesce(F.col("value.hasMore"), F.lit(False)) & F.col("value.nextCursor").isNotNull()
+    cursors = F.when(F.col("cursor").isNotNull(), F.col("cursor"))
+    pages = arrived.groupBy("run").agg(
+        F.count_if(F.col("cursor").isNull()).alias("firsts"),
+        F.count_if(good & ~more).alias("lasts"),
+        F.count_if(~good).alias("errors"),
+        # A run's catalogue has a bounded number of pages; cursors are short.
+        F.collect_set(cursors).alias("landed"),
+        F.collect_set(F.when(more, F.col("value.nextCursor"))).alias("named"),
+    )
+    whole = (
+        "firsts > 0 AND lasts > 0 AND size(array_except(named, landed)) = 0"
+        " AND size(array_except(landed, named)) <= errors"
+    )
+    if on_bad_page == "fail":
+        whole = f"errors > 0 OR ({whole})"
+    return pages.where(whole).select("run")
+
+
 def ingest_stream(
     spark: SparkSession,
     landing: str,
