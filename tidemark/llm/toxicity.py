@@ -1,9 +1,10 @@
 """Toxicity of texts by a linear classifier that swaps of identity terms may hardly move.
 
-A text is the set of its words. Words that tell toxic from other labelled texts are features of a
-logistic regression. Where a labelled text names a group, a counterfactual text names another one
-instead; the squared change of the raw score between the two is added to the loss. So terms that
-only occur near toxic words don't become toxic themselves, and neutral mentions stay neutral.
+A text is the density of its words and of their beginnings. Those that tell toxic from other labelled
+texts are features of a logistic regression. Where a labelled text names a group, a counterfactual
+text names another one instead; the squared change of the raw score between the two is added to the
+loss. So terms that only occur near toxic words don't become toxic themselves, and neutral mentions
+stay neutral.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.textbytes import Block, blocks, fingerprints
+from tidemark.llm.textbytes import Block, blocks, fingerprints, multiset
 
 # Terms of one line may replace each other.
 IDENTITY_TERMS = [
@@ -32,13 +33,16 @@ IDENTITY_TERMS = [
     ["blind", "deaf", "disabled"],
     ["old", "young"],
 ]
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 4_000
 FEATURES = 2_000
-# Occurrences in labelled texts and standard deviations that make a word a feature.
+# Occurrences in labelled texts and standard deviations that make a feature.
 LEAST_ROWS, LEAST_Z = 3, 5.0
-RIDGE, SWAP_PENALTY = 1e-3, 1.0
-STEPS = 400
+RIDGE, SWAP_PENALTY = 3e-5, 1.0
+STEPS = 800
 THRESHOLD = 0.7
+# Beginnings of so many bytes are features too, and the density of one is taken over so many words
+# at least.
+BEGINNINGS, LEAST_WORDS = (5, 6, 8), 20
 
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -47,17 +51,31 @@ _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = _LETTER[128:] = True
 
 
-def _word_codes(block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprint and text of every run of letters, ASCII letters in lower case."""
+def _counted(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Features of each text: text, fingerprint and number, by text; and the words of each text.
+
+    Words are runs of letters, ASCII letters in lower case.
+    """
     lower = Block(_LOWER[block.data], block.offsets)
     starts, ends, counts = lower.words(_LETTER)
-    codes = fingerprints(lower.sums(), starts, ends)
-    return codes, np.repeat(np.arange(len(counts)), counts)
+    sums = lower.sums()
+    owner = np.repeat(np.arange(len(counts)), counts)
+    codes, owners = [fingerprints(sums, starts, ends)], [owner]
+    for n in BEGINNINGS:
+        long = ends - starts > n
+        codes.append(fingerprints(sums, starts[long], starts[long] + n) ^ _U(n))
+        owners.append(owner[long])
+    codes, owner, number = multiset(np.concatenate(codes), np.concatenate(owners))
+    return owner, codes, number, counts
+
+
+def _densities(number: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return np.log1p(100 * number / np.maximum(words, LEAST_WORDS))
 
 
-def _code(word: str) -> int:
-    _, block = next(blocks(pa.array([word])))
-    return int(_word_codes(block)[0][0])
+def _codes(word: str) -> np.ndarray:
+    """Fingerprints of a word and of its beginnings."""
+    return _counted(next(blocks(pa.array([word])))[1])[1]
 
 
 @dataclass(frozen=True)
@@ -72,30 +90,32 @@ class Model:
         out = np.full(len(block.sizes), self.bias)
         if not len(self.words):
             return out
-        codes, owner = _word_codes(block)
+        owner, codes, number, counts = _counted(block)
         at = np.searchsorted(self.words, codes)
         at[at == len(self.words)] = 0
         hit = self.words[at] == codes
-        pairs = np.unique(owner[hit] * len(self.words) + at[hit])
-        np.add.at(out, pairs // len(self.words), self.weights[pairs % len(self.words)])
+        at, owner = at[hit], owner[hit]
+        np.add.at(out, owner, self.weights[at] * _densities(number[hit], counts[owner]))
         return out
 
 
 def _bags(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at, block in blocks(batch.column(1)):
-            codes, owner = _word_codes(block)
-            order = np.lexsort((codes, owner))
-            codes, owner = codes[order], owner[order]
-            new = np.ones(len(codes), bool)
-            new[1:] = (codes[1:] != codes[:-1]) | (owner[1:] != owner[:-1])
-            sizes = np.bincount(owner[new], minlength=len(block.sizes))
-            words = pa.ListArray.from_arrays(
-                pa.array(np.append(0, np.cumsum(sizes)), pa.int32()),
-                pa.array(codes[new].view(np.int64)),
-            )
+            owner, codes, number, counts = _counted(block)
+            offsets = np.searchsorted(owner, np.arange(len(counts) + 1))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(at, len(sizes)), words], names=["label", "words"]
+                [
+                    batch.column(0).slice(at, len(counts)),
+                    pa.ListArray.from_arrays(
+                        pa.array(offsets, pa.int32()), pa.array(codes.view(np.int64))
+                    ),
+                    pa.ListArray.from_arrays(
+                        pa.array(offsets, pa.int32()),
+                        pa.array(_densities(number, counts[owner]).astype(np.float32)),
+                    ),
+                ],
+                names=["label", "codes", "densities"],
             )
 
 
@@ -122,59 +142,80 @@ def fit(
     if n > sample_rows:
         cut = int(1.05 * sample_rows / n * (1 << 30))
         drawn = drawn.where(F.col("mark").bitwiseAND(F.lit((1 << 30) - 1)) < cut)
-    bags = drawn.select("label", "text").mapInArrow(_bags, "label int, words array<long>")
+    bags = drawn.select("label", "text").mapInArrow(
+        _bags, "label int, codes array<long>, densities array<float>"
+    )
     sample = bags.limit(sample_rows).toArrow().combine_chunks()
     if not len(sample):
         return Model(np.zeros(0, _U), np.zeros(0), -np.inf)
     label = sample.column("label").to_numpy().astype(float)
-    lists = sample.column("words").combine_chunks()
-    sizes = np.diff(lists.offsets.to_numpy())
-    codes = lists.flatten().to_numpy().view(_U)
-    owner = np.repeat(np.arange(len(label)), sizes)
-    return _train(codes, owner, label, swap_penalty, identity_terms)
+    lists = sample.column("codes").combine_chunks()
+    owner = np.repeat(np.arange(len(label)), np.diff(lists.offsets.to_numpy()))
+    density = sample.column("densities").combine_chunks().flatten().to_numpy()
+    return _train(
+        lists.flatten().to_numpy().view(_U), owner, density, label, swap_penalty, identity_terms
+    )
 
 
-def _train(codes, owner, label, swap_penalty, identity_terms) -> Model:
-    n, share = len(label), label.mean()
-    if share in (0.0, 1.0):
-        return Model(np.zeros(0, _U), np.zeros(0), -20.0 if share == 0 else 20.0)
-    words, which = np.unique(codes, return_inverse=True)
+def _chosen(codes, owner, label) -> np.ndarray:
+    """Features whose presence differs most between toxic and other texts."""
+    found, which = np.unique(codes, return_inverse=True)
+    share = label.mean()
     seen = np.bincount(which)
     toxic = np.bincount(which, label[owner])
-    z = (toxic - seen * share) / np.sqrt(seen * share * (1 - share) * (1 - seen / (n + 1)) + 1e-9)
-    terms = [np.array([_code(t) for t in line], _U) for line in identity_terms]
-    strength = np.where((seen >= LEAST_ROWS) & (np.abs(z) >= LEAST_Z), np.abs(z), 0.0)
-    chosen = np.sort(np.argsort(-strength, kind="stable")[:FEATURES])
-    chosen = words[chosen[strength[chosen] > 0]]
-    chosen = np.union1d(chosen, np.concatenate(terms)) if terms else chosen
+    spread = seen * share * (1 - share) * (1 - seen / (len(label) + 1))
+    z = np.abs(toxic - seen * share) / np.sqrt(spread + 1e-9)
+    strength = np.where((seen >= LEAST_ROWS) & (z >= LEAST_Z), z, 0.0)
+    best = np.argsort(-strength, kind="stable")[:FEATURES]
+    return found[np.sort(best[strength[best] > 0])]
+
+
+def _swaps(lines, chosen, cols, density) -> tuple[np.ndarray, np.ndarray]:
+    """Change of the features by each swap of a term, and how much the texts' mentions weigh.
 
+    Each mention of a term in a text is swapped for every other term of its line in turn.
+    """
+    mentions = np.bincount(cols, density.astype(float) ** 2, len(chosen))
+    changes, weights = [], []
+    for line in lines:
+        parts = [np.searchsorted(chosen, _codes(t)) for t in line]
+        words = [np.searchsorted(chosen, _word(t)) for t in line]
+        for a, place in enumerate(words):
+            for b in range(len(line)):
+                if a != b and mentions[place]:
+                    change = np.zeros(len(chosen))
+                    change[parts[b]] += 1
+                    change[parts[a]] -= 1
+                    changes.append(change)
+                    weights.append(mentions[place] / (len(line) - 1))
+    return np.array(changes).reshape(-1, len(chosen)), np.array(weights)
+
+
+def _word(term: str) -> np.uint64:
+    """Fingerprint of the word itself."""
+    _, block = next(blocks(pa.array([term])))
+    return fingerprints(block.sums(), np.array([0]), np.array([len(block.data)]))[0]
+
+
+def _train(codes, owner, density, label, swap_penalty, identity_terms) -> Model:
+    n, share = len(label), label.mean()
+    if share in (0.0, 1.0):
+        return Model(np.zeros(0, _U), np.zeros(0), -20.0 if share == 0 else 20.0)
+    terms = [t for line in identity_terms for t in line]
+    chosen = np.unique(np.concatenate([_chosen(codes, owner, label), *[_codes(t) for t in terms]]))
     at = np.searchsorted(chosen, codes)
     at[at == len(chosen)] = 0
     hit = chosen[at] == codes
-    rows, cols = owner[hit], at[hit]
-    # Swaps: each mention of a term in a text, against every other term of its line. A swap for a
-    # term that the text has already only removes one.
-    mentions = np.bincount(cols, minlength=len(chosen))
-    swaps = []
-    for line in terms:
-        place = np.searchsorted(chosen, line)
-        swaps += [
-            (a, b, mentions[a] / (len(place) - 1))
-            for a in place
-            for b in place
-            if a != b and mentions[a]
-        ]
-    left, right = (np.array([s[k] for s in swaps], np.int64) for k in (0, 1))
-    times = np.array([s[2] for s in swaps], float)
+    rows, cols, value = owner[hit], at[hit], density[hit]
+    changes, times = _swaps(identity_terms, chosen, cols, value)
 
     weights, bias = np.zeros(len(chosen)), float(np.log(share / (1 - share)))
     first, second = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     for step in range(1, STEPS + 1):
-        logit = bias + np.bincount(rows, weights[cols], n)
+        logit = bias + np.bincount(rows, weights[cols] * value, n)
         error = (1 / (1 + np.exp(-logit)) - label) / n
-        change = 2 * swap_penalty * times * (weights[left] - weights[right]) / n
-        slope = np.bincount(cols, error[rows], len(chosen)) + RIDGE * weights
-        slope += np.bincount(left, change, len(chosen)) - np.bincount(right, change, len(chosen))
+        slope = np.bincount(cols, error[rows] * value, len(chosen)) + RIDGE * weights
+        slope += 2 * swap_penalty / n * ((times * (changes @ weights)) @ changes)
         slope = np.append(slope, error.sum())
         first = 0.9 * first + 0.1 * slope
         second = 0.99 * second + 0.01 * slope**2
