@@ -115,7 +115,7 @@ def _sized(documents: DataFrame, seed: int, carry: bool) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.size(words("text")).cast("long").alias("size"),
-        F.xxhash64(F.col("doc_id").cast("long"), F.lit(seed)).alias("mark"),
+        F.xxhash64(F.col("doc_id").cast("long"), "text", F.lit(seed)).alias("mark"),
         *([F.struct("*").alias("document")] if carry else []),
     )
 
@@ -174,7 +174,7 @@ def mix(
     the extra blocks: start, block_size, n_blocks, picked, phase. `taken` = epochs x size + extra
     words; no row gives more than twice its size. With `carry` the struct `document` holds the whole
     row. A null source is a source, the last one. A null text has size 0 and gives nothing. Rows
-    with the same doc_id are separate documents; if they also have the same size they are
+    with the same doc_id are separate documents; if they also have the same text they are
     interchangeable. The same input and seed give the same result.
     """
     sizes = stored(_sized(documents, seed, False))

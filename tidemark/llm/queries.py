@@ -85,7 +85,8 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = _table(spark, sf_dir, "labels").selectExpr("doc_id", "toxic AS label")
-    model = toxicity.fit(documents.join(labels, "doc_id").where(~_held_out(3, 1)))
+    drawn = toxicity.draw(labels.where(~_held_out(3, 1)))
+    model = toxicity.fit(documents.join(F.broadcast(drawn), "doc_id"))
     found = toxicity.score(documents, model)
     return found.select("document.doc_id", "score", "predicted").withColumn(
         "held_out", _held_out(3, 1)

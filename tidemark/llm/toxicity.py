@@ -119,6 +119,20 @@ def _bags(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def draw(labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """At most `sample_rows` rows of `labels` (label and keys), drawn by a fingerprint of the row.
+
+    So few rows can be broadcast to the texts they belong to. Labels other than 0 and 1 are left out.
+    """
+    rows = labels.where("label IN (0, 1)")
+    n = rows.count()
+    if n > sample_rows:
+        cut = int(1.05 * sample_rows / n * (1 << 30))
+        mark = F.xxhash64(*labels.columns, F.lit(2))
+        rows = rows.where(mark.bitwiseAND(F.lit((1 << 30) - 1)) < cut)
+    return rows.limit(sample_rows)
+
+
 def fit(
     labelled: DataFrame,
     *,
