@@ -55,19 +55,44 @@ class Mapping:
     roles: dict[str, str] = field(default_factory=dict)
 
 
-_SPEAKERS = {"human": "user", "gpt": "assistant", "prompter": "user", "bot": "assistant", "model": "assistant"}
+_SPEAKERS = {
+    "human": "user",
+    "prompter": "user",
+    "gpt": "assistant",
+    "bot": "assistant",
+    "model": "assistant",
+}
+
+
+def _question(name: str, asked: str, answered: str, *before: tuple[str, str]) -> Mapping:
+    return Mapping(name, (*before, ("user", asked), ("assistant", answered)))
+
+
+_FROM_VALUE = {"items": "conversations", "role": "from", "text": "value", "roles": _SPEAKERS}
 # Field paths of each layout, and its mapping.
 LAYOUTS: list[tuple[list[str], Mapping]] = [
     (["conv_id", "turn", "role", "text"], Mapping("turn_rows", rows=True, text="text")),
-    (["prompt", "response"], Mapping("prompt_response", (("user", "prompt"), ("assistant", "response")))),
-    (["prompt", "completion"], Mapping("prompt_completion", (("user", "prompt"), ("assistant", "completion")))),
-    (["question", "answer"], Mapping("question_answer", (("user", "question"), ("assistant", "answer")))),
-    (["instruction", "output"], Mapping("instruction", (("user", "instruction"), ("assistant", "output")))),
-    (["instruction", "input", "output"], Mapping("instruction_input", (("user", "instruction"), ("user", "input"), ("assistant", "output")))),
-    (["system", "instruction", "output"], Mapping("system_instruction", (("system", "system"), ("user", "instruction"), ("assistant", "output")))),
+    (["prompt", "response"], _question("prompt_response", "prompt", "response")),
+    (["prompt", "completion"], _question("prompt_completion", "prompt", "completion")),
+    (["question", "answer"], _question("question_answer", "question", "answer")),
+    (["instruction", "output"], _question("instruction", "instruction", "output")),
+    (
+        ["instruction", "input", "output"],
+        _question("instruction_input", "input", "output", ("user", "instruction")),
+    ),
+    (
+        ["system", "instruction", "output"],
+        _question("system_instruction", "instruction", "output", ("system", "system")),
+    ),
     (["messages[].role", "messages[].content"], Mapping("messages", items="messages")),
-    (["conversations[].from", "conversations[].value"], Mapping("from_value", items="conversations", role="from", text="value", roles=_SPEAKERS)),
-    (["system", "conversations[].from", "conversations[].value"], Mapping("system_from_value", (("system", "system"),), items="conversations", role="from", text="value", roles=_SPEAKERS)),
+    (
+        ["conversations[].from", "conversations[].value"],
+        Mapping("from_value", **_FROM_VALUE),
+    ),
+    (
+        ["system", "conversations[].from", "conversations[].value"],
+        Mapping("system_from_value", (("system", "system"),), **_FROM_VALUE),
+    ),
 ]
 
 

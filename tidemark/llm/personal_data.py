@@ -28,6 +28,8 @@ IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+
 # Wider patterns, per kind: spelled-out addresses, addresses of version 6, numbers in groups.
 WIDE = {
     "email": re.compile(
@@ -38,7 +40,8 @@ WIDE = {
     "ip": re.compile(r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![0-9A-Za-z:])"),
     "card": re.compile(r"(?<![0-9])[0-9]{4}(?:[. /][0-9]{4}){3}(?![0-9])"),
     "phone": re.compile(
-        r"(?<![0-9A-Za-z+.-])(?:00[0-9]{1,3}[ -]|\([0-9]{3}\) ?)[0-9]{2,4}(?:[ -][0-9]{2,4}){1,3}(?![0-9])"
+        r"(?<![0-9A-Za-z+.-])(?:00[0-9]{1,3}[ -]|\([0-9]{3}\) ?)"
+        r"[0-9]{2,4}(?:[ -][0-9]{2,4}){1,3}(?![0-9])"
     ),
 }
 _MAY_HOLD = re.compile(r"[0-9(\[{]")
@@ -78,7 +81,7 @@ def _emails(text: str) -> Iterator[re.Match]:
     start, at = 0, text.find("@")
     while at >= 0:
         left = at
-        while left > start and (text[left - 1].isascii() and (text[left - 1].isalnum() or text[left - 1] in "._%+-")):
+        while left > start and text[left - 1] in _LOCAL:
             left -= 1
         found = EMAIL.match(text, left) if left < at else None
         if found:
@@ -91,7 +94,8 @@ def _emails(text: str) -> Iterator[re.Match]:
 
 def _passes(kind: str, found: str) -> bool:
     if kind == "ip":
-        return all(int(x) <= 255 if len(x) < 10 else not x.strip("0") or int(x[-10:]) <= 255 and not x[:-10].strip("0") for x in found.split("."))
+        parts = [x.lstrip("0") for x in found.split(".")]
+        return all(len(x) <= 3 and int(x or 0) <= 255 for x in parts)
     digits = _digits(found)
     if kind == "card":
         return 16 <= len(digits) <= 19 and _luhn(digits)
