@@ -21,6 +21,8 @@ DICTIONARY_BYTES = 32 << 10
 # Rows per language whose passages may enter its dictionary, and characters taken from each.
 SAMPLE_ROWS, PASSAGE_CHARS = 200, 1000
 BLOCK_BYTES = 4096
+# Texts below the first are also compressed with slices of the second size.
+SHORT_BYTES, SLICE_BYTES = 200, 4096
 # Margin, as a share of the second smallest size, below which `rejected` is set.
 LEAST_MARGIN = 0.005
 
@@ -77,33 +79,47 @@ def dictionaries(
     return {k: v for k, v in sorted(out.items()) if v.strip()}
 
 
+def _compressor(content: bytes):
+    settings = zstandard.ZstdCompressionParameters.from_level(
+        6,
+        min_match=4,
+        strategy=zstandard.STRATEGY_LAZY2,
+        window_log=17,
+        write_checksum=False,
+        write_content_size=False,
+        write_dict_id=False,
+    )
+    words = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    words.precompute_compress(compression_params=settings)
+    return zstandard.ZstdCompressor(dict_data=words, compression_params=settings).compress
+
+
 class _Sizes:
-    """Compressed sizes of a text with every dictionary."""
+    """Compressed sizes of a text with every dictionary.
 
-    def __init__(self, contents: dict[str, bytes]) -> None:
-        self.by = {}
-        for lang, content in contents.items():
-            settings = zstandard.ZstdCompressionParameters.from_level(
-                6,
-                min_match=4,
-                strategy=zstandard.STRATEGY_LAZY2,
-                window_log=17,
-                write_checksum=False,
-                write_content_size=False,
-                write_dict_id=False,
-            )
-            words = zstandard.ZstdCompressionDict(
-                content, dict_type=zstandard.DICT_TYPE_RAWCONTENT
-            )
-            words.precompute_compress(compression_params=settings)
-            self.by[lang] = zstandard.ZstdCompressor(
-                dict_data=words, compression_params=settings
-            ).compress
+    Whole bytes tell little about a few words, so a short text is also compressed with each slice of
+    the dictionaries.
+    """
 
-    def __call__(self, text: str) -> list[tuple[int, str]]:
+    def __init__(self, contents: dict[str, bytes]) -> None:
+        self.whole = {lang: _compressor(content) for lang, content in contents.items()}
+        self.slices = {
+            lang: [
+                _compressor(content[i : i + SLICE_BYTES])
+                for i in range(0, len(content), SLICE_BYTES)
+            ]
+            for lang, content in contents.items()
+        }
+
+    def __call__(self, text: str) -> list[tuple[float, str]]:
         data = text.encode()
         cuts = [data[i : i + BLOCK_BYTES] for i in range(0, len(data), BLOCK_BYTES)]
-        return sorted((sum(len(f(x)) for x in cuts), lang) for lang, f in self.by.items())
+        sizes = {lang: sum(len(f(x)) for x in cuts) for lang, f in self.whole.items()}
+        if len(data) < SHORT_BYTES:
+            inner = b" " + data + b" "
+            for lang, parts in self.slices.items():
+                sizes[lang] += sum(len(f(inner)) for f in parts) / len(parts)
+        return sorted((n, lang) for lang, n in sizes.items())
 
 
 def identify(
