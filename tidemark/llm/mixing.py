@@ -85,21 +85,13 @@ def apportion(rows: DataFrame, within: list[str], claim: str, seats: str, order:
         "_low": F.greatest(seated(f"{seats} - _n / 2 - 1"), F.lit(0)),
         "_high": seated(f"{seats} + _n / 2 + 1"),
     })
-    key = [F.col(c) for c in within] + order
+    rows = rows.withColumn("_sure", F.sum("_low").over(group))
     open_ = rows.where("_high > _low").select(
         "*", F.explode(F.expr("sequence(_low, _high - 1)")).alias("_k")
     ).withColumn("_quotient", F.expr(f"{claim} / (2 * _k + 1)"))
-    low = rows.groupBy(*within).agg(F.sum("_low").alias("_sure"))
-    condition = " AND ".join(f"a.{c} <=> b.{c}" for c in within)
-    ranked = (
-        open_.alias("a")
-        .join(low.alias("b"), F.expr(condition))
-        .select("a.*", "_sure")
-        .withColumn(
-            "_rank", F.row_number().over(group.orderBy(F.desc("_quotient"), *order, F.asc("_k")))
-        )
-        .where(f"_rank <= {seats} - _sure")
-    )
+    ranked = open_.withColumn(
+        "_rank", F.row_number().over(group.orderBy(F.desc("_quotient"), *order, F.asc("_k")))
+    ).where(f"_rank <= {seats} - _sure")
     names = [c for c in rows.columns if not c.startswith("_")]
     return (
         rows.select(*names, F.col("_low").alias("quota"))
