@@ -25,9 +25,7 @@ END = 0
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 # Parts whose ids are remembered, and how many of them, the earliest, outlast a full memory.
-_REMEMBERED, _LASTING = 500_000, 200_000
-# Texts whose white space is single blanks and line feeds can be cut by plain replacement.
-_IRREGULAR = re.compile(r"\s\s|[^\S \n]|\0")
+_REMEMBERED, _LASTING = 700_000, 300_000
 _CUT = re.compile(r" (?=\S)")
 # A word of Latin letters and the marks behind it, which are a piece each.
 _WORD = re.compile(r"( ?[^\W\d_\u0250-\U0010ffff]+)([^\w\s'\u0250-\U0010ffff]*)")
@@ -88,6 +86,16 @@ def _parts(path: str) -> _Parts:
     return _Parts(path)
 
 
+def _regular(text: str) -> bool:
+    """Whether all white space is lone blanks and line feeds, so that plain replacement can cut.
+
+    Other white space and control characters count as not printable.
+    """
+    return text.replace("\n", "").isprintable() and not (
+        "  " in text or " \n" in text or "\n " in text or "\n\n" in text
+    )
+
+
 class _Encoder:
     """Ids of texts by the tokenizer file.
 
@@ -99,11 +107,11 @@ class _Encoder:
         self.parts = _parts(path)
 
     def __call__(self, text: str) -> np.ndarray:
-        if _IRREGULAR.search(text):
+        if _regular(text):
+            cut = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+        else:
             first, *rest = _CUT.split(text)
             cut = [first, *[" " + x for x in rest]]
-        else:
-            cut = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
         self.parts.trim()
         at = np.fromiter(map(self.parts.__getitem__, cut), np.int64, len(cut))
         ids, ends = np.frombuffer(self.parts.ids, np.uint32), np.frombuffer(self.parts.ends, np.int64)
