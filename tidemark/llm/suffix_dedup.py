@@ -179,7 +179,7 @@ def _samples(cover: _Cover, buckets: int) -> Callable:
         def rows():
             for batch in batches:
                 batch, dids, ties = _by_document(batch)
-                for at, block in blocks(batch.column(2), BLOCK_BYTES):
+                for at, block in blocks(batch.column(2), BLOCK_BYTES // 2):
                     n = len(block.sizes)
                     yield from of(block, dids[at : at + n], ties[at : at + n])
 
@@ -308,7 +308,7 @@ def _strings(cover: _Cover, buckets: int) -> Callable:
             for batch in batches:
                 batch, dids, ties = _by_document(batch)
                 settled, open_ = batch.column(3), batch.column(4)
-                for at, block in blocks(batch.column(2), BLOCK_BYTES):
+                for at, block in blocks(batch.column(2), BLOCK_BYTES // 2):
                     parts = []
                     for k, size in enumerate(block.sizes):
                         marks, done = _words(open_[at + k].as_py()), _words(settled[at + k].as_py())
@@ -360,7 +360,7 @@ def _remove(cover: _Cover) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, samples, strings = batch.column(0), batch.column(2), batch.column(3)
-            for at, block in blocks(batch.column(1)):
+            for at, block in blocks(batch.column(1), BLOCK_BYTES // 2):
                 rows = []
                 for k, (a, b) in enumerate(zip(block.offsets, block.offsets[1:])):
                     row = one(
