@@ -3,10 +3,11 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from tokenizers import Tokenizer
+from tokenizers import AddedToken, Tokenizer
 
+import corpus_pipeline
 from tests.llm.frames import documents, prose, rows
-from tidemark.llm import token_files
+from tidemark.llm import queries, token_files
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TEXTS = [
@@ -56,3 +57,34 @@ def test_repeated_ids_and_empty_table(spark):
     assert [r[0] for r in out] == [0, 1, 1, 1] and sorted(r[1] for r in out)[:2] == [0, 1]
     assert sum(r[2] for r in out) == 1 + 2 + 2 + 3
     assert token_files.token_files(df.limit(0), PATH).count() == 0
+
+
+@pytest.mark.parametrize(
+    "added", [[], ["<|end", "<|endoftext|><|"], [AddedToken("<|pad|>", lstrip=True, special=True)]]
+)
+def test_added_tokens_as_a_tokenizer_at_its_defaults(tmp_path, added):
+    """The second list has tokens that overlap, the third one that takes blanks with it."""
+    default = Tokenizer.from_file(PATH)
+    default.add_special_tokens(added)
+    path = str(tmp_path / "tokenizer.json")
+    default.save(path)
+    encoder = token_files._Encoder(path, encode_special_tokens=False)
+    held = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "<|end <|endoftext|><|x", "q  <|pad|> z\n"]
+    for text in TEXTS + held:
+        want = default.encode(text, add_special_tokens=False).ids
+        assert encoder(text).tolist() == want, text
+
+
+def test_query_and_stage_know_added_tokens(spark, tmp_path):
+    default = Tokenizer.from_file(PATH)
+    texts = [(1, "a <|endoftext|> b"), (2, "c")]
+    documents(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    stage = corpus_pipeline.write_tokens(spark, documents(spark, texts), "")
+    query = queries.op8_token_files(spark, str(tmp_path))
+    want, start = [], 0
+    for doc_id, text in texts:
+        found = ids(default, text)
+        want.append((doc_id, start, len(found), zlib.crc32(np.array(found, "<u4").tobytes())))
+        start += len(found)
+    for df in (stage, query):
+        assert rows(df, "doc_id", "start", "n_tokens", "ids_crc32") == want

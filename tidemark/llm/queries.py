@@ -62,7 +62,8 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.token_files(_table(spark, sf_dir, "documents"), TOKENIZER)
+    documents = _table(spark, sf_dir, "documents")
+    return token_files.token_files(documents, TOKENIZER, encode_special_tokens=False)
 
 
 def _held_out(modulus: int, remainder: int):

@@ -47,6 +47,7 @@ class _Parts(dict):
         if tokenizer.normalizer is not None or type(tokenizer.pre_tokenizer).__name__ != "ByteLevel":
             raise ValueError("a byte-level tokenizer without normaliser is needed")
         self.pieces, self.model = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model.tokenize
+        self.tokenizer, self.added = tokenizer, tokenizer.get_added_tokens_decoder()
         self.ids, self.ends = array("I"), array("q", [0, 0])
         self[""] = 0
 
@@ -100,13 +101,40 @@ class _Encoder:
     """Ids of texts by the tokenizer file.
 
     A byte-level tokenizer begins a new piece at every blank before a visible character and at
-    every lone line feed, so a text may be cut there and its parts encoded one by one.
+    every lone line feed, so a text may be cut there and its parts encoded one by one. Before that,
+    it is split at the added tokens of the file, which have ids of their own.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, encode_special_tokens: bool = True) -> None:
         self.parts = _parts(path)
+        self.special_as_text = encode_special_tokens
+        added = {
+            k: t
+            for k, t in self.parts.added.items()
+            if t.content and not (encode_special_tokens and t.special)
+        }
+        self.ids = {t.content: np.array([k], np.uint32) for k, t in added.items()}
+        # The longest of several that begin at the same place is meant.
+        contents = sorted(self.ids, key=len, reverse=True)
+        self.added = re.compile(f"({'|'.join(map(re.escape, contents))})") if contents else None
+        # Tokens that take blanks with them or stand alone only, and two kinds, are left to the library.
+        self.plain = len({t.normalized for t in added.values()}) < 2 and not any(
+            t.lstrip or t.rstrip or t.single_word for t in added.values()
+        )
 
     def __call__(self, text: str) -> np.ndarray:
+        if self.added is None or not self.added.search(text):
+            return self._between(text)
+        if not self.plain:
+            self.parts.tokenizer.encode_special_tokens = self.special_as_text
+            whole = self.parts.tokenizer.encode(text, add_special_tokens=False)
+            return np.array(whole.ids, np.uint32)
+        # Every second section is an added token.
+        sections = enumerate(self.added.split(text))
+        return np.concatenate([self.ids[x] if k % 2 else self._between(x) for k, x in sections if x])
+
+    def _between(self, text: str) -> np.ndarray:
+        """Ids of a text without added tokens."""
         if _regular(text):
             cut = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
         else:
@@ -121,9 +149,9 @@ class _Encoder:
         return ids[np.arange(sizes.sum()) + np.repeat(skip, sizes)]
 
 
-def _encode(path: str):
+def _encode(path: str, encode_special_tokens: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _Encoder(path)
+        encoder = _Encoder(path, encode_special_tokens)
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
             at = 0
@@ -154,6 +182,7 @@ def write_tokens(
     folder: str,
     tokenizer: str,
     *,
+    encode_special_tokens: bool = True,
     row_group_bytes: int = ROW_GROUP_BYTES,
     page_bytes: int = PAGE_BYTES,
 ) -> None:
@@ -163,6 +192,10 @@ def write_tokens(
     that order. The text is shuffled once, before it is encoded. Id 0 ends every document, also an
     empty or null text, which has no other id. Null doc_ids come first, rows with the same doc_id
     stay side by side, and rows that repeat altogether are all written. Other columns are ignored.
+
+    `encode_special_tokens` is that of the tokenizers library: if set, a special token that a text
+    spells out, like <|endoftext|>, is encoded as any other text; if not, as its own id, which is what
+    a tokenizer left at its defaults does.
     """
     keyed = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
@@ -171,7 +204,7 @@ def write_tokens(
         F.asc_nulls_first("doc_id"), "tie"
     )
     rows = ordered.select("doc_id", "text").mapInArrow(
-        _encode(tokenizer), "doc_id long, n_tokens long, tokens array<int>"
+        _encode(tokenizer, encode_special_tokens), "doc_id long, n_tokens long, tokens array<int>"
     )
     (
         rows.select(F.spark_partition_id().alias("shard"), "*")
@@ -229,15 +262,17 @@ def read_checksums(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def token_files(documents: DataFrame, tokenizer: str) -> DataFrame:
+def token_files(
+    documents: DataFrame, tokenizer: str, *, encode_special_tokens: bool = True
+) -> DataFrame:
     """Write the token files of `documents` to a shared folder and describe them from what is read.
 
     Columns: doc_id, start, n_tokens, ids_crc32 (of all ids as little-endian unsigned 32-bit
-    integers). An empty table gives an empty result.
+    integers). An empty table gives an empty result. `encode_special_tokens` is as in `write_tokens`.
     """
     spark = documents.sparkSession
     folder = shared_folder(spark) + "/tokens"
-    write_tokens(documents, folder, tokenizer)
+    write_tokens(documents, folder, tokenizer, encode_special_tokens=encode_special_tokens)
     return (
         read_documents(spark, folder)
         .join(read_checksums(spark, folder), "place")
