@@ -73,6 +73,17 @@ def test_nulls_repeats_and_empty_table(spark):
     assert bag_minhash.keep_one(df.limit(0)).count() == 0
 
 
+def test_one_row_of_each_class_whatever_its_ids(spark):
+    """Two classes named by the same doc_id; near copies without any doc_id, next to another text."""
+    a, b, c, d = (prose(60, k) for k in (11, 12, 13, 14))
+    found = [(5, a), (5, b), (8, edited(a, [30])), (9, edited(b, [30]))]
+    bare = [(None, c), (None, c + " end"), (None, "end " + c), (None, d)]
+    kept = rows(bag_minhash.keep_one(documents(spark, found + bare)), "doc_id", "text")
+    assert [r for r in kept if r[0] is not None] == sorted([(5, a), (5, b)], key=repr)
+    texts = [r[1] for r in kept if r[0] is None]
+    assert len(texts) == 2 and d in texts and set(texts) < {t for _, t in bare}
+
+
 def test_components(spark):
     links = [(k, k + 1) for k in range(20)] + [(100, 50), (50, 70), (100, 70), (9, 9), (None, 3), (30, 30)]
     df = spark.createDataFrame(links, "a long, b long")

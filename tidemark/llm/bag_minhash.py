@@ -263,8 +263,14 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     class is its own doc_id, its text_id null. Texts without words, like texts of fewer than five
     words, are near-duplicates of equal ones only: the former of the same bytes, the latter of the
     same words. A null doc_id stays null and never names a class that has another id. Rows that
-    repeat altogether are all returned. Other columns are ignored.
+    repeat altogether are all returned. Other columns are ignored. Where a doc_id repeats with texts
+    that are no near-duplicates, the classes it names have the same class_id.
     """
+    return _classes(documents).drop("root")
+
+
+def _classes(documents: DataFrame) -> DataFrame:
+    """`near_duplicates` with `root`: a text_id that tells the classes apart, null for null texts."""
     rows = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
     )
@@ -298,7 +304,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         .select("text_id", "doc_id", F.coalesce("root", "text_id").alias("root"), "n_links")
     )
     classes = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    named_texts = rooted.join(classes, "root").select("text_id", "class_id", "n_links")
+    named_texts = rooted.join(classes, "root").select("text_id", "class_id", "n_links", "root")
     return (
         signed.select("doc_id", "text_id")
         .join(named_texts, "text_id")
@@ -307,10 +313,15 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
             "class_id",
             "text_id",
             F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+            "root",
         )
         .unionByName(
             rows.where("text IS NULL").selectExpr(
-                "doc_id", "doc_id AS class_id", "CAST(NULL AS string) AS text_id", "0L AS n_links"
+                "doc_id",
+                "doc_id AS class_id",
+                "CAST(NULL AS string) AS text_id",
+                "0L AS n_links",
+                "CAST(NULL AS string) AS root",
             )
         )
     )
@@ -320,20 +331,18 @@ def keep_one(documents: DataFrame) -> DataFrame:
     """`documents` with one row of each near-duplicate class: the one that names it.
 
     Of rows that repeat with the same doc_id and text one stays, and so does one of a class without
-    any doc_id. Rows with a null text all stay. All columns are kept.
+    any doc_id. Classes that a repeated doc_id names alike keep one each. Rows with a null text all
+    stay. All columns are kept.
     """
-    found = stored(near_duplicates(documents).where("text_id IS NOT NULL"))
+    found = stored(_classes(documents).where("text_id IS NOT NULL"))
     named = found.where("doc_id <=> class_id")
-    kept = named.groupBy("class_id").agg(F.min("text_id").alias("kept_text"))
+    # A class has one class_id, and may share it with others.
+    kept = named.groupBy("root", "class_id").agg(F.min("text_id").alias("kept_text"))
     rows = documents.select(
         F.struct("*").alias("document"),
         F.col("doc_id").cast("long").alias("id"),
         F.md5(F.col("text").cast("string")).alias("text_id"),
     )
-    # Classes without any doc_id are told apart by their texts alone.
-    kept = kept.where("class_id IS NOT NULL").unionByName(
-        named.where("class_id IS NULL").select("class_id", F.col("text_id").alias("kept_text"))
-    )
     texts = rows.join(kept, F.expr("id <=> class_id AND text_id = kept_text"), "left_semi")
     if not named.groupBy("doc_id", "text_id").count().where("count > 1").isEmpty():
         texts = texts.dropDuplicates(["id", "text_id"])
