@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tests.llm.frames import documents, rows
+from tests.llm.frames import documents, prose, rows
 from tidemark.llm import language
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -54,3 +54,12 @@ def test_little_to_learn_from(spark):
 def test_dictionaries_are_bounded(spark, corpus):
     contents = language.dictionaries(corpus, dictionary_bytes=500, sample_rows=3, passage_chars=100)
     assert all(0 < len(c) <= 500 for c in contents.values())
+
+
+def test_copies_change_no_dictionary(spark):
+    texts = [(k, prose(12, k), "en", None) for k in range(60)]
+    df = documents(spark, texts)
+    copies = df.where("doc_id = 0").crossJoin(spark.range(40_000).select(F.col("id").alias("copy")))
+    repeated = df.unionByName(copies.drop("copy"))
+    want = language.dictionaries(df, sample_rows=20)
+    assert want["en"] and language.dictionaries(repeated, sample_rows=20) == want

@@ -45,7 +45,8 @@ def dictionaries(
 
     At most `sample_rows` rows per language go to the driver, chosen by a fingerprint of their text,
     each with a passage of `passage_chars` at a place that the fingerprint chooses. Rows whose text
-    or lang is null, or whose text is empty, teach nothing. Repeated texts count once.
+    or lang is null, or whose text is empty, teach nothing. Repeated texts count once, also where
+    the share of the texts to draw is set, so copies change nothing.
     """
     place = f"1 + pmod(shiftright(mark, 8), greatest(length(text) - {passage_chars}, 0) + 1)"
     rows = (
@@ -53,7 +54,8 @@ def dictionaries(
         .where("lang IS NOT NULL AND text <> ''")
         .selectExpr("lang", "text", "xxhash64(text) AS mark")
     )
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    texts = rows.select("lang", "mark").distinct()
+    counts = {r[0]: r[1] for r in texts.groupBy("lang").count().collect()}
     if not counts:
         return {}
     # A little more than enough by chance, cut to the smallest marks afterwards.
