@@ -57,7 +57,8 @@ def test_dictionaries_are_bounded(spark, corpus):
 
 
 def test_copies_change_no_dictionary(spark):
-    texts = [(k, prose(12, k), "en", None) for k in range(60)]
+    letters = str.maketrans("0123456789", "abcdefghij")
+    texts = [(k, prose(12, k).translate(letters), "en", None) for k in range(60)]
     df = documents(spark, texts)
     copies = df.where("doc_id = 0").crossJoin(spark.range(40_000).select(F.col("id").alias("copy")))
     repeated = df.unionByName(copies.drop("copy"))
