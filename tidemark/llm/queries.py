@@ -16,6 +16,7 @@ from tidemark.llm import (
     language,
     mixing,
     personal_data,
+    sharding,
     suffix_dedup,
     token_files,
     toxicity,
@@ -156,3 +157,16 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
     )
     return found.select("doc_id", "item_id", "similarity", "start", "n_windows")
+
+
+@_query
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(_table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
