@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
+    alignment,
     bag_minhash,
     chat,
     decontaminate,
@@ -24,6 +25,7 @@ from tidemark.llm import (
 from tidemark.llm.oracles import oracle_sql
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 __all__ = ["oracle_sql", "queries"]
 
@@ -170,3 +172,10 @@ def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@_query
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_corpus(_table(spark, sf_dir, "documents"), TOKENIZER, PIECES).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
+    )
