@@ -129,6 +129,29 @@ SELECT d.doc_id, coalesce(class_id, d.doc_id) AS class_id
 FROM documents d LEFT JOIN named USING (text) LEFT JOIN classes USING (root)
 """
 
+OP11 = """
+WITH vectors AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+    CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  FROM vectors a, vectors b WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT * FROM scores WHERE same AND id <> anchor_id
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT p.anchor_id, p.id AS positive_id,
+  CAST(row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id) AS INTEGER) AS rank,
+  n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scores n ON n.anchor_id = p.anchor_id AND NOT n.same
+WHERE 80 * p.score <= 100 * n.score AND n.score <= p.score
+QUALIFY rank <= 5
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat": OP1, "op3_host_rules": _op3(), "op5_bag_minhash": OP5}
+    return {"op1_chat": OP1, "op3_host_rules": _op3(), "op5_bag_minhash": OP5, "op11_hard_negatives": OP11}

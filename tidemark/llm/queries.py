@@ -13,6 +13,7 @@ from tidemark.llm import (
     bag_minhash,
     chat,
     decontaminate,
+    hard_negatives,
     host_rules,
     language,
     mixing,
@@ -179,3 +180,13 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_corpus(_table(spark, sf_dir, "documents"), TOKENIZER, PIECES).select(
         "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
     )
+
+
+@_query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").select(
+        "vec_id",
+        F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)").alias("label"),
+        hard_negatives.quantised("embedding", 256).alias("vector"),
+    )
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
