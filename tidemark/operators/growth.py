@@ -59,27 +59,32 @@ def top_share(snapshots: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
-def _run_totals(snapshots: DataFrame, runs: DataFrame) -> DataFrame:
-    return (
-        snapshots.join(completed(runs), "scrape_run_id")
-        .groupBy("scrape_run_id", "started_at")
-        .agg(
-            F.count(F.lit(1)).alias("total_skills"),
-            F.sum("stat_downloads").alias("total_downloads"),
-            F.sum("stat_stars").alias("total_stars"),
-        )
+def rollup(snapshots: DataFrame) -> DataFrame:
+    """Totals of each run that has rows, with the columns of `schema.TOTALS`. Reads all runs.
+
+    The loads keep the same rows with the run log (`RunLog.totals`). Operators over run totals take
+    them as `totals`, and then read no history.
+    """
+    return snapshots.groupBy("scrape_run_id").agg(
+        F.count(F.lit(1)).alias("total_skills"),
+        F.sum("stat_downloads").alias("total_downloads"),
+        F.sum("stat_stars").alias("total_stars"),
     )
 
 
-def _runs_with_rows(snapshots: DataFrame, runs: DataFrame) -> DataFrame:
-    """Completed runs that have rows. Reads the partition column only."""
-    present = snapshots.select("scrape_run_id").distinct()
-    return completed(runs).join(present, "scrape_run_id", "left_semi")
+def _run_totals(snapshots: DataFrame, runs: DataFrame, totals: DataFrame | None) -> DataFrame:
+    """One row per completed run that has rows."""
+    known = rollup(snapshots) if totals is None else totals
+    return known.join(completed(runs), "scrape_run_id").select(
+        "scrape_run_id", "started_at", "total_skills", "total_downloads", "total_stars"
+    )
 
 
-def run_totals(snapshots: DataFrame, runs: DataFrame) -> DataFrame:
+def run_totals(
+    snapshots: DataFrame, runs: DataFrame, *, totals: DataFrame | None = None
+) -> DataFrame:
     """Size and totals of every completed run that has rows, in run order."""
-    return sorted_few(_run_totals(snapshots, runs), "scrape_run_id")
+    return sorted_few(_run_totals(snapshots, runs, totals), "scrape_run_id")
 
 
 def run_percentiles(snapshots: DataFrame, runs: DataFrame) -> DataFrame:
@@ -167,21 +172,17 @@ def avg_wow(snapshots: DataFrame, runs: DataFrame, *, now: datetime) -> DataFram
     )
 
 
-def download_wow(snapshots: DataFrame, runs: DataFrame) -> DataFrame:
+def download_wow(
+    snapshots: DataFrame, runs: DataFrame, *, totals: DataFrame | None = None
+) -> DataFrame:
     """Change of total downloads against seven runs back, or the earliest run if there are fewer.
 
     One row; NULL with a single run or a reference without downloads; no row without runs.
     """
-    newest = _runs_with_rows(snapshots, runs).orderBy(F.desc("scrape_run_id"))
-    chosen = newest.limit(WOW_RUNS_BACK + 1).select("scrape_run_id")
-    # The chosen runs are known before their rows are read, so other partitions are pruned.
-    first = chosen.agg(F.min("scrape_run_id")).scalar()
-    totals = _run_totals(snapshots.where(F.col("scrape_run_id") >= first), runs)
-    age = F.row_number().over(Window.orderBy(F.desc("scrape_run_id")))
-    recent = totals.select("total_downloads", age.alias("age"))
-    ends = recent.agg(
-        F.min_by("total_downloads", "age").alias("latest_downloads"),
-        F.max_by("total_downloads", "age").alias("reference_downloads"),
+    newest = _run_totals(snapshots, runs, totals).orderBy(F.desc("scrape_run_id"))
+    ends = newest.limit(WOW_RUNS_BACK + 1).agg(
+        F.max_by("total_downloads", "scrape_run_id").alias("latest_downloads"),
+        F.min_by("total_downloads", "scrape_run_id").alias("reference_downloads"),
         F.count(F.lit(1)).alias("n"),
     ).where(F.col("n") > 0)
     change = ratio(
@@ -198,15 +199,17 @@ def _days(start: Column, end: Column) -> Column:
     return F.greatest(seconds_between(start, end) / 86400.0, F.lit(MIN_INTERVAL))
 
 
-def platform_velocity(snapshots: DataFrame, runs: DataFrame) -> DataFrame:
+def platform_velocity(
+    snapshots: DataFrame, runs: DataFrame, *, totals: DataFrame | None = None
+) -> DataFrame:
     """Totals per completed run and change to the run before; empty with fewer than two runs."""
-    totals = _run_totals(snapshots, runs).withColumn(
+    known = _run_totals(snapshots, runs, totals).withColumn(
         "n_runs", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))
     )
     delta = F.col("total_downloads") - F.lag("total_downloads").over(_in_order("scrape_run_id"))
     days = _days(F.lag("started_at").over(_in_order("scrape_run_id")), F.col("started_at"))
     return (
-        totals.select(
+        known.select(
             "*",
             delta.alias("download_delta"),
             F.when(delta.isNotNull(), round_half_up(delta / days, 2)).alias("downloads_per_day"),
@@ -217,22 +220,17 @@ def platform_velocity(snapshots: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
-def avg_platform_velocity(snapshots: DataFrame, runs: DataFrame) -> DataFrame:
+def avg_platform_velocity(
+    snapshots: DataFrame, runs: DataFrame, *, totals: DataFrame | None = None
+) -> DataFrame:
     """Mean daily download growth from the first to the last run; empty with fewer than three."""
-    known = _runs_with_rows(snapshots, runs).agg(
-        F.min("scrape_run_id").alias("first"),
-        F.max("scrape_run_id").alias("last"),
-        F.count(F.lit(1)).alias("n_runs"),
-    )
-    # Only the rows of the two runs at the ends are read.
-    run = F.col("scrape_run_id")
-    wanted = (run == known.select("first").scalar()) | (run == known.select("last").scalar())
-    ends = _run_totals(snapshots.where(wanted), runs).agg(
+    ends = _run_totals(snapshots, runs, totals).agg(
         F.min_by("total_downloads", "scrape_run_id").alias("first_downloads"),
         F.max_by("total_downloads", "scrape_run_id").alias("last_downloads"),
         F.min_by("started_at", "scrape_run_id").alias("first_at"),
         F.max_by("started_at", "scrape_run_id").alias("last_at"),
-    ).withColumn("n_runs", known.select("n_runs").scalar())
+        F.count(F.lit(1)).alias("n_runs"),
+    )
     days = _days(F.col("first_at"), F.col("last_at"))
     growth = F.col("last_downloads") - F.col("first_downloads")
     return ends.where(F.col("n_runs") >= 3).select(

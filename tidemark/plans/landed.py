@@ -86,15 +86,26 @@ def pages(snapshots: DataFrame) -> DataFrame:
     )
 
 
-def land(snapshots: DataFrame, folder: str, bad_run: int | None = None) -> None:
-    """Write pages as `<folder>/run=<id>/*.json`; `bad_run` gets a page with an error status."""
+def land(
+    snapshots: DataFrame, folder: str, bad_run: int | None = None, empty_run: int | None = None
+) -> None:
+    """Write pages as `<folder>/run=<id>/*.json`.
+
+    `bad_run` gets a page with an error status, `empty_run` is a run whose only page has no items.
+    """
     landed = pages(snapshots)
-    if bad_run is not None:
-        error = landed.sparkSession.range(1, numPartitions=1).select(
-            F.lit(bad_run).cast("int").alias("run"),
-            F.lit("page-error").alias("cursor"),
-            F.lit("error").alias("status"),
-            F.lit(None).cast(PAGE["value"].dataType).alias("value"),
+
+    def more(run: int, cursor: str | None, status: str, value: str) -> DataFrame:
+        return landed.sparkSession.range(1, numPartitions=1).select(
+            F.lit(run).cast("int").alias("run"),
+            F.lit(cursor).cast("string").alias("cursor"),
+            F.lit(status).alias("status"),
+            F.from_json(F.lit(value), PAGE["value"].dataType).alias("value"),
         )
-        landed = landed.unionByName(error)
+
+    if bad_run is not None:
+        landed = landed.unionByName(more(bad_run, "page-error", "error", "null"))
+    if empty_run is not None:
+        nothing = '{"page": [], "hasMore": false}'
+        landed = landed.unionByName(more(empty_run, None, "success", nothing))
     landed.repartition("run", F.col("value.nextCursor")).write.partitionBy("run").json(folder)

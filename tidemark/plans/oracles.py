@@ -450,13 +450,18 @@ def _page_list(page: str, section: str, position: str, key: str, value: str, sou
       CAST({value} AS BIGINT) AS value FROM ({source})"""
 
 
+# All runs are loaded together: the clock is asked at the start and at the end, 90 seconds later. A
+# run without items lands besides those of the history.
 _RUN_LOG = f"""
-      SELECT r.id, r.status, CAST(coalesce(total_skills, 0) AS INTEGER) AS total_skills,
+      SELECT r.id, {_NOW} AS started_at, {_NOW} + INTERVAL 90 SECOND AS finished_at,
+             CAST(coalesce(total_skills, 0) AS INTEGER) AS total_skills,
+             r.status, CAST(90 AS DOUBLE) AS duration_secs,
              CAST(coalesce(new_skills, 0) AS INTEGER) AS new_skills,
              CAST(coalesce(CASE WHEN previous_run_id IS NOT NULL THEN removed_skills END, 0)
                AS INTEGER) AS removed_skills,
              CAST(coalesce(changed_skills, 0) AS INTEGER) AS changed_skills
-      FROM runs r LEFT JOIN ({_DIFF_ALL}) d ON d.scrape_run_id = r.id"""
+      FROM (SELECT id, status FROM runs UNION ALL SELECT CAST(13 AS INTEGER), 'failed') r
+      LEFT JOIN ({_DIFF_ALL}) d ON d.scrape_run_id = r.id"""
 
 _BY_RUN = "row_number() OVER (ORDER BY scrape_run_id)"
 _PAGE_LISTS = " UNION ALL ".join([
@@ -514,7 +519,7 @@ _OVER_HISTORY = {
       SELECT r.id AS scrape_run_id, status, count(skill_id) AS snapshot_count
       FROM runs r LEFT JOIN snapshots s ON s.scrape_run_id = r.id GROUP BY ALL""",
     "last_runs": """
-      SELECT scrape_run_id, run_rank,
+      SELECT scrape_run_id, TIMESTAMP '2001-08-01 06:00:00' AS started_at, run_rank,
              CASE WHEN run_rank <= 3 THEN 'recent' ELSE 'prior' END AS bucket
       FROM ranked WHERE run_rank <= 6""",
     "current_entities": f"SELECT {_SNAPSHOT_COLUMNS} FROM cur",
@@ -669,6 +674,8 @@ _OVER_HISTORY = {
       SELECT CAST(1 AS INTEGER) AS scrape_run_id, skill_id, count(*) AS rows
       FROM snapshots GROUP BY skill_id HAVING count(*) > 1""",
     "ingest_run_log": _RUN_LOG,
+    "ingest_run_totals": f"""
+      SELECT scrape_run_id, total_skills, total_downloads, total_stars FROM ({_RUN_TOTALS})""",
     "ingest_snapshots": """
       SELECT scrape_run_id, skill_id, created_at, stat_downloads, owner_handle,
              '{"segment":"' || summary || '"}' AS tags

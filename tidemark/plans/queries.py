@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ from tidemark.functions import scalars
 from tidemark.operators import cohorts, diff, growth, history, momentum, owners, rankings, runs
 from tidemark.plans import documents, landed
 from tidemark.plans.report import report, report_contents
-from tidemark.plans.star_history import FAILED_RUN, NOW, star_history
+from tidemark.plans.star_history import FAILED_RUN, NOW, RUNS, star_history, star_totals
 from tidemark.schema import PAGE
 from tidemark.session import shared_folder
 from tidemark.sources import pages as page_source
@@ -34,6 +36,13 @@ def _plain(name: str, operator: Callable[..., DataFrame], **params) -> None:
     _queries[name] = lambda spark, sf_dir: operator(*star_history(spark, sf_dir), **params)
 
 
+def _from_totals(name: str, operator: Callable[..., DataFrame]) -> None:
+    """Register an operator over the totals of each run, which reads no snapshots."""
+    _queries[name] = lambda spark, sf_dir: operator(
+        *star_history(spark, sf_dir), totals=star_totals(spark, sf_dir)
+    )
+
+
 def _query(function: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """Register a function of (spark, sf_dir) under its own name."""
     _queries[function.__name__] = function
@@ -73,15 +82,15 @@ _queries["diff_pair"] = lambda s, d: diff.pair_counts(star_history(s, d).snapsho
 # The whole catalogue
 _plain("platform_totals", growth.platform_totals)
 _plain("top_share", growth.top_share)
-_plain("run_totals", growth.run_totals)
+_from_totals("run_totals", growth.run_totals)
 _plain("run_percentiles", growth.run_percentiles)
 _plain("weekly_new", growth.weekly_new)
 _plain("weekly_growth", growth.weekly_growth, now=NOW)
 _plain("avg_wow", growth.avg_wow, now=NOW)
 _plain("growth_timeline", growth.growth_timeline)
-_plain("download_wow", growth.download_wow)
-_plain("platform_velocity", growth.platform_velocity)
-_plain("avg_platform_velocity", growth.avg_platform_velocity)
+_from_totals("download_wow", growth.download_wow)
+_from_totals("platform_velocity", growth.platform_velocity)
+_from_totals("avg_platform_velocity", growth.avg_platform_velocity)
 _plain("cohort_quality", cohorts.cohort_quality, now=NOW)
 _plain("cohort_percentiles", cohorts.cohort_percentiles, now=NOW)
 _plain("median_rate_windows", cohorts.median_rate_windows, now=NOW)
@@ -238,60 +247,72 @@ def key_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_source.key_violations(rows)
 
 
-_loaded: dict[tuple[str, str], tuple[str, str]] = {}
+# Ids of runs that land besides those of the history.
+EMPTY_RUN = RUNS + 1
+
+_loaded: dict[tuple[str, str], tuple[HistoryTable, RunLog]] = {}
+
 
+def _load(spark: SparkSession, sf_dir: str) -> tuple[HistoryTable, RunLog]:
+    """Land all runs as page files and load them with the streaming job, once per application.
 
-def _load(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Land all runs as page files and load them with the streaming job, once per application."""
+    One run has a page with an error, and one has no items. The job's clock goes on by 90 seconds
+    whenever it is asked.
+    """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _loaded:
         folder = shared_folder(spark)
-        landed.land(star_history(spark, sf_dir).snapshots, f"{folder}/landing", FAILED_RUN)
+        landed.land(star_history(spark, sf_dir).snapshots, f"{folder}/landing", FAILED_RUN, EMPTY_RUN)
         name = "loaded_" + folder.rsplit("-", 1)[1]
         table = HistoryTable(
             spark, name, f"{folder}/snapshots", spark.sparkContext.defaultParallelism
         )
         log = RunLog(spark, f"{folder}/runs")
+        ticks = count()
         query = ingest_stream(
-            spark, f"{folder}/landing", table, log, f"{folder}/checkpoint", clock=lambda: NOW
+            spark,
+            f"{folder}/landing",
+            table,
+            log,
+            f"{folder}/checkpoint",
+            clock=lambda: NOW + next(ticks) * timedelta(seconds=90),
         )
         query.awaitTermination()
-        _loaded[key] = (name, f"{folder}/runs")
-    name, log_location = _loaded[key]
-    return spark.table(name), RunLog(spark, log_location).frame()
+        _loaded[key] = table, log
+    return _loaded[key]
 
 
 @_query
 def latest_completed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the run log that the load job wrote, like the next two queries."""
-    return runs.latest_completed(_load(spark, sf_dir)[1])
+    """Of the run log that the load job wrote, like the next queries."""
+    return runs.latest_completed(_load(spark, sf_dir)[1].frame())
 
 
 @_query
 def run_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return runs.get_run(_load(spark, sf_dir)[1], 7).select(
-        "id", "status", "total_skills", "new_skills", "removed_skills", "changed_skills"
-    )
+    return runs.get_run(_load(spark, sf_dir)[1].frame(), 7)
 
 
 @_query
 def last_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    newest = runs.momentum_buckets(_load(spark, sf_dir)[1])
-    return newest.select("scrape_run_id", "run_rank", "bucket")
+    return runs.momentum_buckets(_load(spark, sf_dir)[1].frame())
 
 
 @_query
 def ingest_run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, log = _load(spark, sf_dir)
-    return log.select(
-        "id", "status", "total_skills", "new_skills", "removed_skills", "changed_skills"
-    )
+    return _load(spark, sf_dir)[1].frame()
+
+
+@_query
+def ingest_run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rollup that the load job keeps."""
+    return _load(spark, sf_dir)[1].totals()
 
 
 @_query
 def ingest_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    snapshots, log = _load(spark, sf_dir)
-    return runs.rows_of_completed(snapshots, log).select(
+    table, log = _load(spark, sf_dir)
+    return table.frame(log).select(
         "scrape_run_id", "skill_id", "created_at", "stat_downloads", "owner_handle", "tags"
     )
 

@@ -14,9 +14,10 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.schema import SNAPSHOTS
+from tidemark.operators.growth import rollup
+from tidemark.schema import SNAPSHOTS, TOTALS
 from tidemark.session import shared_folder
-from tidemark.sources.tables import HistoryTable
+from tidemark.sources.tables import HistoryTable, small_frame
 
 # Fixed values of the mapping.
 NOW = datetime(2001, 8, 1, 6)
@@ -26,7 +27,8 @@ FAILED_RUN = 6
 ACTIVE = "interval 180 days"
 FIRST_CREATED = "timestamp_ntz'2000-01-03 00:00:00'"
 
-ENTITIES_PER_FILE = 250_000
+# Of the table of customers; about 250,000 of them.
+ENTITY_BYTES_PER_FILE = 5 << 20
 
 
 class History(NamedTuple):
@@ -129,7 +131,12 @@ def star_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     ])
 
 
-_stored: dict[tuple[str, str], str] = {}
+class Stored(NamedTuple):
+    table: HistoryTable
+    totals: list[tuple]
+
+
+_stored: dict[tuple[str, str], Stored] = {}
 _storing = Lock()
 
 
@@ -138,19 +145,30 @@ def star_history(spark: SparkSession, sf_dir: str) -> History:
 
     The table lies in the cluster's shared folder, so a lost executor costs no recomputation.
     """
-    runs = star_runs(spark)
+    return History(_star_table(spark, sf_dir).table.frame(), star_runs(spark))
+
+
+def star_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rollup of the history, made when it is written: one row per run."""
+    return small_frame(spark, _star_table(spark, sf_dir).totals, TOTALS)
+
+
+def _star_table(spark: SparkSession, sf_dir: str) -> Stored:
     key = (spark.sparkContext.applicationId, sf_dir)
     with _storing:
         if key not in _stored:
             _stored[key] = _store(spark, sf_dir, shared_folder(spark))
-    return History(spark.table(_stored[key]), runs)
+    return _stored[key]
 
 
-def _store(spark: SparkSession, sf_dir: str, folder: str) -> str:
-    entities = spark.read.parquet(f"{sf_dir}/customer.parquet").count()
+def _store(spark: SparkSession, sf_dir: str, folder: str) -> Stored:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/customer.parquet")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    size = files.getContentSummary(path).getLength()
     # Bounded file sizes for many entities, no more files than cores for few.
-    buckets = max(spark.sparkContext.defaultParallelism, -(-entities // ENTITIES_PER_FILE))
+    buckets = max(spark.sparkContext.defaultParallelism, -(-size // ENTITY_BYTES_PER_FILE))
     name = "history_" + folder.rsplit("-", 1)[1]
     table = HistoryTable(spark, name, f"{folder}/snapshots", buckets)
     table.add_runs(star_snapshots(spark, sf_dir))
-    return name
+    totals = rollup(table.frame()).select(*TOTALS.names).orderBy("scrape_run_id").collect()
+    return Stored(table, [tuple(r) for r in totals])

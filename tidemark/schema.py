@@ -17,6 +17,14 @@ RUNS = T.StructType([
     T.StructField("changed_skills", T.IntegerType()),
 ])
 
+# Rollup: totals of each completed run that has rows, kept by the loads.
+TOTALS = T.StructType([
+    T.StructField("scrape_run_id", T.IntegerType()),
+    T.StructField("total_skills", T.LongType()),
+    T.StructField("total_downloads", T.LongType()),
+    T.StructField("total_stars", T.LongType()),
+])
+
 # History: one row per run and entity. The partition column comes last, as in the stored table.
 # The columns of the two stored tables.
 SNAPSHOTS = T.StructType([

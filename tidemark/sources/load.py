@@ -1,22 +1,30 @@
-"""The load job: landed pages of one run into the history and the run log."""
+"""The load job: landed pages of one or more runs into the history and the run log."""
 
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Mapping
 from datetime import datetime, timezone
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.operators.diff import pair_counts
-from tidemark.sources.pages import check_keys, flatten_items, page_items
-from tidemark.sources.tables import HistoryTable, RunLog
-
+from tidemark.operators.diff import diff_all_runs
+from tidemark.sources.pages import check_runs, flatten_items, page_items
+from tidemark.sources.tables import HistoryTable, RunLog, next_event, small_frame
 
 log = logging.getLogger(__name__)
 
+# What a diff needs of a run log.
+_COMPLETED = T.StructType([
+    T.StructField("id", T.IntegerType()),
+    T.StructField("started_at", T.TimestampNTZType()),
+    T.StructField("status", T.StringType()),
+])
+_DIFFERENCES = ("new_skills", "removed_skills", "changed_skills")
+
 
 def utc_now() -> datetime:
     return datetime.now(timezone.utc).replace(tzinfo=None)
@@ -36,78 +44,141 @@ def load_run(
     run_log: RunLog,
     *,
     run_id: int | None = None,
-    clock: Callable[[], datetime] = utc_now,
-    on_bad_page: str = "fail",
-    on_duplicate: str = "fail",
+    **options,
 ) -> int:
-    """Load one run and return its id.
+    """Load the pages of one run, the next free one unless given, and return its id.
+
+    As `load_runs`, but the fault of the run, if there is one, is raised.
+    """
+    run_id = run_id or max(run_log.states(), default=0) + 1
+    numbered = pages.withColumn("run", F.lit(run_id))
+    fault = load_runs(numbered, [run_id], history, run_log, **options).get(run_id)
+    if fault:
+        raise fault
+    return run_id
 
-    The run becomes 'completed' with its size and its diff counts against the completed run before
-    it; the counts of the completed run after it, if there is one, are taken anew. Rows are staged
-    and checked first, so a bad page, a repeated key, an empty catalogue or any error leaves a run
-    that was completed before as it was, and makes any other one 'failed'. All but the empty
-    catalogue are raised.
 
-    `on_duplicate="drop"` keeps of each repeated key the row updated last, and drops rows without a
-    key; how many rows went is logged.
+def load_runs(
+    pages: DataFrame | None,
+    run_ids: Iterable[int],
+    history: HistoryTable,
+    run_log: RunLog,
+    *,
+    clock: Callable[[], datetime] = utc_now,
+    on_bad_page: str = "fail",
+    on_duplicate: str = "fail",
+    broken: Mapping[int, Exception] | None = None,
+) -> dict[int, Exception]:
+    """Load the runs `run_ids` from `pages`, which has a column `run`; returns faults in the data.
+
+    Each run becomes 'completed' with its size, its totals and its diff counts against the completed
+    run before it; the counts of the completed run after it, if there is one, are taken anew. Rows
+    are first staged as a new version of the run, checked and counted. Then one append to the log
+    publishes the rows of all runs with their figures and those of their successors: whatever fails
+    before leaves everything as it was, nothing can fail in between.
+
+    A repeated or missing key makes its run 'failed', unless it was completed before, and so does an
+    empty catalogue, which is no fault to report. `broken` runs fail without being read. A bad page or
+    any other error fails all the runs and is raised. `on_duplicate="drop"` keeps of each repeated key
+    the row updated last, and drops rows without a key; how many rows went is logged.
     """
-    states = run_log.states()
-    run_id = run_log.start(clock(), run_id or max(states, default=0) + 1)
+    faults = dict(broken or {})
+    wanted = sorted({*run_ids} - faults.keys())
+    opened = run_log.start(clock(), *sorted({*wanted, *faults}))
     try:
-        rows = flatten_items(page_items(pages, on_bad_page), run_id)
-        if on_duplicate == "drop":
-            rows = _one_per_key(rows)
-        # The staged rows are bucketed by entity, so the check needs no shuffle of entities and the
-        # pages are parsed once.
-        staged = check_keys(_staged(history, rows, run_id)).first()
-        if staged.rows and staged.bad_keys:
-            raise DuplicateKeys(
-                f"run {run_id}: {staged.bad_keys} repeated or missing keys, such as "
-                f"{staged.example!r}"
+        latest = run_log.latest()
+        published = run_log.versions()
+        history.vacuum(published, opened)
+        checks = {}
+        if wanted:
+            versions = {run: opened[run].attempt for run in wanted}
+            rows = flatten_items(page_items(pages, on_bad_page, "run"), F.col("run"))
+            if on_duplicate == "drop":
+                rows = _one_per_key(rows)
+            # The staged rows are bucketed by entity, so neither the check nor the counts shuffle
+            # entities, and the pages are parsed once.
+            staged = _staged(history, rows, versions)
+            checks = {r.scrape_run_id: r for r in check_runs(staged).collect()}
+        for run, found in checks.items():
+            if found.bad_keys:
+                faults[run] = DuplicateKeys(
+                    f"run {run}: {found.bad_keys} repeated or missing keys, such as {found.example!r}"
+                )
+        sound = [run for run in checks if run not in faults]
+        counts = _counts(history, published | {run: versions[run] for run in sound}, sound)
+        now = clock()
+        events = [
+            next_event(
+                opened[run],
+                "completed",
+                now,
+                total_skills=checks[run].rows,
+                total_downloads=checks[run].total_downloads,
+                total_stars=checks[run].total_stars,
+                **counts.get(run, {}),
             )
-        if staged.rows == 0:
-            history.discard_run(run_id)
-            run_log.fail(run_id, clock())
-            return run_id
-        history.publish_run(run_id)
-        completed = [i for i, status in states.items() if status == "completed" and i != run_id]
-        before = max((i for i in completed if i < run_id), default=None)
-        after = min((i for i in completed if i > run_id), default=None)
-        counts = _counts(history, run_id, before) if before else {}
-        run_log.complete(run_id, clock(), total_skills=staged.rows, **counts)
-        if after:
-            run_log.recount(after, **_counts(history, after, run_id))
-        return run_id
+            for run in sound
+        ]
+        events += [next_event(e, "failed", now) for run, e in opened.items() if run not in sound]
+        events += [
+            next_event(latest[run], "completed", latest[run].finished_at, **figures)
+            for run, figures in counts.items()
+            if run not in sound
+        ]
+        run_log.append(events)
+        return faults
     except Exception:
-        history.discard_run(run_id)
-        run_log.fail(run_id, clock())
+        try:
+            run_log.append([next_event(e, "failed", clock()) for e in opened.values()])
+        except Exception:
+            # The attempts stay 'running', which no reader takes for more than that.
+            log.exception("the failure of runs %s could not be logged", sorted(opened))
         raise
 
 
-def _staged(history: HistoryTable, rows: DataFrame, run_id: int) -> DataFrame:
+def _staged(history: HistoryTable, rows: DataFrame, versions: Mapping[int, int]) -> DataFrame:
     try:
-        return history.stage_run(rows, run_id)
+        return history.stage(rows, versions)
     except PySparkException as error:
         if "USER_RAISED_EXCEPTION" in str(error):
-            raise BadPage(f"run {run_id}: {error}") from error
+            raise BadPage(f"runs {sorted(versions)}: {error}") from error
         raise
 
 
-def _counts(history: HistoryTable, run_id: int, before: int) -> dict[str, int]:
-    return pair_counts(history.frame(), run_id, before).first().asDict()
+def _counts(
+    history: HistoryTable, versions: Mapping[int, int], loaded: list[int]
+) -> dict[int, dict[str, int]]:
+    """Diff counts of the loaded runs and of the runs that follow one, in one pass.
+
+    `versions` are those of all runs that will be completed. Of them only the counted runs and
+    their predecessors are read; a run without predecessor has no counts.
+    """
+    order = sorted(versions)
+    before = dict(zip(order[1:], order))
+    counted = [run for run in before if run in loaded or before[run] in loaded]
+    scope = {run: versions[run] for run in {*counted, *[before[run] for run in counted]}}
+    if not scope:
+        return {}
+    known = small_frame(history.spark, [(run, None, "completed") for run in scope], _COMPLETED)
+    found = diff_all_runs(history.at(scope), known).where(F.col("scrape_run_id").isin(counted))
+    return {
+        r.scrape_run_id: {name: r[name] for name in _DIFFERENCES} for r in found.collect()
+    }
 
 
 def _one_per_key(rows: DataFrame) -> DataFrame:
-    """The row updated last of each key, ties by all columns; counts what goes."""
+    """The row updated last of each run and key, ties by all columns; counts what goes."""
     columns = rows.columns
     order = F.struct("updated_at", *[c for c in columns if c != "updated_at"])
     best = (
         rows.where("skill_id IS NOT NULL")
-        .groupBy("skill_id")
+        .groupBy("scrape_run_id", "skill_id")
         .agg(F.max_by(F.struct(*columns), order).alias("row"), F.count(F.lit(1)).alias("n"))
     )
     dropped = rows.agg(
-        F.count_if(F.col("skill_id").isNull()) + F.count("skill_id") - F.count_distinct("skill_id")
+        F.count_if(F.col("skill_id").isNull())
+        + F.count("skill_id")
+        - F.count_distinct("scrape_run_id", "skill_id")
     ).first()[0]
     if dropped:
         log.warning("%s rows with a repeated or missing key are left out", dropped)

@@ -14,20 +14,20 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PAGE).json(path)
 
 
-def page_items(pages: DataFrame, on_bad_page: str = "fail") -> DataFrame:
-    """One row per catalogue item, column `item`.
+def page_items(pages: DataFrame, on_bad_page: str = "fail", *keep: str) -> DataFrame:
+    """One row per catalogue item: the columns of the page to `keep`, and `item`.
 
     A page whose status is not 'success' fails the query; `on_bad_page="keep"` keeps the good pages.
     """
     good = F.col("status").eqNullSafe("success")
     if on_bad_page == "keep":
-        items = pages.where(good).select(F.explode("value.page").alias("item"))
+        items = pages.where(good).select(*keep, F.explode("value.page").alias("item"))
     elif on_bad_page == "fail":
         problem = F.concat(
             F.lit("page with status "), F.coalesce(F.col("status"), F.lit("(missing)"))
         )
         page = F.when(good, F.col("value.page")).otherwise(F.raise_error(problem))
-        items = pages.select(F.explode(page).alias("item"))
+        items = pages.select(*keep, F.explode(page).alias("item"))
     else:
         raise ValueError(f"on_bad_page must be 'fail' or 'keep', not {on_bad_page!r}")
     return items
@@ -82,10 +82,18 @@ def _violated() -> Column:
     return F.col("skill_id").isNull() | (F.col("rows") > 1)
 
 
-def check_keys(snapshots: DataFrame) -> DataFrame:
-    """One row: rows, number of violated keys and one of them."""
-    return _per_key(snapshots).agg(
-        F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
+def check_runs(snapshots: DataFrame) -> DataFrame:
+    """One row per run that has rows: scrape_run_id, rows, totals of the counters that the rollup
+    holds, number of violated keys and one of them."""
+    per_key = snapshots.groupBy("scrape_run_id", "skill_id").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum("stat_downloads").alias("downloads"),
+        F.sum("stat_stars").alias("stars"),
+    )
+    return per_key.groupBy("scrape_run_id").agg(
+        F.sum("rows").alias("rows"),
+        F.sum("downloads").alias("total_downloads"),
+        F.sum("stars").alias("total_stars"),
         F.count_if(_violated()).alias("bad_keys"),
         F.min(F.when(_violated(), F.col("skill_id"))).alias("example"),
     )

@@ -1,31 +1,46 @@
-"""The two stored tables: snapshot history and run log."""
+"""The two stored tables: snapshot history and run log.
+
+A load writes the rows of a run as a new version, which no reader sees. The event in the log that
+completes the run names the version, so that one append makes rows, state, counts and totals change
+together. Nothing that readers use is ever moved or written over.
+"""
 
 from __future__ import annotations
 
+import logging
 import re
+from collections.abc import Iterable, Mapping
 from datetime import datetime
+from typing import NamedTuple
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.scalars import instant, seconds_between
-from tidemark.schema import RUNS, SNAPSHOTS
+from tidemark.schema import RUNS, SNAPSHOTS, TOTALS
+
+_logger = logging.getLogger(__name__)
+
+PARTITION, KEY, VERSION = "scrape_run_id", "skill_id", "version"
 
-PARTITION, KEY = "scrape_run_id", "skill_id"
+# After so many events the log is written anew as one file.
+COMPACT_AFTER = 32
 
 
-def _exists(spark: SparkSession, location: str) -> bool:
-    try:
-        spark.read.schema(SNAPSHOTS).parquet(location)
-        return True
-    except AnalysisException:
-        return False
+def _path(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def _names(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder; none if there is no such folder."""
+    files, path = _path(spark, folder)
+    return sorted(s.getPath().getName() for s in files.listStatus(path)) if files.exists(path) else []
 
 
 class HistoryTable:
-    """Parquet table partitioned by run and bucketed by entity.
+    """Parquet table partitioned by run and version, bucketed by entity.
 
     Partitioning lets a query read only the runs it needs. Bucketing makes joins and aggregations by
     entity across runs free of shuffles. Entities are unique per run, so buckets are even; choose
@@ -39,28 +54,37 @@ class HistoryTable:
         self.buckets = buckets = self._layout(buckets)
         columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in SNAPSHOTS)
         spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet "
-            f"PARTITIONED BY ({PARTITION}) CLUSTERED BY ({KEY}) INTO {buckets} BUCKETS "
+            f"CREATE TABLE IF NOT EXISTS {name} ({columns}, {VERSION} int) USING parquet "
+            f"PARTITIONED BY ({PARTITION}, {VERSION}) CLUSTERED BY ({KEY}) INTO {buckets} BUCKETS "
             f"LOCATION '{location}'"
         )
-        if _exists(spark, location):
-            spark.catalog.recoverPartitions(name)  # written by earlier sessions
+        self.known: set[tuple[int, int]] = set()
+        self._recover()  # written by earlier sessions
+
+    def _recover(self) -> None:
+        if any(n.startswith(f"{PARTITION}=") for n in _names(self.spark, self.location)):
+            self.spark.catalog.recoverPartitions(self.name)
+        self.known = self._stored_versions()
+
+    def _stored_versions(self) -> set[tuple[int, int]]:
+        """(run, version) of every partition in the catalog."""
+        listed = self.spark.sql(f"SHOW PARTITIONS {self.name}").collect()
+        return {tuple(map(int, re.findall(r"=(\d+)", r.partition))) for r in listed}
 
     def _layout(self, buckets: int | None) -> int:
         """The stored number of buckets, stored now if the table is new."""
         folder = f"{self.location}/_layout"
+        names = _names(self.spark, self.location)
         layout = self.spark.read.schema("buckets int")
-        stored = layout.json(folder).first() if self._has(folder) else None
+        stored = layout.json(folder).first() if "_layout" in names else None
         if stored is None:
             if buckets is None:
                 raise ValueError(f"no table at {self.location}: its number of buckets is needed")
-            if _exists(self.spark, self.location) and not self.spark.read.schema(
-                SNAPSHOTS
-            ).parquet(self.location).isEmpty():
+            if any(n.startswith(f"{PARTITION}=") for n in names):
                 raise ValueError(f"the rows at {self.location} have no stored number of buckets")
-            self.spark.range(1, numPartitions=1).select(F.lit(buckets).alias("buckets")).write.json(
-                folder
-            )
+            self.spark.range(1, numPartitions=1).select(F.lit(buckets).alias("buckets")).write.mode(
+                "overwrite"
+            ).json(folder)
             return buckets
         if buckets not in (None, stored.buckets):
             raise ValueError(
@@ -68,194 +92,278 @@ class HistoryTable:
             )
         return stored.buckets
 
-    def _path(self, folder: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
-
-    def _has(self, folder: str) -> bool:
-        files, path = self._path(folder)
-        return files.exists(path)
+    def rebucketed(
+        self, name: str, location: str, buckets: int, log: RunLog | None = None
+    ) -> HistoryTable:
+        """A copy of the table at another place with another number of buckets.
 
-    def rebucketed(self, name: str, location: str, buckets: int) -> HistoryTable:
-        """A copy of the table at another place with another number of buckets."""
+        With the log only the rows that it names are copied, under the same versions, so the log
+        serves the copy as well.
+        """
         copy = HistoryTable(self.spark, name, location, buckets)
-        copy.add_runs(self.frame())
+        copy._insert(self._versions(log.versions()) if log else self.spark.table(self.name))
         return copy
 
-    def frame(self) -> DataFrame:
-        return self.spark.table(self.name)
-
-    def _laid_out(self, snapshots: DataFrame) -> DataFrame:
-        """One task per bucket, so each run gets one file per bucket."""
-        return snapshots.repartition(self.buckets, KEY)
-
-    def stage_run(self, snapshots: DataFrame, run_id: int) -> DataFrame:
-        """Write the rows of one run beside the run, as partition -run_id, and return them.
+    def frame(self, log: RunLog | None = None) -> DataFrame:
+        """The rows of the completed runs of `log` as of this call; without a log all rows there are.
 
-        No completed run has a negative id, so staged rows are invisible to queries.
+        Loads that end later change neither these rows nor a log frame taken at the same time.
         """
-        if run_id < 1:
-            raise ValueError(f"run ids begin at 1, not {run_id}")
-        data = [n for n in SNAPSHOTS.fieldNames() if n != PARTITION]
-        self.spark.sql(
-            f"INSERT OVERWRITE TABLE {self.name} PARTITION ({PARTITION} = {-int(run_id)}) "
-            "SELECT * FROM {rows}",
-            rows=self._laid_out(snapshots.select(*data)),
-        )
-        return self.run(-run_id)
-
-    def publish_run(self, run_id: int) -> None:
-        """Put the staged rows in the place of the run's rows, if it had any."""
-        files, staged = self._path(f"{self.location}/{PARTITION}={-run_id}")
-        _, place = self._path(f"{self.location}/{PARTITION}={run_id}")
-        files.delete(place, True)
-        if not files.rename(staged, place):
-            raise OSError(f"cannot move {staged} to {place}")
-        self._forget(-run_id)
-        self.spark.sql(f"ALTER TABLE {self.name} ADD IF NOT EXISTS PARTITION ({PARTITION} = {run_id})")
-        self.spark.catalog.refreshTable(self.name)
-
-    def discard_run(self, run_id: int) -> None:
-        """Remove staged rows."""
-        files, staged = self._path(f"{self.location}/{PARTITION}={-run_id}")
-        files.delete(staged, True)
-        self._forget(-run_id)
-        self.spark.catalog.refreshTable(self.name)
-
-    def _forget(self, partition: int) -> None:
-        self.spark.sql(
-            f"ALTER TABLE {self.name} DROP IF EXISTS PARTITION ({PARTITION} = {partition})"
-        )
+        if log is None:
+            return self.spark.table(self.name).drop(VERSION)
+        return self.at(log.versions())
+
+    def at(self, versions: Mapping[int, int]) -> DataFrame:
+        """The rows of the given versions, by run. Other partitions are not listed."""
+        return self._versions(versions).drop(VERSION)
+
+    def _versions(self, versions: Mapping[int, int]) -> DataFrame:
+        if not versions.items() <= self.known:
+            self._recover()  # loaded by another session
+        runs_of: dict[int, list[int]] = {}
+        for run, version in versions.items():
+            runs_of.setdefault(version, []).append(run)
+        chosen = F.lit(False)
+        for version, runs in sorted(runs_of.items()):
+            chosen |= (F.col(VERSION) == version) & F.col(PARTITION).isin(sorted(runs))
+        return self.spark.table(self.name).where(chosen)
+
+    def _insert(self, rows: DataFrame) -> None:
+        """One task per bucket, so each version of a run gets one file per bucket."""
+        laid_out = rows.select(*SNAPSHOTS.fieldNames(), VERSION).repartition(self.buckets, KEY)
+        laid_out.write.insertInto(self.name)
+        self.known = self._stored_versions()
+
+    def stage(self, snapshots: DataFrame, versions: Mapping[int, int]) -> DataFrame:
+        """Write rows of one or more runs, each as its version, and return them.
+
+        A version no log event names is invisible to `frame`. Versions are written once.
+        """
+        wrong = [run for run in versions if run < 1]
+        if wrong:
+            raise ValueError(f"run ids begin at 1, not {wrong[0]}")
+        self._insert(snapshots.withColumn(VERSION, lookup(versions, F.col(PARTITION))))
+        return self.at({run: v for run, v in versions.items() if (run, v) in self.known})
 
     def add_runs(self, snapshots: DataFrame) -> None:
-        """Append rows of several runs at once."""
-        rows = self._laid_out(snapshots.select(*SNAPSHOTS.fieldNames()))
-        rows.write.insertInto(self.name)
+        """Append rows of several runs at once, without a log."""
+        self._insert(snapshots.withColumn(VERSION, F.lit(0)))
+
+    def vacuum(self, keep: Mapping[int, int], runs: Iterable[int]) -> None:
+        """Remove all versions of `runs` but the one that `keep` names, rows of failed loads too."""
+        among = set(runs)
+        old = sorted((r, v) for r, v in self.known if r in among and keep.get(r) != v)
+        for run, version in old:
+            self.spark.sql(
+                f"ALTER TABLE {self.name} DROP IF EXISTS "
+                f"PARTITION ({PARTITION} = {run}, {VERSION} = {version})"
+            )
+            files, path = _path(
+                self.spark, f"{self.location}/{PARTITION}={run}/{VERSION}={version}"
+            )
+            files.delete(path, True)
+        if old:
+            self.known -= set(old)
+            self.spark.catalog.refreshTable(self.name)
+
+
+def lookup(values: Mapping[int, int], key: Column) -> Column:
+    """The value of a small mapping at a column's key."""
+    return F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), key)
 
-    def run(self, run_id: int) -> DataFrame:
-        return self.frame().where(F.col(PARTITION) == run_id)
 
+COUNTS = ("total_skills", "new_skills", "removed_skills", "changed_skills")
 
 _EVENT = T.StructType([
     T.StructField("id", T.IntegerType()),
     T.StructField("attempt", T.IntegerType()),
     T.StructField("seq", T.IntegerType()),
-    T.StructField("at", T.TimestampNTZType()),
     T.StructField("status", T.StringType()),
-    T.StructField("total_skills", T.IntegerType()),
-    T.StructField("new_skills", T.IntegerType()),
-    T.StructField("removed_skills", T.IntegerType()),
-    T.StructField("changed_skills", T.IntegerType()),
+    T.StructField("started_at", T.TimestampNTZType()),
+    T.StructField("finished_at", T.TimestampNTZType()),
+    *[T.StructField(name, T.IntegerType()) for name in COUNTS],
+    T.StructField("total_downloads", T.LongType()),
+    T.StructField("total_stars", T.LongType()),
 ])
 
 
-class RunLog:
-    """Run log as appended status events.
+class Event(NamedTuple):
+    """What an attempt to load a run came to, as far as it is known.
 
-    Events of a run are numbered, and each belongs to an attempt to load it. A run's state is the
-    last event of its last completed attempt, or of its last attempt if none is completed: a reload
-    that fails, or is still going on, leaves a completed run as it was. Files are never rewritten,
-    so readers see a consistent log at any time.
+    The number of a completed attempt is the version of the run's rows in the history table.
     """
 
-    def __init__(self, spark: SparkSession, location: str):
-        self.spark, self.location = spark, location
-        spark.createDataFrame([], _EVENT).write.mode("ignore").parquet(location)
+    id: int
+    attempt: int
+    seq: int
+    status: str
+    started_at: datetime
+    finished_at: datetime | None = None
+    total_skills: int = 0
+    new_skills: int = 0
+    removed_skills: int = 0
+    changed_skills: int = 0
+    total_downloads: int = 0
+    total_stars: int = 0
 
-    def _events(self) -> DataFrame:
-        return self.spark.read.schema(_EVENT).parquet(self.location)
+    def rank(self) -> tuple:
+        return self.status == "completed", self.attempt, self.seq
 
-    def frame(self) -> DataFrame:
-        """One row per run with the columns of `schema.RUNS`."""
-        ended = F.col("status") != "running"
-        order = F.struct((F.col("status") == "completed").alias("completed"), "attempt", "seq")
-        details = [f.name for f in _EVENT if f.name != "id"]
-        started = F.map_from_entries(
-            F.collect_set(F.when(~ended, F.struct("attempt", "at")))
-        )  # a few attempts per run
-        runs = self._events().groupBy("id").agg(
-            started.alias("started"),
-            F.max_by(F.struct(*details), order).alias("last"),
-        )
-        started_at = F.try_element_at("started", F.col("last.attempt"))
-        finished = F.when(F.col("last.status") != "running", F.col("last.at"))
-
-        def number(name: str):
-            return F.coalesce(F.col(f"last.{name}"), F.lit(0)).alias(name)
-
-        state = runs.select(
-            "id",
-            started_at.alias("started_at"),
-            finished.alias("finished_at"),
-            number("total_skills"),
-            F.col("last.status").alias("status"),
-            seconds_between(started_at, finished).alias("duration_secs"),
-            number("new_skills"),
-            number("removed_skills"),
-            number("changed_skills"),
-        )
-        return state.select(*RUNS.fieldNames())
 
-    def _append(self, run_id: int, status: str, at: datetime, new_attempt: bool = False, **counts: int) -> None:
-        last = self._events().where(F.col("id") == run_id).agg(
-            F.coalesce(F.max("attempt"), F.lit(0)).alias("attempt"),
-            F.coalesce(F.max("seq"), F.lit(0)).alias("seq"),
-        )
-        values = {
-            "id": F.lit(run_id),
-            "attempt": F.col("attempt") + int(new_attempt),
-            "seq": F.col("seq") + 1,
-            "at": instant(at),
-            "status": F.lit(status),
-        }
-        values |= {name: F.lit(n) for name, n in counts.items()}
-        event = last.select(*[
-            values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in _EVENT
-        ])
-        event.write.mode("append").parquet(self.location)
+def _order(event: Event) -> tuple:
+    return event.id, event.attempt, event.seq
+
+
+_ARROW = {
+    T.IntegerType(): pa.int32(),
+    T.LongType(): pa.int64(),
+    T.DoubleType(): pa.float64(),
+    T.StringType(): pa.string(),
+    T.TimestampNTZType(): pa.timestamp("us"),
+}
+
+
+def small_frame(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
+    """A frame of a few rows as a local relation, whose size the optimizer knows."""
+    columns = list(zip(*rows)) if rows else [()] * len(schema)
+    arrays = [pa.array(c, _ARROW[f.dataType]) for c, f in zip(columns, schema)]
+    return spark.createDataFrame(pa.table(arrays, schema.names), schema=schema)
+
+
+class RunLog:
+    """Run log as appended status events, with a snapshot of the log from time to time.
+
+    A run's state is the last event of its last completed attempt, or of its last attempt if none is
+    completed: a reload that fails, or is still going on, leaves a completed run as it was. Each
+    append is one file with all the events that must hold together.
+
+    Files lie in generations. `snapshot=<n>` holds what decides each run, `events=<n>` what was
+    appended after it, and the highest finished snapshot is the pointer to the log in use. The
+    generation before stays for readers that have begun, older ones go, so the number of files has a
+    bound whatever the number of loads. One job writes to a log at a time; readers need no care.
+
+    The log has a few small rows per run, which pass through the driver.
+    """
+
+    def __init__(self, spark: SparkSession, location: str, compact_after: int = COMPACT_AFTER):
+        self.spark, self.location, self.compact_after = spark, location, compact_after
+        self._read_files: tuple | None = None
+        self._read_events: list[Event] = []
+        files, path = _path(spark, location)
+        files.mkdirs(path)
+
+    def _generation(self) -> int:
+        """The newest generation whose snapshot is finished; the first one has none."""
+        numbers = [int(n[9:]) for n in _names(self.spark, self.location) if n.startswith("snapshot=")]
+        for n in sorted(numbers, reverse=True):
+            if "_SUCCESS" in _names(self.spark, f"{self.location}/snapshot={n}"):
+                return n
+        return 0
+
+    def _files(self) -> list[str]:
+        """The data files of the generation in use."""
+        n = self._generation()
+        return [
+            f"{self.location}/{folder}/{name}"
+            for folder in (f"snapshot={n}", f"events={n}")
+            for name in _names(self.spark, f"{self.location}/{folder}")
+            if name.endswith(".parquet")
+        ]
+
+    def events(self) -> list[Event]:
+        """All events in use. Files are never changed, so they are read again only if there are others."""
+        for attempt in range(3):
+            files = self._files()
+            if self._read_files == tuple(files):
+                break
+            try:
+                rows = self.spark.read.schema(_EVENT).parquet(*files).collect() if files else []
+            except Exception:
+                # The generation was replaced and removed since it was listed.
+                if attempt == 2 or self._files() == files:
+                    raise
+                continue
+            self._read_events = sorted((Event(*r) for r in rows), key=_order)
+            self._read_files = tuple(files)
+        return self._read_events
+
+    def latest(self) -> dict[int, Event]:
+        """The deciding event of each run."""
+        latest: dict[int, Event] = {}
+        for event in self.events():
+            known = latest.get(event.id)
+            if known is None or known.rank() < event.rank():
+                latest[event.id] = event
+        return latest
+
+    def _newest(self) -> dict[int, Event]:
+        """The last event of the last attempt of each run."""
+        return {event.id: event for event in self.events()}
+
+    def versions(self) -> dict[int, int]:
+        """The version of the rows of each completed run."""
+        return {e.id: e.attempt for e in self.latest().values() if e.status == "completed"}
 
     def states(self) -> dict[int, str]:
-        """Status by run id; the log has a few small rows per run."""
-        return {r.id: r.status for r in self.frame().select("id", "status").collect()}
-
-    def start(self, at: datetime, run_id: int | None = None) -> int:
-        """Open an attempt to load a run and return its id: the next free one unless given."""
-        if run_id is None:
-            run_id = max(self.states(), default=0) + 1
-        self._append(run_id, "running", at, new_attempt=True)
-        return run_id
-
-    def complete(
-        self,
-        run_id: int,
-        at: datetime,
-        *,
-        total_skills: int = 0,
-        new_skills: int = 0,
-        removed_skills: int = 0,
-        changed_skills: int = 0,
-    ) -> None:
-        self._append(
-            run_id,
-            "completed",
-            at,
-            total_skills=total_skills,
-            new_skills=new_skills,
-            removed_skills=removed_skills,
-            changed_skills=changed_skills,
-        )
+        """Status by run id."""
+        return {run: e.status for run, e in self.latest().items()}
 
-    def recount(self, run_id: int, **counts: int) -> None:
-        """Replace the diff counts of a completed run; its times and size stay."""
-        state = self.frame().where(F.col("id") == run_id).first()
-        self._append(
-            run_id, "completed", state.finished_at, total_skills=state.total_skills, **counts
-        )
+    def frame(self) -> DataFrame:
+        """One row per run with the columns of `schema.RUNS`, as of this call."""
+        rows = []
+        for _, e in sorted(self.latest().items()):
+            took = (e.finished_at - e.started_at).total_seconds() if e.finished_at else None
+            counts = (e.new_skills, e.removed_skills, e.changed_skills)
+            rows.append((e.id, e.started_at, e.finished_at, e.total_skills, e.status, took, *counts))
+        return small_frame(self.spark, rows, RUNS)
+
+    def totals(self) -> DataFrame:
+        """Totals of every completed run that has rows, with the columns of `schema.TOTALS`.
+
+        Loads write them with the event that completes a run, so no history file is read for them.
+        """
+        rows = [
+            (e.id, e.total_skills, e.total_downloads, e.total_stars)
+            for _, e in sorted(self.latest().items())
+            if e.status == "completed" and e.total_skills
+        ]
+        return small_frame(self.spark, rows, TOTALS)
+
+    def append(self, events: list[Event]) -> None:
+        """Add events in one file: readers see all of them or none."""
+        self._write(events, f"{self.location}/events={self._generation()}", "append")
+        if len(self._files()) > self.compact_after:
+            try:
+                self.compact()
+            except Exception:
+                # The events stand; the next append tries again.
+                _logger.exception("the run log at %s could not be compacted", self.location)
+
+    def _write(self, events: list[Event], folder: str, mode: str) -> None:
+        rows = small_frame(self.spark, [tuple(e) for e in events], _EVENT)
+        rows.coalesce(1).write.mode(mode).parquet(folder)
+
+    def compact(self) -> None:
+        """Begin a new generation with the events that decide each run or number its next attempt."""
+        n = self._generation()
+        kept = sorted({*self.latest().values(), *self._newest().values()}, key=_order)
+        self._write(kept, f"{self.location}/snapshot={n + 1}", "overwrite")
+        for folder in (f"snapshot={n - 1}", f"events={n - 1}"):
+            files, path = _path(self.spark, f"{self.location}/{folder}")
+            files.delete(path, True)
+
+    def start(self, at: datetime, *run_ids: int) -> dict[int, Event]:
+        """Open an attempt to load each of some runs: the next free run unless ids are given."""
+        last = self._newest()
+        opened = {
+            run: Event(run, last[run].attempt + 1 if run in last else 1, 1, "running", at)
+            for run in run_ids or [max(last, default=0) + 1]
+        }
+        self.append(list(opened.values()))
+        return opened
 
-    def fail(self, run_id: int, at: datetime) -> None:
-        self._append(run_id, "failed", at)
 
+def next_event(event: Event, status: str, at: datetime, **figures: int) -> Event:
+    """What follows `event` in its attempt."""
+    return event._replace(seq=event.seq + 1, status=status, finished_at=at, **figures)
 
-def table_name(prefix: str, location: str) -> str:
-    """A catalog name for a table at `location`."""
-    return f"{prefix}_{re.sub('[^A-Za-z0-9]+', '_', location).strip('_').lower()}"

@@ -1,6 +1,8 @@
 """Incremental load of landed pages with Structured Streaming.
 
-Pages land as `<landing>/run=<id>/*.json`. Each trigger loads every run whose pages have all arrived.
+Pages land as `<landing>/run=<id>/*.json`. Of each new page only its header is read at first: which
+request it answers, whether it is good, and which page it names as the next one. The headers of a
+run are kept between triggers; once its pages form a whole chain, the run is loaded from them.
 """
 
 from __future__ import annotations
@@ -9,81 +11,163 @@ import logging
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.schema import PAGE
-from tidemark.sources.load import BadPage, DuplicateKeys, load_run, utc_now
-from tidemark.sources.pages import read_pages
+from tidemark.sources.load import BadPage, load_runs, utc_now
 from tidemark.sources.tables import HistoryTable, RunLog
 
 log = logging.getLogger(__name__)
 
 LANDED = T.StructType(PAGE.fields + [T.StructField("run", T.IntegerType())])
 
+# The items of a page are not parsed for its header.
+_LANDED_HEADER = T.StructType([
+    *[f for f in PAGE if f.name != "value"],
+    T.StructField(
+        "value", T.StructType([f for f in PAGE["value"].dataType if f.name != "page"])
+    ),
+    T.StructField("run", T.IntegerType()),
+])
+
+# `next_cursor` is null for the last page and for one with an error.
+HEADERS = (
+    "cursor string, good boolean, next_cursor string, file string, landed_at timestamp,"
+    " run int, batch long"
+)
+
+
+def page_headers(landed: DataFrame) -> DataFrame:
+    """Columns of `HEADERS` but the batch, of pages read from files."""
+    good = F.col("status").eqNullSafe("success")
+    more = good & F.coalesce(F.col("value.hasMore"), F.lit(False))
+    return landed.select(
+        "cursor",
+        good.alias("good"),
+        F.when(more, F.col("value.nextCursor")).alias("next_cursor"),
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_modification_time").alias("landed_at"),
+        "run",
+    )
+
+
+def answers(headers: DataFrame) -> DataFrame:
+    """The headers that count: of each run and cursor the good page that landed last.
+
+    A later page supersedes an earlier answer to the same cursor, but one with an error supersedes no
+    good one; an error counts while its cursor has no good page. Later is the later trigger, then the
+    time and the name of the file. Pages of one file that answer the same cursor count together.
+    """
+    newest = Window.partitionBy("run", "cursor").orderBy(
+        F.desc("good"), F.desc("batch"), F.desc("landed_at"), F.desc("file")
+    )
+    return headers.withColumn("place", F.rank().over(newest)).where("place = 1").drop("place")
+
+
+def chains(answered: DataFrame) -> DataFrame:
+    """What is there of each run's chain of pages, from the headers that count: run, errors, whole.
+
+    A chain is whole if the first page, the last one, and every page that another names have landed,
+    and every page is named by another. A page with an error names no successor and is never the last
+    one, so the page behind each may be one that no other names.
+    """
+
+    def mark(condition: Column | bool) -> Column:
+        return condition if isinstance(condition, Column) else F.lit(condition)
+
+    def links(cursor: str, rows: DataFrame, **marks: Column | bool) -> DataFrame:
+        kinds = ("landed", "named", "last", "error")
+        return rows.select(
+            "run", F.col(cursor).alias("cursor"), *[mark(marks.get(k, False)).alias(k) for k in kinds]
+        )
+
+    good, following = F.col("good"), F.col("next_cursor")
+    landed = links("cursor", answered, landed=True, last=good & following.isNull(), error=~good)
+    named = links("next_cursor", answered.where(following.isNotNull()), named=True)
+    cursors = landed.unionByName(named).groupBy("run", "cursor").agg(
+        *[F.bool_or(k).alias(k) for k in ("landed", "named", "last", "error")]
+    )
+    first = F.col("cursor").isNull()
+    return cursors.groupBy("run").agg(
+        F.count_if("error").alias("errors"),
+        (
+            (F.count_if(first & F.col("landed")) > 0)
+            & (F.count_if("last") > 0)
+            & (F.count_if(~F.col("landed")) == 0)
+            & (F.count_if(~first & ~F.col("named")) <= F.count_if("error"))
+        ).alias("whole"),
+    )
+
+
+def ready_pages(spark: SparkSession, landing: str, runs: list[int], answered: DataFrame) -> DataFrame:
+    """The good pages that count, of runs whose chains are whole. Only their folders are read."""
+    landed = (
+        spark.read.schema(LANDED)
+        .option("basePath", landing)
+        .json([f"{landing}/run={run}" for run in runs])
+        .select("*", F.col("_metadata.file_path").alias("file"))
+    )
+    chosen = answered.where("good").select("run", "file", "cursor").distinct().alias("chosen")
+    same = (
+        (F.col("landed.run") == F.col("chosen.run"))
+        & (F.col("landed.file") == F.col("chosen.file"))
+        & F.col("landed.cursor").eqNullSafe(F.col("chosen.cursor"))
+    )
+    return landed.alias("landed").join(chosen, same, "left_semi").where("status = 'success'")
+
 
 def _load_arrived(
     batch: DataFrame,
+    batch_id: int,
     landing: str,
+    state: str,
     history: HistoryTable,
     run_log: RunLog,
     clock: Callable[[], datetime],
     on_bad_page: str,
     on_duplicate: str,
 ) -> None:
-    # A micro-batch may hold only some of a run's pages, so a run is always loaded from all its
-    # landed pages, overwriting its partition. Replaying a batch changes nothing, and pages that
-    # arrive for a completed run load it again.
-    touched = [r.run for r in batch.select("run").distinct().collect()]
-    folders = [f"{landing}/run={run}" for run in touched]
-    arrived = history.spark.read.schema(LANDED).option("basePath", landing).json(folders)
-    ready = [r.run for r in ready_runs(arrived, on_bad_page).collect()]
-    for run in sorted(ready):
-        try:
-            load_run(
-                read_pages(history.spark, f"{landing}/run={run}"),
-                history,
-                run_log,
-                run_id=run,
-                clock=clock,
-                on_bad_page=on_bad_page,
-                on_duplicate=on_duplicate,
-            )
-        except (BadPage, DuplicateKeys):
-            # The data is at fault and the run log says 'failed'. One bad run must not keep later
-            # runs out; new pages for it load it again. Anything else is raised, and the batch is
-            # run again.
-            log.exception("run %s failed", run)
-
-
-def ready_runs(arrived: DataFrame, on_bad_page: str = "fail") -> DataFrame:
-    """Runs whose chain of pages is whole: the first page, the last one, and every page that another
-    names as its successor. Column: run.
-
-    A page says by `cursor` which request it answers; the first has none. A page with an error names
-    no successor and is never the last one. If pages with errors are kept, the page behind each may
-    be one that no other names; if they fail a run, a run with one is ready to fail.
-    """
-    good = F.col("status").eqNullSafe("success")
-    more = good & F.coalesce(F.col("value.hasMore"), F.lit(False)) & F.col("value.nextCursor").isNotNull()
-    cursors = F.when(F.col("cursor").isNotNull(), F.col("cursor"))
-    pages = arrived.groupBy("run").agg(
-        F.count_if(F.col("cursor").isNull()).alias("firsts"),
-        F.count_if(good & ~more).alias("lasts"),
-        F.count_if(~good).alias("errors"),
-        # A run's catalogue has a bounded number of pages; cursors are short.
-        F.collect_set(cursors).alias("landed"),
-        F.collect_set(F.when(more, F.col("value.nextCursor"))).alias("named"),
+    # The headers of a batch are a partition of their own, so replaying the batch writes the same.
+    spark = history.spark
+    (
+        batch.withColumn("batch", F.lit(batch_id).cast("long"))
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("run", "batch")
+        .parquet(state)
     )
-    whole = (
-        "firsts > 0 AND lasts > 0 AND size(array_except(named, landed)) = 0"
-        " AND size(array_except(landed, named)) <= errors"
+    kept = spark.read.schema(HEADERS).parquet(state)
+    touched = [r.run for r in kept.where(F.col("batch") == batch_id).select("run").distinct().collect()]
+    answered = answers(kept.where(F.col("run").isin(touched)))
+    found = chains(answered).collect()
+    keep = on_bad_page == "keep"
+    ready = sorted(r.run for r in found if r.whole and (keep or not r.errors))
+    # A page with an error fails its run until a good one for its cursor lands.
+    broken = {
+        r.run: BadPage(f"run {r.run}: {r.errors} pages with an error")
+        for r in found
+        if r.errors and not keep
+    }
+    if not ready and not broken:
+        return
+    pages = ready_pages(spark, landing, ready, answered) if ready else None
+    faults = load_runs(
+        pages,
+        ready,
+        history,
+        run_log,
+        clock=clock,
+        on_bad_page=on_bad_page,
+        on_duplicate=on_duplicate,
+        broken=broken,
     )
-    if on_bad_page == "fail":
-        whole = f"errors > 0 OR ({whole})"
-    return pages.where(whole).select("run")
+    # The data are at fault and the run log says 'failed'. Other runs are loaded all the same; new
+    # pages for these load them again. Any other error is raised, and the batch is run again.
+    for run, fault in sorted(faults.items()):
+        log.error("run %s failed: %s", run, fault)
 
 
 def ingest_stream(
@@ -97,14 +181,19 @@ def ingest_stream(
     on_bad_page: str = "fail",
     on_duplicate: str = "fail",
 ) -> StreamingQuery:
-    """Load what has landed since the last call, then stop. Returns the running query."""
+    """Load what has landed since the last call, then stop. Returns the running query.
+
+    All runs that a trigger makes whole are loaded together, in one write and one log append.
+    """
+    state = f"{checkpoint}/page_headers"
 
-    def load(batch: DataFrame, _batch_id: int) -> None:
-        _load_arrived(batch, landing, history, run_log, clock, on_bad_page, on_duplicate)
+    def load(batch: DataFrame, batch_id: int) -> None:
+        _load_arrived(
+            batch, batch_id, landing, state, history, run_log, clock, on_bad_page, on_duplicate
+        )
 
     return (
-        spark.readStream.schema(LANDED)
-        .json(landing)
+        page_headers(spark.readStream.schema(_LANDED_HEADER).json(landing))
         .writeStream.foreachBatch(load)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
