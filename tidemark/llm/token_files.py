@@ -138,10 +138,6 @@ class _Encoder:
         sections = enumerate(self.added.split(text))
         return np.concatenate([self.ids[x] if k % 2 else self._between(x) for k, x in sections if x])
 
-    def vocabulary(self) -> dict[str, int]:
-        """Ids by token, the added ones included."""
-        return self.parts.tokenizer.get_vocab(with_added_tokens=True)
-
     def _between(self, text: str) -> np.ndarray:
         """Ids of a text without added tokens."""
         if _regular(text):
@@ -158,11 +154,6 @@ class _Encoder:
         return ids[np.arange(sizes.sum()) + np.repeat(skip, sizes)]
 
 
-def encoder(path: str, encode_special_tokens: bool = True) -> _Encoder:
-    """Ids of a text by the tokenizer file, for other operators; see `_Encoder`."""
-    return _Encoder(path, encode_special_tokens)
-
-
 def _encode(path: str, encode_special_tokens: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _Encoder(path, encode_special_tokens)
