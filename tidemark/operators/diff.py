@@ -178,6 +178,77 @@ def diff_all_runs(snapshots: DataFrame, runs: DataFrame, last: int | None = None
     )
 
 
+def change_rows(snapshots: DataFrame, runs: DataFrame) -> DataFrame:
+    """What every completed run added, removed and changed, with the columns of `schema.CHANGES`.
+
+    One pass over each entity's own rows in run order, as in `diff_all_runs`: each row says whether
+    it is new or changed in its run, and whether it is gone in the run after. Runs without a run
+    before them have no changes. The loads store these rows as the change feed.
+    """
+    order = Window.orderBy("scrape_run_id")  # over the run log only
+    steps = completed(runs).select(
+        "scrape_run_id",
+        F.lag("scrape_run_id").over(order).alias("run_before"),
+        F.lead("scrape_run_id").over(order).alias("run_after"),
+    )
+    w = Window.partitionBy("skill_id").orderBy("scrape_run_id")
+    earlier = [F.lag(f).over(w).alias(f"prev_{f}") for f in TRACKED_FIELDS]
+    rows = snapshots.join(steps, "scrape_run_id").select(
+        "scrape_run_id",
+        "run_before",
+        "run_after",
+        F.lag("scrape_run_id").over(w).eqNullSafe(F.col("run_before")).alias("known"),
+        F.lead("scrape_run_id").over(w).eqNullSafe(F.col("run_after")).alias("stays"),
+        "skill_id",
+        "slug",
+        *TRACKED_FIELDS,
+        *earlier,
+    )
+    here = F.when(~F.col("known"), "new").when(_any_changed(), "changed")
+    came = F.when(F.col("run_before").isNotNull() & here.isNotNull(), F.struct(
+        here.alias("kind"),
+        F.col("run_before").alias("previous_run_id"),
+        F.col("scrape_run_id").alias("run"),
+    ))
+    went = F.when(F.col("run_after").isNotNull() & ~F.col("stays"), F.struct(
+        F.lit("removed").alias("kind"),
+        F.col("scrape_run_id").alias("previous_run_id"),
+        F.col("run_after").alias("run"),
+    ))
+    entries = ", ".join(
+        f"if({f} <=> prev_{f}, NULL, struct('{f}' AS field, string(prev_{f}) AS from_value,"
+        f" string({f}) AS to_value))"
+        for f in TRACKED_FIELDS
+    )
+    changes = F.expr(f"filter(array({entries}), e -> e IS NOT NULL)")
+    return (
+        rows.withColumn("event", F.explode(F.array_compact(F.array(came, went))))
+        .select(
+            "event.kind",
+            "skill_id",
+            "slug",
+            "display_name",
+            "owner_handle",
+            "stat_downloads",
+            F.when(F.col("event.kind") == "changed", changes).alias("changes"),
+            "event.previous_run_id",
+            F.col("event.run").alias("scrape_run_id"),
+        )
+    )
+
+
+def feed_counts(feed: DataFrame) -> DataFrame:
+    """Diff counts of each run that has changes, from the change feed: no snapshot is read."""
+    return feed.groupBy("scrape_run_id", "previous_run_id").agg(
+        *[F.count_if(F.col("kind") == k).alias(f"{k}_skills") for k in ("new", "removed", "changed")]
+    )
+
+
+def feed_changes_long(feed: DataFrame) -> DataFrame:
+    """One row per changed field of the feed: scrape_run_id, skill_id, field, from_value, to_value."""
+    return feed.select("scrape_run_id", "skill_id", F.inline("changes"))
+
+
 def diff_summary(snapshots: DataFrame, runs: DataFrame, limit: int = REPORT_LIMIT) -> DataFrame:
     """First rows of the diff lists: section, rank, skill_id, label, owner_handle, changes.
 

@@ -196,6 +196,43 @@ _DIFF_ALL = f"""
   GROUP BY ALL
 """
 
+# Every completed run with the one before it, and the rows of both.
+_STEPS = """(
+  SELECT * FROM (
+    SELECT scrape_run_id AS run, lag(scrape_run_id) OVER (ORDER BY scrape_run_id) AS before FROM done
+  ) WHERE before IS NOT NULL)"""
+
+
+def _feed_rows(kind: str, joined: str, changes: str) -> str:
+    row = "p" if kind == "removed" else "c"
+    columns = ", ".join(
+        f"{row}.{c}" for c in ("skill_id", "slug", "display_name", "owner_handle", "stat_downloads")
+    )
+    return f"""
+      SELECT '{kind}' AS kind, {columns}, CAST({changes} AS INTEGER) AS changes,
+             before AS previous_run_id, run AS scrape_run_id FROM {_STEPS} {joined}"""
+
+
+_DIFFERING = " + ".join(f"CAST(c.{f} IS DISTINCT FROM p.{f} AS INTEGER)" for f in TRACKED_FIELDS)
+_CHANGE_FEED = " UNION ALL ".join([
+    _feed_rows("new", """JOIN snapshots c ON c.scrape_run_id = run
+      LEFT JOIN snapshots p ON p.scrape_run_id = before AND p.skill_id = c.skill_id
+      WHERE p.skill_id IS NULL""", "NULL"),
+    _feed_rows("removed", """JOIN snapshots p ON p.scrape_run_id = before
+      LEFT JOIN snapshots c ON c.scrape_run_id = run AND p.skill_id = c.skill_id
+      WHERE c.skill_id IS NULL""", "NULL"),
+    _feed_rows("changed", f"""JOIN snapshots c ON c.scrape_run_id = run
+      JOIN snapshots p ON p.scrape_run_id = before AND p.skill_id = c.skill_id
+      WHERE {_DIFFERING} > 0""", _DIFFERING),
+])
+_FEED_LONG = " UNION ALL ".join(
+    f"SELECT run AS scrape_run_id, c.skill_id, '{f}' AS field, CAST(p.{f} AS VARCHAR) AS from_value,"
+    f" CAST(c.{f} AS VARCHAR) AS to_value FROM {_STEPS} JOIN snapshots c ON c.scrape_run_id = run"
+    f" JOIN snapshots p ON p.scrape_run_id = before AND p.skill_id = c.skill_id"
+    f" WHERE c.{f} IS DISTINCT FROM p.{f}"
+    for f in TRACKED_FIELDS
+)
+
 _OWNER_TOTALS = """
   SELECT owner_handle, count(*) AS skill_count,
          CAST(SUM(stat_downloads) AS BIGINT) AS total_downloads,
@@ -674,6 +711,11 @@ _OVER_HISTORY = {
       SELECT CAST(1 AS INTEGER) AS scrape_run_id, skill_id, count(*) AS rows
       FROM snapshots GROUP BY skill_id HAVING count(*) > 1""",
     "ingest_run_log": _RUN_LOG,
+    "change_feed": _CHANGE_FEED,
+    "feed_changes_long": _FEED_LONG,
+    "feed_counts": f"""
+      SELECT scrape_run_id, previous_run_id, new_skills, removed_skills, changed_skills
+      FROM ({_DIFF_ALL}) WHERE previous_run_id IS NOT NULL""",
     "ingest_run_totals": f"""
       SELECT scrape_run_id, total_skills, total_downloads, total_stars FROM ({_RUN_TOTALS})""",
     "ingest_snapshots": """

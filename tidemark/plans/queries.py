@@ -6,6 +6,7 @@ from collections.abc import Callable
 from datetime import timedelta
 from functools import reduce
 from itertools import count
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from tidemark.schema import PAGE
 from tidemark.session import shared_folder
 from tidemark.sources import pages as page_source
 from tidemark.sources import publish as publisher
+from tidemark.sources.feed import ChangeFeed
 from tidemark.sources.tables import HistoryTable, RunLog
 from tidemark.streaming.landing import ingest_stream
 
@@ -250,10 +252,18 @@ def key_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Ids of runs that land besides those of the history.
 EMPTY_RUN = RUNS + 1
 
-_loaded: dict[tuple[str, str], tuple[HistoryTable, RunLog]] = {}
 
 
-def _load(spark: SparkSession, sf_dir: str) -> tuple[HistoryTable, RunLog]:
+class Loaded(NamedTuple):
+    table: HistoryTable
+    log: RunLog
+    feed: ChangeFeed
+
+
+_loaded: dict[tuple[str, str], Loaded] = {}
+
+
+def _load(spark: SparkSession, sf_dir: str) -> Loaded:
     """Land all runs as page files and load them with the streaming job, once per application.
 
     One run has a page with an error, and one has no items. The job's clock goes on by 90 seconds
@@ -267,7 +277,7 @@ def _load(spark: SparkSession, sf_dir: str) -> tuple[HistoryTable, RunLog]:
         table = HistoryTable(
             spark, name, f"{folder}/snapshots", spark.sparkContext.defaultParallelism
         )
-        log = RunLog(spark, f"{folder}/runs")
+        log, feed = RunLog(spark, f"{folder}/runs"), ChangeFeed(spark, f"{folder}/changes")
         ticks = count()
         query = ingest_stream(
             spark,
@@ -276,47 +286,69 @@ def _load(spark: SparkSession, sf_dir: str) -> tuple[HistoryTable, RunLog]:
             log,
             f"{folder}/checkpoint",
             clock=lambda: NOW + next(ticks) * timedelta(seconds=90),
+            feed=feed,
         )
         query.awaitTermination()
-        _loaded[key] = table, log
+        _loaded[key] = Loaded(table, log, feed)
     return _loaded[key]
 
 
 @_query
 def latest_completed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the run log that the load job wrote, like the next queries."""
-    return runs.latest_completed(_load(spark, sf_dir)[1].frame())
+    return runs.latest_completed(_load(spark, sf_dir).log.frame())
 
 
 @_query
 def run_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return runs.get_run(_load(spark, sf_dir)[1].frame(), 7)
+    return runs.get_run(_load(spark, sf_dir).log.frame(), 7)
 
 
 @_query
 def last_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return runs.momentum_buckets(_load(spark, sf_dir)[1].frame())
+    return runs.momentum_buckets(_load(spark, sf_dir).log.frame())
 
 
 @_query
 def ingest_run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _load(spark, sf_dir)[1].frame()
+    return _load(spark, sf_dir).log.frame()
 
 
 @_query
 def ingest_run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rollup that the load job keeps."""
-    return _load(spark, sf_dir)[1].totals()
+    return _load(spark, sf_dir).log.totals()
 
 
 @_query
 def ingest_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table, log = _load(spark, sf_dir)
-    return table.frame(log).select(
+    loaded = _load(spark, sf_dir)
+    return loaded.table.frame(loaded.log).select(
         "scrape_run_id", "skill_id", "created_at", "stat_downloads", "owner_handle", "tags"
     )
 
 
+def _feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    loaded = _load(spark, sf_dir)
+    return loaded.feed.frame(loaded.log)
+
+
+@_query
+def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed that the load job wrote; fields of changed entities are counted."""
+    return _feed(spark, sf_dir).withColumn("changes", F.array_size("changes"))
+
+
+@_query
+def feed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diff.feed_counts(_feed(spark, sf_dir))
+
+
+@_query
+def feed_changes_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diff.feed_changes_long(_feed(spark, sf_dir))
+
+
 # Published documents
 _published: dict[tuple[str, str], str] = {}
 

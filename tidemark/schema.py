@@ -122,6 +122,27 @@ TRACKED_FIELDS = (
     "version_id",
 )
 
+# Change feed: `kind` is new, removed or changed; the values are those of the run, or of the run before
+# for what was removed; `changes` is null unless the kind is changed.
+CHANGES = T.StructType([
+    T.StructField("kind", T.StringType()),
+    T.StructField("skill_id", T.StringType()),
+    T.StructField("slug", T.StringType()),
+    T.StructField("display_name", T.StringType()),
+    T.StructField("owner_handle", T.StringType()),
+    T.StructField("stat_downloads", T.LongType()),
+    T.StructField(
+        "changes",
+        T.ArrayType(T.StructType([
+            T.StructField("field", T.StringType()),
+            T.StructField("from_value", T.StringType()),
+            T.StructField("to_value", T.StringType()),
+        ])),
+    ),
+    T.StructField("previous_run_id", T.IntegerType()),
+    T.StructField("scrape_run_id", T.IntegerType()),
+])
+
 # List lengths, windows and thresholds.
 TOP_LIMIT = 20
 REPORT_LIMIT = 10

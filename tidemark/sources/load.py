@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators.diff import diff_all_runs
+from tidemark.operators.diff import change_rows, diff_all_runs, feed_counts
+from tidemark.sources.feed import ChangeFeed
 from tidemark.sources.pages import check_runs, flatten_items, page_items
-from tidemark.sources.tables import HistoryTable, RunLog, next_event, small_frame
+from tidemark.sources.tables import Event, HistoryTable, RunLog, next_event, small_frame
 
 log = logging.getLogger(__name__)
 
@@ -68,6 +69,7 @@ def load_runs(
     on_bad_page: str = "fail",
     on_duplicate: str = "fail",
     broken: Mapping[int, Exception] | None = None,
+    feed: ChangeFeed | None = None,
 ) -> dict[int, Exception]:
     """Load the runs `run_ids` from `pages`, which has a column `run`; returns faults in the data.
 
@@ -84,6 +86,8 @@ def load_runs(
     """
     faults = dict(broken or {})
     wanted = sorted({*run_ids} - faults.keys())
+    if not wanted and not faults:
+        return {}
     opened = run_log.start(clock(), *sorted({*wanted, *faults}))
     try:
         latest = run_log.latest()
@@ -105,7 +109,9 @@ def load_runs(
                     f"run {run}: {found.bad_keys} repeated or missing keys, such as {found.example!r}"
                 )
         sound = [run for run in checks if run not in faults]
-        counts = _counts(history, published | {run: versions[run] for run in sound}, sound)
+        counts = _counts(
+            history, published | {run: versions[run] for run in sound}, sound, latest, feed
+        )
         now = clock()
         events = [
             next_event(
@@ -146,12 +152,17 @@ def _staged(history: HistoryTable, rows: DataFrame, versions: Mapping[int, int])
 
 
 def _counts(
-    history: HistoryTable, versions: Mapping[int, int], loaded: list[int]
+    history: HistoryTable,
+    versions: Mapping[int, int],
+    loaded: list[int],
+    latest: Mapping[int, Event],
+    feed: ChangeFeed | None,
 ) -> dict[int, dict[str, int]]:
     """Diff counts of the loaded runs and of the runs that follow one, in one pass.
 
     `versions` are those of all runs that will be completed. Of them only the counted runs and
-    their predecessors are read; a run without predecessor has no counts.
+    their predecessors are read; a run without predecessor has no counts. With a feed the changes are
+    written first, and counted there.
     """
     order = sorted(versions)
     before = dict(zip(order[1:], order))
@@ -160,9 +171,18 @@ def _counts(
     if not scope:
         return {}
     known = small_frame(history.spark, [(run, None, "completed") for run in scope], _COMPLETED)
-    found = diff_all_runs(history.at(scope), known).where(F.col("scrape_run_id").isin(counted))
+    if feed is None:
+        found = diff_all_runs(history.at(scope), known).where(F.col("scrape_run_id").isin(counted))
+        return {r.scrape_run_id: {name: r[name] for name in _DIFFERENCES} for r in found.collect()}
+    published = {run: latest[run].feed if run in latest else 0 for run in counted}
+    feed.vacuum(published)
+    stored = {run: version + 1 for run, version in published.items()}
+    changes = change_rows(history.at(scope), known).where(F.col("scrape_run_id").isin(counted))
+    found = {r.scrape_run_id: r for r in feed_counts(feed.stage(changes, stored)).collect()}
     return {
-        r.scrape_run_id: {name: r[name] for name in _DIFFERENCES} for r in found.collect()
+        run: {name: found[run][name] if run in found else 0 for name in _DIFFERENCES}
+        | {"feed": version if run in found else 0}
+        for run, version in stored.items()
     }
 
 

@@ -28,14 +28,14 @@ PARTITION, KEY, VERSION = "scrape_run_id", "skill_id", "version"
 COMPACT_AFTER = 32
 
 
-def _path(spark: SparkSession, folder: str):
+def file_path(spark: SparkSession, folder: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
 
-def _names(spark: SparkSession, folder: str) -> list[str]:
+def file_names(spark: SparkSession, folder: str) -> list[str]:
     """Names in a folder; none if there is no such folder."""
-    files, path = _path(spark, folder)
+    files, path = file_path(spark, folder)
     return sorted(s.getPath().getName() for s in files.listStatus(path)) if files.exists(path) else []
 
 
@@ -62,7 +62,7 @@ class HistoryTable:
         self._recover()  # written by earlier sessions
 
     def _recover(self) -> None:
-        if any(n.startswith(f"{PARTITION}=") for n in _names(self.spark, self.location)):
+        if any(n.startswith(f"{PARTITION}=") for n in file_names(self.spark, self.location)):
             self.spark.catalog.recoverPartitions(self.name)
         self.known = self._stored_versions()
 
@@ -74,7 +74,7 @@ class HistoryTable:
     def _layout(self, buckets: int | None) -> int:
         """The stored number of buckets, stored now if the table is new."""
         folder = f"{self.location}/_layout"
-        names = _names(self.spark, self.location)
+        names = file_names(self.spark, self.location)
         layout = self.spark.read.schema("buckets int")
         stored = layout.json(folder).first() if "_layout" in names else None
         if stored is None:
@@ -120,13 +120,7 @@ class HistoryTable:
     def _versions(self, versions: Mapping[int, int]) -> DataFrame:
         if not versions.items() <= self.known:
             self._recover()  # loaded by another session
-        runs_of: dict[int, list[int]] = {}
-        for run, version in versions.items():
-            runs_of.setdefault(version, []).append(run)
-        chosen = F.lit(False)
-        for version, runs in sorted(runs_of.items()):
-            chosen |= (F.col(VERSION) == version) & F.col(PARTITION).isin(sorted(runs))
-        return self.spark.table(self.name).where(chosen)
+        return self.spark.table(self.name).where(chosen_versions(versions))
 
     def _insert(self, rows: DataFrame) -> None:
         """One task per bucket, so each version of a run gets one file per bucket."""
@@ -158,7 +152,7 @@ class HistoryTable:
                 f"ALTER TABLE {self.name} DROP IF EXISTS "
                 f"PARTITION ({PARTITION} = {run}, {VERSION} = {version})"
             )
-            files, path = _path(
+            files, path = file_path(
                 self.spark, f"{self.location}/{PARTITION}={run}/{VERSION}={version}"
             )
             files.delete(path, True)
@@ -167,6 +161,17 @@ class HistoryTable:
             self.spark.catalog.refreshTable(self.name)
 
 
+def chosen_versions(versions: Mapping[int, int]) -> Column:
+    """A condition on the partition columns that leaves one version of each run."""
+    runs_of: dict[int, list[int]] = {}
+    for run, version in versions.items():
+        runs_of.setdefault(version, []).append(run)
+    chosen = F.lit(False)
+    for version, runs in sorted(runs_of.items()):
+        chosen |= (F.col(VERSION) == version) & F.col(PARTITION).isin(sorted(runs))
+    return chosen
+
+
 def lookup(values: Mapping[int, int], key: Column) -> Column:
     """The value of a small mapping at a column's key."""
     return F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), key)
@@ -184,13 +189,15 @@ _EVENT = T.StructType([
     *[T.StructField(name, T.IntegerType()) for name in COUNTS],
     T.StructField("total_downloads", T.LongType()),
     T.StructField("total_stars", T.LongType()),
+    T.StructField("feed", T.IntegerType()),
 ])
 
 
 class Event(NamedTuple):
     """What an attempt to load a run came to, as far as it is known.
 
-    The number of a completed attempt is the version of the run's rows in the history table.
+    The number of a completed attempt is the version of the run's rows in the history table; `feed` is
+    the version of its changes in the change feed, 0 if it has none.
     """
 
     id: int
@@ -205,6 +212,7 @@ class Event(NamedTuple):
     changed_skills: int = 0
     total_downloads: int = 0
     total_stars: int = 0
+    feed: int = 0
 
     def rank(self) -> tuple:
         return self.status == "completed", self.attempt, self.seq
@@ -249,14 +257,14 @@ class RunLog:
         self.spark, self.location, self.compact_after = spark, location, compact_after
         self._read_files: tuple | None = None
         self._read_events: list[Event] = []
-        files, path = _path(spark, location)
+        files, path = file_path(spark, location)
         files.mkdirs(path)
 
     def _generation(self) -> int:
         """The newest generation whose snapshot is finished; the first one has none."""
-        numbers = [int(n[9:]) for n in _names(self.spark, self.location) if n.startswith("snapshot=")]
+        numbers = [int(n[9:]) for n in file_names(self.spark, self.location) if n.startswith("snapshot=")]
         for n in sorted(numbers, reverse=True):
-            if "_SUCCESS" in _names(self.spark, f"{self.location}/snapshot={n}"):
+            if "_SUCCESS" in file_names(self.spark, f"{self.location}/snapshot={n}"):
                 return n
         return 0
 
@@ -266,7 +274,7 @@ class RunLog:
         return [
             f"{self.location}/{folder}/{name}"
             for folder in (f"snapshot={n}", f"events={n}")
-            for name in _names(self.spark, f"{self.location}/{folder}")
+            for name in file_names(self.spark, f"{self.location}/{folder}")
             if name.endswith(".parquet")
         ]
 
@@ -304,6 +312,11 @@ class RunLog:
         """The version of the rows of each completed run."""
         return {e.id: e.attempt for e in self.latest().values() if e.status == "completed"}
 
+    def feed_versions(self) -> dict[int, int]:
+        """The version of the changes of each completed run that has any recorded."""
+        latest = self.latest().values()
+        return {e.id: e.feed for e in latest if e.status == "completed" and e.feed}
+
     def states(self) -> dict[int, str]:
         """Status by run id."""
         return {run: e.status for run, e in self.latest().items()}
@@ -349,7 +362,7 @@ class RunLog:
         kept = sorted({*self.latest().values(), *self._newest().values()}, key=_order)
         self._write(kept, f"{self.location}/snapshot={n + 1}", "overwrite")
         for folder in (f"snapshot={n - 1}", f"events={n - 1}"):
-            files, path = _path(self.spark, f"{self.location}/{folder}")
+            files, path = file_path(self.spark, f"{self.location}/{folder}")
             files.delete(path, True)
 
     def start(self, at: datetime, *run_ids: int) -> dict[int, Event]:

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.schema import PAGE
+from tidemark.sources.feed import ChangeFeed
 from tidemark.sources.load import BadPage, load_runs, utc_now
 from tidemark.sources.tables import HistoryTable, RunLog
 
@@ -129,6 +130,7 @@ def _load_arrived(
     clock: Callable[[], datetime],
     on_bad_page: str,
     on_duplicate: str,
+    feed: ChangeFeed | None,
 ) -> None:
     # The headers of a batch are a partition of their own, so replaying the batch writes the same.
     spark = history.spark
@@ -163,6 +165,7 @@ def _load_arrived(
         on_bad_page=on_bad_page,
         on_duplicate=on_duplicate,
         broken=broken,
+        feed=feed,
     )
     # The data are at fault and the run log says 'failed'. Other runs are loaded all the same; new
     # pages for these load them again. Any other error is raised, and the batch is run again.
@@ -180,6 +183,7 @@ def ingest_stream(
     clock: Callable[[], datetime] = utc_now,
     on_bad_page: str = "fail",
     on_duplicate: str = "fail",
+    feed: ChangeFeed | None = None,
 ) -> StreamingQuery:
     """Load what has landed since the last call, then stop. Returns the running query.
 
@@ -189,7 +193,7 @@ def ingest_stream(
 
     def load(batch: DataFrame, batch_id: int) -> None:
         _load_arrived(
-            batch, batch_id, landing, state, history, run_log, clock, on_bad_page, on_duplicate
+            batch, batch_id, landing, state, history, run_log, clock, on_bad_page, on_duplicate, feed
         )
 
     return (
