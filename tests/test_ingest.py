@@ -1,10 +1,12 @@
 import json
+import re
 from datetime import timedelta
 
 import pytest
 
 from pyspark.errors import PySparkException, StreamingQueryException
 from tests.conftest import column, day
+from tests.test_plans import plan
 from tidemark.operators import diff, momentum, runs
 from tidemark.plans import documents
 from tidemark.plans.report import report, report_contents
@@ -560,7 +562,7 @@ def test_documents_and_index(spark, catalogue, tmp_path):
     assert publisher.publish(*h, str(tmp_path), now=NOW)
 
     def read(name):
-        lines = [p.read_text() for p in sorted((tmp_path / name).glob("part-*.json"))]
+        lines = [p.read_text() for p in sorted((tmp_path / name).rglob("part-*.json"))]
         return [json.loads(line) for text in lines for line in text.splitlines()]
 
     (dashboard,) = read("dashboard")
@@ -584,6 +586,21 @@ def test_documents_and_index(spark, catalogue, tmp_path):
     }
 
 
+    # One document is found in one folder.
+    found = publisher.find_detail(spark, str(tmp_path), "entities", "a-page", "stat_downloads bigint")
+    assert found.collect() == [("a-page", 300)]
+    (filters,) = re.findall(r"PartitionFilters: \[[^\]]*\]", plan(found))
+    assert re.search(r"bucket#\d+ = \d+", filters)
+    folders = found.select("_metadata.file_path").collect()
+    assert len(folders) == 1 and "/entity_details/bucket=" in folders[0].file_path
+    assert publisher.find_detail(spark, str(tmp_path), "entities", "z-page", "history string").collect() == []
+    owner = publisher.find_detail(spark, str(tmp_path), "owners", "other-owner", "handle string")
+    assert owner.collect() == [("other-owner", "Other Owner")]
+    keys = spark.createDataFrame([("b-page",), ("z-page",), ("b-page",)], "k string")
+    many = publisher.find_details(spark, str(tmp_path), "entities", keys, "stat_downloads bigint")
+    assert sorted(map(tuple, many.collect())) == [("b-page", 50, True), ("z-page", None, False)]
+
+
 def test_nothing_is_published_without_a_completed_run(catalogue, tmp_path):
     catalogue.run(day(2026, 3, 1), status="failed", a=1)
     assert not publisher.publish(*catalogue.frames(), str(tmp_path / "out"), now=NOW)

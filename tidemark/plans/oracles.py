@@ -731,6 +731,11 @@ _OVER_HISTORY = {
       UNION ALL
       SELECT slug, 'release', run_date, NULL, version_number
       FROM {_DETAILED} JOIN ({_RELEASES}) USING (skill_id)""",
+    "detail_lookups": f"""
+      SELECT DISTINCT k.slug, d.skill_id IS NOT NULL AS found, d.display_name, d.stat_downloads
+      FROM (SELECT c_name AS slug FROM customer
+            UNION SELECT lower(replace(c_name, '#', '-')) FROM customer) k
+      LEFT JOIN (SELECT cur.* FROM cur JOIN {_DETAILED} USING (skill_id)) d ON d.slug = k.slug""",
     "published_owners": f"""
       SELECT owner_key, skill_count, run_date, downloads, stars
       FROM ({_DETAIL_OWNERS}) JOIN ({_PORTFOLIO}) USING (owner_handle)

@@ -421,6 +421,16 @@ def published_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def detail_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of every slug that customers have or could have, by key."""
+    keys = _handles(spark, sf_dir).select("owner_handle")
+    found = publisher.find_details(
+        spark, _publish(spark, sf_dir), "entities", keys, "stat_downloads bigint, display_name string"
+    )
+    return found.select("slug", "found", "display_name", "stat_downloads")
+
+
 @_query
 def published_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trajectory of the published owner documents, in long form."""

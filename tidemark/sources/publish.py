@@ -6,7 +6,7 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import instant
@@ -15,16 +15,26 @@ from tidemark.schema import DETAIL_ENTITY_LIMIT, DETAIL_OWNER_LIMIT, DETAIL_RATE
 
 PAGES = ("dashboard", "rising", "leaderboard", "owners")
 
+# Detail documents lie in folders by a hash of their key, so that one is found in one of them.
+DETAIL_BUCKETS = 16
+# Folder and key of each kind of detail document.
+DETAILS = {"entities": ("entity_details", "slug"), "owners": ("owner_details", "owner_key")}
 
-def _write(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
+def key_bucket(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(DETAIL_BUCKETS)).cast("int")
 
-def _write_all(path: str, plans: dict[str, Callable[[], DataFrame]]) -> None:
+
+def _write(df: DataFrame, path: str, *folders: str) -> None:
+    writer = df.write.mode("overwrite").option("ignoreNullFields", "false")
+    writer.partitionBy(*folders).json(path)
+
+
+def _write_all(path: str, plans: dict[str, Callable[[], DataFrame]], *folders: str) -> None:
     """Build and write independent documents side by side, so that small ones share the cluster."""
     with ThreadPoolExecutor(len(plans)) as pool:
         written = [
-            pool.submit(lambda n=name, p=plan: _write(p(), f"{path}/{n}"))
+            pool.submit(lambda n=name, p=plan: _write(p(), f"{path}/{n}", *folders))
             for name, plan in plans.items()
         ]
         for result in written:
@@ -56,18 +66,55 @@ def publish_details(
 ) -> None:
     """Documents of the qualifying entities and owners, one JSON document per line.
 
-    Three jobs in all, however many documents there are.
+    Three jobs in all, however many documents there are. Documents of a bucket are side by side in one
+    file, so there are no more files than buckets.
     """
     h = snapshots, runs
+
+    def dealt(documents_: DataFrame, key: str) -> DataFrame:
+        return documents_.withColumn("bucket", key_bucket(F.col(key))).repartition("bucket")
+
     _write_all(path, {
-        "entity_details": lambda: documents.entity_documents(
-            *h, now=now, limit=entity_limit, rate_limit=rate_limit
+        "entity_details": lambda: dealt(
+            documents.entity_documents(*h, now=now, limit=entity_limit, rate_limit=rate_limit), "slug"
         ),
-        "owner_details": lambda: documents.owner_documents(*h, now=now, limit=owner_limit),
-        "owner_entities": lambda: documents.owner_document_entities(
-            *h, now=now, limit=owner_limit
+        "owner_details": lambda: dealt(
+            documents.owner_documents(*h, now=now, limit=owner_limit), "owner_key"
         ),
-    })
+        "owner_entities": lambda: dealt(
+            documents.owner_document_entities(*h, now=now, limit=owner_limit), "owner_key"
+        ),
+    }, "bucket")
+
+
+def _details(spark: SparkSession, path: str, kind: str, columns: str) -> tuple[DataFrame, str]:
+    folder, key = DETAILS[kind]
+    schema = f"{key} string, {columns}, bucket int"
+    return spark.read.schema(schema).json(f"{path}/{folder}"), key
+
+
+def find_detail(spark: SparkSession, path: str, kind: str, key: str, columns: str) -> DataFrame:
+    """The detail document of one key: `columns` (in DDL) of it; no row if there is none.
+
+    `kind` is 'entities' or 'owners'. Only the folder of the key's bucket is listed and read. Owners
+    whose handles share a key have a document each.
+    """
+    stored, name = _details(spark, path, kind, columns)
+    wanted = (F.col("bucket") == key_bucket(F.lit(key))) & (F.col(name) == key)
+    return stored.where(wanted).drop("bucket")
+
+
+def find_details(spark: SparkSession, path: str, kind: str, keys: DataFrame, columns: str) -> DataFrame:
+    """The detail documents of the keys in the only column of `keys`, with `found`; every key has a row.
+
+    Both sides are joined by bucket and key, so only folders that hold a wanted key are read where
+    the keys are few.
+    """
+    stored, name = _details(spark, path, kind, columns)
+    wanted = keys.toDF(name).distinct().withColumn("bucket", key_bucket(F.col(name)))
+    held = stored.withColumn("found", F.lit(True))
+    joined = wanted.join(held, ["bucket", name], "left").drop("bucket")
+    return joined.withColumn("found", F.coalesce("found", F.lit(False)))
 
 
 def published_index(spark: SparkSession, path: str) -> DataFrame:
