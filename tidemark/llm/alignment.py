@@ -42,6 +42,8 @@ _NAMES = [column.split()[0] for column in ALIGNED.split(", ")]
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _PROBE = "We'll test  it:\n\n\t«Ünïcödé» 12345, 日本語!  <|endoftext|> don't\r\n"
 
+# Added to ids of B in the key of a window.
+_OF_B = 1 << 31
 # Stands for a window whose bytes differ; no text has this byte.
 _UNEQUAL = (b"\xff", "", b"")
 
@@ -92,7 +94,7 @@ class _Aligner:
         self.known_a, self.known_b = (
             [(len(t), str(k)) for k, t in enumerate(tokens)] for tokens in (self.bytes_a, self.bytes_b)
         )
-        self.memory: dict[tuple[bytes, bytes], tuple[bytes, str, bytes]] = {}
+        self.memory: dict[bytes, tuple[bytes, str, bytes]] = {}
 
     def _piece(self, k: int) -> bytes:
         piece = self.b.id_to_piece(k)
@@ -104,12 +106,14 @@ class _Aligner:
     def _shape(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         return np.array([len(t) for t in tokens]), np.array([t[:1] == b" " for t in tokens])
 
-    def _window(self, key: tuple[bytes, bytes]) -> tuple[bytes, str, bytes]:
+    def _window(self, key: bytes) -> tuple[bytes, str, bytes]:
         """Bytes, groups as text, and linked id pairs of a window, given by its ids in A and B."""
         found = self.memory.get(key)
         if found is None:
-            found = self._aligned(*[array("I", ids).tolist() for ids in key])
-            if len(key[0]) + len(key[1]) <= 4 * REMEMBERED_TOKENS:
+            ids = array("I", key).tolist()
+            n_b = sum(map(_OF_B.__le__, ids))
+            found = self._aligned(ids[: len(ids) - n_b], [k - _OF_B for k in ids[len(ids) - n_b :]])
+            if len(ids) <= REMEMBERED_TOKENS:
                 if len(self.memory) >= REMEMBERED:
                     self.memory.clear()
                 self.memory[key] = found
@@ -149,15 +153,14 @@ class _Aligner:
         # A text begins a window even where no blank is marked, so an anchor at 0 adds none.
         shared = at_a == np.append(at_b, -1)[place]
         shared &= at_a > 0
-        cuts_a = [0, *(4 * marked_a[shared]).tolist(), 4 * len(a)]
-        cuts_b = [0, *(4 * marked_b[place[shared]]).tolist(), 4 * len(b)]
-        ids_a, ids_b = a.tobytes(), b.tobytes()
-        keys = list(
-            zip(
-                [ids_a[i:j] for i, j in zip(cuts_a, cuts_a[1:])],
-                [ids_b[i:j] for i, j in zip(cuts_b, cuts_b[1:])],
-            )
-        )
+        cuts_a = np.concatenate([[0], marked_a[shared], [len(a)]])
+        cuts_b = np.concatenate([[0], marked_b[place[shared]], [len(b)]])
+        # The ids of each window side by side, those of A first: its key is one slice.
+        ids = np.empty(len(a) + len(b), np.uint32)
+        ids[np.arange(len(a)) + np.repeat(cuts_b[:-1], np.diff(cuts_a))] = a
+        ids[np.arange(len(b)) + np.repeat(cuts_a[1:], np.diff(cuts_b))] = b + _OF_B
+        whole, cuts = ids.tobytes(), (4 * (cuts_a + cuts_b)).tolist()
+        keys = [whole[i:j] for i, j in zip(cuts, cuts[1:])]
         windows = list(map(self.memory.get, keys))
         if None in windows:
             windows = [w or self._window(key) for w, key in zip(windows, keys)]
