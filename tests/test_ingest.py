@@ -11,6 +11,7 @@ from tidemark.operators import diff, momentum, runs
 from tidemark.plans import documents
 from tidemark.plans.report import report, report_contents
 from tidemark.sources import load as load_job
+from tidemark.sources import pages as page_source
 from tidemark.sources import publish as publisher
 from tidemark.sources.load import BadPage, DuplicateKeys, load_run
 from tidemark.sources.pages import (
@@ -335,7 +336,7 @@ def test_a_good_page_supersedes_an_error_and_completes_the_run(stream):
 
 def test_later_is_the_trigger_then_the_time_then_the_name(spark):
     def header(file, batch, at, good=True):
-        return ("p2", good, None, file, NOW + timedelta(seconds=at), 1, batch)
+        return ("p2", good, None, None, file, NOW + timedelta(seconds=at), 1, batch)
 
     cases = [
         ([header("b", 1, 0), header("a", 2, -5)], ["a"]),
@@ -377,6 +378,47 @@ def test_headers_do_not_parse_the_items():
     assert value.names == ["nextCursor", "hasMore"]
 
 
+def test_damaged_input_ends_in_a_defined_place(spark, stream, store, tmp_path):
+    (landing, load), (history, log) = stream, store
+    nested = {"a": {"b": [1, "x"]}, "n": 1.5, "t": "v1"}
+    land(landing / "run=1", page(item("a", tags=nested, badges=["top"])))
+    land(landing / "run=2", page(item("b"), item("c", downloads="many")))
+    land(landing / "run=3", page(item("a"), following="p2"))
+    (landing / "run=3" / "torn.json").write_text('{"cursor": "p2", "status": "succ\n')
+    states, rows = load()
+    assert states == {1: "completed", 2: "failed", 3: "failed"} and rows == [(1, "a")]
+    row = history.frame(log).first()
+    assert json.loads(row.tags) == nested and json.loads(row.badges) == ["top"]
+    kept = page_source.read_quarantine(spark, str(tmp_path / "checkpoint" / "quarantine"))
+    found = sorted((r.run, r.reason, r.file.rsplit("/", 1)[1], r.record[:16]) for r in kept.collect())
+    assert found == [
+        (2, "damaged", "pages.json", '{"cursor": null,'), (3, "damaged", "torn.json", '{"cursor": "p2",'),
+    ]
+    assert '"many"' in kept.where("run = 2").first().record
+    # Whole pages for the same cursors complete both runs; what was damaged is still on record.
+    land(landing / "run=2", page(item("b"), item("c", downloads=7)), name="sound")
+    land(landing / "run=3", page(item("b"), cursor="p2"), name="whole")
+    states, rows = load()
+    assert set(states.values()) == {"completed"}
+    assert rows == [(1, "a"), (2, "b"), (2, "c"), (3, "a"), (3, "b")]
+    kept = page_source.read_quarantine(spark, str(tmp_path / "checkpoint" / "quarantine"))
+    assert sorted(column(kept, "run")) == [2, 3]
+
+
+def test_good_pages_of_a_damaged_run_can_be_kept(spark, tmp_path, store):
+    history, log = store
+    folder = land(tmp_path / "in", page(item("a")), page(item("b", downloads="x"), cursor="p2"))
+    pages = read_pages(spark, folder)
+    with pytest.raises(BadPage):
+        load_run(pages, history, log, clock=Clock(), quarantine=str(tmp_path / "q"))
+    kept = str(tmp_path / "kept")
+    assert load_run(pages, history, log, clock=Clock(), on_bad_page="keep", quarantine=kept) == 2
+    assert column(history.frame(log), "skill_id") == ["a"]
+    for place, run in ((str(tmp_path / "q"), 1), (kept, 2)):
+        (record,) = page_source.read_quarantine(spark, place).collect()
+        assert (record.run, record.attempt, record.cursor, record.reason) == (run, 1, "p2", "damaged")
+
+
 def test_runs_of_a_trigger_are_loaded_together(stream, store, monkeypatch):
     (landing, load), (history, log) = stream, store
     writes, append = [], RunLog.append

@@ -90,9 +90,10 @@ def owner_key(handle: Column) -> Column:
     return F.regexp_replace(F.lower(handle), "[^a-z0-9_-]", "-")
 
 
-def map_to_json(entries: Column) -> Column:
-    """A map as JSON text; NULL when empty or absent."""
-    return F.when(F.size(entries) > 0, F.to_json(entries))
+def json_text(value: Column) -> Column:
+    """A variant as JSON text, nested values as they are; NULL when it is absent or empty."""
+    text = F.to_json(value)
+    return F.when(~text.isin("null", "{}", "[]", '""', "false", "0", "0.0"), text)
 
 
 def json_keys(text: Column) -> Column:

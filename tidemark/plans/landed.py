@@ -20,7 +20,7 @@ def raw_items(snapshots: DataFrame) -> DataFrame:
         "versions": "stat_versions",
     }
     stats = F.struct(*[(F.col(c) + 0.75).alias(n) for n, c in number.items()])
-    nothing = F.map_from_arrays(F.array(), F.array())
+    nothing = F.parse_json(F.lit("{}"))
     skill = F.struct(
         F.col("skill_id").alias("_id"),
         "slug",
@@ -29,7 +29,7 @@ def raw_items(snapshots: DataFrame) -> DataFrame:
         ts_to_epoch_ms(F.col("created_at")).alias("createdAt"),
         ts_to_epoch_ms(F.col("updated_at")).alias("updatedAt"),
         nothing.alias("badges"),
-        F.create_map(F.lit("segment"), F.col("summary")).alias("tags"),
+        F.parse_json(F.to_json(F.create_map(F.lit("segment"), F.col("summary")))).alias("tags"),
         stats.alias("stats"),
     )
     owner = F.struct(

@@ -56,8 +56,6 @@ SNAPSHOTS = T.StructType([
     T.StructField("scrape_run_id", T.IntegerType()),
 ])
 
-_TEXT_MAP = T.MapType(T.StringType(), T.StringType())
-
 
 def _text(*names: str) -> list[T.StructField]:
     return [T.StructField(n, T.StringType()) for n in names]
@@ -71,15 +69,16 @@ def _nested(name: str, *fields: T.StructField) -> T.StructField:
     return T.StructField(name, T.StructType(list(fields)))
 
 
-# One catalogue item as it arrives; numbers arrive as JSON floats.
+# One catalogue item as it arrives; numbers arrive as JSON floats. Badges and tags are
+# objects whose values can be of any type.
 ITEM = T.StructType([
     *_text("ownerHandle"),
     _nested(
         "skill",
         *_text("_id", "slug", "displayName", "summary"),
         *_number("createdAt", "updatedAt"),
-        T.StructField("badges", _TEXT_MAP),
-        T.StructField("tags", _TEXT_MAP),
+        T.StructField("badges", T.VariantType()),
+        T.StructField("tags", T.VariantType()),
         _nested(
             "stats",
             *_number(
@@ -107,6 +106,18 @@ PAGE = T.StructType([
     ),
 ])
 
+# What is kept of pages that are not loaded: `reason` is 'status' for a page with an error, 'damaged'
+# for a line that is no page or a page with a value of another type; `record` is its text.
+QUARANTINED = T.StructType([
+    T.StructField("file", T.StringType()),
+    T.StructField("cursor", T.StringType()),
+    T.StructField("status", T.StringType()),
+    T.StructField("reason", T.StringType()),
+    T.StructField("record", T.StringType()),
+    T.StructField("run", T.IntegerType()),
+    T.StructField("attempt", T.IntegerType()),
+])
+
 # The fields a diff compares.
 TRACKED_FIELDS = (
     "stat_downloads",

@@ -6,15 +6,28 @@ import logging
 from collections.abc import Callable, Iterable, Mapping
 from datetime import datetime, timezone
 
-from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.diff import change_rows, diff_all_runs, feed_counts
 from tidemark.sources.feed import ChangeFeed
-from tidemark.sources.pages import check_runs, flatten_items, page_items
-from tidemark.sources.tables import Event, HistoryTable, RunLog, next_event, small_frame
+from tidemark.sources.pages import (
+    check_runs,
+    flatten_items,
+    is_good,
+    page_items,
+    quarantined,
+    write_quarantine,
+)
+from tidemark.sources.tables import (
+    Event,
+    HistoryTable,
+    RunLog,
+    lookup,
+    next_event,
+    small_frame,
+)
 
 log = logging.getLogger(__name__)
 
@@ -36,7 +49,7 @@ class DuplicateKeys(ValueError):
 
 
 class BadPage(ValueError):
-    """A landed page has a status other than 'success'."""
+    """A landed page has a status other than 'success', or a line of a file is damaged."""
 
 
 def load_run(
@@ -70,6 +83,7 @@ def load_runs(
     on_duplicate: str = "fail",
     broken: Mapping[int, Exception] | None = None,
     feed: ChangeFeed | None = None,
+    quarantine: str | None = None,
 ) -> dict[int, Exception]:
     """Load the runs `run_ids` from `pages`, which has a column `run`; returns faults in the data.
 
@@ -79,11 +93,18 @@ def load_runs(
     publishes the rows of all runs with their figures and those of their successors: whatever fails
     before leaves everything as it was, nothing can fail in between.
 
-    A repeated or missing key makes its run 'failed', unless it was completed before, and so does an
-    empty catalogue, which is no fault to report. `broken` runs fail without being read. A bad page or
-    any other error fails all the runs and is raised. `on_duplicate="drop"` keeps of each repeated key
-    the row updated last, and drops rows without a key; how many rows went is logged.
+    A bad or damaged page, or a repeated or missing key, makes its run 'failed', unless it was
+    completed before, and so does an empty catalogue, which is no fault to report. `broken` runs fail
+    without being read. Any other error fails all the runs and is raised. `on_bad_page="keep"` loads
+    the good pages. `on_duplicate="drop"` keeps of each repeated key the row updated last, and drops
+    rows without a key; how many rows went is logged.
+
+    With a `feed` the changes of the loaded runs and of the runs after them are stored as well, and
+    published by the same append. Pages that are not loaded go to the folder `quarantine`, if given,
+    with their files and texts; good pages are read once, and no value of a bad one is used.
     """
+    if on_bad_page not in ("fail", "keep"):
+        raise ValueError(f"on_bad_page must be 'fail' or 'keep', not {on_bad_page!r}")
     faults = dict(broken or {})
     wanted = sorted({*run_ids} - faults.keys())
     if not wanted and not faults:
@@ -96,15 +117,27 @@ def load_runs(
         checks = {}
         if wanted:
             versions = {run: opened[run].attempt for run in wanted}
-            rows = flatten_items(page_items(pages, on_bad_page, "run"), F.col("run"))
+            # Bad pages are noted while the good ones are loaded.
+            seen = Observation()
+            bad = F.when(~is_good(pages), F.col("run"))
+            watched = pages.observe(seen, F.collect_set(bad).alias("runs"))
+            rows = flatten_items(page_items(watched, "keep", "run"), F.col("run"))
             if on_duplicate == "drop":
                 rows = _one_per_key(rows)
             # The staged rows are bucketed by entity, so neither the check nor the counts shuffle
             # entities, and the pages are parsed once.
-            staged = _staged(history, rows, versions)
+            staged = history.stage(rows, versions)
             checks = {r.scrape_run_id: r for r in check_runs(staged).collect()}
+            damaged = sorted(seen.get["runs"] or [])
+            if damaged and quarantine:
+                of_run = {run: versions[run] for run in damaged}
+                found = quarantined(pages.where(F.col("run").isin(damaged)))
+                attempt = lookup(of_run, F.col("run")).alias("attempt")
+                write_quarantine(found.select("*", attempt), quarantine)
+            if on_bad_page == "fail":
+                faults |= {run: BadPage(f"run {run} has bad or damaged pages") for run in damaged}
         for run, found in checks.items():
-            if found.bad_keys:
+            if found.bad_keys and run not in faults:
                 faults[run] = DuplicateKeys(
                     f"run {run}: {found.bad_keys} repeated or missing keys, such as {found.example!r}"
                 )
@@ -142,15 +175,6 @@ def load_runs(
         raise
 
 
-def _staged(history: HistoryTable, rows: DataFrame, versions: Mapping[int, int]) -> DataFrame:
-    try:
-        return history.stage(rows, versions)
-    except PySparkException as error:
-        if "USER_RAISED_EXCEPTION" in str(error):
-            raise BadPage(f"runs {sorted(versions)}: {error}") from error
-        raise
-
-
 def _counts(
     history: HistoryTable,
     versions: Mapping[int, int],

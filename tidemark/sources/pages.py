@@ -4,27 +4,79 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.functions.scalars import epoch_ms_to_ts, map_to_json
-from tidemark.schema import PAGE, SNAPSHOTS
+from tidemark.functions.scalars import epoch_ms_to_ts, json_text
+from tidemark.schema import PAGE, QUARANTINED, SNAPSHOTS
+
+# The text of a line that is no page, or of a page in which a value has another type than declared.
+DAMAGED = "_damaged"
+
+
+def page_schema(page: T.StructType = PAGE, *more: T.StructField) -> T.StructType:
+    return T.StructType([*page.fields, *more, T.StructField(DAMAGED, T.StringType())])
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Landed pages, one JSON document per line, with the declared schema (no inference pass)."""
-    return spark.read.schema(PAGE).json(path)
+    """Landed pages, one JSON document per line, with the declared schema (no inference pass).
+
+    Beside the columns of a page there are `file` and `_damaged`, the text of a damaged line. Spark
+    reads what it can of such a line and leaves the rest null, so its values must not be used.
+    """
+    pages = spark.read.schema(page_schema()).option("columnNameOfCorruptRecord", DAMAGED).json(path)
+    return pages.select("*", F.col("_metadata.file_path").alias("file"))
+
+
+def is_good(pages: DataFrame) -> Column:
+    """Whether a page can be loaded: a success, and nothing of it is damaged."""
+    good = F.col("status").eqNullSafe("success")
+    return good & F.col(DAMAGED).isNull() if DAMAGED in pages.columns else good
+
+
+def quarantined(pages: DataFrame) -> DataFrame:
+    """Pages that cannot be loaded, with the columns of `schema.QUARANTINED` but the attempt.
+
+    The text of a damaged line is the line; that of a page with an error is written anew.
+    """
+    damaged = F.col(DAMAGED).isNotNull()
+    return pages.where(~is_good(pages)).select(
+        "file",
+        "cursor",
+        "status",
+        F.when(damaged, "damaged").otherwise("status").alias("reason"),
+        F.coalesce(DAMAGED, F.to_json(F.struct("cursor", "status", "value"))).alias("record"),
+        F.col("run").cast("int").alias("run"),
+    )
+
+
+def write_quarantine(records: DataFrame, folder: str) -> None:
+    """Write rows of `schema.QUARANTINED`; the records of the same run and attempt are replaced."""
+    (
+        records.select(*QUARANTINED.names)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("run", "attempt")
+        .parquet(folder)
+    )
+
+
+def read_quarantine(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(QUARANTINED).parquet(folder)
 
 
 def page_items(pages: DataFrame, on_bad_page: str = "fail", *keep: str) -> DataFrame:
     """One row per catalogue item: the columns of the page to `keep`, and `item`.
 
-    A page whose status is not 'success' fails the query; `on_bad_page="keep"` keeps the good pages.
+    A page whose status is not 'success', or that is damaged, fails the query; `on_bad_page="keep"`
+    keeps the good pages.
     """
-    good = F.col("status").eqNullSafe("success")
+    good = is_good(pages)
     if on_bad_page == "keep":
         items = pages.where(good).select(*keep, F.explode("value.page").alias("item"))
     elif on_bad_page == "fail":
         problem = F.concat(
-            F.lit("page with status "), F.coalesce(F.col("status"), F.lit("(missing)"))
+            F.lit("damaged page or page with status "),
+            F.coalesce(F.col("status"), F.lit("(missing)")),
         )
         page = F.when(good, F.col("value.page")).otherwise(F.raise_error(problem))
         items = pages.select(*keep, F.explode(page).alias("item"))
@@ -50,8 +102,8 @@ def flatten_items(items: DataFrame, run_id: int | Column) -> DataFrame:
         "summary": F.col(skill + "summary"),
         "created_at": epoch_ms_to_ts(F.col(skill + "createdAt")),
         "updated_at": epoch_ms_to_ts(F.col(skill + "updatedAt")),
-        "badges": map_to_json(F.col(skill + "badges")),
-        "tags": map_to_json(F.col(skill + "tags")),
+        "badges": json_text(F.col(skill + "badges")),
+        "tags": json_text(F.col(skill + "tags")),
         "stat_downloads": _counter(F.col(stats + "downloads")),
         "stat_stars": _counter(F.col(stats + "stars")),
         "stat_comments": _counter(F.col(stats + "comments")),

@@ -19,36 +19,42 @@ from pyspark.sql.streaming import StreamingQuery
 from tidemark.schema import PAGE
 from tidemark.sources.feed import ChangeFeed
 from tidemark.sources.load import BadPage, load_runs, utc_now
+from tidemark.sources.pages import DAMAGED, is_good, page_schema, write_quarantine
 from tidemark.sources.tables import HistoryTable, RunLog
 
 log = logging.getLogger(__name__)
 
-LANDED = T.StructType(PAGE.fields + [T.StructField("run", T.IntegerType())])
+_RUN = T.StructField("run", T.IntegerType())
+LANDED = page_schema(PAGE, _RUN)
 
 # The items of a page are not parsed for its header.
-_LANDED_HEADER = T.StructType([
-    *[f for f in PAGE if f.name != "value"],
-    T.StructField(
-        "value", T.StructType([f for f in PAGE["value"].dataType if f.name != "page"])
-    ),
-    T.StructField("run", T.IntegerType()),
-])
-
-# `next_cursor` is null for the last page and for one with an error.
+_LANDED_HEADER = page_schema(
+    T.StructType([
+        *[f for f in PAGE if f.name != "value"],
+        T.StructField(
+            "value", T.StructType([f for f in PAGE["value"].dataType if f.name != "page"])
+        ),
+    ]),
+    _RUN,
+)
+
+# `next_cursor` is null for the last page and for one with an error; `damaged` is the text of a line
+# that is no page.
 HEADERS = (
-    "cursor string, good boolean, next_cursor string, file string, landed_at timestamp,"
-    " run int, batch long"
+    "cursor string, good boolean, next_cursor string, damaged string, file string,"
+    " landed_at timestamp, run int, batch long"
 )
 
 
 def page_headers(landed: DataFrame) -> DataFrame:
     """Columns of `HEADERS` but the batch, of pages read from files."""
-    good = F.col("status").eqNullSafe("success")
+    good = is_good(landed)
     more = good & F.coalesce(F.col("value.hasMore"), F.lit(False))
     return landed.select(
         "cursor",
         good.alias("good"),
         F.when(more, F.col("value.nextCursor")).alias("next_cursor"),
+        F.col(DAMAGED).alias("damaged"),
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_modification_time").alias("landed_at"),
         "run",
@@ -60,12 +66,14 @@ def answers(headers: DataFrame) -> DataFrame:
 
     A later page supersedes an earlier answer to the same cursor, but one with an error supersedes no
     good one; an error counts while its cursor has no good page. Later is the later trigger, then the
-    time and the name of the file. Pages of one file that answer the same cursor count together.
+    time and the name of the file. Pages of one file that answer the same cursor count together. A
+    damaged line answers nothing.
     """
     newest = Window.partitionBy("run", "cursor").orderBy(
         F.desc("good"), F.desc("batch"), F.desc("landed_at"), F.desc("file")
     )
-    return headers.withColumn("place", F.rank().over(newest)).where("place = 1").drop("place")
+    pages = headers.where("damaged IS NULL")
+    return pages.withColumn("place", F.rank().over(newest)).where("place = 1").drop("place")
 
 
 def chains(answered: DataFrame) -> DataFrame:
@@ -107,6 +115,7 @@ def ready_pages(spark: SparkSession, landing: str, runs: list[int], answered: Da
     """The good pages that count, of runs whose chains are whole. Only their folders are read."""
     landed = (
         spark.read.schema(LANDED)
+        .option("columnNameOfCorruptRecord", DAMAGED)
         .option("basePath", landing)
         .json([f"{landing}/run={run}" for run in runs])
         .select("*", F.col("_metadata.file_path").alias("file"))
@@ -117,7 +126,8 @@ def ready_pages(spark: SparkSession, landing: str, runs: list[int], answered: Da
         & (F.col("landed.file") == F.col("chosen.file"))
         & F.col("landed.cursor").eqNullSafe(F.col("chosen.cursor"))
     )
-    return landed.alias("landed").join(chosen, same, "left_semi").where("status = 'success'")
+    pages = landed.where(F.col("status").eqNullSafe("success"))
+    return pages.alias("landed").join(chosen, same, "left_semi")
 
 
 def _load_arrived(
@@ -131,6 +141,7 @@ def _load_arrived(
     on_bad_page: str,
     on_duplicate: str,
     feed: ChangeFeed | None,
+    quarantine: str,
 ) -> None:
     # The headers of a batch are a partition of their own, so replaying the batch writes the same.
     spark = history.spark
@@ -143,7 +154,24 @@ def _load_arrived(
     )
     kept = spark.read.schema(HEADERS).parquet(state)
     touched = [r.run for r in kept.where(F.col("batch") == batch_id).select("run").distinct().collect()]
-    answered = answers(kept.where(F.col("run").isin(touched)))
+    mine = kept.where(F.col("run").isin(touched))
+    lines = mine.where("damaged IS NOT NULL")
+    torn = [r.run for r in lines.select("run").distinct().collect()]
+    if torn:
+        # No attempt to load sees these lines: they are put down under attempt 0.
+        write_quarantine(
+            lines.select(
+                "file",
+                "cursor",
+                F.lit(None).cast("string").alias("status"),
+                F.lit("damaged").alias("reason"),
+                F.col("damaged").alias("record"),
+                "run",
+                F.lit(0).alias("attempt"),
+            ),
+            quarantine,
+        )
+    answered = answers(mine)
     found = chains(answered).collect()
     keep = on_bad_page == "keep"
     ready = sorted(r.run for r in found if r.whole and (keep or not r.errors))
@@ -153,6 +181,10 @@ def _load_arrived(
         for r in found
         if r.errors and not keep
     }
+    # So does a damaged line while the chain is not whole without it.
+    broken |= {
+        run: BadPage(f"run {run}: damaged lines") for run in torn if run not in ready and not keep
+    }
     if not ready and not broken:
         return
     pages = ready_pages(spark, landing, ready, answered) if ready else None
@@ -166,6 +198,7 @@ def _load_arrived(
         on_duplicate=on_duplicate,
         broken=broken,
         feed=feed,
+        quarantine=quarantine,
     )
     # The data are at fault and the run log says 'failed'. Other runs are loaded all the same; new
     # pages for these load them again. Any other error is raised, and the batch is run again.
@@ -187,17 +220,33 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Load what has landed since the last call, then stop. Returns the running query.
 
-    All runs that a trigger makes whole are loaded together, in one write and one log append.
+    All runs that a trigger makes whole are loaded together, in one write and one log append. Damaged
+    lines, and pages with a value of another type than declared, are kept in
+    `<checkpoint>/quarantine`, see `pages.read_quarantine`.
     """
-    state = f"{checkpoint}/page_headers"
+    state, quarantine = f"{checkpoint}/page_headers", f"{checkpoint}/quarantine"
 
     def load(batch: DataFrame, batch_id: int) -> None:
         _load_arrived(
-            batch, batch_id, landing, state, history, run_log, clock, on_bad_page, on_duplicate, feed
+            batch,
+            batch_id,
+            landing,
+            state,
+            history,
+            run_log,
+            clock,
+            on_bad_page,
+            on_duplicate,
+            feed,
+            quarantine,
         )
 
     return (
-        page_headers(spark.readStream.schema(_LANDED_HEADER).json(landing))
+        page_headers(
+            spark.readStream.schema(_LANDED_HEADER)
+            .option("columnNameOfCorruptRecord", DAMAGED)
+            .json(landing)
+        )
         .writeStream.foreachBatch(load)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
