@@ -1,4 +1,6 @@
 import random
+import subprocess
+import sys
 from collections import Counter
 
 import numpy as np
@@ -90,3 +92,19 @@ def test_components(spark):
     got = dict(rows(components(df), "node", "root"))
     assert got == {k: 0 for k in range(21)} | {50: 50, 70: 50, 100: 50}
     assert components(df.limit(0)).count() == 0
+
+
+def test_many_short_texts_take_little_memory():
+    code = """
+import resource
+import pyarrow as pa
+from tidemark.llm.bag_minhash import _sign
+texts = pa.array([f"word{k}" for k in range(100_000)])
+ids = pa.array(range(100_000))
+batch = pa.RecordBatch.from_arrays([ids, ids, texts], names=["doc_id", "text_id", "text"])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+assert sum(len(out) for out in _sign([batch])) == 100_000
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)
+"""
+    grown = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
+    assert int(grown.stdout) < 200 * 1024

@@ -32,6 +32,8 @@ REGISTERS = BANDS * ROWS
 SMALL_BUCKET = 16
 # Texts in each of two blocks that are compared in one task.
 BLOCK = 256
+# Texts that are signed together, at about 30 KB each.
+SIGNED_TOGETHER = 1024
 
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
@@ -84,7 +86,7 @@ def _points(times, seed, owner, width, strip, weight, limit) -> None:
 
 def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at, block in blocks(batch.column(2)):
+        for at, block in blocks(batch.column(2), most=SIGNED_TOGETHER):
             n = len(block.sizes)
             value, owner = shingles(block, WORDS)
             times = signatures(value, owner, n)

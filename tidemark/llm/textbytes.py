@@ -89,10 +89,13 @@ def fingerprints(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     )
 
 
-def blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, Block]]:
+def blocks(
+    texts: pa.Array, limit: int = BLOCK_BYTES, most: int | None = None
+) -> Iterator[tuple[int, Block]]:
     """Consecutive texts of about `limit` bytes together, with the index of the first.
 
-    Null counts as empty. A text above the limit makes a block of its own.
+    Null counts as empty. A text above the limit makes a block of its own. No block has more than
+    `most` texts, if given, which bounds what is kept per text.
     """
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -104,6 +107,7 @@ def blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, Blo
     at = 0
     while at < n:
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
+        end = min(end, at + most) if most else end
         part = offsets[at : end + 1]
         yield at, Block(raw[part[0] : part[-1]], part - part[0])
         at = end
