@@ -11,6 +11,7 @@ that end together. How often a pair of ids is linked is counted over the whole c
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from array import array
 from collections.abc import Iterable, Iterator
@@ -111,8 +112,7 @@ class _Aligner:
         found = self.memory.get(key)
         if found is None:
             ids = array("I", key).tolist()
-            n_b = sum(map(_OF_B.__le__, ids))
-            found = self._aligned(ids[: len(ids) - n_b], [k - _OF_B for k in ids[len(ids) - n_b :]])
+            found = self._aligned([k for k in ids if k < _OF_B], [k - _OF_B for k in ids if k >= _OF_B])
             if len(ids) <= REMEMBERED_TOKENS:
                 if len(self.memory) >= REMEMBERED:
                     self.memory.clear()
@@ -185,36 +185,46 @@ def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
 
 
 def _align(a_path: str, b_path: str, keep_groups: bool):
+    def aligned(aligner: _Aligner, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        texts, at = batch.column(1), 0
+        while at < len(batch):
+            # Rows of about 2 MB of text go through together.
+            part, size = [], 0
+            while at + len(part) < len(batch) and size < 2 << 20:
+                part.append(texts[at + len(part)].as_py() or "")
+                size += len(part[-1])
+            rows, digests, pairs, times = [], [], [], []
+            for text, b in zip(part, aligner.b.encode(part, num_threads=1)):
+                n_a, n_b, groups, linked = aligner(text, b)
+                digests.append(hashlib.sha256(groups.encode()).hexdigest() if n_a else "")
+                # Tokens have a byte at least, so at each shared end one token of each is linked.
+                rows.append((n_a, n_b, len(linked), groups if keep_groups else None))
+                distinct, n = np.unique(linked, return_counts=True)
+                pairs.append(distinct)
+                times.append(n)
+            n_a, n_b, n_groups, groups = zip(*rows)
+            columns = [
+                batch.column(0).slice(at, len(part)),
+                *[pa.array(n, pa.int64()) for n in (n_a, n_b, n_groups)],
+                pa.array(digests, pa.string()),
+                pa.array(groups, pa.string()),
+                _lists(pairs, pa.int64()),
+                _lists(times, pa.int32()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=_NAMES)
+            at += len(part)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _aligner(a_path, b_path)
-        for batch in batches:
-            texts, at = batch.column(1), 0
-            while at < len(batch):
-                # Rows of about 2 MB of text go through together.
-                part, size = [], 0
-                while at + len(part) < len(batch) and size < 2 << 20:
-                    part.append(texts[at + len(part)].as_py() or "")
-                    size += len(part[-1])
-                rows, digests, pairs, times = [], [], [], []
-                for text, b in zip(part, aligner.b.encode(part, num_threads=1)):
-                    n_a, n_b, groups, linked = aligner(text, b)
-                    digests.append(hashlib.sha256(groups.encode()).hexdigest() if n_a else "")
-                    # Tokens have a byte at least, so at each shared end one token of each is linked.
-                    rows.append((n_a, n_b, len(linked), groups if keep_groups else None))
-                    distinct, n = np.unique(linked, return_counts=True)
-                    pairs.append(distinct)
-                    times.append(n)
-                n_a, n_b, n_groups, groups = zip(*rows)
-                columns = [
-                    batch.column(0).slice(at, len(part)),
-                    *[pa.array(n, pa.int64()) for n in (n_a, n_b, n_groups)],
-                    pa.array(digests, pa.string()),
-                    pa.array(groups, pa.string()),
-                    _lists(pairs, pa.int64()),
-                    _lists(times, pa.int32()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=_NAMES)
-                at += len(part)
+        # Nothing here makes cycles, and looking for them among the windows takes a tenth of the time.
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            for batch in batches:
+                yield from aligned(aligner, batch)
+        finally:
+            if collecting:
+                gc.enable()
 
     return run
 
