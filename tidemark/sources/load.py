@@ -128,7 +128,9 @@ def load_runs(
             # entities, and the pages are parsed once.
             staged = history.stage(rows, versions)
             checks = {r.scrape_run_id: r for r in check_runs(staged).collect()}
-            damaged = sorted(seen.get["runs"] or [])
+            # Spark drops what it observes with the rest of a plan that gives no row at all.
+            missed = pages.where(bad.isNotNull()).select("run").distinct()
+            damaged = sorted(seen.get["runs"] if checks else [r.run for r in missed.collect()])
             if damaged and quarantine:
                 of_run = {run: versions[run] for run in damaged}
                 found = quarantined(pages.where(F.col("run").isin(damaged)))
