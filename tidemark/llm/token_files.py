@@ -46,6 +46,10 @@ class _Parts(dict):
         tokenizer = Tokenizer.from_file(path)
         if tokenizer.normalizer is not None or type(tokenizer.pre_tokenizer).__name__ != "ByteLevel":
             raise ValueError("a byte-level tokenizer without normaliser is needed")
+        if tokenizer.pre_tokenizer.add_prefix_space or not tokenizer.pre_tokenizer.use_regex:
+            raise ValueError("texts must be cut by the usual pattern, without a blank put ahead")
+        if tokenizer.truncation or tokenizer.padding:
+            raise ValueError("a tokenizer that cuts or pads texts does not encode them whole")
         self.pieces, self.model = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model.tokenize
         self.tokenizer, self.added = tokenizer, tokenizer.get_added_tokens_decoder()
         self.ids, self.ends = array("I"), array("q", [0, 0])
@@ -157,6 +161,7 @@ class _Encoder:
 def _encode(path: str, encode_special_tokens: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _Encoder(path, encode_special_tokens)
+        written = 0
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
             at = 0
@@ -173,11 +178,12 @@ def _encode(path: str, encode_special_tokens: bool):
                 tokens = pa.ListArray.from_arrays(
                     pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(values)
                 )
+                ends = written + np.cumsum(counts)
                 yield pa.RecordBatch.from_arrays(
-                    [keys.slice(at, n), pa.array(counts, pa.int64()), tokens],
-                    names=["doc_id", "n_tokens", "tokens"],
+                    [keys.slice(at, n), pa.array(counts), pa.array(ends - counts), tokens],
+                    names=["doc_id", "n_tokens", "ahead", "tokens"],
                 )
-                at += n
+                written, at = int(ends[-1]), at + n
 
     return run
 
@@ -194,7 +200,8 @@ def write_tokens(
     """Encode `documents` (doc_id, text) and write the ids below `folder`.
 
     Files hold ascending ranges of (doc_id, fingerprint of the text); `shard` is the file's place in
-    that order. The text is shuffled once, before it is encoded. Id 0 ends every document, also an
+    that order, and `ahead` the number of ids of the documents before this one in the file. There are
+    at most `spark.sql.shuffle.partitions` shards. The text is shuffled once, before it is encoded. Id 0 ends every document, also an
     empty or null text, which has no other id. Null doc_ids come first, rows with the same doc_id
     stay side by side, and rows that repeat altogether are all written. Other columns are ignored.
 
@@ -209,11 +216,11 @@ def write_tokens(
         F.asc_nulls_first("doc_id"), "tie"
     )
     rows = ordered.select("doc_id", "text").mapInArrow(
-        _encode(tokenizer, encode_special_tokens), "doc_id long, n_tokens long, tokens array<int>"
+        _encode(tokenizer, encode_special_tokens),
+        "doc_id long, n_tokens long, ahead long, tokens array<int>",
     )
     (
         rows.select(F.spark_partition_id().alias("shard"), "*")
-        .withColumn("place", F.monotonically_increasing_id())
         .write.option("parquet.block.size", row_group_bytes)
         .option("parquet.page.size", page_bytes)
         .option("parquet.enable.dictionary", "true")
@@ -224,46 +231,45 @@ def write_tokens(
     )
 
 
+def _bases(files: DataFrame) -> DataFrame:
+    """Columns: shard, base; the ids in all shards before. One row per shard, see `write_tokens`."""
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    shards = files.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
+    return shards.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+
+
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """Columns: doc_id, shard, place, n_tokens, start. Reads no ids.
+    """Columns: doc_id, shard, n_tokens, start. Reads no ids, and moves no document.
 
-    `start` counts the ids of all documents before this one. Shards are summed first, so each is
-    numbered on its own and only one row per shard meets in one task.
+    `start` counts the ids of all documents before this one.
     """
-    rows = spark.read.parquet(folder).select("doc_id", "shard", "place", "n_tokens")
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    shards = (
-        rows.groupBy("shard")
-        .agg(F.sum("n_tokens").alias("n"))
-        .select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    )
-    inside = Window.partitionBy("shard").orderBy("place")
-    ahead = inside.rowsBetween(Window.unboundedPreceding, -1)
-    return rows.join(shards, "shard").select(
-        "doc_id",
-        "shard",
-        "place",
-        "n_tokens",
-        (F.col("base") + F.coalesce(F.sum("n_tokens").over(ahead), F.lit(0))).alias("start"),
+    files = spark.read.parquet(folder)
+    return files.join(F.broadcast(_bases(files)), "shard").select(
+        "doc_id", "shard", "n_tokens", (F.col("base") + F.col("ahead")).alias("start")
     )
 
 
 def _checksums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        tokens = batch.column(1)
+        tokens = batch.column(3)
         offsets = tokens.offsets.to_numpy()
-        values = tokens.values.to_numpy(zero_copy_only=False).astype("<u4")
-        sums = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(offsets, offsets[1:])]
+        values = tokens.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
+        data, ends = memoryview(values).cast("B"), (4 * offsets).tolist()
+        sums = [zlib.crc32(data[a:b]) for a, b in zip(ends, ends[1:])]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(np.diff(offsets), pa.int64()), pa.array(sums, pa.int64())],
-            names=["place", "n_ids", "ids_crc32"],
+            [
+                *batch.columns[:3],
+                pa.array(np.diff(offsets).astype(np.int64)),
+                pa.array(sums, pa.int64()),
+            ],
+            names=["doc_id", "shard", "ahead", "n_tokens", "ids_crc32"],
         )
 
 
 def read_checksums(spark: SparkSession, folder: str) -> DataFrame:
-    """Columns: place, n_ids, ids_crc32, computed from the ids in the files."""
-    return spark.read.parquet(folder).select("place", "tokens").mapInArrow(
-        _checksums, "place long, n_ids long, ids_crc32 long"
+    """Columns: doc_id, shard, ahead, n_tokens, ids_crc32; the last two from the ids in the files."""
+    return spark.read.parquet(folder).select("doc_id", "shard", "ahead", "tokens").mapInArrow(
+        _checksums, "doc_id long, shard int, ahead long, n_tokens long, ids_crc32 long"
     )
 
 
@@ -274,12 +280,12 @@ def token_files(
 
     Columns: doc_id, start, n_tokens, ids_crc32 (of all ids as little-endian unsigned 32-bit
     integers). An empty table gives an empty result. `encode_special_tokens` is as in `write_tokens`.
+    One scan of the files gives the rows; the starts of the shards come from the metadata alone.
     """
     spark = documents.sparkSession
     folder = shared_folder(spark) + "/tokens"
     write_tokens(documents, folder, tokenizer, encode_special_tokens=encode_special_tokens)
-    return (
-        read_documents(spark, folder)
-        .join(read_checksums(spark, folder), "place")
-        .select("doc_id", "start", F.col("n_ids").alias("n_tokens"), "ids_crc32")
+    bases = F.broadcast(_bases(spark.read.parquet(folder)))
+    return read_checksums(spark, folder).join(bases, "shard").select(
+        "doc_id", (F.col("base") + F.col("ahead")).alias("start"), "n_tokens", "ids_crc32"
     )
