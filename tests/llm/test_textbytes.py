@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 
 from tests.llm.frames import prose
-from tidemark.llm.textbytes import blocks, fingerprints, multiset, shingles
+from tidemark.llm.textbytes import PIECE_BYTES, blocks, fingerprints, multiset, shingles
 
 TEXTS = ["", None, " \t\n", "a", " a b\x0bc ", "é x y", "a b a b a b a b", prose(300), "x " * 50]
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -52,3 +52,20 @@ def test_shingles_as_multisets():
         w = split(text)
         runs = [tuple(w[i : i + 5]) for i in range(len(w) - 4)] or ([tuple(w)] if w else [])
         assert sorted(names.get(k, {}).values()) == sorted(Counter(runs).values())
+
+
+def test_crafted_strings_differ():
+    """Strings whose polynomials differ by a product of many even factors, and one with its pieces in
+    another order."""
+    turned = {"a": "b", "b": "a"}
+    text = "a"
+    while len(text) < 4096:
+        text += "".join(turned[c] for c in text)
+    pieces = [prose(40, k)[:PIECE_BYTES] for k in range(8)]
+    pairs = [(text[:n], "".join(turned[c] for c in text[:n])) for n in (64, 128, 1024, 2048, 4096)]
+    pairs.append(("".join(pieces), "".join(pieces[::-1])))
+    for x, y in pairs:
+        (_, block), = blocks(pa.array([x, y, x]))
+        for lane in (0, 1):
+            found = fingerprints(block.sums(lane), block.offsets[:-1], block.offsets[1:])
+            assert found[0] == found[2] != found[1]
