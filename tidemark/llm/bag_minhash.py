@@ -30,6 +30,9 @@ BANDS, ROWS = 20, 5
 REGISTERS = BANDS * ROWS
 # Texts that share a band are compared one by one up to this many, and through a centre beyond.
 SMALL_BUCKET = 16
+# Tasks over which the members of a large bucket or centre are dealt in joins. There are more members
+# than that, so the copies of what they are joined with are fewer than the members.
+SALTS = SMALL_BUCKET
 # Texts in each of two blocks that are compared in one task.
 BLOCK = 256
 # Texts that are signed together, at about 30 KB each.
@@ -131,6 +134,14 @@ def _members(texts: DataFrame) -> DataFrame:
     return stored(rows.join(sizes, "bucket"))
 
 
+def _dealt(rows: DataFrame, member: str) -> DataFrame:
+    return rows.withColumn("salt", F.pmod(F.xxhash64(member), F.lit(SALTS)).cast("int"))
+
+
+def _copied(facts: DataFrame) -> DataFrame:
+    return facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def _with_centres(members: DataFrame) -> DataFrame:
     """Members of large buckets with the centre of each: the text that has company in most of its
     bands, so the one closest to what all share."""
@@ -139,18 +150,23 @@ def _with_centres(members: DataFrame) -> DataFrame:
     centres = large.groupBy("bucket").agg(
         F.max_by("text_id", F.struct("company", "text_id")).alias("centre")
     )
-    return large.join(centres, "bucket").select("text_id", "centre").distinct()
+    found = _dealt(large, "text_id").join(_copied(centres), ["bucket", "salt"])
+    return found.select("text_id", "centre").distinct()
 
 
 def _candidates(members: DataFrame, centred: DataFrame) -> DataFrame:
-    """Pairs to verify first: all pairs of small buckets, members of large ones with their centres."""
+    """Pairs to verify first: all pairs of small buckets, members of large ones with their centres.
+
+    Columns: a, b, centred; b is a centre if centred, and otherwise neither has many partners.
+    """
     few = members.where(f"size <= {SMALL_BUCKET}")
     pair = few.alias("x").join(few.alias("y"), "bucket").where("x.text_id < y.text_id")
-    small = pair.select(F.col("x.text_id").alias("a"), F.col("y.text_id").alias("b"))
-    star = centred.where("text_id <> centre").select(
-        F.least("text_id", "centre").alias("a"), F.greatest("text_id", "centre").alias("b")
+    small = pair.selectExpr("x.text_id AS a", "y.text_id AS b", "CAST(NULL AS string) AS centre")
+    star = centred.where("text_id <> centre").selectExpr("text_id AS a", "centre AS b", "centre")
+    once = small.union(star).groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+    return once.agg(F.max("centre").alias("centre")).selectExpr(
+        "if(x <=> centre, y, x) AS a", "if(x <=> centre, x, y) AS b", "centre IS NOT NULL AS centred"
     )
-    return small.union(star).distinct()
 
 
 def _sets(pairs: DataFrame, texts: DataFrame, documents: DataFrame) -> DataFrame:
@@ -171,11 +187,16 @@ def _sets(pairs: DataFrame, texts: DataFrame, documents: DataFrame) -> DataFrame
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose multisets overlap by SIMILARITY or more: a, b."""
+    beside = pairs.join(sets.toDF("a", "x"), "a")
+    few = beside.where("NOT centred").join(sets.toDF("b", "y"), "b")
+    centres = pairs.where("centred").select(F.col("b").alias("text_id")).distinct()
+    held = sets.join(centres, "text_id", "left_semi").toDF("b", "y")
+    many = _dealt(beside.where("centred"), "a").join(_copied(held), ["b", "salt"])
     shared = "size(array_intersect(x, y))"
+    columns = ["a", "b", f"{shared} AS shared", "size(x) + size(y) AS total"]
     return (
-        pairs.join(sets.toDF("a", "x"), "a")
-        .join(sets.toDF("b", "y"), "b")
-        .selectExpr("a", "b", f"{shared} AS shared", "size(x) + size(y) AS total")
+        few.selectExpr(*columns)
+        .union(many.selectExpr(*columns))
         .where(f"shared / (total - shared) >= {SIMILARITY}")
         .select("a", "b")
     )
@@ -192,13 +213,22 @@ def _leftovers(centred: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFr
     rows = centred.join(root, "text_id", "left").select(
         "centre", "text_id", F.coalesce("root", "text_id").alias("root")
     )
-    mains = rows.where("text_id = centre").select("centre", F.col("root").alias("main"))
-    rows = rows.join(mains, "centre").withColumn("left_out", F.expr("root <> main"))
-    blocks_of = rows.groupBy("centre").agg(
-        F.expr(f"cast(ceil(count_if(left_out) / {BLOCK}) AS int)").alias("asked"),
-        F.expr(f"cast(ceil(count(*) / {BLOCK}) AS int)").alias("held"),
-    ).where("asked > 0")
-    rows = rows.join(blocks_of, "centre").join(sets, "text_id")
+    parts = rows.groupBy("centre", "root").agg(
+        F.count(F.lit(1)).alias("n"), F.bool_or(F.expr("text_id = centre")).alias("main")
+    )
+    sizes = parts.groupBy("centre").agg(
+        F.sum("n").alias("n"),
+        F.expr("sum(if(main, 0, n))").alias("out"),
+        F.expr("max(if(main, root, NULL))").alias("main"),
+    )
+    blocks_of = sizes.where("out > 0").select(
+        "centre",
+        "main",
+        F.expr(f"cast(ceil(out / {BLOCK}) AS int)").alias("asked"),
+        F.expr(f"cast(ceil(n / {BLOCK}) AS int)").alias("held"),
+    )
+    rows = _dealt(rows, "text_id").join(_copied(blocks_of), ["centre", "salt"])
+    rows = rows.withColumn("left_out", F.expr("root <> main")).join(sets, "text_id")
     number = "pmod(xxhash64(text_id), {n})"
     asked = rows.where("left_out").select(
         "centre", "text_id", "root", "elements", F.lit(True).alias("asked"),
