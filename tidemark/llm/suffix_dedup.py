@@ -39,13 +39,20 @@ COVERS = {
     31: [1, 5, 11, 24, 25, 27],
     73: [1, 2, 4, 8, 16, 32, 37, 55, 64],
 }
+# Suffixes and documents that are packed together, so that a bucket gets few and long rows.
+PACKET = 1 << 20
 # Bytes at least that a sample's rank looks at.
 LEAST_CONTEXT = 24
 
 _U = np.uint64
 # Bytes kept of a sample's rank, of all around it, and of what is ahead and behind; of a string's two.
 _SAMPLE_WIDTHS, _STRING_WIDTHS = (4, 6, 2, 2), (5, 6)
-_PACKED = "bucket long, dids binary, ties binary, docs binary, places binary, tags binary, done binary"
+_PACKED = (
+    "bucket long, packet long, dids binary, ties binary, docs binary, places binary, tags binary,"
+    " done binary"
+)
+# Marks of one bucket on the documents of one packet, and all marks of one document.
+_MARKS = "packet long, dids binary, ties binary, settled binary, open binary"
 _FLAGS = "did long, tie long, settled binary, open binary"
 
 
@@ -89,16 +96,61 @@ def _from_low_bytes(rows: np.ndarray) -> np.ndarray:
     return out.view(_U).reshape(-1)
 
 
+class _Packet:
+    """Suffixes of consecutive texts, up to PACKET of them, on their way to the buckets."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple] = []
+        self.size = self.documents = 0
+
+    def add(self, dids, ties, doc, place, tags) -> None:
+        self.parts.append((dids, ties, doc + self.documents, place, *tags))
+        self.documents += len(dids)
+        self.size += len(dids) + len(doc)
+
+    def rows(self, widths: tuple[int, ...], buckets: int) -> Iterator[tuple]:
+        """One row per bucket, see `_packed`. Of equal suffixes the first goes on, the others are
+        settled here. A document that repeats counts once."""
+        if not self.parts:
+            return
+        dids, ties, doc, place, *tags = [np.concatenate(x) for x in zip(*self.parts)]
+        self.__init__()
+        order = np.lexsort((ties, dids))
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(dids[order]) != 0) | (np.diff(ties[order]) != 0)
+        number = np.full(len(order), -1)
+        number[order[new]] = np.arange(new.sum())
+        dids, ties, doc = dids[order[new]], ties[order[new]], number[doc]
+        order = np.argsort(doc, kind="stable")
+        order = order[np.searchsorted(doc[order], 0) :]
+        doc, place, tags = doc[order], place[order], [x[order] for x in tags]
+        both = mix(tags[0] ^ (tags[1] * _U(0x9FB21C651E98DF25)))
+        order = np.argsort(both, kind="stable")
+        later = np.zeros(len(both), bool)
+        later[order[1:]] = np.logical_and.reduce(
+            [x[order[1:]] == x[order[:-1]] for x in tags[:2]]
+        )
+        keep = ~later
+        yield from _packed(
+            dids, ties, doc[keep], place[keep], [x[keep] for x in tags], widths, buckets,
+            (doc[later], place[later]),
+        )
+
+
 def _packed(dids, ties, doc, place, tags, widths, buckets, done) -> Iterator[tuple]:
     """One row per bucket. `tags` are fingerprints, cut to their low `widths` bytes.
 
     The high bits of the first choose the bucket. Entries are ordered by document and place. `done`
     (document, place) travels with one bucket.
     """
+    if not len(dids):
+        return
     bucket = ((tags[0] >> _U(40)) % _U(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    home = int(mix(np.array([dids[0]], np.int64).view(_U))[0] % _U(buckets)) if len(dids) else 0
+    # Marks come back by packet and name their documents, so two packets may share a number.
+    packet = mix(np.array([dids[0]], np.int64).view(_U) ^ mix(np.array([ties[0]], np.int64).view(_U)))
+    home, packet = int(packet[0] % _U(buckets)), int(packet.view(np.int64)[0])
     for b in range(buckets):
         at = order[cuts[b] : cuts[b + 1]]
         extra = done if b == home else (done[0][:0], done[1][:0])
@@ -109,6 +161,7 @@ def _packed(dids, ties, doc, place, tags, widths, buckets, done) -> Iterator[tup
         low = np.concatenate([_low_bytes(x[at], n) for x, n in zip(tags, widths)], axis=1)
         yield (
             b,
+            packet,
             _zip(np.diff(dids[used], prepend=np.int64(0))),
             _zip(ties[used]),
             _zip(np.diff(docs, prepend=0).astype(np.int32)),
@@ -149,7 +202,7 @@ def _rows(rows: Iterable[tuple], names: str) -> Iterator[pa.RecordBatch]:
 def _samples(cover: _Cover, buckets: int) -> Callable:
     """Ranks of the sampled suffixes: context behind the sample, and all bytes around it."""
 
-    def of(block: Block, dids: np.ndarray, ties: np.ndarray) -> Iterator[tuple]:
+    def of(block: Block) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         parts = [cover.places(int(n)) for n in block.sizes]
         counts = np.array([len(x) for x in parts])
         place = np.concatenate(parts) if counts.sum() else np.zeros(0, np.int64)
@@ -163,25 +216,19 @@ def _samples(cover: _Cover, buckets: int) -> Callable:
         room = block.sizes[doc] - place
         ahead = fingerprints(sums, at, at + np.minimum(cover.length - cover.middle, room))
         behind = fingerprints(sums, at - np.minimum(cover.middle + 1, place), at + cover.context)
-        # Of equal samples in this block the first goes on; the others are settled here.
-        both = mix(rank ^ (around * _U(0x9FB21C651E98DF25)))
-        order = np.argsort(both, kind="stable")
-        later = np.zeros(len(both), bool)
-        later[order[1:]] = both[order[1:]] == both[order[:-1]]
-        keep = ~later
-        yield from _packed(
-            dids, ties, doc[keep], place[keep],
-            [x[keep] for x in (rank, around, ahead, behind)], _SAMPLE_WIDTHS, buckets,
-            (doc[later], place[later]),
-        )
+        return doc, place, [rank, around, ahead, behind]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
+            packet = _Packet()
             for batch in batches:
                 batch, dids, ties = _by_document(batch)
                 for at, block in blocks(batch.column(2), BLOCK_BYTES // 2):
                     n = len(block.sizes)
-                    yield from of(block, dids[at : at + n], ties[at : at + n])
+                    packet.add(dids[at : at + n], ties[at : at + n], *of(block))
+                    if packet.size >= PACKET:
+                        yield from packet.rows(_SAMPLE_WIDTHS, buckets)
+            yield from packet.rows(_SAMPLE_WIDTHS, buckets)
 
         yield from _rows(rows(), _PACKED)
 
@@ -191,21 +238,22 @@ def _samples(cover: _Cover, buckets: int) -> Callable:
 def _sorted_bucket(table: pa.Table, widths: tuple[int, ...]):
     """Entries of one bucket in the order of rank, second fingerprint, document and place.
 
-    Only entries that share their rank with another one are kept. Returns the document keys, the
-    arrays document, place and all fingerprints, and the entries settled before.
+    Only entries that share their rank with another one are kept. Returns the document keys with the
+    packet of each, the arrays document, place and all fingerprints, and the entries settled before.
     """
-    dids, ties, docs, places, packed, done = [], [], [], [], [], []
+    dids, ties, packets, docs, places, packed, done = [], [], [], [], [], [], []
     base = 0
     for row in table.to_pylist():
         dids.append(np.cumsum(_unzip(row["dids"], "i8")))
         ties.append(_unzip(row["ties"], "i8"))
+        packets.append(np.full(len(ties[-1]), row["packet"], np.int64))
         docs.append(np.cumsum(_unzip(row["docs"], "i4").astype(np.int64)) + base)
         places.append(np.cumsum(_unzip(row["places"], "i4").astype(np.int64)))
         packed.append(np.frombuffer(row["tags"], np.uint8).reshape(-1, sum(widths)))
         more = _unzip(row["done"], "i8").reshape(2, -1)
         done.append(np.stack([more[0] + base, more[1]]))
         base += len(dids[-1])
-    dids, ties = np.concatenate(dids), np.concatenate(ties)
+    dids, ties, packets = np.concatenate(dids), np.concatenate(ties), np.concatenate(packets)
     doc, place = np.concatenate(docs), np.concatenate(places)
     packed, cuts = np.concatenate(packed), np.cumsum((0, *widths))
     rank = _from_low_bytes(packed[:, : cuts[1]])
@@ -216,11 +264,7 @@ def _sorted_bucket(table: pa.Table, widths: tuple[int, ...]):
     doc, place, packed = doc[order], place[order], packed[order]
     tags = [_from_low_bytes(packed[:, a:b]) for a, b in zip(cuts, cuts[1:])]
     # A document may come in several packets; its number is its place in the order of keys.
-    in_order = np.lexsort((ties, dids))
-    new = np.ones(len(in_order), bool)
-    new[1:] = (np.diff(dids[in_order]) != 0) | (np.diff(ties[in_order]) != 0)
-    number = np.empty(len(in_order), np.int64)
-    number[in_order] = np.cumsum(new) - 1
+    number, named = _numbered(dids, ties)
     doc = number[doc]
     done = np.concatenate(done, axis=1)
     order = np.lexsort((place, doc, tags[1], tags[0]))
@@ -228,10 +272,65 @@ def _sorted_bucket(table: pa.Table, widths: tuple[int, ...]):
     again = np.zeros(len(order), bool)
     again[1:] = np.logical_and.reduce([x[1:] == x[:-1] for x in entries[:4]])
     entries = [x[~again] for x in entries]
-    keys = (dids[in_order][new], ties[in_order][new])
+    keys = (dids[named], ties[named], packets[named])
     return keys, entries, (number[done[0]], done[1])
 
 
+def _numbered(dids: np.ndarray, ties: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each key in the order of the different ones, and where each of these is."""
+    order = np.lexsort((ties, dids))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(dids[order]) != 0) | (np.diff(ties[order]) != 0)
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return number, order[new]
+
+
+def _marks(keys, settled, open_) -> Iterator[tuple]:
+    """One row per packet: the settled and the open places in its documents."""
+    dids, ties, packets = keys
+    used = np.zeros(len(dids), bool)
+    used[settled[0]] = used[open_[0]] = True
+    order = np.flatnonzero(used)
+    order = order[np.argsort(packets[order], kind="stable")]
+    number = np.empty(len(dids), np.int64)
+    number[order] = np.arange(len(order))
+    lists = []
+    for doc, place in (settled, open_):
+        by = np.lexsort((place, number[doc]))
+        lists.append((number[doc][by], place[by]))
+    names, cuts = np.unique(packets[order], return_index=True)
+    for name, a, b in zip(names.tolist(), cuts, [*cuts[1:], len(order)]):
+        found = []
+        for doc, place in lists:
+            lo, hi = np.searchsorted(doc, [a, b])
+            found.append(_zip(np.stack([np.diff(doc[lo:hi], prepend=a), place[lo:hi]]).astype(np.int64)))
+        yield name, _zip(np.diff(dids[order[a:b]], prepend=np.int64(0))), _zip(ties[order[a:b]]), *found
+
+
+def _merge_marks(table: pa.Table) -> pa.Table:
+    """The marks of all buckets on one packet, by document."""
+    dids, ties, lists, base = [], [], ([], []), 0
+    for row in table.to_pylist():
+        dids.append(np.cumsum(_unzip(row["dids"], "i8")))
+        ties.append(_unzip(row["ties"], "i8"))
+        for found, name in zip(lists, ("settled", "open")):
+            doc, place = _unzip(row[name], "i8").reshape(2, -1)
+            found.append(np.stack([np.cumsum(doc) + base, place]))
+        base += len(ties[-1])
+    dids, ties = np.concatenate(dids), np.concatenate(ties)
+    number, named = _numbered(dids, ties)
+    settled, open_ = [np.concatenate(x, axis=1) for x in lists]
+    return _table(
+        _flags(
+            (dids[named], ties[named]),
+            (number[settled[0]], settled[1]),
+            (number[open_[0]], open_[1]),
+        ),
+        _FLAGS,
+    )
+
+
 def _flags(keys, settled, open_) -> Iterator[tuple]:
     """One row per document: its settled and its open places."""
     lists = []
@@ -267,22 +366,22 @@ def _rank_samples(table: pa.Table) -> pa.Table:
         same[1:-1] = key[order[1:]] == key[order[:-1]]
         halves[order] |= np.where(same[1:] | same[:-1], flag, 0)
     open_ = halves > 0
-    return _table(_flags(keys, settled, (doc[open_], 4 * place[open_] + halves[open_])))
+    return _table(_marks(keys, settled, (doc[open_], 4 * place[open_] + halves[open_])), _MARKS)
 
 
 def _rank_strings(table: pa.Table) -> pa.Table:
     """Strings of a bucket that equal an earlier one, as settled places."""
-    keys, (doc, place, rank, second), _ = _sorted_bucket(table, _STRING_WIDTHS)
+    keys, (doc, place, rank, second), done = _sorted_bucket(table, _STRING_WIDTHS)
     new = np.ones(len(doc), bool)
     new[1:] = (rank[1:] != rank[:-1]) | (second[1:] != second[:-1])
-    return _table(_flags(keys, (doc[~new], place[~new]), (doc[:0], place[:0])))
+    settled = (np.concatenate([doc[~new], done[0]]), np.concatenate([place[~new], done[1]]))
+    return _table(_marks(keys, settled, (doc[:0], place[:0])), _MARKS)
 
 
-def _table(rows: Iterator[tuple]) -> pa.Table:
-    schema = pa.schema(
-        [("did", pa.int64()), ("tie", pa.int64()), ("settled", pa.binary()), ("open", pa.binary())]
-    )
-    return pa.Table.from_batches(list(_rows(rows, _FLAGS)), schema)
+def _table(rows: Iterator[tuple], names: str) -> pa.Table:
+    kinds = {"long": pa.int64(), "binary": pa.binary()}
+    schema = pa.schema([(n, kinds[k]) for n, k in map(str.split, names.split(", "))])
+    return pa.Table.from_batches(list(_rows(rows, names)), schema)
 
 
 def _words(packets: list[bytes] | None) -> np.ndarray:
@@ -305,6 +404,7 @@ def _strings(cover: _Cover, buckets: int) -> Callable:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
+            packet = _Packet()
             for batch in batches:
                 batch, dids, ties = _by_document(batch)
                 settled, open_ = batch.column(3), batch.column(4)
@@ -321,14 +421,16 @@ def _strings(cover: _Cover, buckets: int) -> Callable:
                     place = np.concatenate(parts)
                     doc = np.repeat(np.arange(len(counts)), counts)
                     start = place + block.offsets[:-1][doc]
-                    yield from _packed(
+                    packet.add(
                         dids[at : at + len(counts)], ties[at : at + len(counts)], doc, place,
                         [
                             fingerprints(block.sums(lane), start, start + cover.length)
                             for lane in (0, 1)
                         ],
-                        _STRING_WIDTHS, buckets, (doc[:0], place[:0]),
                     )
+                    if packet.size >= PACKET:
+                        yield from packet.rows(_STRING_WIDTHS, buckets)
+            yield from packet.rows(_STRING_WIDTHS, buckets)
 
         yield from _rows(rows(), _PACKED)
 
@@ -403,7 +505,9 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
         keyed.select("did", "tie", "text")
         .mapInArrow(_samples(cover, buckets), _PACKED)
         .groupBy("bucket")
-        .applyInArrow(_rank_samples, _FLAGS)
+        .applyInArrow(_rank_samples, _MARKS)
+        .groupBy("packet")
+        .applyInArrow(_merge_marks, _FLAGS)
     )
 
     def lists(flags: DataFrame, *columns: str) -> DataFrame:
@@ -415,7 +519,9 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
         .join(marked, ["did", "tie"])
         .mapInArrow(_strings(cover, buckets), _PACKED)
         .groupBy("bucket")
-        .applyInArrow(_rank_strings, _FLAGS)
+        .applyInArrow(_rank_strings, _MARKS)
+        .groupBy("packet")
+        .applyInArrow(_merge_marks, _FLAGS)
     )
     found = lists(samples, "settled").join(
         lists(strings, "settled").withColumnRenamed("settled", "strings"), ["did", "tie"], "full"
