@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 
 from tests.llm.frames import prose
+from tidemark.llm import textbytes
 from tidemark.llm.textbytes import PIECE_BYTES, blocks, fingerprints, multiset, shingles
 
 TEXTS = ["", None, " \t\n", "a", " a b\x0bc ", "é x y", "a b a b a b a b", prose(300), "x " * 50]
@@ -69,3 +70,15 @@ def test_crafted_strings_differ():
         for lane in (0, 1):
             found = fingerprints(block.sums(lane), block.offsets[:-1], block.offsets[1:])
             assert found[0] == found[2] != found[1]
+
+
+def test_a_task_gives_its_powers_back():
+    def run(batches):
+        for batch in batches:
+            textbytes._POWERS.reach(1 << 16)
+            yield batch
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["a"])], names=["text"])
+    tasks = textbytes.tidy(run)([batch])
+    assert next(tasks) is batch and len(textbytes._POWERS.up) > 1
+    assert list(tasks) == [] and len(textbytes._POWERS.up) == 1

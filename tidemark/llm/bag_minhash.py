@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.textbytes import blocks, mix, multiset, shingles
+from tidemark.llm.textbytes import blocks, mix, multiset, shingles, tidy
 from tidemark.session import stored
 
 WORDS = 5
@@ -87,6 +87,7 @@ def _points(times, seed, owner, width, strip, weight, limit) -> None:
         np.minimum.at(times, (owner[at] * REGISTERS + register)[counts], clock[counts])
 
 
+@tidy
 def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at, block in blocks(batch.column(2), most=SIGNED_TOGETHER):
@@ -107,6 +108,7 @@ def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+@tidy
 def _elements(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The multiset of each text as a set: the k-th occurrence of a shingle is an element."""
     for batch in batches:

@@ -16,6 +16,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.textbytes import tidy
+
 UNDETERMINED = "und"
 DICTIONARY_BYTES = 32 << 10
 # Rows per language whose passages may enter its dictionary, and characters taken from each.
@@ -164,5 +166,5 @@ def identify(
     )
     kind = rows.schema["document"].dataType.simpleString()
     return rows.mapInArrow(
-        run, f"document {kind}, lang_pred string, score double, rejected boolean"
+        tidy(run), f"document {kind}, lang_pred string, score double, rejected boolean"
     )

@@ -6,7 +6,9 @@ coefficients of the bytes are drawn once from a fixed seed, so fingerprints agre
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,9 @@ class _Powers:
     """Powers of the base and of its inverse modulo 2**64, extended on demand."""
 
     def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
         self.up = self.down = np.ones(1, _U)
 
     def reach(self, n: int) -> None:
@@ -54,6 +59,30 @@ _COEFFICIENTS = np.random.Generator(np.random.PCG64(20240229)).integers(
 ) * _U(2) + _U(1)
 
 
+Batches = Iterable[pa.RecordBatch]
+
+
+def tidy(run: Callable[[Batches], Iterator[pa.RecordBatch]]) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
+    """An Arrow task that gives its memory back when it ends.
+
+    Workers live on through the stages after theirs, which need the memory of the executor.
+    """
+
+    @wraps(run)
+    def tidied(batches: Batches) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _POWERS.clear()
+            pa.default_memory_pool().release_unused()
+            # The C library keeps what was freed; only glibc can be asked to return it.
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return tidied
+
+
 class Block:
     """The bytes of consecutive texts; `offsets[i]:offsets[i + 1]` are those of text i."""
 
