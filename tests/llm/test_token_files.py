@@ -2,12 +2,15 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import AddedToken, Tokenizer
 
 import corpus_pipeline
 from tests.llm.frames import documents, prose, rows
 from tidemark.llm import queries, token_files
+from tidemark.llm.textbytes import blocks
+from tidemark.session import small_batches
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TEXTS = [
@@ -38,6 +41,51 @@ def test_encoder_equals_tokenizer(tokenizer, monkeypatch):
     token_files._parts.cache_clear()
 
 
+def blocks_of(texts, limit=1 << 20):
+    return [block for _, block in blocks(pa.array(texts, pa.string()), limit)]
+
+
+@pytest.mark.parametrize("special_as_text", [True, False])
+@pytest.mark.parametrize("limit", [1, 40, 1 << 20])
+def test_texts_of_a_block_together_equal_tokenizer(special_as_text, limit):
+    tokenizer = Tokenizer.from_file(PATH)
+    tokenizer.encode_special_tokens = special_as_text
+    marks = [
+        "a. b.. c", "it's. don't,no 's.a", "é. è,", "end.", " lead", "trail ", "a.\n", "a\u00a0 b", "a\u3000 b",
+        "\u201cq\u201d \u2018x\u2019.", "a\u0085b", "a \u2009b", "a\u200b b", "x \u180e y", "1.5 a1.b2",
+    ]
+    texts = TEXTS + marks + [None, *TEXTS[::-1]]
+    encoder, found = token_files._Encoder(PATH, special_as_text), []
+    for block in blocks_of(texts, limit):
+        together, counts = encoder.together(block)
+        found += np.split(together, np.cumsum(counts)[:-1])
+    assert [x.tolist() for x in found] == [ids(tokenizer, text) for text in texts]
+
+
+def test_a_part_is_looked_up_once_in_a_block(monkeypatch):
+    asked = []
+    places = token_files._Encoder._places
+    monkeypatch.setattr(
+        token_files._Encoder, "_places", lambda self, x: asked.extend(x) or places(self, x)
+    )
+    (block,) = blocks_of(["over and over and over.", "and over, and over"] * 50)
+    token_files._Encoder(PATH).together(block)
+    assert sorted(asked) == sorted(["over", " and", " over", ".", "and", ","])
+
+
+def test_few_documents_go_to_python_at_once(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(batch)])], names=["n"])
+
+    key, counted = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.range(5000, numPartitions=1)
+    before = spark.conf.get(key, None)
+    with small_batches(spark):
+        assert max(r.n for r in counted.mapInArrow(sizes, "n long").collect()) == 2000
+    assert spark.conf.get(key, None) == before
+    assert max(r.n for r in counted.mapInArrow(sizes, "n long").collect()) == 5000
+
+
 def test_files_round_trip(spark, tokenizer):
     texts = [(9 * k - 50, t) for k, t in enumerate(TEXTS)] + [(1000, None), (None, "n")]
     df = documents(spark, texts).selectExpr("*", "1 AS shard", "2 AS tokens")

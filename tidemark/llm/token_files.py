@@ -16,16 +16,20 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import shared_folder
+from tidemark.llm.textbytes import Block, blocks, tidy
+from tidemark.session import shared_folder, small_batches, stored
 
 END = 0
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
+# Texts of so many bytes are encoded together.
+BLOCK_BYTES = 1 << 20
 # Parts whose ids are remembered, and how many of them, the earliest, outlast a full memory.
-_REMEMBERED, _LASTING = 700_000, 300_000
+_REMEMBERED, _LASTING = 500_000, 250_000
 _CUT = re.compile(r" (?=\S)")
 # A word of Latin letters and the marks behind it, which are a piece each.
 _WORD = re.compile(r"( ?[^\W\d_\u0250-\U0010ffff]+)([^\w\s'\u0250-\U0010ffff]*)")
@@ -33,6 +37,55 @@ _WORD = re.compile(r"( ?[^\W\d_\u0250-\U0010ffff]+)([^\w\s'\u0250-\U0010ffff]*)"
 _HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 255 and b != 173)]
 _ALPHABET = {b: 256 + k for k, b in enumerate(_HIDDEN)}
 
+# Kinds of bytes that tell where a text may be cut. Beyond ASCII, white space begins with one of `_LEAD`.
+_LETTER, _MARK, _BLANK, _LINE, _LEAD, _CONTROL = range(1, 7)
+_KIND = np.zeros(256, np.uint8)
+_KIND[[*range(32), 127]] = _CONTROL
+_KIND[[b for b in range(33, 127) if b != ord("'")]] = _MARK
+_KIND[ord("0") : ord("9") + 1] = 0
+_KIND[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = _LETTER
+_KIND[[ord(" "), ord("\n")]] = _BLANK, _LINE
+_KIND[[0xC2, 0xE1, 0xE2, 0xE3]] = _LEAD
+
+
+def _irregular(block: Block, kind: np.ndarray) -> np.ndarray:
+    """Which texts hold white space other than lone blanks and line feeds, or control characters."""
+    data, offsets = block.data, block.offsets - block.offsets[0]
+    white = (kind == _BLANK) | (kind == _LINE)
+    # Two side by side, but not the end of a text and the start of the next.
+    double = white[:-1] & white[1:]
+    inner = offsets[(offsets > 0) & (offsets < len(data))]
+    double[inner - 1] = False
+    lead = np.flatnonzero(kind == _LEAD)
+    first, second, third = (data[np.minimum(lead + k, len(data) - 1)] for k in range(3))
+    wide = (
+        (first == 0xC2) & (second <= 0xA0)
+        | (first == 0xE1) & ((second == 0x9A) | (second == 0xA0))
+        | (first == 0xE2) & (second == 0x80) & ((third <= 0x8F) | (third >= 0xA8) & (third <= 0xAF))
+        | (first == 0xE2) & (second == 0x81) & (third >= 0x9F)
+        | (first == 0xE3) & (second == 0x80) & (third == 0x80)
+    )
+    at = np.concatenate([np.flatnonzero(double), lead[wide], np.flatnonzero(kind == _CONTROL)])
+    found = np.zeros(len(block.sizes), bool)
+    found[np.searchsorted(offsets, at, "right") - 1] = True
+    return found
+
+
+def _parts_of(block: Block, kind: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """Parts of regular texts, in order, and how many each text has.
+
+    A piece begins at each blank, at each line feed and behind it, and at a mark behind a letter.
+    """
+    begins = (kind == _BLANK) | (kind == _LINE)
+    begins[1:] |= (kind[:-1] == _LINE) | (kind[1:] == _MARK) & (kind[:-1] == _LETTER)
+    offsets = block.offsets - block.offsets[0]
+    begins[offsets[:-1][block.sizes > 0]] = True
+    starts = np.flatnonzero(begins)
+    ends = pa.py_buffer(np.append(starts, len(block.data)).astype(np.int32))
+    data = pa.py_buffer(np.ascontiguousarray(block.data))
+    parts = pa.StringArray.from_buffers(len(starts), ends, data).dictionary_encode()
+    return parts, np.diff(np.searchsorted(starts, offsets))
+
 
 class _Parts(dict):
     """Place of each known part in `ends`; a new part is encoded when it is asked for.
@@ -52,8 +105,9 @@ class _Parts(dict):
             raise ValueError("a tokenizer that cuts or pads texts does not encode them whole")
         self.pieces, self.model = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model.tokenize
         self.tokenizer, self.added = tokenizer, tokenizer.get_added_tokens_decoder()
-        self.ids, self.ends = array("I"), array("q", [0, 0])
-        self[""] = 0
+        # The empty part, and the id behind each document, which is no part of a text.
+        self.ids, self.ends = array("I", [END]), array("q", [0, 0, 1])
+        self[""], self[None] = 0, 1
 
     def _encode(self, part: str) -> list[int]:
         if part.isalpha() and part.isascii():
@@ -96,7 +150,7 @@ def _parts(path: str) -> _Parts:
     return _Parts(path)
 
 
-def _regular(text: str) -> bool:
+def regular(text: str) -> bool:
     """Whether all white space is lone blanks and line feeds, so that plain replacement can cut.
 
     Other white space and control characters count as not printable.
@@ -144,18 +198,61 @@ class _Encoder:
 
     def _between(self, text: str) -> np.ndarray:
         """Ids of a text without added tokens."""
-        if _regular(text):
+        if regular(text):
             cut = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
         else:
             first, *rest = _CUT.split(text)
             cut = [first, *[" " + x for x in rest]]
         self.parts.trim()
-        at = np.fromiter(map(self.parts.__getitem__, cut), np.int64, len(cut))
+        return self._ids(self._places(cut))[0]
+
+    def _places(self, parts: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.parts.__getitem__, parts), np.int64, len(parts))
+
+    def _ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the parts at the places `at`, one after the other, and where each part ends."""
         ids, ends = np.frombuffer(self.parts.ids, np.uint32), np.frombuffer(self.parts.ends, np.int64)
         starts = ends[at]
         sizes = ends[at + 1] - starts
-        skip = starts - (np.cumsum(sizes) - sizes)
-        return ids[np.arange(sizes.sum()) + np.repeat(skip, sizes)]
+        until = np.cumsum(sizes)
+        total = int(until[-1]) if len(until) else 0
+        return ids[np.arange(total) + np.repeat(starts - (until - sizes), sizes)], until
+
+    def together(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a block, each with `END` behind it, and how many ids each text has."""
+        kind = _KIND[block.data]
+        apart = _irregular(block, kind)
+        if self.ids:
+            offsets = pa.py_buffer(block.offsets - block.offsets[0])
+            data = pa.py_buffer(np.ascontiguousarray(block.data))
+            texts = pa.LargeStringArray.from_buffers(len(apart), offsets, data)
+            for content in self.ids:
+                apart |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
+        if not apart.any():
+            return self._regular_texts(block, kind)
+        held, start = np.repeat(~apart, block.sizes), block.offsets[0]
+        sizes = block.sizes[~apart]
+        ids, counts = self._regular_texts(
+            Block(block.data[held], np.append(0, np.cumsum(sizes))), kind[held]
+        )
+        others = iter(np.split(ids, np.cumsum(counts)[:-1])) if len(counts) else iter(())
+        each = []
+        for k, own in enumerate(apart):
+            a, b = block.offsets[k : k + 2] - start
+            text = block.data[a:b].tobytes().decode() if own else None
+            each.append(np.append(self(text), np.uint32(END)) if own else next(others))
+        return np.concatenate(each), np.array([len(x) for x in each])
+
+    def _regular_texts(self, block: Block, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        parts, counts = _parts_of(block, kind)
+        self.parts.trim()
+        # No part holds the character that joins them, so the distinct ones become text in one go.
+        distinct = pa.ListArray.from_arrays([0, len(parts.dictionary)], parts.dictionary)
+        known = pc.binary_join(distinct, "\0")[0].as_py().split("\0") if len(parts) else []
+        at = self._places(known)[parts.indices.to_numpy()]
+        behind = np.cumsum(counts)
+        ids, until = self._ids(np.insert(at, behind, self.parts[None]))
+        return ids, np.diff(until[behind + np.arange(len(behind))], prepend=0)
 
 
 def _encode(path: str, encode_special_tokens: bool):
@@ -163,29 +260,25 @@ def _encode(path: str, encode_special_tokens: bool):
         encoder = _Encoder(path, encode_special_tokens)
         written = 0
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1)
-            at = 0
-            while at < len(batch):
-                # Rows of about 4 MB of text go out together.
-                ids, n, size = [], 0, 0
-                while at + n < len(batch) and size < 4 << 20:
-                    text = texts[at + n].as_py() or ""
-                    ids.append(np.append(encoder(text), np.uint32(END)))
-                    size += len(text)
-                    n += 1
-                counts = np.array([len(x) for x in ids])
-                values = np.concatenate(ids).astype(np.int32)
+            for at, block in blocks(batch.column(1), BLOCK_BYTES):
+                ids, counts = encoder.together(block)
+                until = np.cumsum(counts)
                 tokens = pa.ListArray.from_arrays(
-                    pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(values)
+                    pa.array(np.append(0, until), pa.int32()), pa.array(ids.view(np.int32))
                 )
-                ends = written + np.cumsum(counts)
+                ahead = written + until - counts
                 yield pa.RecordBatch.from_arrays(
-                    [keys.slice(at, n), pa.array(counts), pa.array(ends - counts), tokens],
+                    [
+                        batch.column(0).slice(at, len(counts)),
+                        pa.array(counts, pa.int64()),
+                        pa.array(ahead, pa.int64()),
+                        tokens,
+                    ],
                     names=["doc_id", "n_tokens", "ahead", "tokens"],
                 )
-                written, at = int(ends[-1]), at + n
+                written += int(until[-1])
 
-    return run
+    return tidy(run)
 
 
 def write_tokens(
@@ -219,16 +312,17 @@ def write_tokens(
         _encode(tokenizer, encode_special_tokens),
         "doc_id long, n_tokens long, ahead long, tokens array<int>",
     )
-    (
-        rows.select(F.spark_partition_id().alias("shard"), "*")
-        .write.option("parquet.block.size", row_group_bytes)
-        .option("parquet.page.size", page_bytes)
-        .option("parquet.enable.dictionary", "true")
-        # Version 2 pages fall back from the dictionary to delta encoding.
-        .option("parquet.writer.version", "PARQUET_2_0")
-        .option("compression", "zstd")
-        .parquet(folder)
-    )
+    with small_batches(documents.sparkSession):
+        (
+            rows.select(F.spark_partition_id().alias("shard"), "*")
+            .write.option("parquet.block.size", row_group_bytes)
+            .option("parquet.page.size", page_bytes)
+            .option("parquet.enable.dictionary", "true")
+            # Version 2 pages fall back from the dictionary to delta encoding.
+            .option("parquet.writer.version", "PARQUET_2_0")
+            .option("compression", "zstd")
+            .parquet(folder)
+        )
 
 
 def _bases(files: DataFrame) -> DataFrame:
@@ -249,7 +343,10 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@tidy
 def _checksums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # A worker that has encoded the files does not need its parts any more.
+    _parts.cache_clear()
     for batch in batches:
         tokens = batch.column(3)
         offsets = tokens.offsets.to_numpy()
@@ -280,12 +377,14 @@ def token_files(
 
     Columns: doc_id, start, n_tokens, ids_crc32 (of all ids as little-endian unsigned 32-bit
     integers). An empty table gives an empty result. `encode_special_tokens` is as in `write_tokens`.
-    One scan of the files gives the rows; the starts of the shards come from the metadata alone.
+    One scan of the files gives the rows, which are stored before they are returned, so that ids go
+    through the tasks in small batches; the starts of the shards come from the metadata alone.
     """
     spark = documents.sparkSession
     folder = shared_folder(spark) + "/tokens"
     write_tokens(documents, folder, tokenizer, encode_special_tokens=encode_special_tokens)
     bases = F.broadcast(_bases(spark.read.parquet(folder)))
-    return read_checksums(spark, folder).join(bases, "shard").select(
+    sums = stored(read_checksums(spark, folder))
+    return sums.join(bases, "shard").select(
         "doc_id", (F.col("base") + F.col("ahead")).alias("start"), "n_tokens", "ids_crc32"
     )
