@@ -128,6 +128,20 @@ def test_windows_are_remembered_by_their_ids():
     assert len(aligner.memory) == 3
 
 
+def test_windows_of_regular_texts_are_tokenized_once(monkeypatch):
+    monkeypatch.setattr(alignment, "REMEMBERED_PARTS", 6)
+    monkeypatch.setattr(alignment, "LASTING_PARTS", 3)
+    aligner, whole = alignment._Aligner(TOKENIZER, PIECES), alignment._Aligner(TOKENIZER, PIECES)
+    texts = [text or "" for text in odd_texts().values()]
+    for _ in range(2):
+        for text, found in zip(texts, aligner.several(texts), strict=True):
+            want = whole(text, whole.b.encode(text))
+            assert found[:3] == want[:3] and found[3].tolist() == want[3].tolist(), text
+    aligner = alignment._Aligner(TOKENIZER, PIECES)
+    list(aligner.several(["over and over", "and over again", "a" * 3000, "two  blanks"]))
+    assert aligner.parts.keys() == {" over", " and", " again"}
+
+
 def test_groups_and_edge_cases(spark):
     docs = documents(spark, [(1, "on and on"), (1, "on and on"), (None, "on"), (2, None)])
     clashing = docs.selectExpr("*", "1 AS place", "2 AS pairs", "3 AS pair", "4 AS salt", "5 AS links")

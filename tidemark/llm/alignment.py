@@ -1,9 +1,13 @@
 """Alignment of two tokenizations of the same text by anchors at white space.
 
-Both tokenizers run over the whole text. Where a token that begins with a blank starts at the same
-byte in both, and so the tokens before it end together, the text is cut. The pieces between such
-anchors are windows, a word or two each: the tuple of their ids in both vocabularies decides how
-they align, so the alignment of a window is computed once and remembered by that tuple.
+Where a token that begins with a blank starts at the same byte in both, and so the tokens before it
+end together, the text is cut. The pieces between such anchors are windows, a word or two each.
+
+Both tokenizers begin a token at every lone blank between visible characters, whatever is around it,
+so texts whose white space is regular are cut there before they are tokenized: each such window goes
+through both tokenizers once, and is remembered by its text. Other texts go through both as a whole.
+The tuple of ids in both vocabularies decides how a window of theirs aligns, so its alignment is
+computed once and remembered by that tuple.
 
 A group is what lies between two byte offsets where tokens of both end. A link is a pair of tokens
 that end together. How often a pair of ids is linked is counted over the whole corpus.
@@ -16,17 +20,21 @@ import hashlib
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.token_files import byte_alphabet
+from tidemark.llm.token_files import byte_alphabet, regular
 from tidemark.session import stored
 
 # Windows of more tokens are not remembered, and a full memory is emptied.
 REMEMBERED_TOKENS, REMEMBERED = 64, 400_000
+# Windows cut by their text have up to so many characters. Of those remembered, the earliest outlast a
+# full memory.
+PART_CHARACTERS, REMEMBERED_PARTS, LASTING_PARTS = 256, 400_000, 200_000
 # Up to so many id pairs, at 16 bytes each, are sent to every executor; more are joined.
 BROADCAST_PAIRS = 1_000_000
 # Into how many parts the join deals each pair, as one pair can occur in every document.
@@ -96,6 +104,13 @@ class _Aligner:
             [(len(t), str(k)) for k, t in enumerate(tokens)] for tokens in (self.bytes_a, self.bytes_b)
         )
         self.memory: dict[bytes, tuple[bytes, str, bytes]] = {}
+        # Numbers of tokens, groups and linked pairs of windows by their text, and the windows that B
+        # does not give back.
+        self.parts: dict[str, tuple[int, int, str, bytes]] = {}
+        self.unequal: set[str] = set()
+        # No piece of B goes on behind the start of a word, so no merge crosses a blank.
+        pieces = (self.b.id_to_piece(k).lstrip("▁") for k in range(len(self.bytes_b)))
+        self.cuts_at_blanks = not any("▁" in x for x in pieces)
 
     def _piece(self, k: int) -> bytes:
         piece = self.b.id_to_piece(k)
@@ -141,6 +156,41 @@ class _Aligner:
             pairs.append(i << 32 | j)
         return whole, ";".join(groups), pairs.tobytes()
 
+    def _learn(self, parts: list[str]) -> None:
+        for part, b in zip(parts, self.b.encode([p[1:] for p in parts], num_threads=1)):
+            a = self.a.encode_ordinary(part)
+            whole, groups, pairs = self._aligned(a, b)
+            if whole != part.encode():
+                self.unequal.add(part)
+            self.parts[part] = len(a), len(b), groups, pairs
+
+    def _cut(self, text: str) -> list[str]:
+        """Windows of a text with a blank ahead; none if it has to be tokenized as a whole."""
+        text = " " + text
+        if not self.cuts_at_blanks or len(text) == 1 or not regular(text):
+            return []
+        parts = text.replace(" ", "\0 ").split("\0")[1:]
+        return parts if max(map(len, parts)) <= PART_CHARACTERS else []
+
+    def several(self, texts: list[str]) -> Iterator[tuple[int, int, str, np.ndarray]]:
+        """What a call gives for each of the texts."""
+        cut = list(map(self._cut, texts))
+        if len(self.parts) > REMEMBERED_PARTS:
+            self.parts = dict(islice(self.parts.items(), LASTING_PARTS))
+            self.unequal &= self.parts.keys()
+        needed = set().union(*cut)
+        self._learn([p for p in needed if p not in self.parts])
+        unequal = needed & self.unequal
+        cut = [parts if unequal.isdisjoint(parts) else [] for parts in cut]
+        rest = [text for text, parts in zip(texts, cut) if not parts]
+        whole = iter(self.b.encode(rest, num_threads=1))
+        for text, parts in zip(texts, cut):
+            if parts:
+                n_a, n_b, groups, pairs = zip(*map(self.parts.__getitem__, parts))
+                yield sum(n_a), sum(n_b), ";".join(groups), np.frombuffer(b"".join(pairs), np.int64)
+            else:
+                yield self(text, next(whole))
+
     def __call__(self, text: str, b: list[int]) -> tuple[int, int, str, np.ndarray]:
         """Numbers of tokens, groups and linked pairs of a text, whose ids in B are given."""
         a = self.a.encode_to_numpy(" " + text, disallowed_special=())
@@ -194,8 +244,7 @@ def _align(a_path: str, b_path: str, keep_groups: bool):
                 part.append(texts[at + len(part)].as_py() or "")
                 size += len(part[-1])
             rows, digests, pairs, times = [], [], [], []
-            for text, b in zip(part, aligner.b.encode(part, num_threads=1)):
-                n_a, n_b, groups, linked = aligner(text, b)
+            for n_a, n_b, groups, linked in aligner.several(part):
                 digests.append(hashlib.sha256(groups.encode()).hexdigest() if n_a else "")
                 # Tokens have a byte at least, so at each shared end one token of each is linked.
                 rows.append((n_a, n_b, len(linked), groups if keep_groups else None))
