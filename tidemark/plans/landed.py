@@ -92,6 +92,8 @@ def land(
     """Write pages as `<folder>/run=<id>/*.json`.
 
     `bad_run` gets a page with an error status, `empty_run` is a run whose only page has no items.
+    Pages are written by the tasks that group them; as text they take ten times the room of the
+    compressed files.
     """
     landed = pages(snapshots)
 
@@ -108,4 +110,4 @@ def land(
     if empty_run is not None:
         nothing = '{"page": [], "hasMore": false}'
         landed = landed.unionByName(more(empty_run, None, "success", nothing))
-    landed.repartition("run", F.col("value.nextCursor")).write.partitionBy("run").json(folder)
+    landed.write.partitionBy("run").option("compression", "gzip").json(folder)
