@@ -48,6 +48,15 @@ def test_only_used_columns_are_read(stored):
     assert "ReadSchema: struct<stat_downloads:bigint,stat_stars:bigint,owner_handle:string>" in text
 
 
+def test_rows_of_a_run_are_not_sent_to_the_driver(stored):
+    for df in (rankings.download_growth(*stored), rankings.rising_recent(*stored)):
+        assert "SortMergeJoin" in plan(df)
+    shape = growth.run_percentiles(*stored)
+    text = shape._sc._jvm.PythonSQLUtils.explainString(shape._jdf.queryExecution(), "simple")
+    by_bucket = r"BroadcastHashJoin \[scrape_run_id#\w+, bucket#\w+\], \[[^]]*\], Inner, (\w+)"
+    assert "BuildRight" in re.findall(by_bucket, text)
+
+
 def test_joins_across_runs_do_not_shuffle(stored):
     for df in (
         diff.new_entities(stored[0], 7, 6),

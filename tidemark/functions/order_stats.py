@@ -85,8 +85,9 @@ def percentiles(
     position = {name: f"({q}D * (total - 1))" for name, q in quantiles.items()}
     ranks = [f"{f}({p})" for p in position.values() for f in ("floor", "ceil")]
     wanted = " OR ".join(f"(before <= {r} AND {r} < before + rows)" for r in ranks)
-    # At most two buckets per quantile and group. The join carries no hint, as groups may be many.
-    wanted_buckets = buckets.where(wanted).drop("rows")
+    # At most two buckets per quantile and group. Without the hint the rows, whose two columns look
+    # small to the planner, are sent to all executors instead.
+    wanted_buckets = F.broadcast(buckets.where(wanted).drop("rows"))
 
     counts = (
         rows.join(wanted_buckets, keys + ["bucket"])

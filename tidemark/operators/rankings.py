@@ -119,7 +119,7 @@ def download_growth(snapshots: DataFrame, runs: DataFrame, limit: int = TOP_LIMI
     before = before.select("skill_id", F.col("stat_downloads").alias("prev_downloads"))
     grown = (
         now.select("skill_id", "slug", "display_name", "owner_handle", "stat_downloads")
-        .join(before, "skill_id")
+        .join(before.hint("merge"), "skill_id")
         .withColumnRenamed("stat_downloads", "curr_downloads")
         .withColumn("growth", F.col("curr_downloads") - F.col("prev_downloads"))
         .where(F.col("growth") > 0)
@@ -146,7 +146,7 @@ def _with_delta(snapshots: DataFrame, runs: DataFrame, kept: Column | None = Non
         now = now.where(kept)
     before = before.select("skill_id", F.col("stat_downloads").alias("prev_downloads"))
     delta = F.col("stat_downloads") - F.coalesce(F.col("prev_downloads"), F.lit(0))
-    return now.join(before, "skill_id", "left").withColumn("delta", delta)
+    return now.join(before.hint("merge"), "skill_id", "left").withColumn("delta", delta)
 
 
 def _with_chart(
